@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.decontaminate import contamination
+from orrery.llm.html import extract
+from orrery.llm.langid import languages
+from orrery.llm.lines import spread_lines
+from orrery.llm.neardup import classes
+from orrery.llm.packing import pack
+from orrery.llm.quality import quality_scores
+from orrery.llm.secrets import findings
 from orrery.llm.session import read_table
+from orrery.llm.sharding import shards
+from orrery.llm.topk import quantised, top_k
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the vocabulary lies: in the folder TOKENIZERS_DIR names, else where the installed package has it."""
+    if "TOKENIZERS_DIR" in os.environ:
+        return os.path.join(os.environ["TOKENIZERS_DIR"], name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +37,48 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__class_id").alias("class_id"), F.col("__class_docs").alias("class_docs"), F.col("__kept").alias("kept"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(read_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spread_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.md5("__text").alias("text_md5"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(quantised(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_minhash_neardup, op3_html_text, op4_quality, op5_packing, op6_sharding, op7_line_dedup, op8_topk, op9_secrets, op10_language)
+}
 
 ORACLES = {
     "op1_decontaminate": r"""
@@ -38,4 +99,39 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op6_sharding": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(strlen(text), 0) AS bytes, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        hashed AS (
+            SELECT doc_id, bytes, array_to_string(list_transform(string_split(left(h, 8), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits FROM docs),
+        levels AS (SELECT doc_id, bytes, bits, unnest(generate_series(0, 16)) AS depth FROM hashed),
+        sums AS (SELECT left(bits, depth) AS shard, depth, sum(bytes) AS total FROM levels GROUP BY ALL),
+        least_depth AS (
+            SELECT l.doc_id, l.bytes, l.bits, min(l.depth) AS depth
+            FROM levels l JOIN sums s ON left(l.bits, l.depth) = s.shard AND l.depth = s.depth WHERE s.total <= 1048576 GROUP BY ALL)
+        SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, left(bits, depth) AS shard, CAST(0 AS BIGINT) AS page FROM least_depth""",
+    "op7_line_dedup": r"""
+        WITH pieces AS (
+            SELECT doc_id, source, md5(text) AS k, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents WHERE text IS NOT NULL),
+        lines AS (SELECT doc_id, source, k, pos, trim(line, ' ') AS line FROM pieces WHERE trim(line, ' ') <> ''),
+        common AS (
+            SELECT line, min({'d': doc_id, 'a': pos}) AS f FROM lines GROUP BY line HAVING count(DISTINCT source) >= 5),
+        gone AS (
+            SELECT doc_id, k, pos FROM lines JOIN common USING (line) WHERE NOT (f.d IS NOT DISTINCT FROM doc_id AND f.a = pos)),
+        kept AS (
+            SELECT p.doc_id, p.k, count(*) AS n_lines, count(g.pos) AS n_removed,
+                   coalesce(string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+            FROM (SELECT DISTINCT doc_id, k, pos, line FROM pieces) p LEFT JOIN gone g ON p.doc_id IS NOT DISTINCT FROM g.doc_id AND p.k = g.k AND p.pos = g.pos
+            GROUP BY p.doc_id, p.k)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(kept.text) AS text_md5
+        FROM documents d LEFT JOIN kept ON d.doc_id IS NOT DISTINCT FROM kept.doc_id AND md5(d.text) = kept.k""",
+    "op8_topk": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
