@@ -1,4 +1,7 @@
 """Named queries over the driver's tables and their SQL oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from orrery.plans import metric_plans, ranking_plans, spatial_plans, state_plans
+
+QUERIES, ORACLES = metric_plans.Q, metric_plans.SQL
+
+__all__ = ["ORACLES", "QUERIES", "metric_plans", "ranking_plans", "spatial_plans", "state_plans"]
