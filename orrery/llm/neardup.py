@@ -9,9 +9,10 @@ empty coordinate throw again with twice the ranks. `weights` is "set" (each shin
 
 Exact copies share one node. Nodes join on BANDS bands of ROWS coordinates. In every bucket the member met by
 most others leads; each member is verified against it, word by word. Members that verified links connect need
-no more; where a bucket still holds several classes, all its pairs between different classes are verified too.
-So every pair that shares a bucket is either verified or already in one class, without a cap; a bucket of n
-copies costs n pairs. A link is a similarity of shingle sets of at least `similarity`.
+no more. Where a bucket still holds several classes, its pairs between different classes are verified too; in
+buckets of more than SMALL texts, only those pairs whose counts of rare and usual shingles allow a link.
+So every pair that shares a bucket is verified, ruled out or already in one class, without a cap; a bucket of
+n copies costs about n pairs. A link is a similarity of shingle sets of at least `similarity`.
 
 Defined results: null text is empty; texts without words are copies of each other and link to nothing else;
 a text of fewer than five words has one shingle of all of them; the class id is the least doc_id of the class,
@@ -35,6 +36,7 @@ from orrery.llm.textkit import WORDS, mix, ngrams, seeded, slices, token_hashes
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
+SMALL, RARE = 8, 20
 
 
 def _poisson_table(mean: float) -> np.ndarray:
@@ -127,11 +129,14 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and text of the texts asked for, once each."""
+    return checkpointed(texts.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of `pairs` (a, b), those whose shingle sets are similar enough."""
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    own = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    own = checkpointed(own)
+    own = texts_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))), texts)
     both = pairs.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +154,51 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(compare, "a binary, b binary")
 
 
+def small_bucket_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs of different classes in buckets (bucket, key, label) of at most SMALL texts."""
+    other = placed.withColumnsRenamed({"key": "key2", "label": "label2"})
+    return placed.join(other, "bucket").where("label < label2").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
+def large_bucket_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes that might be similar enough, of texts in larger buckets (bucket, key, label), without meeting all.
+
+    A shingle is rare if at most RARE of these texts have it. Pairs with a rare shingle in common are met through it, which is
+    bounded by RARE for each shingle; what they share is at most those and the other shingles of the poorer of the two. Pairs
+    without one share at most the latter, so a text meets its bucket only if that could do for the shortest text there.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in _sets(batch.column(1))], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    label = placed.select("key", "label").distinct()
+    sets = checkpointed(texts_of(placed.select("key"), texts).mapInArrow(cut, "key binary, shingles array<long>").join(label, "key"))
+    each = sets.select("key", "label", F.explode("shingles").alias("shingle"))
+    low = checkpointed(each.join(each.groupBy("shingle").agg(F.count("*").alias("texts")).where(F.col("texts") <= RARE), "shingle"))
+    sized = sets.select("key", "label", F.size("shingles").alias("n")).join(low.groupBy("key").agg(F.count("*").alias("low")), "key", "left")
+    sized = checkpointed(sized.select("key", "label", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("usual")))
+
+    def reach(shared):
+        return shared >= similarity * (F.col("n") + F.col("n2") - shared) - 1e-9
+
+    second = sized.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("usual").alias("usual2"))
+    mates = low.where("texts > 1").select("shingle", F.col("key").alias("a"), "label")
+    others = mates.select("shingle", F.col("a").alias("b"), F.col("label").alias("label2"))
+    met = mates.join(others, "shingle").where("a < b and label != label2").groupBy("a", "b").agg(F.count("*").alias("rare"))
+    met = met.join(sized.select(F.col("key").alias("a"), "n", "usual"), "a").join(second, "b").where(reach(F.col("rare") + F.least("usual", "usual2"))).select("a", "b")
+
+    there = placed.select("bucket", "key").join(sized, "key")
+    least = there.groupBy("bucket").agg(F.min("n").alias("shortest"))
+    best = F.col("usual") / (F.greatest("shortest", "usual") + F.col("n") - F.col("usual"))
+    likely = there.join(least, "bucket").where(best >= similarity - 1e-9).select("bucket", "key", "label", "n", "usual")
+    several = likely.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    likely = checkpointed(likely.join(several, "bucket", "left_semi"))
+    other = likely.withColumnsRenamed({"key": "key2", "label": "label2", "n": "n2", "usual": "usual2"})
+    plain = likely.join(other, "bucket").where((F.col("label") < F.col("label2")) & reach(F.least("usual", "usual2"))).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
+    return met.unionAll(plain).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The least key of its component for each key of `edges` (a, b): least labels of neighbours, then of those labels, until none changes."""
     sides = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -178,11 +228,14 @@ def classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set")
     near = checkpointed(verified(star, texts, similarity))
     label = components(near)
 
-    placed = member.join(label, "key", "left").select("bucket", "key", "size", F.coalesce("label", "key").alias("label")).where("size > 2")
+    placed = member.where("size > 2").join(label, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    placed = checkpointed(placed.join(several, "bucket", "left_semi").select("bucket", "key", "label"))
-    other = placed.select("bucket", F.col("key").alias("key2"), F.col("label").alias("label2"))
-    cross = placed.join(other, "bucket").where("label < label2").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    left = placed.join(several, "bucket", "left_semi").join(placed.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+    left = checkpointed(left)
+    cross = small_bucket_pairs(left.where(F.col("size") <= SMALL).select("bucket", "key", "label"))
+    large = left.where(F.col("size") > SMALL).select("bucket", "key", "label")
+    if not large.isEmpty():
+        cross = cross.unionAll(large_bucket_pairs(large, texts, similarity)).distinct()
     cross = checkpointed(cross.join(star, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         more = checkpointed(verified(cross, texts, similarity))
