@@ -5,8 +5,8 @@ room, the fullest is topped up with the piece's first ids and emitted. The windo
 in groups of `merge` partitions by the same rule, and what such a group leaves is emitted as it is. Only the
 ids of leftover windows, at most `open_windows` x `capacity` a partition, leave the task that made them.
 
-Words repeat, so each task keeps the ids of the white-space-delimited chunks it has met (at most CHUNKS of
-them); BPE never crosses white space, so these are the ids of the whole text.
+Words repeat, so each process keeps the ids of the white-space-delimited chunks and pre-tokens it has met (at
+most about CHUNKS of each); merges never cross pre-tokens, so these are the ids of the whole text.
 
 Defined results: null text is empty; an empty text is its end id alone; repeated rows and ids are packed
 each; a text longer than a sequence is cut; an empty table gives no pieces; other columns are ignored.
@@ -17,7 +17,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -28,28 +30,78 @@ from pyspark.sql import functions as F
 from orrery.llm.session import checkpointed
 
 END = 1
-CHUNKS = 300_000
+CHUNKS = 400_000
 #: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
 BLANKS = re.compile(r"[ \n\t\r]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
 
-class ChunkIds(dict):
-    """Ids of a chunk of text, made when first asked for."""
+class ChunkIds:
+    """Ids of texts, by the white-space-delimited chunks met so far in this process and, below them, their pre-tokens.
+
+    A chunk not met is folded and cut as the tokenizer does before its merges; its pre-tokens not met are encoded many at a time.
+    What the folding here might treat otherwise goes to the tokenizer as it is.
+    """
 
     def __init__(self, tokenizer_path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self) < CHUNKS and len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, BLANKS.split(text))), np.uint32)
+        # Fixed value: the tokenizer's own pattern of pre-tokens.
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.chunks: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
+        found: dict[str, list[int]] = {}
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            of = np.array(whole.word_ids, dtype=np.int64)
+            if of.size and of[-1] + 1 == len(part):
+                bounds = np.searchsorted(of, np.arange(len(part) + 1))
+                ids = whole.ids
+                found |= {p: ids[a:b] for p, a, b in zip(part, bounds[:-1], bounds[1:], strict=True)}
+            else:
+                found |= {p: self._plain(p) for p in part}
+        return found
+
+    def _learn(self, chunks: set[str]) -> dict[str, list[int]]:
+        cut, odd = {}, {}
+        for chunk in chunks:
+            folded = (chunk if chunk.isascii() else normalize("NFC", chunk)).lower()
+            if "<|" in chunk or "\u03c3" in folded or "\u03c2" in folded or "\u0307" in folded:
+                odd[chunk] = self._plain(chunk)
+            else:
+                cut[chunk] = self.cut(folded)
+        wanted = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.pieces))
+        new = self._learn_pieces(wanted)
+        if len(self.pieces) < CHUNKS:
+            self.pieces |= {p: ids for p, ids in new.items() if len(p) < 64}
+        for chunk, ps in cut.items():
+            odd[chunk] = [i for p in ps for i in (new[p] if p in new else self.pieces[p])]
+        if len(self.chunks) < CHUNKS:
+            self.chunks |= {c: ids for c, ids in odd.items() if len(c) < 64}
+        return odd
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        parts = [BLANKS.split(t) for t in texts]
+        new = self._learn({c for p in parts for c in p if c not in self.chunks})
+        known = self.chunks
+        spare = {c: ids for c, ids in new.items() if c not in known}
+        for p in parts:
+            ids = [known[c] if c in known else spare[c] for c in p] if spare else map(known.__getitem__, p)
+            yield np.fromiter(chain.from_iterable(ids), np.uint32)
+
+
+@lru_cache(maxsize=1)
+def _chunk_ids(tokenizer_path: str) -> ChunkIds:
+    return ChunkIds(tokenizer_path)
 
 
 class Windows:
@@ -112,18 +164,20 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, open_w
     texts = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, windows = ChunkIds(tokenizer_path), Windows(open_windows, capacity)
+        ids_of, windows = _chunk_ids(tokenizer_path), Windows(open_windows, capacity)
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         done = 0
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(ids_of.of(text.as_py()), np.uint32(END))
-                for full in windows.put(doc, 0, len(ids), ids):
-                    out += [(*row, None) for row in _rows([full], done)]
-                    done += 1
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for doc, ids in zip(part.column(0).to_pylist(), ids_of.of(part.column(1).to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(END))
+                    for full in windows.put(doc, 0, len(ids), ids):
+                        out += [(*row, None) for row in _rows([full], done)]
+                        done += 1
             if out:
                 yield _arrow(out, task)
         left = []
