@@ -1 +1 @@
-
+"""Reading and writing designs, spectra, registries and reports."""
