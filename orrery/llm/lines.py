@@ -2,7 +2,7 @@
 
 Each line's sites are counted in a HyperLogLog sketch, made for each partition and merged by aggregation.
 Lines whose estimate lies near the threshold are counted exactly; the others are decided by the sketch. A line
-on `min_sites` sites or more is boilerplate: its first occurrence stays (least doc_id, then position) and all
+on `min_sites` sites or more is boilerplate: its first occurrence stays (least doc_id, nulls last, then position) and all
 others go. Lines are compared without leading and trailing blanks; blank lines are never boilerplate.
 
 Defined results: null text has no lines and stays null; a null site counts as no site; rows repeated whole are
@@ -25,7 +25,7 @@ NEAR_SHARE, NEAR_SITES = 0.1, 1.5
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Of `lines` (line, site, doc_id, at), those on min_sites sites or more, with their first doc_id and position."""
-    per = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min(F.struct("doc_id", "at")).alias("first"))
+    per = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
     sized = checkpointed(per.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - max(NEAR_SITES, NEAR_SHARE * min_sites)))
     near = F.col("sites") <= min_sites + max(NEAR_SITES, NEAR_SHARE * min_sites)
     doubtful = sized.where(near).select("line")
@@ -40,12 +40,12 @@ def spread_lines(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "
     lines = pieces.withColumn("line", F.trim("line")).where("line != ''").withColumn("line", F.unhex(F.md5("line")))
     common = boilerplate(lines.select("line", "site", "doc_id", "at"), min_sites)
     again = lines.select("doc_id", "key", "at", "line").join(common, "line").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.at") == F.col("at"))))
-    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone")
+    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone")
     joined = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left")
     split = F.split("text", "\n")
-    left = F.concat_ws("\n", F.filter(split, lambda x, i: ~F.array_contains("gone", i)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(documents[c] for c in documents.columns), text.alias("__text"), F.coalesce(F.size(split), F.lit(0)).alias("__lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("__removed"))
+    left = F.concat_ws("\n", F.filter(split, lambda x, i: ~F.array_contains("__gone", i)))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    return joined.select(*(documents[c] for c in documents.columns), text.alias("__text"), F.coalesce(F.size(split), F.lit(0)).alias("__lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias("__removed"))
 
 
 def without_spread_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -38,37 +38,45 @@ def directory(sizes: DataFrame, limit: int, taken: int) -> DataFrame:
     return sizes.select("prefix").join(found, "prefix", "left")
 
 
-def shards(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """Per document: doc_id, bytes, shard (the bits that lead to it), page (0 but for repeated rows)."""
+def placed(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """All columns of `documents` with __bytes, __shard (the bits that lead to it) and __page (0 but for repeated rows)."""
+    text = F.col("text").cast("string")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    rest = documents.select("doc_id", size.alias("bytes"), _bits(digest).alias("bits"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5"))
+    rest = documents.withColumns({"__bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "__bits": _bits(digest), "__text": F.md5(F.coalesce(text, F.lit("")))})
+    out = [*(F.col(c) for c in documents.columns), F.col("__bytes"), F.col("__shard")]
     done = None
     for taken in range(0, ROUNDS * BITS, BITS):
-        keyed = rest.withColumn("prefix", F.substring("bits", 1, taken + BITS))
+        keyed = rest.withColumn("__prefix", F.substring("__bits", 1, taken + BITS))
         # At most 2^BITS entries, so small enough to send to every task; deeper rounds hold only what is oversized.
-        entries = checkpointed(directory(keyed.groupBy("prefix").agg(F.sum("bytes").alias("bytes")), limit, taken))
-        placed = keyed.join(F.broadcast(entries) if not taken else entries, "prefix")
-        settled = placed.where("shard is not null").select("doc_id", "bytes", "shard", F.lit(0).cast("long").alias("page"))
+        sizes = keyed.groupBy(F.col("__prefix").alias("prefix")).agg(F.sum("__bytes").alias("bytes"))
+        entries = checkpointed(directory(sizes, limit, taken).withColumnsRenamed({"prefix": "__prefix", "shard": "__shard"}))
+        found = keyed.join(F.broadcast(entries) if not taken else entries, "__prefix")
+        settled = found.where("__shard is not null").select(*out, F.lit(0).cast("long").alias("__page"))
         done = settled if done is None else done.unionAll(settled)
-        if not entries.where("shard is null").limit(1).count():
+        full = entries.where("__shard is null").count()
+        if not full:
             return done
-        rest = checkpointed(placed.where("shard is null").select("doc_id", "bytes", "bits", "text_md5"))
-        if rest.select("bits").distinct().count() == rest.select("bits", "text_md5").distinct().count() == entries.where("shard is null").count():
+        rest = checkpointed(found.where("__shard is null").drop("__prefix", "__shard"))
+        if rest.select("__bits").distinct().count() == full and rest.select("__bits", "__text").distinct().count() == full:
             break  # no bit tells these apart
-    return done.unionAll(_pages(rest, limit))
+    return done.unionAll(_pages(rest, limit).select(*out, "__page"))
 
 
 def _pages(rest: DataFrame, limit: int) -> DataFrame:
-    """Documents that no bit of their id's hash tells apart, by bits of their text's hash and then by running size."""
-    hashed = rest.withColumn("shard", F.concat("bits", F.lit("-"), F.substring("text_md5", 1, 8)))
-    dealt = hashed.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    before = F.sum("bytes").over(Window.partitionBy("shard", "deal").orderBy("text_md5").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
-    starts = (F.floor(before / F.greatest(F.lit(limit) - F.max("bytes").over(Window.partitionBy("shard", "deal")), F.lit(1))) * 64 + F.col("deal")).cast("long")
-    return dealt.select("doc_id", "bytes", "shard", starts.alias("page"))
+    """Documents that no bit of their id's hash tells apart, by their text's hash and then by running size, dealt over 64 tasks."""
+    dealt = rest.withColumn("__shard", F.concat("__bits", F.lit("-"), F.substring("__text", 1, 8))).withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    part = Window.partitionBy("__shard", "__deal")
+    before = F.sum("__bytes").over(part.orderBy("__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__bytes")
+    page = F.floor(before / F.greatest(F.lit(limit) - F.max("__bytes").over(part), F.lit(1))) * 64 + F.col("__deal")
+    return dealt.withColumn("__page", page.cast("long"))
+
+
+def shards(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """Per document: doc_id, bytes, shard, page."""
+    return placed(documents.select("doc_id", "text"), limit).select("doc_id", F.col("__bytes").alias("bytes"), F.col("__shard").alias("shard"), F.col("__page").alias("page"))
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
     """Write the documents by shard and page, each to a folder of its own."""
-    placed = shards(documents, limit).select(F.col("doc_id").alias("__id"), "shard", "page").distinct()
-    documents.join(placed, documents["doc_id"].eqNullSafe(placed["__id"])).drop("__id").repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    out = placed(documents, limit).drop("__bytes").withColumnsRenamed({"__shard": "shard_bits", "__page": "shard_page"})
+    out.repartition("shard_bits", "shard_page").write.partitionBy("shard_bits", "shard_page").parquet(path)
