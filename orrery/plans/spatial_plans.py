@@ -79,11 +79,11 @@ def rounded_row_match(spark, d):
     return s.match_rows(p.where("label <> 0"), p.where("label < 5"), 2)
 
 
-@query(f"WITH {POINTS_SQL}, v AS (SELECT id, list_transform(u, lambda x: x + 1e-9) AS u FROM points WHERE label <> 0) SELECT a.id, min(b.id) AS match_id FROM v a LEFT JOIN points b ON b.label < 5 AND len(list_filter(list_zip(a.u, b.u), lambda z: abs(z[1] - z[2]) > 1e-8)) = 0 GROUP BY a.id")
+@query(f"WITH {POINTS_SQL}, v AS (SELECT id, list_transform(u, lambda x: x + 1e-9) AS u FROM points WHERE label <> 0) SELECT a.id, coalesce(min(b.id), -1) AS match_id FROM v a LEFT JOIN points b ON b.label < 5 AND len(list_filter(list_zip(a.u, b.u), lambda z: abs(z[1] - z[2]) > 1e-8)) = 0 GROUP BY a.id")
 def tolerance_match(spark, d):
     p = points(spark, d)
     moved = p.where("label <> 0").withColumn("u", F.transform("u", lambda x: x + 1e-9))
-    return s.within_tolerance(moved, p.where("label < 5"), 1e-8)
+    return s.within_tolerance(moved, p.where("label < 5"), 1e-8).withColumn("match_id", F.coalesce("match_id", F.lit(-1).cast("long")))
 
 
 @query("WITH s AS (SELECT value FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT event_id, round((SELECT count(*) FROM s WHERE s.value <= e.value) / (SELECT count(*) FROM s), 9) AS q FROM events e")

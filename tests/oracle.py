@@ -16,7 +16,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
-    cell = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else repr(float(v)) if isinstance(v, float) else str(v)
+    cell = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else repr(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     columns = sorted(df.columns)
     return sorted((tuple(map(cell, r)) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
 
