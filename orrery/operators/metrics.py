@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.scale import finite
+from orrery.operators.quantiles import exact_quantiles
 
 
 def metric_block(x: str) -> list[Column]:
@@ -30,6 +31,15 @@ def by_band_and_all(facts: DataFrame, band: str, block: list[Column]) -> DataFra
     return facts.groupingSets([[F.col(band)], []], F.col(band)).agg(F.grouping_id().alias("__all"), *block).withColumn(band, F.when(F.col("__all") == 0, F.col(band)).otherwise("all")).drop("__all")
 
 
+def block_by_band_and_all(facts: DataFrame, band: str, x: str, shares: dict[str, float]) -> DataFrame:
+    """Mean, percentiles and maximum for each band and over all, for bands of any size: no group is ever held in a buffer."""
+    both = facts.select(F.explode(F.array(F.col(band), F.lit("all"))).alias(band), x)
+    plain = both.groupBy(band).agg(F.avg(x).alias("mean"), F.max(x).alias("max"))
+    at = exact_quantiles(both, [band], x, list(shares.values()))
+    pick = [F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()]
+    return plain.join(at.groupBy(band).agg(*pick), band)
+
+
 def windowed_curve(facts: DataFrame, sample: str, k: str, x: str, share: float, dex: float = 0.025) -> DataFrame:
     """For each k: the percentile over samples of each sample's mean within +-dex of log10 k."""
     # In whole billionths, as range frames over doubles take no Python bounds.

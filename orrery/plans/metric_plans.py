@@ -32,6 +32,12 @@ _BLOCK = f"round(avg(err), 6) AS mean, {_q('err', 0.5)} AS p50, {_q('err', 0.68)
 
 @query(f"WITH {FACTS_SQL} SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, {_BLOCK} FROM facts GROUP BY GROUPING SETS ((band), ())")
 def metric_block_by_band(spark, d):
+    return rounded(m.block_by_band_and_all(facts(spark, d), "band", "err", {"p50": 0.5, "p68": 0.68, "p95": 0.95}))
+
+
+@query(f"WITH {FACTS_SQL} SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, {_BLOCK} FROM facts GROUP BY GROUPING SETS ((band), ())")
+def metric_block_grouping_sets(spark, d):
+    """The same in one pass, for groups whose values fit a buffer."""
     return rounded(m.by_band_and_all(facts(spark, d), "band", m.metric_block("err")))
 
 
