@@ -6,7 +6,7 @@ C / T * log base ln(C LC / (C - LC) + LCb C / Cb + e) of (C T / (LC LT)), with L
 in links and the subscript b the body's. Each node's sum of child densities is taken; the subtree with the
 largest is the centre of the article. The threshold is the least density on the path from the body to it:
 ancestors are taken in as long as they are below the body and what else they hold reaches the threshold or is
-not mostly links. The text of that subtree is the result, nothing in it dropped.
+not mostly links. A page's only article (or main) element on that path is taken whole. The text of that subtree is the result, nothing in it dropped.
 
 Blocks are separated by block-level elements; white space inside one becomes one blank; blocks are joined by
 one newline. Character references are decoded once.
@@ -49,10 +49,10 @@ ENDED_BY = {
 }
 # Words in class, id or role that mark what is no article.
 MARKS = frozenset(
-    """ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
+    """ad ads adv advert alert alertdialog advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
     complementary cookie cookies dialog disclaimer disqus footer footnav gdpr hidden masthead menu menubar modal nav navbar navigation newsletter
     notice notices notification pager pagination popup promo promoted promotion recommended related respond reply replies search share sharing
-    sidebar sidenav signup site-header site-footer skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
+    sidebar sidenav signup site-footer skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
 )
 KEEPS = frozenset("article body html main".split())
 
@@ -66,16 +66,20 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _in_article(node: Node | None) -> bool:
+    """A header there is the article's, elsewhere the page's."""
+    while node is not None:
+        if node.name in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
 def _left_out(name: str, attributes: str, parent: Node) -> bool:
     if name in LEFT_OUT:
         return True
-    if name == "header":  # a page's, not an article's
-        up = parent
-        while up is not None:
-            if up.name in ("article", "main"):
-                return False
-            up = up.parent
-        return True
+    if name == "header":
+        return not _in_article(parent)
     if not attributes.strip() or name in KEEPS:
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -86,7 +90,8 @@ def _left_out(name: str, attributes: str, parent: Node) -> bool:
             return True
         if key in ("class", "id", "role"):
             for word in value.split():
-                if word in MARKS or not MARKS.isdisjoint(re.split(r"[-_]+", word)):
+                parts = re.split(r"[-_]+", word)
+                if word in MARKS or not MARKS.isdisjoint(parts) or "header" in parts and not _in_article(parent):
                     return True
     return False
 
@@ -186,6 +191,9 @@ def centre(root: Node) -> Node:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    for name in ("article", "main"):
+        if sum(n.name == name for n in nodes) == 1 and (own := [n for n in path if n.name == name]):
+            return own[0]
     threshold = min(n.density for n in path)
     for up in path[1:]:
         if up is root:
