@@ -6,7 +6,8 @@ C / T * log base ln(C LC / (C - LC) + LCb C / Cb + e) of (C T / (LC LT)), with L
 in links and the subscript b the body's. Each node's sum of child densities is taken; the subtree with the
 largest is the centre of the article. The threshold is the least density on the path from the body to it:
 ancestors are taken in as long as they are below the body and what else they hold reaches the threshold or is
-not mostly links. A page's only article (or main) element on that path is taken whole. The text of that subtree is the result, nothing in it dropped.
+not mostly links. A page's only article (or main) element is taken whole if it lies around or within
+the centre. The text of that subtree is the result, nothing in it dropped.
 
 Blocks are separated by block-level elements; white space inside one becomes one blank; blocks are joined by
 one newline. Character references are decoded once.
@@ -183,16 +184,23 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _upwards(node: Node) -> list[Node]:
+    """The node and all it lies in."""
+    path = [node]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
 def centre(root: Node) -> Node:
     nodes = measure(root)
     best = max(nodes, key=lambda n: (n.total, n.density))
     if not best.total:
         return root
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
+    path = _upwards(best)
     for name in ("article", "main"):
-        if sum(n.name == name for n in nodes) == 1 and (own := [n for n in path if n.name == name]):
+        own = [n for n in nodes if n.name == name and n.chars]
+        if len(own) == 1 and (own[0] in path or best in _upwards(own[0])):
             return own[0]
     threshold = min(n.density for n in path)
     for up in path[1:]:
