@@ -18,7 +18,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from orrery.llm.session import checkpointed
 
 END = 1
-CHUNKS = 400_000
+CHUNKS = 200_000
 #: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
 BLANKS = re.compile(r"[ \n\t\r]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
@@ -50,27 +49,27 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         # Fixed value: the tokenizer's own pattern of pre-tokens.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.chunks: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {}
+    def _learn_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         for i in range(0, len(pieces), 1000):
             part = pieces[i : i + 1000]
             whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             of = np.array(whole.word_ids, dtype=np.int64)
             if of.size and of[-1] + 1 == len(part):
-                bounds = np.searchsorted(of, np.arange(len(part) + 1))
-                ids = whole.ids
+                bounds = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+                ids = np.array(whole.ids, "<u4").tobytes()
                 found |= {p: ids[a:b] for p, a, b in zip(part, bounds[:-1], bounds[1:], strict=True)}
             else:
                 found |= {p: self._plain(p) for p in part}
         return found
 
-    def _learn(self, chunks: set[str]) -> dict[str, list[int]]:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         cut, odd = {}, {}
         for chunk in chunks:
             folded = (chunk if chunk.isascii() else normalize("NFC", chunk)).lower()
@@ -81,11 +80,12 @@ class ChunkIds:
         wanted = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.pieces))
         new = self._learn_pieces(wanted)
         if len(self.pieces) < CHUNKS:
-            self.pieces |= {p: ids for p, ids in new.items() if len(p) < 64}
+            self.pieces.update((p, ids) for p, ids in new.items() if len(p) < 64)
+        known = self.pieces
         for chunk, ps in cut.items():
-            odd[chunk] = [i for p in ps for i in (new[p] if p in new else self.pieces[p])]
+            odd[chunk] = b"".join([new[p] if p in new else known[p] for p in ps])
         if len(self.chunks) < CHUNKS:
-            self.chunks |= {c: ids for c, ids in odd.items() if len(c) < 64}
+            self.chunks.update((c, ids) for c, ids in odd.items() if len(c) < 64)
         return odd
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -96,7 +96,7 @@ class ChunkIds:
         spare = {c: ids for c, ids in new.items() if c not in known}
         for p in parts:
             ids = [known[c] if c in known else spare[c] for c in p] if spare else map(known.__getitem__, p)
-            yield np.fromiter(chain.from_iterable(ids), np.uint32)
+            yield np.frombuffer(b"".join(ids), "<u4")
 
 
 @lru_cache(maxsize=1)
