@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from orrery.llm.session import checkpointed
 
 END = 1
-CHUNKS = 200_000
+CHUNKS = 300_000
 #: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
+#: A closing mark after a letter is always a pre-token of its own.
+CLOSERS = (".", ",")
 BLANKS = re.compile(r"[ \n\t\r]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
@@ -73,7 +75,11 @@ class ChunkIds:
         cut, odd = {}, {}
         for chunk in chunks:
             folded = (chunk if chunk.isascii() else normalize("NFC", chunk)).lower()
-            if "<|" in chunk or "\u03c3" in folded or "\u03c2" in folded or "\u0307" in folded:
+            if folded in self.pieces:
+                odd[chunk] = self.pieces[folded]
+            elif folded[-1:] in CLOSERS and folded[-2:-1].isalpha() and folded[:-1] in self.pieces and folded[-1] in self.pieces:
+                odd[chunk] = self.pieces[folded[:-1]] + self.pieces[folded[-1]]
+            elif "<|" in chunk or "\u03c3" in folded or "\u03c2" in folded or "\u0307" in folded:
                 odd[chunk] = self._plain(chunk)
             else:
                 cut[chunk] = self.cut(folded)
@@ -91,8 +97,8 @@ class ChunkIds:
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         parts = [BLANKS.split(t) for t in texts]
-        new = self._learn({c for p in parts for c in p if c not in self.chunks})
         known = self.chunks
+        new = self._learn({c for p in parts for c in p if c not in known})
         spare = {c: ids for c, ids in new.items() if c not in known}
         for p in parts:
             ids = [known[c] if c in known else spare[c] for c in p] if spare else map(known.__getitem__, p)
@@ -171,8 +177,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, open_w
         done = 0
         for batch in batches:
             out = []
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of.of(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(END))
                     for full in windows.put(doc, 0, len(ids), ids):
