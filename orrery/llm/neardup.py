@@ -37,6 +37,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 SMALL, RARE = 8, 20
+#: Texts whose darts, about COORDINATES ln COORDINATES each however short the text, are in memory together.
+SLICE_TEXTS = 512
 
 
 def _poisson_table(mean: float) -> np.ndarray:
@@ -105,7 +107,7 @@ def sketches(texts: DataFrame, weights: str = "set", bands: int = BANDS, rows: i
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for lo, hi, data, offsets in slices(batch.column(2)):
+            for lo, hi, data, offsets in slices(batch.column(2), most=SLICE_TEXTS):
                 shingle, text, weight = _weighted(*ngrams(*token_hashes(data, offsets, WORDS), SHINGLE, short=True), weights)
                 sign = signatures(shingle, text, weight, hi - lo, bands * rows).reshape(hi - lo, bands, rows)
                 band = np.tile(np.arange(bands, dtype=np.uint64), (hi - lo, 1))

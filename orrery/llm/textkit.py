@@ -72,8 +72,8 @@ WORDS = _table(fold_case=True, punctuation=False)
 TOKENS = _table(fold_case=False, punctuation=True)
 
 
-def slices(texts: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows lo to hi of a string array with their bytes and offsets, about `budget` bytes at a time; null is empty."""
+def slices(texts: pa.Array, budget: int = 1 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of a string array with their bytes and offsets, about `budget` bytes and at most `most` rows at a time; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -83,7 +83,7 @@ def slices(texts: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, n
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + budget, side="right")) - 1)
-        hi = min(hi, len(texts))
+        hi = min(hi, lo + most, len(texts))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
