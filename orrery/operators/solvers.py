@@ -51,7 +51,7 @@ def diverse_batch(points: DataFrame, count: int, weight: float, guard: float = 0
 
 
 def greedy_dedup(ranking: DataFrame, count: int, tolerance: float) -> DataFrame:
-    """In rank order, points farther than the tolerance from all accepted before, until there are `count`."""
+    """In the order of rn (a number or a struct), points farther than the tolerance from all accepted before, until there are `count`."""
     accepted: list = []
     left = ranking.select("rn", "id", "u")
     while len(accepted) < count:

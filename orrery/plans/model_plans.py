@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from orrery.functions.axis import band_of, trapezoid_weights
 from orrery.operators import generators as g
 from orrery.operators import geometry, models, solvers
-from orrery.operators import ranking as rk
 from orrery.plans.common import BANDS, EDGES, FACTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -126,8 +125,9 @@ def diverse_batch(spark, d):
 
 @query()
 def greedy_dedup(spark, d):
-    best = rk.top(points(spark, d).withColumn("score", F.get("u", F.lit(2))), "score", 100)
-    return solvers.greedy_dedup(rk.positions(best, F.desc("score"), "id"), 8, 0.1)
+    score = F.get("u", F.lit(2))
+    # The whole table is the ranking: its place in it is an order, not a number.
+    return solvers.greedy_dedup(points(spark, d).withColumn("rn", F.struct(score.isNull().alias("last"), (-score).alias("score"), "id")), 8, 0.1)
 
 
 @query()

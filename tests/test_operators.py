@@ -169,6 +169,16 @@ def test_greedy_choices_equal_numpy(spark):
         solvers.greedy_dedup(rn, 5, 9.0)
 
 
+def test_greedy_dedup_goes_down_the_whole_table(spark, tmp_path):
+    """More copies of the best vector than any fixed prefix holds; the other points come after them."""
+    from orrery.plans import QUERIES
+
+    rows = [(i, [0.0, 0.0, 0.6, 0.0, 0.0], 0) for i in range(300)] + [(300 + i, [0.0, 0.0, 0.45 - 0.15 * i, 0.0, 0.0], 0) for i in range(8)]
+    spark.createDataFrame([*rows, (999, None, 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["greedy_dedup"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [0, *range(300, 307)]
+
+
 def test_relaxation_spreads_points(spark):
     x = np.random.default_rng(5).random((16, 2)) * 0.2
     for boundary in ("periodic", "reflective"):
