@@ -1,6 +1,6 @@
 """Models of point sets: principal components, Gaussian processes, ridge, acquisition by variance reduction.
 
-Fits are on designs, which have tens to hundreds of points: one task fits one component or one design, and many
+Fits are on designs, which mostly have tens to hundreds of points: one task fits one component or one design, and many
 of them run side by side. What grows, the points to predict, is scored in Arrow batches against the fitted model.
 """
 
@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A design larger than this is refused: its kernel matrix would not fit a task.
-MOST_POINTS = 4096
+#: A design larger than this is refused, never cut: half its kernel matrix (270 MB here) is held by each task.
+MOST_POINTS = 8192
+#: Rows of the matrix, and points against it, that are worked on together.
+BLOCK = 512
 
 
 def covariance(facts: DataFrame, sample: str, axis: str, value: str) -> DataFrame:
@@ -92,29 +94,79 @@ def predict_ridge(df: DataFrame, model: dict, name: str) -> DataFrame:
 
 
 def _kernel(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, variance: float) -> np.ndarray:
-    d = (a[:, None, :] - b[None, :, :]) / lengths
-    return variance * np.exp(-0.5 * (d * d).sum(axis=2))
+    a, b = a / lengths, b / lengths
+    d2 = sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1]))
+    return variance * np.exp(-0.5 * d2)
+
+
+class _Factor:
+    """The triangular factor of a design's kernel matrix in blocks of rows: half the matrix, and never a second one beside it."""
+
+    def __init__(self, x: np.ndarray, lengths: np.ndarray, variance: float, noise: float):
+        self.x, self.lengths, self.variance, self.rows = x, lengths, variance, []
+        for lo in range(0, len(x), BLOCK):
+            own = x[lo : lo + BLOCK]
+            left = self.solve(self._with(own)).T
+            pivot = np.linalg.cholesky(self.kernel(own, own) + noise * np.eye(len(own)) - left @ left.T)
+            self.rows.append((left, np.linalg.inv(pivot)))
+
+    def kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _kernel(a, b, self.lengths, self.variance)
+
+    def _with(self, points: np.ndarray) -> np.ndarray:
+        """Kernel of the rows factored so far with some points."""
+        return self.kernel(self.x[: len(self.rows) * BLOCK], points)
+
+    def solve(self, right: np.ndarray) -> np.ndarray:
+        """L^-1 right, for the rows factored so far."""
+        out = np.empty(right.shape)
+        for i, (left, inverse) in enumerate(self.rows):
+            lo = i * BLOCK
+            out[lo : lo + len(inverse)] = inverse @ (right[lo : lo + len(inverse)] - left @ out[:lo])
+        return out
+
+    def solve_back(self, right: np.ndarray) -> np.ndarray:
+        """L^-T right."""
+        out = right.copy()
+        for i in reversed(range(len(self.rows))):
+            left, inverse = self.rows[i]
+            lo = i * BLOCK
+            own = out[lo : lo + len(inverse)] = inverse.T @ out[lo : lo + len(inverse)]
+            out[:lo] -= left.T @ own
+        return out
+
+    def at(self, points: np.ndarray) -> np.ndarray:
+        """L^-1 k(design, points): products of its columns are what the design explains."""
+        return self.solve(self._with(points))
+
+
+def _whole(design: DataFrame) -> pd.DataFrame:
+    """All rows of a design in order of id."""
+    rows = design.orderBy("id").limit(MOST_POINTS + 1).toPandas()
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"a design of more than {MOST_POINTS} points")
+    return rows
+
+
+def _pieces(u) -> Iterator[tuple[slice, np.ndarray]]:
+    """A batch's points, so many at a time that they meet a large design in little memory."""
+    for lo in range(0, len(u), BLOCK):
+        yield slice(lo, lo + BLOCK), np.stack(u[lo : lo + BLOCK])
 
 
 def gp_predict(design: DataFrame, queries: DataFrame, lengths: list[float], variance: float = 1.0, noise: float = 1e-4) -> DataFrame:
-    """Posterior mean and deviation at `queries` (id, u) of a process through `design` (id, u, y), by triangular factors."""
-    n = design.count()
-    if n > MOST_POINTS:
-        raise ValueError(f"a design of {n} points; at most {MOST_POINTS} are fitted")
-    rows = design.select("u", "y").orderBy("id").toPandas()
-    x, y = np.stack(rows["u"]), rows["y"].to_numpy()
-    ell = np.array(lengths)
-    factor = np.linalg.cholesky(_kernel(x, x, ell, variance) + noise * np.eye(n))
-    alpha = np.linalg.solve(factor.T, np.linalg.solve(factor, y - y.mean()))
-    model = queries.sparkSession.sparkContext.broadcast((x, factor, alpha, y.mean()))
+    """Posterior mean and deviation at `queries` (id, u) of a process through all of `design` (id, u, y), by triangular factors."""
+    rows = _whole(design.select("id", "u", "y"))
+    y = rows["y"].to_numpy()
+    factor = _Factor(np.stack(rows["u"]), np.array(lengths), variance, noise)
+    model = queries.sparkSession.sparkContext.broadcast((factor, factor.solve(y - y.mean()), y.mean()))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, factor, alpha, level = model.value
+        factor, alpha, level = model.value
         for b in batches:
-            if len(b):
-                k = _kernel(np.stack(b["u"]), x, ell, variance)
-                v = np.linalg.solve(factor, k.T)
-                yield pd.DataFrame({"id": b["id"], "mean": k @ alpha + level, "std": np.sqrt(np.maximum(variance - (v * v).sum(axis=0), 0))})
+            for part, u in _pieces(b["u"].to_numpy()):
+                v = factor.at(u)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[part], "mean": alpha @ v + level, "std": np.sqrt(np.maximum(variance - (v * v).sum(axis=0), 0))})
 
     return queries.select("id", "u").mapInPandas(predict, "id long, mean double, std double")
 
@@ -131,23 +183,23 @@ def loo_residuals(designs: DataFrame, lengths: list[float], variance: float = 1.
 
 
 def variance_reduction(design: DataFrame, candidates: DataFrame, probes: DataFrame, lengths: list[float], noise: float = 1e-4) -> DataFrame:
-    """For each candidate: weighted sum over probes of cov^2 / (var + noise), the variance that labelling it would take away. `probes` has u and w."""
-    d, p = design.select("u").toPandas(), probes.select("u", "w").toPandas()
-    if max(len(d), len(p)) > MOST_POINTS:
-        raise ValueError(f"design and probes are at most {MOST_POINTS} points")
-    x, z, w, ell = np.stack(d["u"]), np.stack(p["u"]), p["w"].to_numpy(), np.array(lengths)
-    factor = np.linalg.cholesky(_kernel(x, x, ell, 1.0) + noise * np.eye(len(x)))
-    model = candidates.sparkSession.sparkContext.broadcast((x, z, w, factor, np.linalg.solve(factor, _kernel(x, z, ell, 1.0))))
+    """For each candidate: weighted sum over all probes of cov^2 / (var + noise), the variance that labelling it would take away. `probes` has u and w.
+
+    Probes are summed over block by block; only their coordinates and weights are in memory together."""
+    p = probes.select("u", "w").toPandas()
+    factor = _Factor(np.stack(_whole(design.select("id", "u"))["u"]), np.array(lengths), 1.0, noise)
+    model = candidates.sparkSession.sparkContext.broadcast((factor, np.stack(p["u"]), p["w"].to_numpy()))
 
     def gain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, z, w, factor, vz = model.value
+        factor, z, w = model.value
         for b in batches:
-            if len(b):
-                c = np.stack(b["u"])
-                vc = np.linalg.solve(factor, _kernel(x, c, ell, 1.0))
-                cov = _kernel(c, z, ell, 1.0) - vc.T @ vz
-                var = np.maximum(1.0 - (vc * vc).sum(axis=0), 0)
-                yield pd.DataFrame({"id": b["id"], "gain": (cov * cov) @ w / (var + noise)})
+            for part, c in _pieces(b["u"].to_numpy()):
+                vc = factor.at(c)
+                var, by_design, total = np.maximum(1.0 - (vc * vc).sum(axis=0), 0), factor.solve_back(vc), np.zeros(len(c))
+                for lo in range(0, len(z), BLOCK):
+                    cov = factor.kernel(z[lo : lo + BLOCK], c) - factor.kernel(z[lo : lo + BLOCK], factor.x) @ by_design
+                    total += w[lo : lo + BLOCK] @ (cov * cov)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[part], "gain": total / (var + noise)})
 
     return candidates.select("id", "u").mapInPandas(gain, "id long, gain double")
 

@@ -38,8 +38,6 @@ def ridge_calibrator(spark, d):
     return rounded(models.predict_ridge(part, models.fit_ridge(part, ["p_size"], "p_retailprice"), "predicted").select("p_partkey", "predicted"))
 
 
-#: Points of a design: a setting of the experiment, as designs are what is paid for.
-DESIGN = 256
 #: Consecutive ids that make up one small design, where many are compared.
 SMALL_DESIGN = 40
 
@@ -50,7 +48,7 @@ def _designs(p):
 
 def _design(spark, d):
     p = points(spark, d).withColumn("y", F.sin(3 * F.get("u", F.lit(0))) + F.get("u", F.lit(1)))
-    return p, p.where("label = 0").orderBy("id").limit(DESIGN)
+    return p, p.where("label = 0")
 
 
 @query()
@@ -68,7 +66,7 @@ def loo_residual(spark, d):
 @query()
 def alc_variance_reduction(spark, d):
     p, design = _design(spark, d)
-    probes = p.where("label = 1").orderBy("id").limit(DESIGN).withColumn("w", F.lit(1.0))
+    probes = p.where("label = 1").withColumn("w", F.lit(1.0))
     return rounded(models.variance_reduction(design, p.where("label > 1"), probes, LENGTHS))
 
 

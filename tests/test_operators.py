@@ -134,6 +134,30 @@ def test_gp_and_leave_one_out_equal_numpy(spark):
     assert np.isfinite(gain).all() and (gain >= 0).all()
 
 
+def test_models_use_every_design_point_and_probe(spark, tmp_path):
+    """Over 256 rows of labels 0 and 1 each: the queries are fits over all of them."""
+    from orrery.plans import QUERIES, model_plans
+
+    x = np.random.default_rng(6).random((640, 5))
+    rows = [(i, [float(v) * 1.2 - 0.6 for v in x[i]], i % 2 if i < 600 else 2) for i in range(640)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = model_plans.points(spark, str(tmp_path)).withColumn("y", F.sin(3 * F.get("u", F.lit(0))) + F.get("u", F.lit(1)))
+    design, probes, lengths = p.where("label = 0"), p.where("label = 1").withColumn("w", F.lit(1.0)), model_plans.LENGTHS
+    got, want = QUERIES["gp_predict"](spark, str(tmp_path)), models.gp_predict(design, p, lengths)
+    assert np.allclose(got.orderBy("id").toPandas(), want.orderBy("id").toPandas(), atol=1e-5)
+    got, want = QUERIES["alc_variance_reduction"](spark, str(tmp_path)), models.variance_reduction(design, p.where("label > 1"), probes, lengths)
+    assert np.allclose(got.orderBy("id").toPandas(), want.orderBy("id").toPandas(), atol=1e-5)
+
+
+def test_factor_in_blocks_equals_numpy(monkeypatch):
+    monkeypatch.setattr(models, "BLOCK", 4)
+    x, q = np.random.default_rng(7).random((11, 3)), np.random.default_rng(8).random((5, 3))
+    factor = models._Factor(x, np.array([0.4] * 3), 1.0, 1e-4)
+    k = factor.kernel(x, x) + 1e-4 * np.eye(11)
+    assert np.allclose(factor.at(q), np.linalg.solve(np.linalg.cholesky(k), factor.kernel(x, q)))
+    assert np.allclose(factor.solve_back(factor.at(q)), np.linalg.solve(k, factor.kernel(x, q)))
+
+
 def test_components_equal_svd(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(30, 4)) @ np.diag([3, 2, 1, 0.1])
