@@ -2,7 +2,7 @@
 
 Base findings are the leftmost non-overlapping matches of three patterns and always stay. Candidates are runs
 of 20 or more characters of keys and codes that hold a digit. The network sees each with its context, WIDTH
-characters in all: one-hot characters, a convolution, rectifier, maximum over positions, logistic output.
+characters in all (of a longer one overlapping windows, and the largest score counts): one-hot characters, a convolution, rectifier, maximum over positions, logistic output.
 It is trained, here, on labelled findings: candidates that a base pattern accepts, in their own and in other
 contexts, against made-up ones (long words, numbers, paths) and, with less weight, candidates that no pattern
 accepts. SAMPLE bounds them. A held-back part
@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,11 @@ def window(body: bytes, start: int) -> np.ndarray:
     return out
 
 
+def starts(start: int, end: int) -> list[int]:
+    """Where windows along a candidate start: one if it holds the candidate, else overlapping ones up to context after its end."""
+    return [start] if end - start <= WIDTH - LEFT else list(range(start, end - WIDTH + 2 * LEFT, WIDTH - 2 * LEFT)) + [end - WIDTH + 2 * LEFT]
+
+
 class Network:
     """One convolution over one-hot characters, maximum over positions, logistic output, calibrated."""
 
@@ -158,7 +164,15 @@ class Network:
         p = 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40)))
         secrets = np.sort(p[y == 1])
         if secrets.size:
-            self.threshold = max(0.5, float(secrets[int((1 - RECALL) * secrets.size)]))
+            self.threshold = float(secrets[int((1 - RECALL) * secrets.size)])
+
+
+def best_scores(network: Network, candidates: Iterable[tuple[bytes, int, int]], n: int) -> np.ndarray:
+    """For n candidates (text, start, end): the largest score of a window along each."""
+    out, windows = np.zeros(n), ((i, body, s) for i, (body, a, b) in enumerate(candidates) for s in starts(a, b))
+    while some := list(islice(windows, 4096)):
+        np.maximum.at(out, [i for i, _, _ in some], network.score(np.stack([window(body, s) for _, body, s in some])))
+    return out
 
 
 def _examples(texts: DataFrame, sample: int) -> pd.DataFrame:
@@ -224,7 +238,7 @@ def findings(documents: DataFrame) -> DataFrame:
                 whole, seen = data.tobytes(), scan(data, offsets)
                 free = [(t, c) for t, (base, candidates) in seen.items() for c in candidates if not any(s < c[2] and c[1] < e for _, s, e in base)]
                 if free:
-                    score = network.score(np.stack([window(whole[offsets[t] : offsets[t + 1]], c[1]) for t, c in free]))
+                    score = best_scores(network, ((whole[offsets[t] : offsets[t + 1]], c[1], c[2]) for t, c in free), len(free))
                     for (t, c), p in zip(free, score, strict=True):
                         if p >= network.threshold:
                             seen[t][0].append(c)

@@ -155,6 +155,30 @@ def test_secrets_base_findings_stay(spark):
     assert len(bare) > 10 and (bare["n_cnn"] == 1).mean() > 0.6  # keys that no pattern names
 
 
+def test_secrets_threshold_keeps_the_recall_below_one_half():
+    rng, network = np.random.default_rng(0), secrets.Network()
+    y = np.concatenate([np.ones(200), np.zeros(3000)])
+    network._calibrate(logit := rng.normal(0.3 * y, 1.0), y, np.ones(len(y)))
+    p = 1 / (1 + np.exp(-(network.slope * logit + network.shift)))
+    assert network.threshold < 0.5 and (p[y == 1] >= network.threshold).mean() >= secrets.RECALL
+
+
+def test_secrets_look_along_the_whole_candidate():
+    class Sees:
+        """A network that knows one character, with what follows it."""
+
+        def score(self, x):
+            return (x == secrets.ALPHABET.index('"')).any(axis=1) + 0.0
+
+    for n in (20, 48, 49, 73, 500, 5000):
+        for at in (0, n // 2, n - 1, n + 20):
+            body = b"x" * 30 + b"a" * n + b" " * 60
+            body = body[: 30 + at] + b'"' + body[31 + at :]
+            if n > 48 or at < 48:
+                assert secrets.best_scores(Sees(), [(body, 30, 30 + n)], 1)[0] == 1, (n, at)
+    assert secrets.starts(5, 53) == [5]
+
+
 def test_secrets_without_labelled_findings(spark):
     out = secrets.findings(documents(spark, [(1, "plain words " * 5), (2, "long1" * 9)])).collect()
     assert {r["spans"] for r in out} == {""}
