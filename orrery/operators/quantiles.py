@@ -2,7 +2,8 @@
 
 Spark's `percentile` keeps a group's values in one buffer. Here the buffer never forms: an approximate
 percentile brackets each wanted rank, one pass counts what lies below the bracket, and only values inside it,
-a small share of the group, are ranked.
+a small share of the group, are ranked. Groups of under 2 * accuracy rows, where a share is less than a rank or
+two, are bracketed by their least and largest value.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from pyspark.sql import functions as F
 def exact_quantiles(df: DataFrame, by: list[str], x: str, shares: list[float], accuracy: int = 1000) -> DataFrame:
     """A row for each group and share: by, share, value; linear interpolation between ranks, nulls left out."""
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"))
-    slack = 2.0 / accuracy
+    # The approximation's own error, as much again, and two ranks of any group that is bracketed by it.
+    slack, few = 3.0 / accuracy, F.col("n") < 2 * accuracy
     wanted = [s for share in shares for s in (max(share - slack, 0.0), min(share + slack, 1.0))]
     bracket = rows.groupBy(*by).agg(F.percentile_approx("x", wanted, accuracy).alias("q"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
     each = reduce(
         DataFrame.unionAll,
         (
-            bracket.select(*by, "n", F.lit(share).alias("share"), F.when(F.lit(share <= slack), F.col("least")).otherwise(F.col("q")[2 * i]).alias("lo"), F.when(F.lit(share >= 1 - slack), F.col("most")).otherwise(F.col("q")[2 * i + 1]).alias("hi"))
+            bracket.select(*by, "n", F.lit(share).alias("share"), F.when(few | F.lit(share <= slack), F.col("least")).otherwise(F.col("q")[2 * i]).alias("lo"), F.when(few | F.lit(share >= 1 - slack), F.col("most")).otherwise(F.col("q")[2 * i + 1]).alias("hi"))
             for i, share in enumerate(shares)
         ),
     )

@@ -39,6 +39,19 @@ def test_exact_quantiles_with_ties_and_nulls(spark):
         assert got["b", s] == 3.0
 
 
+def test_exact_quantiles_of_every_size(spark):
+    """Groups of 1 to 2,000 rows and larger, evenly spread and skewed: no value is null."""
+    sizes = [*range(1, 60), *range(60, 2001, 97), 1999, 2000, 2001, 5000]
+    rng = np.random.default_rng(9)
+    data = {(n, kind): np.arange(n, dtype=float) if kind == 0 else np.exp(3 * rng.normal(size=n)) for n in sizes for kind in (0, 1)}
+    df = spark.createDataFrame([(n * 2 + kind, float(v)) for (n, kind), x in data.items() for v in x], "g long, x double")
+    shares = [0.05, 0.5, 0.68, 0.95]
+    got = {(r["g"], r["share"]): r["value"] for r in exact_quantiles(df, ["g"], "x", shares).collect()}
+    for (n, kind), x in data.items():
+        for s in shares:
+            assert got[n * 2 + kind, s] == pytest.approx(np.percentile(x, 100 * s)), (n, kind, s)
+
+
 def test_density_sums_to_one(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 4.0), (4, -1.0)], "id int, x double")
     mass = [r["p"] for r in metrics.density_from(df, "x", 0.5, "p").collect()]
