@@ -56,12 +56,13 @@ MARKS = frozenset(
     sidebar sidenav signup site-footer skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
 )
 KEEPS = frozenset("article body html main".split())
+NEGATES = frozenset("has no with without".split())
 
 
 class Node:
     __slots__ = ("name", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
+    def __init__(self, name: str, parent: Node | None, drop: bool | None = False):
         self.name, self.parent, self.parts, self.drop = name, parent, [], drop
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -76,13 +77,15 @@ def _in_article(node: Node | None) -> bool:
     return False
 
 
-def _left_out(name: str, attributes: str, parent: Node) -> bool:
-    if name in LEFT_OUT:
+def _left_out(name: str, attributes: str, parent: Node) -> bool | None:
+    """True or False, or None where a mark or a form may also be a wrapper of the article: see _settle."""
+    if name in LEFT_OUT and name != "form":
         return True
     if name == "header":
         return not _in_article(parent)
+    unsure = name == "form"
     if not attributes.strip() or name in KEEPS:
-        return False
+        return None if unsure else False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
@@ -92,9 +95,34 @@ def _left_out(name: str, attributes: str, parent: Node) -> bool:
         if key in ("class", "id", "role"):
             for word in value.split():
                 parts = re.split(r"[-_]+", word)
+                # What an element has, or is without, does not say what it is.
+                parts = [p for i, p in enumerate(parts) if not NEGATES.intersection(parts[:i])]
                 if word in MARKS or not MARKS.isdisjoint(parts) or "header" in parts and not _in_article(parent):
-                    return True
-    return False
+                    unsure = True
+    return None if unsure else False
+
+
+def _settle(root: Node) -> None:
+    """Leaves out the unsure elements, but not those that wrap the page's articles or, on a page without any, its text."""
+    order, stack, held = [], [root], {}
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in node.parts if isinstance(p, Node) and p.drop is not True]
+    for node in reversed(order):
+        chars, articles, heads = 0, int(node.name in ("article", "main")), int(node.name == "h1")
+        for part in node.parts:
+            if isinstance(part, str):
+                chars += len("".join(part.split()))
+            elif part in held:
+                chars, articles, heads = (a + b for a, b in zip((chars, articles, heads), held[part], strict=True))
+        held[node] = (0 if node.name == "a" else chars, articles, heads)
+    chars, articles, heads = held[root]
+    for node in order:
+        if node.drop is None:
+            own = held[node]
+            text = own[0] > 0.8 * chars or heads and own[2] == heads and own[0] > 0.5 * chars
+            node.drop = not (own[1] == articles if articles else text)
 
 
 def tree(html: str) -> Node:
@@ -146,6 +174,7 @@ def tree(html: str) -> Node:
             here = node
     if at < len(html):
         here.parts.append(html[at:])
+    _settle(root)
     return root
 
 

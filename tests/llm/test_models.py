@@ -36,6 +36,18 @@ def test_html_page():
     assert main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == "deep\ner"
 
 
+def test_html_wrappers_keep_the_article():
+    article = "<h1>Title</h1><p>One paragraph of some words.</p><p>And another one of them.</p>"
+    want = "Title\nOne paragraph of some words.\nAnd another one of them."
+    for mark in ("class='content has-sidebar'", "class=no-comments", "class='layout-with-nav'", "class=page-widget", "id=page class=sticky-header"):
+        for inner in (f"<article>{article}</article>", article):
+            page = f"<body><nav>Menu</nav><div {mark}>{inner}<div class=sidebar>Side words</div></div></body>"
+            assert main_text(page) == want, page
+    assert main_text(f"<form><article>{article}</article></form>") == main_text(f"<form><div>{article}</div></form>") == want
+    comments = "<div class=comments><p>" + "A very long comment. " * 40 + "</p></div>"
+    assert main_text(f"<article>{article}</article>{comments}") == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a</p>"), (2, None, None), (1, "u", "<p>a</p>"), (None, "v", "")]
     out = extract(with_odd_columns(spark.createDataFrame(rows, "page_id long, url string, html string")))
