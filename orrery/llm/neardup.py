@@ -8,11 +8,15 @@ similarity. Only ranks below about k ln k darts' worth are thrown, whatever the
 empty coordinate throw again with twice the ranks. `weights` is "set" (each shingle 1) or "count".
 
 Exact copies share one node. Nodes join on BANDS bands of ROWS coordinates. In every bucket the member met by
-most others leads; each member is verified against it, word by word. Members that verified links connect need
-no more. Where a bucket still holds several classes, its pairs between different classes are verified too; in
-buckets of more than SMALL texts, only those pairs whose counts of rare and usual shingles allow a link.
-So every pair that shares a bucket is verified, ruled out or already in one class, without a cap; a bucket of
-n copies costs about n pairs. A link is a similarity of shingle sets of at least `similarity`.
+most others leads, and each member is verified against it, so a bucket of n copies costs n - 1 pairs. Members
+that links connect need no more. Texts of buckets that still hold several classes meet once more, across classes
+alone, in a prefix-filtered set join: their shingles are ordered by rarity, those that one class alone has
+coming first as no link can use them; a text offers only the few that a link cannot do without, and lengths
+and places rule out most pairs that meet. What is left is verified and joins classes. So every pair that
+shares a bucket is verified, ruled out or already in one class, without a cap.
+
+A link is a similarity of shingle sets of at least `similarity`, shingles being compared by 64-bit hashes.
+Shingle sets are cut once, for the texts that share a bucket.
 
 Defined results: null text is empty; texts without words are copies of each other and link to nothing else;
 a text of fewer than five words has one shingle of all of them; the class id is the least doc_id of the class,
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.session import checkpointed
@@ -36,7 +40,6 @@ from orrery.llm.textkit import WORDS, mix, ngrams, seeded, slices, token_hashes
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-SMALL, RARE = 8, 20
 #: Texts whose darts, about COORDINATES ln COORDINATES each however short the text, are in memory together.
 SLICE_TEXTS = 512
 
@@ -92,113 +95,73 @@ def signatures(shingle: np.ndarray, text: np.ndarray, weight: np.ndarray, texts:
     return out.view(np.uint64).reshape(texts, k)
 
 
-def _weighted(shingle: np.ndarray, text: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if weights == "set":  # a repeated element throws the same darts again, which changes no minimum
-        return shingle, text, np.ones(shingle.size)
-    order = np.lexsort((shingle, text))
-    shingle, text = shingle[order], text[order]
-    first = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])])) if shingle.size else np.zeros(0, int)
-    return shingle[first], text[first], np.diff(first, append=shingle.size).astype(float)
+def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, their texts and how often they occur there."""
+    shingle, text = ngrams(*token_hashes(data, offsets, WORDS), SHINGLE, short=True)
+    _, first, times = np.unique(mix(shingle + seeded(text.astype(np.uint64), 5)), return_index=True, return_counts=True)
+    return shingle[first], text[first], times.astype(float)
 
 
 def sketches(texts: DataFrame, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`texts` (key, doc_id, text) as key, doc_id and the hashes of the bands; null for texts without words."""
+    """`texts` (key, doc_id, text) as key, doc_id, n (distinct shingles) and the hashes of the bands; null for texts without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for lo, hi, data, offsets in slices(batch.column(2), most=SLICE_TEXTS):
-                shingle, text, weight = _weighted(*ngrams(*token_hashes(data, offsets, WORDS), SHINGLE, short=True), weights)
+                shingle, text, times = _elements(data, offsets)
+                weight = times if weights == "count" else np.ones(times.size)
                 sign = signatures(shingle, text, weight, hi - lo, bands * rows).reshape(hi - lo, bands, rows)
                 band = np.tile(np.arange(bands, dtype=np.uint64), (hi - lo, 1))
                 for j in range(rows):
                     band = mix(band + sign[:, :, j] + np.uint64(j + 1))
-                some = np.bincount(text, minlength=hi - lo) > 0
-                found += [x if s else None for x, s in zip(band.view(np.int64), some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["key", "doc_id", "bands"])
-
-    return texts.mapInArrow(sketch, "key binary, doc_id long, bands array<long>")
-
-
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    out = []
-    for lo, hi, data, offsets in slices(texts):
-        shingle, text = ngrams(*token_hashes(data, offsets, WORDS), SHINGLE, short=True)
-        order = np.argsort(text, kind="stable")
-        bounds = np.searchsorted(text[order], np.arange(hi - lo + 1))
-        shingle = shingle[order]
-        out += [np.unique(shingle[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return out
-
+                n = np.bincount(text, minlength=hi - lo)
+                found = pa.array([x if m else None for x, m in zip(band.view(np.int64), n, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), found], names=["key", "doc_id", "n", "bands"])
 
-def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and text of the texts asked for, once each."""
-    return checkpointed(texts.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    return texts.mapInArrow(sketch, "key binary, doc_id long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of `pairs` (a, b), those whose shingle sets are similar enough."""
-    own = texts_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))), texts)
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """`texts` (key, text) as key and the hashes of the distinct shingles."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                near = []
-                for x, y in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
-                    small, large = sorted((x.size, y.size))
-                    shared = np.intersect1d(x, y, assume_unique=True).size if small >= similarity * large else 0
-                    near.append(shared > 0 and shared >= similarity * (small + large - shared) - 1e-9)
-                keep = pa.array(near, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                shingle, text, _ = _elements(data, offsets)
+                order = np.argsort(text, kind="stable")
+                bounds = np.searchsorted(text[order], np.arange(hi - lo + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["key", "shingles"])
 
-    return both.mapInArrow(compare, "a binary, b binary")
+    return texts.mapInArrow(cut, "key binary, shingles array<long>")
 
 
-def small_bucket_pairs(placed: DataFrame) -> DataFrame:
-    """All pairs of different classes in buckets (bucket, key, label) of at most SMALL texts."""
-    other = placed.withColumnsRenamed({"key": "key2", "label": "label2"})
-    return placed.join(other, "bucket").where("label < label2").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+def _enough(n: Column, n2: Column, similarity: float) -> Column:
+    """How many shingles sets of n and n2 must share for a link."""
+    return (F.lit(similarity) * (n + n2) - 1e-9) / (1 + similarity)
 
 
-def large_bucket_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes that might be similar enough, of texts in larger buckets (bucket, key, label), without meeting all.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of `pairs` (a, b and other columns), those whose shingle sets (key, shingles) are similar enough."""
+    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(left, "a").join(right, "b").where(shared >= _enough(F.size("set_a"), F.size("set_b"), similarity)).select(*pairs.columns)
 
-    A shingle is rare if at most RARE of these texts have it. Pairs with a rare shingle in common are met through it, which is
-    bounded by RARE for each shingle; what they share is at most those and the other shingles of the poorer of the two. Pairs
-    without one share at most the latter, so a text meets its bucket only if that could do for the shortest text there.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in _sets(batch.column(1))], pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    label = placed.select("key", "label").distinct()
-    sets = checkpointed(texts_of(placed.select("key"), texts).mapInArrow(cut, "key binary, shingles array<long>").join(label, "key"))
-    each = sets.select("key", "label", F.explode("shingles").alias("shingle"))
-    low = checkpointed(each.join(each.groupBy("shingle").agg(F.count("*").alias("texts")).where(F.col("texts") <= RARE), "shingle"))
-    sized = sets.select("key", "label", F.size("shingles").alias("n")).join(low.groupBy("key").agg(F.count("*").alias("low")), "key", "left")
-    sized = checkpointed(sized.select("key", "label", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("usual")))
-
-    def reach(shared):
-        return shared >= similarity * (F.col("n") + F.col("n2") - shared) - 1e-9
-
-    second = sized.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("usual").alias("usual2"))
-    mates = low.where("texts > 1").select("shingle", F.col("key").alias("a"), "label")
-    others = mates.select("shingle", F.col("a").alias("b"), F.col("label").alias("label2"))
-    met = mates.join(others, "shingle").where("a < b and label != label2").groupBy("a", "b").agg(F.count("*").alias("rare"))
-    met = met.join(sized.select(F.col("key").alias("a"), "n", "usual"), "a").join(second, "b").where(reach(F.col("rare") + F.least("usual", "usual2"))).select("a", "b")
-
-    there = placed.select("bucket", "key").join(sized, "key")
-    least = there.groupBy("bucket").agg(F.min("n").alias("shortest"))
-    best = F.col("usual") / (F.greatest("shortest", "usual") + F.col("n") - F.col("usual"))
-    likely = there.join(least, "bucket").where(best >= similarity - 1e-9).select("bucket", "key", "label", "n", "usual")
-    several = likely.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    likely = checkpointed(likely.join(several, "bucket", "left_semi"))
-    other = likely.withColumnsRenamed({"key": "key2", "label": "label2", "n": "n2", "usual": "usual2"})
-    plain = likely.join(other, "bucket").where((F.col("label") < F.col("label2")) & reach(F.least("usual", "usual2"))).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
-    return met.unionAll(plain).distinct()
+def cross_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of `rest` (key, label, n) of different labels (label_a, label_b) that a prefix-filtered set join doesn't rule out."""
+    each = rest.join(sets, "key").select("key", "label", "n", F.explode("shingles").alias("shingle"))
+    met = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shingle", "texts")
+    own = Window.partitionBy("key")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("texts", "shingle")) - 1
+    prefix = each.join(met, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9))
+    prefix = checkpointed(prefix.select("shingle", "key", "label", "n", "place"))
+    other = prefix.withColumnsRenamed({"key": "key2", "label": "label2", "n": "n2", "place": "place2"})
+    n, n2 = F.col("n"), F.col("n2")
+    near = (F.col("label") < F.col("label2")) & (F.least(n - F.col("place"), n2 - F.col("place2")) >= _enough(n, n2, similarity)) & (F.least(n, n2) >= similarity * F.greatest(n, n2) - 1e-9)
+    first = F.col("key") < F.col("key2")
+    pairs = prefix.join(other, "shingle").where(near).select(*(F.when(first, x).otherwise(y).alias(z) for x, y, z in (("key", "key2", "a"), ("key2", "key", "b"), ("label", "label2", "label_a"), ("label2", "label", "label_b"))))
+    return pairs.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,30 +182,33 @@ def classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set")
     """All columns of `documents` with __class_id, __class_docs (rows in the class) and __kept (true for one document of each class)."""
     key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     texts = documents.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    nodes = checkpointed(sketches(texts, weights).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.first("bands").alias("bands")))
-    member = nodes.select("key", F.explode("bands").alias("bucket"))
+    nodes = sketches(texts, weights).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes)
+    member = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     size = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = checkpointed(member.join(size, "bucket"))
-    met = member.groupBy("key").agg(F.sum("size").alias("met"))
-    leader = member.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key"))["key"].alias("leader"))
-    star = member.join(leader, "bucket").where("key != leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    star = checkpointed(star)
-    near = checkpointed(verified(star, texts, similarity))
-    label = components(near)
-
-    placed = member.where("size > 2").join(label, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    met = checkpointed(member.groupBy("key").agg(F.sum("size").alias("met")))
+    leader = member.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key", "n")).alias("leader"))
+    star = member.join(leader, "bucket").where((F.col("key") != F.col("leader.key")) & (F.least("n", "leader.n") >= similarity * F.greatest("n", "leader.n") - 1e-9))
+    star = checkpointed(star.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct())
+    # One row has each text; the id beside the text's key keeps large groups of copies out of one task. Null ids may share 0's: their texts are equal.
+    chosen = nodes.join(met, "key", "left_semi").select("key", F.coalesce("doc_id", F.lit(0)).alias("id"))
+    shared = texts.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").join(chosen, ["key", "id"], "left_semi")
+    sets = checkpointed(shingle_sets(shared.groupBy("key", "id").agg(F.first("text").alias("text")).select("key", "text")))
+    label = components(verified(star, sets, similarity))
+
+    placed = member.select("bucket", "key", "n").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    left = placed.join(several, "bucket", "left_semi").join(placed.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
-    left = checkpointed(left)
-    cross = small_bucket_pairs(left.where(F.col("size") <= SMALL).select("bucket", "key", "label"))
-    large = left.where(F.col("size") > SMALL).select("bucket", "key", "label")
-    if not large.isEmpty():
-        cross = cross.unionAll(large_bucket_pairs(large, texts, similarity)).distinct()
-    cross = checkpointed(cross.join(star, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = checkpointed(verified(cross, texts, similarity))
+    rest = checkpointed(placed.join(several, "bucket", "left_semi").select("key", "label", "n").distinct())
+    if not rest.isEmpty():
+        cross = checkpointed(cross_pairs(rest, sets, similarity).join(star, ["a", "b"], "left_anti"))
+        more = checkpointed(verified(cross, sets, similarity))
         if not more.isEmpty():
-            label = components(near.unionAll(more))
+            over = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("key").alias("old"), F.col("label").alias("new"))
+            # Classes that no link between texts made before are a text alone, named by its key.
+            single = more.select(F.explode(F.array("label_a", "label_b")).alias("key")).distinct().join(label, "key", "left_anti")
+            label = label.unionByName(single.withColumn("label", F.col("key")))
+            label = checkpointed(label.join(over, label["label"] == over["old"], "left").select("key", F.coalesce("new", "label").alias("label")))
 
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     named = nodes.join(label, "key", "left").select("key", "doc_id", "docs", F.coalesce("label", "key").alias("label"))

@@ -100,9 +100,7 @@ def brute_classes(rows, similarity=0.8):
     return sorted((-1 if d is None else d, least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "RARE", 4)
+def test_classes_equal_brute_force(spark):
     rng, base, rows = random.Random(4), prose(150, 3), []
     for i in range(60):  # one group around a base, each copy with its own changes
         w = list(base)
@@ -123,6 +121,48 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert kept.count() == len({c for _, c in brute_classes(rows)})
 
 
+def test_classes_of_whole_documents_equal_a_set_join(spark):
+    """Every link of sf0.01's documents at 0.8, found through all shingles that two texts share."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, having, parent = [shingles(t) for _, t in rows], {}, list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    first, near = {}, 0
+    for i, x in enumerate(sets):
+        parent[i] = first.setdefault(rows[i][1] or "", i)
+        shared = {}
+        for s in x:
+            for j in having.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            having[s].append(i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(x) + len(sets[j]) - n):
+                near += rows[i][1] != rows[j][1]
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    assert near >= 10
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op2_minhash_neardup"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_links_between_classes_are_found(spark):
+    """Two groups of copies around leaders that are not similar enough, joined by one pair of members."""
+    w = prose(200, 31, 4000)
+    change = lambda text, at, seed: text[:at] + prose(8, seed, 4000) + text[at + 8 :]
+    left, right = [change(w, 10, 1)], [change(w, 150, 2)]
+    left += [change(left[0], 60, s) for s in range(10, 18)]
+    right += [change(right[0], 100, s) for s in range(20, 28)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([w, *left, *right])] + [(90, "a few words"), (91, None), (92, "x " * 50_000), (93, "x " * 50_001)]
+    assert sorted((r["doc_id"], r["__class_id"]) for r in neardup.classes(documents(spark, rows)).collect()) == brute_classes(rows)
+    assert neardup.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_classes_of_an_empty_table(spark):
     assert neardup.classes(spark.createDataFrame([], DOCS)).count() == 0
 
