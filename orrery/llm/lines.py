@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.session import checkpointed
+from orrery.llm.session import broadcast_if_small, checkpointed
 
 MIN_SITES = 5
 LOG2_REGISTERS = 12
 #: Estimates this far from the threshold, as a share and at least in sites, are settled by exact counts.
 NEAR_SHARE, NEAR_SITES = 0.1, 1.5
+#: Tables of so many line hashes, of less than 100 bytes each, are broadcast; larger ones are joined by shuffle.
+BROADCAST_LINES = 200_000
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -28,24 +30,27 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     per = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
     sized = checkpointed(per.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - max(NEAR_SITES, NEAR_SHARE * min_sites)))
     near = F.col("sites") <= min_sites + max(NEAR_SITES, NEAR_SHARE * min_sites)
-    doubtful = sized.where(near).select("line")
+    doubtful = broadcast_if_small(sized.where(near).select("line"), BROADCAST_LINES)
     exact = lines.join(doubtful, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("exact")).where(F.col("exact") >= min_sites)
-    return sized.where(~near).select("line", "first").unionAll(sized.join(exact, "line", "left_semi").where(near).select("line", "first"))
+    return checkpointed(sized.where(~near).select("line", "first").unionAll(sized.where(near).join(exact, "line", "left_semi").select("line", "first")))
 
 
 def spread_lines(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """All columns of `documents` with __text (the lines that stay), __lines and __removed (how many there were and went)."""
-    key = F.md5("text")
-    pieces = documents.select(F.col("doc_id"), key.alias("key"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # Lines stand in for the text from here on: joined by line ends they are the text again.
+    rows = documents.withColumns({"__split": F.split("text", "\n"), "__doc": F.col("doc_id"), "__key": F.md5("text")}).drop("text")
+    pieces = rows.select(F.col("__doc").alias("doc_id"), F.col("__key").alias("key"), F.col(site).cast("string").alias("site"), F.posexplode("__split").alias("at", "line"))
     lines = pieces.withColumn("line", F.trim("line")).where("line != ''").withColumn("line", F.unhex(F.md5("line")))
-    common = boilerplate(lines.select("line", "site", "doc_id", "at"), min_sites)
+    common = broadcast_if_small(boilerplate(lines.select("line", "site", "doc_id", "at"), min_sites), BROADCAST_LINES)
     again = lines.select("doc_id", "key", "at", "line").join(common, "line").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.at") == F.col("at"))))
-    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone")
-    joined = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left")
-    split = F.split("text", "\n")
-    left = F.concat_ws("\n", F.filter(split, lambda x, i: ~F.array_contains("__gone", i)))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(documents[c] for c in documents.columns), text.alias("__text"), F.coalesce(F.size(split), F.lit(0)).alias("__lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias("__removed"))
+    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("__gone")).withColumnsRenamed({"doc_id": "__gone_doc", "key": "__gone_key"})
+    joined = rows.join(gone, rows["__doc"].eqNullSafe(gone["__gone_doc"]) & (rows["__key"] == gone["__gone_key"]), "left")
+    n = F.coalesce(F.size("__split"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), "__gone")
+    whole = F.when(F.col("__split").isNotNull(), F.concat_ws("\n", "__split"))
+    left = F.when(F.col("__gone").isNull(), whole).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get("__split", i))))
+    columns = [whole.alias("text") if c == "text" else rows[c] for c in documents.columns]
+    return joined.select(*columns, left.alias("__text"), n.alias("__lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias("__removed"))
 
 
 def without_spread_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.session import checkpointed
+from orrery.llm.session import checkpointed, released
 from orrery.llm.textkit import WORDS, mix, ngrams, seeded, slices, token_hashes
 
 SHINGLE = 5
@@ -117,6 +117,7 @@ def sketches(texts: DataFrame, weights: str = "set", bands: int = BANDS, rows: i
                 n = np.bincount(text, minlength=hi - lo)
                 found = pa.array([x if m else None for x, m in zip(band.view(np.int64), n, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), found], names=["key", "doc_id", "n", "bands"])
+        released()
 
     return texts.mapInArrow(sketch, "key binary, doc_id long, n long, bands array<long>")
 
@@ -132,6 +133,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 bounds = np.searchsorted(text[order], np.arange(hi - lo + 1)).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["key", "shingles"])
+        released()
 
     return texts.mapInArrow(cut, "key binary, shingles array<long>")
 

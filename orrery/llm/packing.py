@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.session import checkpointed
+from orrery.llm.session import checkpointed, released
 
 END = 1
-CHUNKS = 300_000
+CHUNKS = 100_000
 #: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
 #: A closing mark after a letter is always a pre-token of its own.
 CLOSERS = (".", ",")
@@ -191,6 +191,7 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, open_w
             left += [(d, s, len(i), 0, t, n, 0, i.astype("<u4").tobytes()) for d, s, t, i in window]
         if left:
             yield _arrow(left, task)
+        released()
 
     def _arrow(rows: list[tuple], task: int) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))

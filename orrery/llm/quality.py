@@ -21,8 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
+from orrery.llm.session import released
 from orrery.llm.textkit import TOKENS, ngrams, runs, seeded, slices, token_hashes
 
 SAMPLE = 8_000
@@ -102,28 +103,30 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
         weights = fit([np.frombuffer(b, np.int32) for b in rows["buckets"]], rows["label"].to_numpy())
         return pd.DataFrame({"weights": [weights.astype("<f8").tobytes()]})
 
-    model = chosen.mapInArrow(hashed, "doc_id long, label int, buckets binary").dropDuplicates(["doc_id", "buckets"]).withColumn("model", F.lit(0)).groupBy("model").applyInPandas(learn, "weights binary").collect()
+    known_rows = chosen.mapInArrow(hashed, "doc_id long, label int, buckets binary").dropDuplicates(["doc_id", "buckets"])
+    # An id may have several texts, so rows are bounded as well.
+    known_rows = known_rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("buckets")).limit(sample)
+    model = known_rows.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(learn, "weights binary").collect()
     return np.frombuffer(model[0][0], "<f8") if model else np.zeros(BUCKETS)
 
 
 def scores(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of `documents` and, under a name of its own, the score of each row."""
+    """All columns of `documents` and, under a name of its own, the score of each row; the texts alone go to Python."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
-    at = documents.columns.index("text")
-    schema = StructType([*documents.schema, StructField("__score", DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in slices(batch.column(at)):
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for lo, hi, data, offsets in slices(texts):
                 bucket, bounds = features(data, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(w[bucket])])
                 out[lo:hi] = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1)) + w[0]
-            out = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "__score"])
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
+        released()
 
-    return documents.mapInArrow(score, schema)
+    return documents.withColumn("__score", score(F.col("text").cast("string")))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; only where it is unset (tests) make a folder."""
+    """Use the cluster's `spark.checkpoint.dir`; where it is unset, a folder of this machine in local mode alone, else one in the shared warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        if not named and context.master.split("[")[0] == "local":
+            named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/orrery-checkpoint")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -22,6 +26,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released() -> None:
+    """Gives memory that this Python process no longer uses back to its machine; called at the end of a task."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """`df`, a written table, with the hint to broadcast it if it has no more than most_rows rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
