@@ -1,10 +1,11 @@
 """Language identification by compression: the language whose zstandard dictionary makes a text smallest.
 
-Each language's dictionary is raw text: whole labelled training documents until DICTIONARY_BYTES are full,
-drawn by a hash of the document so that about SAMPLE_DOCS of each language are read. That sample is the one
-bound here; every text's words are then compressed whole with every dictionary. Where the two smallest sizes are
-within `narrow` of each other the prediction stands but `rejected` is true. Texts of a few words are settled
-by a stronger compression level, and equal sizes by the language with more training documents.
+Each language's dictionary is raw text: labelled training documents until DICTIONARY_BYTES are full, drawn by
+a hash of the document so that about SAMPLE_DOCS of each language are read; of a longer one a slice of
+SLICE_CHARS characters, at a place that its hash names, is read. That sample is the one bound here; every
+text's words are then compressed whole with every dictionary, at one level. Where the two smallest sizes are
+within `narrow` of each other the prediction stands but `rejected` is true. Equal sizes are settled by the
+language with more training documents.
 
 Defined results: null text and text without a letter is `und` with score 0; documents without a language are
 predicted but never learned from; with no labelled row at all every text is `und`; repeated rows are
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 300
 DICTIONARY_BYTES = 112_000
-#: Only whole documents up to this size go into a dictionary.
-DOCUMENT_BYTES = 8_000
-SHORT_BYTES, SHORT_LEVEL, LEVEL = 400, 19, 3
+#: Of a longer document a slice of so many characters goes into a dictionary.
+SLICE_CHARS = 6_000
+LEVEL = 12
 
 
 def letters(text: Column) -> Column:
@@ -38,15 +39,18 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from `labelled` (doc_id, text, lang); the most frequent language first."""
-    usable = labelled.withColumn("text", letters(F.col("text"))).where(F.col("lang").isNotNull() & (F.length("text") > 1) & (F.octet_length("text") <= DOCUMENT_BYTES))
+    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return {}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("draw")
-    sample = usable.select("lang", "text", draw, share.alias("share")).where("draw < share").select("lang", "text", "draw").distinct()
+    hashed = F.xxhash64("doc_id", "text")
+    draw = F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)
+    begin = F.pmod(F.shiftright(hashed, 30), F.greatest(F.length("text") - SLICE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    sample = usable.select("lang", F.substring("text", begin, F.lit(SLICE_CHARS)).alias("text"), draw.alias("draw"), share.alias("share")).where("draw < share")
+    sample = sample.select("lang", letters(F.col("text")).alias("text"), "draw").where(F.length("text") > 1).distinct()
     out = {}
     for lang, own in sample.toPandas().sort_values(["draw", "text"]).groupby("lang"):
         parts, size = [], 0
@@ -67,10 +71,7 @@ def identify(texts: DataFrame, content: dict[str, bytes], narrow: float = 0.01)
         import zstandard as zstd
 
         langs = list(shared.value)
-        by_level = {
-            level: [zstd.ZstdCompressor(level=level, dict_data=_prepared(zstd, shared.value[x], level), write_content_size=False, write_checksum=False, write_dict_id=False) for x in langs]
-            for level in (LEVEL, SHORT_LEVEL)
-        }
+        by_lang = [compressor(zstd, shared.value[x]) for x in langs]
         for batch in batches:
             rows = []
             for text, known in zip(batch["text"], batch["has_letter"], strict=True):
@@ -78,7 +79,7 @@ def identify(texts: DataFrame, content: dict[str, bytes], narrow: float = 0.01)
                     rows.append(("und", 0.0, True))
                     continue
                 data = text.encode()
-                sizes = [len(c.compress(data)) for c in by_level[SHORT_LEVEL if len(data) <= SHORT_BYTES else LEVEL]]
+                sizes = [len(c.compress(data)) for c in by_lang]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 others = [s for i, s in enumerate(sizes) if i != best]
                 margin = (min(others) - sizes[best]) / max(min(others), 1) if others else 1.0
@@ -91,10 +92,11 @@ def identify(texts: DataFrame, content: dict[str, bytes], narrow: float = 0.01)
     return whole.mapInPandas(predict, f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
-def _prepared(zstd, content: bytes, level: int):
+def compressor(zstd, content: bytes):
+    """Compresses with raw content as dictionary and writes no header fields that would add to every size."""
     prepared = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-    prepared.precompute_compress(level=level)
-    return prepared
+    prepared.precompute_compress(level=LEVEL)
+    return zstd.ZstdCompressor(level=LEVEL, dict_data=prepared, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def languages(documents: DataFrame) -> DataFrame:

@@ -86,6 +86,46 @@ def test_quality_odd_input(spark):
     assert held == {d for d in [1, 2, 3, 5, 6, *range(20, 60)] if zlib.crc32(str(d).encode()) % 5 == 0}
 
 
+def test_quality_model_equals_a_plain_loop(spark):
+    """FTRL and the sparse dot products, one weight at a time."""
+    import math
+
+    rng = random.Random(3)
+    rows = [np.array([rng.randint(1, 40) for _ in range(rng.randint(0, 30))], np.int32) for _ in range(60)]
+    labels = np.array([rng.randint(0, 1) for _ in rows])
+    got, z, n = quality.fit(rows, labels), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for row, y in zip(rows, labels, strict=True):
+            x = {int(i): np.count_nonzero(row == i) / math.sqrt(max(len(row), 1)) for i in set(row.tolist())} | {0: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(got[:50], [weight(i) for i in range(50)]) and not got[50:].any()
+
+    texts = ["Some words, twice: some words", None, "", "ÉCOLE 12 12", "w " * 40_000]
+    weights = np.random.default_rng(2).normal(size=quality.BUCKETS)
+    scored = {r["doc_id"]: r["__score"] for r in quality.scores(documents(spark, list(enumerate(texts))), weights).collect()}
+    for i, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        bucket, _ = quality.features(data, np.array([0, len(data)]))
+        assert abs(scored[i] - 1 / (1 + math.exp(-(sum(weights[b] for b in bucket) / math.sqrt(max(len(bucket), 1)) + weights[0])))) < 1e-9
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark):
+    docs = documents(spark, [(7, " ".join(prose(20, i))) for i in range(50)] + [(i, " ".join(prose(20, i))) for i in range(100, 130)])
+    labels = spark.createDataFrame([(7, 1, 0)] + [(i, i % 2, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")
+    assert np.array_equal(quality.train(docs, labels, sample=20), quality.train(docs.repartition(7), labels, sample=20))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -215,6 +255,33 @@ def test_language_odd_input(spark):
     assert langid.languages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_equals_a_plain_loop(spark):
+    import zstandard
+
+    content = {"aa": " ".join(prose(3000, 1)).encode(), "bb": " ".join(prose(3000, 2)).encode(), "cc": " ".join(prose(3000, 3)).encode()}
+    rows = [(i, " ".join(prose(n, i % 3 + 1))) for i, n in enumerate([1, 2, 5, 30, 300, 3000] * 3)] + [(90, "ONE, Two 3"), (91, None), (92, "123"), (93, "é" * 30_000)]
+    docs = documents(spark, rows).withColumn("held_out", F.lit(True))
+    got = {r["doc_id"]: r for r in langid.identify(docs, content).collect()}
+    for i, text in rows:
+        folded = re.sub(r"[\W\d_]+", " ", f" {(text or '').lower()} ")
+        if folded == " ":
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        size = {}
+        for lang, c in content.items():
+            d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size[lang] = len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(folded.encode()))
+        assert size[got[i]["lang_pred"]] == min(size.values())
+        a, b = sorted(size.values())[:2]
+        assert got[i]["rejected"] == ((b - a) / max(b, 1) < 0.01)
+
+
+def test_language_of_long_documents_alone_is_learned(spark):
+    rows = [(i, " ".join(prose(9000, 7, 3000)), "xx") for i in range(8, 14)] + [(i, " ".join(prose(60, 8, 3000)), "yy") for i in range(20, 40)]
+    out = langid.languages(documents(spark, rows + [(50, " ".join(prose(400, 7, 3000)), None)])).collect()
+    assert {r["lang_pred"] for r in out if r["doc_id"] in (50, *range(8, 14))} == {"xx"}
+
+
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "line_dedup", "near_dedup", "decontaminate", "packing"]
