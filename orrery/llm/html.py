@@ -7,13 +7,19 @@ in links and the subscript b the body's. Each node's sum of child densities is t
 largest is the centre of the article. The threshold is the least density on the path from the body to it:
 ancestors are taken in as long as they are below the body and what else they hold reaches the threshold or is
 not mostly links. A page's only article (or main) element is taken whole if it lies around or within
-the centre. The text of that subtree is the result, nothing in it dropped.
+the centre; of several the one with two thirds of their text, or else what holds them all. The text of that
+subtree is the result, nothing in it dropped.
+
+Classes, ids and roles mark menus, notices, comments and the like by what they end in (site-nav, sidebar-wrapper,
+not related-work); marks and forms are judged after the page is measured, and never take out what wraps the
+articles, nor what holds most of its article.
 
 Blocks are separated by block-level elements; white space inside one becomes one blank; blocks are joined by
 one newline. Character references are decoded once.
 
 Defined results: null and empty html, and pages with no text outside what is left out, give an empty text;
-html without tags is one block; a cut-off page counts to its end; repeated rows are extracted alike; extra
+html without tags is one block; a cut-off page counts to its end; a tag with a stray quote ends at its first >;
+stray end tags are ignored, in constant time each; repeated rows are extracted alike; extra
 columns are ignored.
 """
 
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+from orrery.llm.session import released
+
+# A tag ends at the first > outside quotes; a quote that would run over another tag is a stray one, and that tag ends at its first >, or before the next <.
+PART = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?:(?P<rest>(?:[^<>\"']|\"(?:[^\"<]|<(?![a-zA-Z/!?]))*+\"|'(?:[^'<]|<(?![a-zA-Z/!?]))*+')*+)>|(?P<odd>[^<>]*+)(?:>|(?=<)|\Z))", re.DOTALL
+)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-label|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
@@ -48,62 +60,73 @@ ENDED_BY = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Words in class, id or role that mark what is no article.
+# Words in class, id or role that mark what is no article; a choice of this module.
 MARKS = frozenset(
     """ad ads adv advert alert alertdialog advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
-    complementary cookie cookies dialog disclaimer disqus footer footnav gdpr hidden masthead menu menubar modal nav navbar navigation newsletter
+    complementary cookie cookies dialog disclaimer disqus footer footnav gdpr header hidden masthead menu menubar modal nav navbar navigation newsletter
     notice notices notification pager pagination popup promo promoted promotion recommended related respond reply replies search share sharing
-    sidebar sidenav signup site-footer skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
+    sidebar sidenav signup skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# Words that may follow a mark without changing what the element is: sidebar-wrapper is a sidebar, related-work is none.
+HOLDERS = frozenset("area bar block box button buttons container content form group holder inner item items link links list message outer panel section slot text unit widget widgets wrap wrapper".split())
 KEEPS = frozenset("article body html main".split())
 NEGATES = frozenset("has no with without".split())
+#: Elements whose id is a place to link to.
+ANCHORED = frozenset("a blockquote caption dd dt figure h1 h2 h3 h4 h5 h6 li p pre table td th tr".split())
+SCOPED = frozenset("ul ol menu dl table tr select li dt dd td th option".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element; `article` is the nearest article or main around it, `block` and `scope` the nearest p or block and list or table part, itself included."""
 
-    def __init__(self, name: str, parent: Node | None, drop: bool | None = False):
-        self.name, self.parent, self.parts, self.drop = name, parent, [], drop
+    __slots__ = ("name", "parent", "parts", "drop", "comments", "article", "block", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total")
+
+    def __init__(self, name: str, parent: Node | None, drop: bool | None = False, comments: bool = False):
+        self.name, self.parent, self.parts, self.drop, self.comments = name, parent, [], drop, comments
+        self.article = None if parent is None else parent if parent.name in ("article", "main") else parent.article
+        self.block = self if parent is None or name in BLOCK else parent.block
+        self.scope = self if parent is None or name in SCOPED else parent.scope
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _in_article(node: Node | None) -> bool:
-    """A header there is the article's, elsewhere the page's."""
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def _marks(word: str) -> set[str]:
+    """The marks that say what an element of this class is: its last part, but for numbers and names of holders."""
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    while len(parts) > 1 and (parts[-1] in HOLDERS and parts[-1] not in MARKS or parts[-1][0].isdigit()):
+        parts.pop()
+    # What an element has, or is without, does not say what it is.
+    return MARKS.intersection(parts[-1:]) if not NEGATES.intersection(parts) else set()
 
 
-def _left_out(name: str, attributes: str, parent: Node) -> bool | None:
-    """True or False, or None where a mark or a form may also be a wrapper of the article: see _settle."""
+def _left_out(name: str, attributes: str, parent: Node) -> tuple[bool | None, bool]:
+    """True or False, or None where a mark or a form may also be a wrapper of the article: see _settle; and whether it is marked as comments."""
     if name in LEFT_OUT and name != "form":
-        return True
+        return True, False
+    # A header in an article is the article's, elsewhere the page's.
+    inside = parent.name in ("article", "main") or parent.article is not None
     if name == "header":
-        return not _in_article(parent)
-    unsure = name == "form"
+        return not inside, False
+    found = {"form"} if name == "form" else set()
     if not attributes.strip() or name in KEEPS:
-        return None if unsure else False
+        return None if found else False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role"):
+            return True, False
+        if key in ("class", "role") or key == "id" and name not in ANCHORED:
             for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                # What an element has, or is without, does not say what it is.
-                parts = [p for i, p in enumerate(parts) if not NEGATES.intersection(parts[:i])]
-                if word in MARKS or not MARKS.isdisjoint(parts) or "header" in parts and not _in_article(parent):
-                    unsure = True
-    return None if unsure else False
+                found |= _marks(word)
+    if inside:
+        found.discard("header")
+    return None if found else False, not COMMENTS.isdisjoint(found)
 
 
 def _settle(root: Node) -> None:
-    """Leaves out the unsure elements, but not those that wrap the page's articles or, on a page without any, its text."""
+    """Leaves out the unsure elements, but not those that wrap the page's articles or, on a page without any, its text, nor those that hold most of their article."""
     order, stack, held = [], [root], {}
     while stack:
         node = stack.pop()
@@ -122,56 +145,63 @@ def _settle(root: Node) -> None:
         if node.drop is None:
             own = held[node]
             text = own[0] > 0.8 * chars or heads and own[2] == heads and own[0] > 0.5 * chars
-            node.drop = not (own[1] == articles if articles else text)
+            most = node.article is not None and not node.comments and own[0] > 0.5 * held[node.article][0]
+            node.drop = not (most or (own[1] == articles if articles else text))
 
 
 def tree(html: str) -> Node:
     """The page's nodes; parts of a node are strings and nodes in page order."""
     root = Node("body", None)
-    here, at, raw = root, 0, None
+    here, at, opened = root, 0, Counter()
+
+    def leave(node: Node, to: Node) -> Node:
+        """`to`, an ancestor of `node`; what lies between is open no more."""
+        while node is not to:
+            opened[node.name] -= 1
+            node = node.parent
+        return to
+
     for m in PART.finditer(html):
         if m.start() < at:
             continue
-        if m.start() > at and raw is None:
+        if m.start() > at:
             here.parts.append(html[at : m.start()])
         at = m.end()
-        name = m[2]
+        name = m["name"]
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
-            up = here
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+        name, attributes = name.lower(), m["rest"] or m["odd"] or ""
+        if m["end"]:
+            if opened[name]:
+                up = here
+                while up.name != name:
+                    up = up.parent
+                here = leave(here, up.parent)
             elif name == "p" or name == "br":
                 here.parts.append(Node(name, here))
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            up = here
-            while up is not root and up.name != "p" and (up.name not in BLOCK):
-                up = up.parent
-            if up.name == "p":
-                here = up.parent
-        if name in ENDED_BY:
+        if name in CLOSES_P and here.block.name == "p":
+            here = leave(here, here.block.parent)
+        if name in ENDED_BY and any(opened[x] for x in ENDED_BY[name][0]):
             ends, stops = ENDED_BY[name]
-            up = here
+            up, to = here.scope, here
             while up is not root and up.name not in stops:
                 if up.name in ends:
-                    here = up.parent
-                up = up.parent
-        node = Node(name, here, _left_out(name, m[3], here))
+                    to = up.parent
+                up = up.parent.scope
+            here = leave(here, to)
+        node = Node(name, here, *_left_out(name, attributes, here))
         here.parts.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(html, at)
             if name not in LEFT_OUT:
                 node.parts.append(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             here = node
+            opened[name] += 1
     if at < len(html):
         here.parts.append(html[at:])
     _settle(root)
@@ -228,9 +258,16 @@ def centre(root: Node) -> Node:
         return root
     path = _upwards(best)
     for name in ("article", "main"):
-        own = [n for n in nodes if n.name == name and n.chars]
-        if len(own) == 1 and (own[0] in path or best in _upwards(own[0])):
-            return own[0]
+        own = [n for n in nodes if n.name == name and n.chars and (n.article is None or n.article.name != name)]
+        text = [n.chars - n.link_chars for n in own]
+        if len(own) > 1 and 3 * max(text) < 2 * sum(text):
+            # Several articles, none with two thirds of their text: the page's text is all of them.
+            around = [set(map(id, _upwards(n))) for n in own]
+            return next(up for up in _upwards(own[0]) if all(id(up) in a for a in around))
+        if own:
+            first = own[text.index(max(text))]
+            if first in path or best in _upwards(first) or len(own) > 1:
+                return first
     threshold = min(n.density for n in path)
     for up in path[1:]:
         if up is root:
@@ -279,6 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             text = [main_text(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text})
+        released()
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInPandas(read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -48,6 +48,44 @@ def test_html_wrappers_keep_the_article():
     assert main_text(f"<article>{article}</article>{comments}") == want
 
 
+def test_html_names_that_are_no_marks():
+    for mark in ("id=related-work", "class=search-results", "class='share-price-table'", "class=no-sidebar", "class='header-less intro'"):
+        page = f"<body><nav>Menu</nav><article><h1>T</h1><p>First words of it.</p><div {mark}><p>Part of the article.</p></div><p {mark}>And more of it.</p></article></body>"
+        assert main_text(page) == "T\nFirst words of it.\nPart of the article.\nAnd more of it.", mark
+    for mark in ("class=site-nav", "class='ad-300'", "id=sidebar-wrapper", "class='post comments-list'", "role=banner", "class=cookie-notice"):
+        page = f"<body><article><h1>T</h1><p>First words of it.</p><div {mark}><p>Not of it.</p></div><p>And more of it, some words.</p></article></body>"
+        assert main_text(page) == "T\nFirst words of it.\nAnd more of it, some words.", mark
+    held = "<p>" + "Most of the article's words. " * 5 + "</p>"
+    assert main_text(f"<article><h1>T</h1><div class=widget>{held}</div></article>") == "T\n" + ("Most of the article's words. " * 5).strip()
+
+
+def test_html_several_articles():
+    teaser = "<article><h2>Other</h2><a href=x>Read it</a></article>"
+    long = "<article><h1>T</h1><p>" + "Words of the article. " * 9 + "</p></article>"
+    assert main_text(f"<body><main>{long}<section>{teaser * 3}</section></main></body>") == "T\n" + ("Words of the article. " * 9).strip()
+    parts = [f"<article><h2>Part {i}</h2><p>Some words of part {i}.</p></article>" for i in range(3)]
+    assert main_text(f"<body><nav>Menu</nav><div>{''.join(parts)}</div><footer>x</footer></body>") == "\n".join(f"Part {i}\nSome words of part {i}." for i in range(3))
+
+
+def test_html_odd_quotes():
+    assert main_text('<article><p>One <a title="x>link</a> two.</p><p>Three "quoted" <b class=\'y>four</b>.</p></article>') == 'One link two.\nThree "quoted" four.'
+    assert main_text('<article><p>One <img alt="a > b"> two <img alt="a < b"> three.</p></article>') == "One two three."
+    assert main_text("<article><p>cut <a href='x") == "cut"
+    assert main_text("<article><p>1 < 2 and 3 > 2 <b <i>four</i></p></article>") == "1 < 2 and 3 > 2 four"
+
+
+def test_html_long_pages_take_linear_time():
+    import time
+
+    for page in (
+        "<b>" * 8_000 + "x" + "</i>" * 100_000, "<article>" + "</p x>" * 100_000 + "x", "<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" * 20_000 + "<li>x" * 5_000,
+        '<a "' * 50_000, "<p>" * 50_000 + "<b>" * 8_000 + "<div></div>" * 8_000 + "x", "<ul><li>" + "<b>" * 8_000 + "<li>y" * 8_000,
+    ):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 6, page[:20]
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a</p>"), (2, None, None), (1, "u", "<p>a</p>"), (None, "v", "")]
     out = extract(with_odd_columns(spark.createDataFrame(rows, "page_id long, url string, html string")))
