@@ -1,13 +1,17 @@
 """Secret scans: base patterns, and a character convolutional network over every further candidate.
 
 Base findings are the leftmost non-overlapping matches of three patterns and always stay. Candidates are runs
-of 20 or more characters of keys and codes that hold a digit. The network sees each with its context, WIDTH
-characters in all (of a longer one overlapping windows, and the largest score counts): one-hot characters, a convolution, rectifier, maximum over positions, logistic output.
-It is trained, here, on labelled findings: candidates that a base pattern accepts, in their own and in other
-contexts, against made-up ones (long words, numbers, paths) and, with less weight, candidates that no pattern
-accepts. SAMPLE bounds them. A held-back part
-calibrates the score (slope and offset of the logit) and sets the threshold: the highest that keeps
-RECALL of the held-back secrets. A candidate at or above it is a finding of kind `cnn`, if no base one covers it.
+of CANDIDATE or more characters of keys and codes. The network sees each with its context, WIDTH characters in
+all (of a longer one overlapping windows, and the largest score counts): characters in or out of the candidate,
+one-hot, a convolution, rectifier, maximum and mean over positions, a hidden layer, logistic output.
+
+It is trained, in one task, on labelled findings: values that a base pattern accepts, in their own contexts and in
+others; made-up keys of many alphabets, lengths and prefixes; and, as what is no secret, candidates that no
+pattern accepts, at less weight, and made-up ids, numbers, names, paths and digests. SAMPLE bounds what is drawn from the
+documents, in one scan. A quarter of the values, and of the contexts, is held back: every example of a value
+is on one side. The held-back part calibrates the score (slope and offset of the logit) and sets the threshold:
+the highest that keeps RECALL of its secrets. A candidate at or above it is a finding of kind `cnn`, if no base
+one covers it.
 
 Runs are found for whole batches of bytes at once; positions are code points of the whole text.
 
@@ -19,6 +23,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -26,9 +31,10 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.session import released
 from orrery.llm.textkit import runs, slices
 
 # The base patterns.
@@ -38,9 +44,12 @@ KINDS = ("assign", "access", "hex", "cnn")
 WORDS = (b"passw", b"secret", b"token", b"api")
 
 SAMPLE = 4_000
+CANDIDATE = 16
 WIDTH, LEFT = 72, 24
-FILTERS, SPAN, EPOCHS, RATE = 24, 5, 16, 0.05
+FILTERS, SPAN, HIDDEN, EPOCHS, RATE = 24, 5, 16, 14, 0.005
 RECALL = 0.98
+MADE_UP = 3_500
+#: What no pattern accepts may still be a secret, so it counts for less.
 UNLABELLED = 0.05
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"' \n"
 
@@ -51,10 +60,10 @@ def _bytes_in(chars: str) -> np.ndarray:
 
 HEX = _bytes_in("0123456789abcdef")
 CODE = _bytes_in("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-DIGIT = _bytes_in("0123456789")
 CHAR = np.full(256, len(ALPHABET), np.int64)
 for _i, _c in enumerate(ALPHABET):
     CHAR[ord(_c)] = _i
+IS_CODE = np.append([CODE[ord(c)] for c in ALPHABET], 0).astype(bool)
 
 
 def _long_runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, least: int) -> np.ndarray:
@@ -79,11 +88,9 @@ def scan(data: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[list, list]]:
     for a, b in _long_runs(data, offsets, HEX, 24):
         text, base = at(a)
         found.setdefault(text, ([], []))[0].append((2, int(a) - base, int(b) - base))
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])]) if data.size else np.zeros(1)
-    for a, b in _long_runs(data, offsets, CODE, 20):
-        if digits[b] > digits[a]:
-            text, base = at(a)
-            found.setdefault(text, ([], []))[1].append((3, int(a) - base, int(b) - base))
+    for a, b in _long_runs(data, offsets, CODE, CANDIDATE):
+        text, base = at(a)
+        found.setdefault(text, ([], []))[1].append((3, int(a) - base, int(b) - base))
     whole, lower = data.tobytes(), _lowered(data)
     for needle, body in ((b"AKIA", whole), *((w, lower) for w in WORDS)):
         position = body.find(needle)
@@ -115,45 +122,74 @@ def starts(start: int, end: int) -> list[int]:
 
 
 class Network:
-    """One convolution over one-hot characters, maximum over positions, logistic output, calibrated."""
+    """A convolution over one-hot characters, maximum and mean over positions, a hidden layer, logistic output, calibrated."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.kernel = rng.normal(0, 0.2, (SPAN, len(ALPHABET) + 1, FILTERS))
-        self.bias, self.out, self.offset = np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), 0.0
+        draw = lambda size, spread: rng.normal(0, spread, size).astype(np.float32)
+        self.weights = {
+            "kernel": draw((SPAN, 2 * len(IS_CODE), FILTERS), 0.3), "bias": np.zeros(FILTERS, np.float32),
+            "mix": draw((2 * FILTERS, HIDDEN), 0.2), "mix_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN, 0.3), "offset": np.zeros(1, np.float32),
+        }
         self.slope, self.shift, self.threshold = 1.0, 0.0, 2.0
 
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = WIDTH - SPAN + 1
-        maps = self.bias + sum(self.kernel[j][x[:, j : j + n]] for j in range(SPAN))
+    @staticmethod
+    def _marked(x: np.ndarray) -> np.ndarray:
+        """Classes of characters, other ones for those in the candidate: the run of code around position LEFT."""
+        code = IS_CODE[x]
+        inside = np.concatenate([np.logical_and.accumulate(code[:, LEFT - 1 :: -1], axis=1)[:, ::-1], np.logical_and.accumulate(code[:, LEFT:], axis=1)], axis=1)
+        inside[:, :LEFT] &= code[:, LEFT : LEFT + 1]
+        return np.where(inside, x + len(IS_CODE), x)
+
+    def _forward(self, x: np.ndarray) -> tuple:
+        w, n = self.weights, WIDTH - SPAN + 1
+        maps = w["bias"] + sum(w["kernel"][j][x[:, j : j + n]] for j in range(SPAN))
+        np.maximum(maps, 0, out=maps)
         best = maps.argmax(axis=1)
-        top = np.maximum(np.take_along_axis(maps, best[:, None, :], axis=1)[:, 0], 0)
-        return top @ self.out + self.offset, top, best
+        pooled = np.concatenate([np.take_along_axis(maps, best[:, None, :], axis=1)[:, 0], maps.mean(axis=1)], axis=1)
+        hidden = np.maximum(pooled @ w["mix"] + w["mix_bias"], 0)
+        return hidden @ w["out"] + w["offset"], hidden, pooled, maps, best
+
+    def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        w, n = self.weights, WIDTH - SPAN + 1
+        logit, hidden, pooled, maps, best = self._forward(x)
+        err = (weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)).astype(np.float32)
+        to_hidden = err[:, None] * w["out"] * (hidden > 0)
+        to_pooled = to_hidden @ w["mix"].T
+        through = np.repeat(to_pooled[:, None, FILTERS:] / n, n, axis=1)
+        at = np.arange(len(x))[:, None], best, np.arange(FILTERS)[None, :]
+        through[at] += to_pooled[:, :FILTERS]
+        through = (through * (maps > 0)).reshape(-1, FILTERS)
+        kernel = np.zeros_like(w["kernel"])
+        for j in range(SPAN):
+            of = x[:, j : j + n].ravel()
+            order = np.argsort(of, kind="stable")
+            chars, first = np.unique(of[order], return_index=True)
+            kernel[j][chars] = np.add.reduceat(through[order], first)
+        return {"kernel": kernel, "bias": through.sum(axis=0), "mix": pooled.T @ to_hidden, "mix_bias": to_hidden.sum(axis=0), "out": hidden.T @ err, "offset": err.sum(keepdims=True)}
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 256])[0] for i in range(0, len(x), 256)]) if len(x) else np.empty(0)
+        return np.concatenate([self._forward(self._marked(x[i : i + 256]))[0] for i in range(0, len(x), 256)]).astype(float) if len(x) else np.empty(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -40, 40)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 11) -> Network:
-        rng = np.random.default_rng(seed)
-        back = np.arange(len(x)) % 4 == 0
-        use = np.flatnonzero(~back)
-        for _ in range(EPOCHS):
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, held: np.ndarray, seed: int = 11) -> Network:
+        """Steps by the gradient and its running moments over what is not held back, then calibration on the rest."""
+        rng, marked, use, step = np.random.default_rng(seed), self._marked(x), np.flatnonzero(~held), 0
+        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        for epoch in range(EPOCHS):
             rng.shuffle(use)
-            for i in range(0, len(use), 32):
-                rows = use[i : i + 32]
-                logit, top, best = self._forward(x[rows])
-                err = weight[rows] * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[rows]) / len(rows)
-                through = err[:, None] * self.out * (top > 0)
-                self.out -= RATE * 10 * (top.T @ err)
-                self.offset -= RATE * 10 * err.sum()
-                self.bias -= RATE * 10 * through.sum(axis=0)
-                for j in range(SPAN):
-                    char = np.take_along_axis(x[rows], best + j, axis=1)
-                    np.add.at(self.kernel[j], (char, np.arange(FILTERS)[None, :]), -RATE * 10 * through)
-        self._calibrate(self.logits(x[back]), y[back], weight[back])
+            rate = RATE * (1 - epoch / EPOCHS)
+            for i in range(0, len(use), 64):
+                step += 1
+                rows = use[i : i + 64]
+                for k, g in self._gradient(marked[rows], y[rows], weight[rows]).items():
+                    mean[k] += 0.1 * (g - mean[k])
+                    square[k] += 0.01 * (g * g - square[k])
+                    self.weights[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+        self._calibrate(self.logits(x[held]), y[held], weight[held])
         return self
 
     def _calibrate(self, logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -166,6 +202,18 @@ class Network:
         if secrets.size:
             self.threshold = float(secrets[int((1 - RECALL) * secrets.size)])
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, calibration=np.array([self.slope, self.shift, self.threshold]), **self.weights)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Network:
+        out, parts = cls(), np.load(io.BytesIO(data), allow_pickle=False)
+        out.slope, out.shift, out.threshold = map(float, parts["calibration"])
+        out.weights = {k: parts[k] for k in out.weights}
+        return out
+
 
 def best_scores(network: Network, candidates: Iterable[tuple[bytes, int, int]], n: int) -> np.ndarray:
     """For n candidates (text, start, end): the largest score of a window along each."""
@@ -175,52 +223,129 @@ def best_scores(network: Network, candidates: Iterable[tuple[bytes, int, int]],
     return out
 
 
-def _examples(texts: DataFrame, sample: int) -> pd.DataFrame:
-    """Windows around labelled candidates, at most `sample` of each label, those with the smallest hash."""
+SECRET, OTHER, CONTEXT = 1, 0, 2
+
+
+def _examples(texts: DataFrame, sample: int) -> DataFrame:
+    """Bytes left of, in and right of labelled candidates, and of places in any text; at most sample / 2 of each kind, those with the smallest hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows, labels = [], []
-            for _, _, data, offsets in slices(batch.column(1)):
+            rows = []
+            for lo, hi, data, offsets in slices(batch.column(1)):
                 whole = data.tobytes()
                 for text, (base, candidates) in scan(data, offsets).items():
                     body = whole[offsets[text] : offsets[text + 1]]
                     for _, a, b in candidates:
-                        windows.append(window(body, a).astype(np.uint8).tobytes())
-                        labels.append(int(any(s < b and a < e for _, s, e in base)))
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(labels, pa.int32())], names=["x", "label"])
-
-    found = texts.mapInArrow(cut, "x binary, label int").distinct()
-    parts = [found.where(F.col("label") == k).orderBy(F.xxhash64("x"), "x").limit(sample // 2) for k in (0, 1)]
-    return parts[0].unionAll(parts[1]).toPandas()
+                        label = SECRET if any(s < b and a < e for _, s, e in base) else OTHER
+                        rows.append((body[max(0, a - LEFT) : a], body[a : min(b, a + 4 * WIDTH)], body[b : b + LEFT], label))
+                for text in range(hi - lo):
+                    body = whole[offsets[text] : offsets[text + 1]]
+                    blank = body.find(b" ", len(body) // 2)
+                    if blank >= 0:
+                        rows.append((body[max(0, blank + 1 - LEFT) : blank + 1], b"", body[blank : blank + LEFT], CONTEXT))
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary()] * 3 + [pa.int32()], strict=True)], names=["before", "body", "after", "label"])
+
+    found = texts.mapInArrow(cut, "before binary, body binary, after binary, label int").distinct()
+    order = Window.partitionBy("label").orderBy(F.xxhash64("before", "body", "after"), "body", "before", "after")
+    return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample // 2).drop("at")
+
+
+def _key(rng: np.random.Generator) -> str:
+    """A made-up secret."""
+    pick = lambda chars, n: "".join(chars[i] for i in rng.integers(len(chars), size=n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    chars = (low + up + num, low + up + num, low + num, up + num, up + "234567", low + up + num + "+/", low + up + num + "-_", "0123456789ABCDEF", "0123456789abcdef")[rng.integers(9)]
+    n = int(rng.choice([20, 24, 28, 32, 36, 40, 43, 48, 64, 80, 100, 128])) if rng.random() < 0.6 else int(rng.integers(CANDIDATE + 2, 130))
+    key = pick(chars, n)
+    if "+/" in chars:
+        key += "=" * int(rng.integers(3))
+    if rng.random() < 0.25:
+        key = pick(low, rng.integers(2, 5)) + "_-"[rng.integers(2)] + (pick(low, rng.integers(3, 6)) + "_" if rng.random() < 0.3 else "") + key
+    return key
+
+
+def _no_key(rng: np.random.Generator, words: list[str]) -> str:
+    """Something made up that looks like a candidate and is no secret."""
+    pick = lambda chars, n: "".join(chars[i] for i in rng.integers(len(chars), size=n))
+    some = lambda n: [words[i] for i in rng.integers(len(words), size=n)]
+    how = rng.integers(11)
+    if how < 3:
+        out = "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+        return out.upper() if rng.random() < 0.3 else out
+    if how == 3:
+        return "/".join(some(rng.integers(3, 8))) + ("/" + pick("0123456789", rng.integers(1, 5)) if rng.random() < 0.6 else "")
+    if how == 4:
+        return "_-"[rng.integers(2)].join([*some(rng.integers(3, 7)), pick("0123456789", rng.integers(1, 4))])
+    if how in (5, 8, 9):
+        return "".join(w.capitalize() for w in some(rng.integers(3, 7))) + pick("0123456789", rng.integers(0, 3))
+    if how == 6:
+        return "".join(some(rng.integers(3, 7)))
+    if how == 7:
+        return "-".join(pick("0123456789", n) for n in rng.integers(2, 9, size=rng.integers(2, 5))) if rng.random() < 0.5 else pick("0123456789", rng.integers(CANDIDATE, 40))
+    return pick("abcdefghijklmnopqrstuvwxyzABC0123456789-=_", rng.integers(1, 4)) * int(rng.integers(10, 30))
+
+
+DIGESTS = ("md5 ", "sha1: ", "sha256-", "checksum ", "digest: ", "ETag ", "commit ", "crc ")
+
+
+def learn(rows: pd.DataFrame) -> Network:
+    """A calibrated network from `rows` (before, body, after, label), or one that accepts nothing where there are too few labelled findings."""
+    rows = rows.sort_values(["label", "body", "before", "after"], kind="stable")
+    by = {k: list(g[["before", "body", "after"]].itertuples(index=False, name=None)) for k, g in rows.groupby("label")}
+    secrets, others, contexts = (by.get(k, []) for k in (SECRET, OTHER, CONTEXT))
+    if len(secrets) < 20:
+        return Network()
+    rng = np.random.default_rng(5)
+    contexts = [(a, c) for a, _, c in contexts + others] or [(b" ", b" ")]
+    words = [w for a, c in contexts for w in re.findall("[A-Za-z]{2,}", (a + b" " + c).decode("latin-1"))] or ["word"]
+    spare = rng.permutation(len(contexts)) % 4 == 0
+    places = {h: [c for c, s in zip(contexts, spare, strict=True) if s == h] or contexts for h in (False, True)}
+    x, y, weight, held = [], [], [], []
+
+    def add(before: bytes, body: bytes, after: bytes, label: int, back: bool, counts: float = 1.0) -> None:
+        text = before[-LEFT:] + body + after[:LEFT]
+        a, b = len(before[-LEFT:]), len(before[-LEFT:]) + len(body)
+        x.append(window(text, int(rng.choice(starts(a, b)))))
+        y.append(label)
+        weight.append(counts)
+        held.append(back)
+
+    def place(back: bool) -> tuple[bytes, bytes]:
+        return places[back][rng.integers(len(places[back]))]
+
+    values = sorted({re.split(rb"[=:]", body.rstrip(b"="))[-1] for _, body, _ in secrets})
+    back_value = {v: bool(b) for v, b in zip(values, rng.permutation(len(values)) % 4 == 0, strict=True)}
+    for before, body, after in secrets:
+        value = re.split(rb"[=:]", body.rstrip(b"="))[-1]
+        add(before, body, after, 1, back_value[value])
+        if len(value) >= CANDIDATE:
+            left, right = place(back_value[value])
+            add(left, value, right, 1, back_value[value])
+    for i, (before, body, after) in enumerate(others):
+        add(before, body, after, 0, i % 4 == 0, UNLABELLED)
+    for i in range(MADE_UP):
+        back = i % 4 == 0
+        left, right = place(back)
+        add(left, _key(rng).encode(), right, 1, back)
+        left, right = place(back)
+        if i % 8 == 1:  # a digest, and its name before it
+            left, body = left + DIGESTS[rng.integers(len(DIGESTS))].encode(), "".join("0123456789ABCDEF"[k] for k in rng.integers(16, size=rng.choice([32, 40, 64]))).encode()
+        else:
+            body = _no_key(rng, words).encode()
+        add(left, body, right, 0, back)
+    return Network().train(np.stack(x), np.array(y, float), np.array(weight), np.array(held))
 
 
 def train(texts: DataFrame, sample: int = SAMPLE) -> Network:
-    """A calibrated network, or one that accepts nothing where there are too few labelled findings."""
-    rows = _examples(texts, sample)
-    if (rows["label"] == 1).sum() < 20:
-        return Network()
-    x = np.stack([np.frombuffer(b, np.uint8) for b in rows["x"]]).astype(np.int64)
-    y = rows["label"].to_numpy().astype(float)
-    rng = np.random.default_rng(5)
-    fake = x[y == 1].copy()
-    for row in fake:  # the same contexts, but what stands there is no secret
-        end = LEFT
-        while end < WIDTH and row[end] < ALPHABET.index("."):
-            end += 1
-        how = rng.integers(3)
-        low, high = ((0, 26), (52, 62), (0, 26))[how]
-        row[LEFT:end] = rng.integers(low, high, end - LEFT)
-        if how == 2:
-            row[LEFT + 5 : end : 7] = ALPHABET.index("/")
-        row[end - 1] = ALPHABET.index("1")
-    # What no pattern accepts may still be a secret, so it counts for less; and secrets stand in any context.
-    moved = x[y == 1].copy()
-    moved[:, :LEFT] = x[rng.integers(0, len(x), len(moved)), :LEFT] if (y == 1).all() else x[y == 0][rng.integers(0, int((y == 0).sum()), len(moved)), :LEFT]
-    weight = np.concatenate([np.where(y == 1, 1.0, UNLABELLED), np.ones(len(fake) + len(moved))])
-    x, y = np.concatenate([x, fake, moved]), np.concatenate([y, np.zeros(len(fake)), np.ones(len(moved))])
-    order = rng.permutation(len(x))
-    return Network().train(x[order], y[order], weight[order])
+    """The network that one task learns from a bounded sample of the texts' candidates."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"network": [learn(rows).to_bytes()]})
+
+    found = _examples(texts, sample).withColumn("model", F.lit(0)).groupBy("model").applyInPandas(fit, "network binary").collect()
+    return Network.from_bytes(found[0][0]) if found else Network()
 
 
 def findings(documents: DataFrame) -> DataFrame:
@@ -252,5 +377,6 @@ def findings(documents: DataFrame) -> DataFrame:
                         for k, _ in named:
                             counts[lo + t, k] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(3)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 3])], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn"])
+        released()
 
     return texts.mapInArrow(look, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_cnn long")

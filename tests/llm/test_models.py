@@ -269,6 +269,50 @@ def test_secrets_look_along_the_whole_candidate():
     assert secrets.starts(5, 53) == [5]
 
 
+def test_secrets_network_on_keys_unlike_the_training_ones(spark):
+    """Bare keys and look-alikes, made another way than the training ones, in the prose of real documents."""
+    import base64
+    import string
+    import uuid
+
+    rng, chars = random.Random(99), string.ascii_letters + string.digits
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    network = secrets.train(texts)
+    prose_of = [r["text"] for r in texts.where("length(text) > 400").collect()]
+    word = lambda t: [w for w in t.split() if w.isascii() and w.isalpha()]
+    keys = {
+        "plain": lambda: "".join(rng.choices(chars, k=32)), "long": lambda: "".join(rng.choices(chars, k=100)), "base64": lambda: base64.b64encode(rng.randbytes(30)).decode(),
+        "url": lambda: base64.urlsafe_b64encode(rng.randbytes(32)).decode().rstrip("="), "prefixed": lambda: "ghp_" + "".join(rng.choices(chars, k=36)), "live": lambda: "sk_live_" + "".join(rng.choices(chars, k=24)),
+    }
+    others = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))), "path": lambda: "/".join(word(rng.choice(prose_of))[:5]) + f"/index{rng.randrange(99)}", "time": lambda: f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)}T12-{rng.randrange(10, 59)}-00Z",
+        "number": lambda: str(rng.randrange(10**19, 10**20)), "slug": lambda: "articles/" + "-".join(word(rng.choice(prose_of))[:6]).lower() + "-2023",
+    }
+
+    def flagged(make, n=150):
+        found = []
+        for _ in range(n):
+            text = rng.choice(prose_of).encode()
+            at = text.find(b" ", rng.randrange(100, 250))
+            key = make().encode()
+            found.append((text[:at] + b" " + key + text[at:], at + 1, at + 1 + len(key)))
+        return float((secrets.best_scores(network, found, n) >= network.threshold).mean())
+
+    recall, wrong = {k: flagged(f) for k, f in keys.items()}, {k: flagged(f) for k, f in others.items()}
+    assert min(recall.values()) >= 0.9, recall
+    assert max(wrong.values()) <= 0.15 and sum(wrong.values()) / len(wrong) <= 0.05, wrong
+
+
+def test_secrets_every_row_of_training_is_bounded_and_made_once(spark):
+    rows = secret_rows(200) + [(900, "AKIA" + "A1" * 4_000 + " end"), (901, None), (902, "a b"), (902, "a b")]
+    found = secrets._examples(documents(spark, rows).select("doc_id", "text"), 60).toPandas()
+    assert (found.groupby("label").size() <= 30).all() and set(found["label"]) == {0, 1, 2}
+    assert found["body"].map(len).max() <= 4 * secrets.WIDTH
+    again = secrets.Network.from_bytes(secrets.learn(found).to_bytes())
+    x = np.random.default_rng(1).integers(0, 70, (50, secrets.WIDTH))
+    assert np.array_equal(again.score(x), secrets.learn(found).score(x))
+
+
 def test_secrets_without_labelled_findings(spark):
     out = secrets.findings(documents(spark, [(1, "plain words " * 5), (2, "long1" * 9)])).collect()
     assert {r["spans"] for r in out} == {""}
