@@ -2,12 +2,16 @@
 
 Vectors of integers get one more component that gives all the same length M, so that the largest inner
 products of a query are its nearest vectors: |q - x|^2 = |q|^2 + M^2 - 2 q.x. Each vector is keyed by its nearest
-pivot and its distance to it, cut into rings of equal width; a ring of many rows (copies of one vector, say)
-is dealt over several chunks. The directory of rings, at most PIVOTS x rings rows, tells each query which
-chunks to meet: by the triangle inequality only those whose distances lie within its radius of its own
-distance to the pivot. The radius comes from the k-th best of a bounded sample of real rows. In a chunk,
-sorted by distance, the query reads its annulus alone, and what beats its bound meets in a partial, then a
-final, top-k. Every row is indexed; the sample and the pivots only steer the search, so results are exact.
+pivot and its distance to it, and cut into rings of equal width; a ring's rows are packed, sorted by distance,
+into chunks. The directory of rings has at most PIVOTS x RINGS entries, whatever the input.
+
+A search goes in rounds. Each query orders the rings by how far they lie from its own distance to their
+pivot, and each round takes the next of them: one, then ever more. After a round the k-th best score so far
+bounds the search, and by the triangle inequality a ring can only hold a better row if it lies within the
+radius of that bound. A query stops where no ring left does; in a chunk it reads its annulus alone. Queries
+travel packed by ring, chunks only where a query asks for their ring, and neither is copied for the other: a
+packed block of queries meets a chunk in one product. Every row is indexed; pivots only steer the search, so
+results are exact.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor rows
 without an id; shorter vectors count as padded with 0; rows with the query's id are its own; an id queried
@@ -21,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.session import checkpointed
 
-PIVOTS, SAMPLE, RINGS = 64, 2048, 16
-CHUNK_LEAST, CHUNK_MOST, CHUNKS = 64, 4096, 512
-QUERY_BLOCK = 2048
+#: Pivots are chosen, far from one another, among SAMPLE vectors; CHUNK rows and QUERIES queries are multiplied at a time.
+PIVOTS, SAMPLE, RINGS = 32, 2048, 8
+CHUNK, QUERIES = 2048, 1024
+#: Each round takes GROWTH times as many rings as all before.
+GROWTH = 8
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -38,101 +44,155 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return usable.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"))
 
 
-def _matrix(packed: pd.Series, dim: int) -> np.ndarray:
+def _matrix(packed, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
-    """`vectors` (vec_id, v); for the rows where is_query holds: query_id, rank, vec_id, score."""
-    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq"), F.count("*").alias("rows")).first()
-    shape = "query_id long, rank int, vec_id long, score long"
-    if not facts["rows"]:
-        return vectors.sparkSession.createDataFrame([], shape)
-    dim, longest, rows = facts["dim"], float(facts["sq"]), facts["rows"]
-    width = max(2 * math.sqrt(longest) / RINGS, 1.0)
-    chunk = int(min(max(rows // CHUNKS, CHUNK_LEAST), CHUNK_MOST))
+class Space:
+    """The pivots, and distances to them after the lift to length sqrt(longest)."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = np.zeros((len(b), dim))
-            for row, v in zip(out, b["v"], strict=True):
-                row[: len(v)] = v
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [r.astype("<f8").tobytes() for r in out]})
+    def __init__(self, sample: np.ndarray, longest: float):
+        self.longest = longest
+        self.pivots = sample[:1]
+        self.lifted = self.lift(self.pivots)
+        for _ in range(min(PIVOTS, len(sample)) - 1):
+            far = self.distances(sample, self.lift(sample)).min(axis=1)
+            if far.max() <= 0:
+                break
+            self.pivots = np.concatenate([self.pivots, sample[[far.argmax()]]])
+            self.lifted = self.lift(self.pivots)
 
-    packed = vectors.mapInPandas(pack, "vec_id long, v binary")
-    sample = packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    some, some_ids = _matrix(sample["v"], dim), sample["vec_id"].to_numpy()
-    _, spread = np.unique(some, axis=0, return_index=True)
-    pivots = some[np.sort(spread)[:PIVOTS]]
-    lift = lambda x: np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
-    pivot_lift = lift(pivots)
-
-    def distances(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """To all pivots, in the lifted space."""
-        sq = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T) + (last[:, None] - pivot_lift) ** 2
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.longest - (x * x).sum(axis=1), 0))
+
+    def distances(self, x: np.ndarray, last: np.ndarray) -> np.ndarray:
+        sq = (x * x).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1) - 2 * (x @ self.pivots.T) + (last[:, None] - self.lifted) ** 2
         return np.sqrt(np.maximum(sq, 0))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def radius(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """What is farther from the query than this scores less than the bound."""
+        return np.sqrt(np.maximum((x * x).sum(axis=1) + self.longest - 2 * bound, 0)) * (1 + 1e-9) + 1e-6
+
+
+def indexed(packed: DataFrame, space: Space, dim: int) -> DataFrame:
+    """Chunks of the rows of `packed` (vec_id, v): pivot, ring and the rows' ids, distances (ascending) and vectors, packed."""
+    width = max(2 * math.sqrt(space.longest) / RINGS, 1.0)
+
+    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = _matrix(b["v"], dim)
-                d = distances(x, lift(x))
+                d = space.distances(x, space.lift(x))
                 near = d.argmin(axis=1)
                 dist = d[np.arange(len(b)), near]
-                yield b.assign(pivot=near.astype(np.int32), dist=dist, ring=(dist // width).astype(np.int32))
+                yield b.assign(pivot=near.astype(np.int32), ring=np.minimum(dist // width, RINGS - 1).astype(np.int32), dist=dist)
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by pivot, ring and distance; a chunk ends with its ring, its CHUNK rows or its batch."""
+        for b in batches:
+            for (pivot, ring), rows in b.groupby(["pivot", "ring"], sort=True):
+                for at in range(0, len(rows), CHUNK):
+                    part = rows.iloc[at : at + CHUNK]
+                    dist = part["dist"].to_numpy()
+                    yield pd.DataFrame({"pivot": [pivot], "ring": [ring], "n": [len(part)], "lo": [dist.min()], "hi": [dist.max()], "ids": [part["vec_id"].to_numpy().astype("<i8").tobytes()], "dists": [dist.astype("<f8").tobytes()], "rows": [b"".join(part["v"])]})
 
-    keyed = packed.mapInPandas(index, "vec_id long, v binary, pivot int, dist double, ring int")
-    keyed = checkpointed(keyed)
-    rings = keyed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-    entries = rings.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).toPandas()
-    asked = keyed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    keyed = packed.mapInPandas(key, "vec_id long, v binary, pivot int, ring int, dist double")
+    # Ranges of (pivot, distance) keep a ring's rows together and still split a ring that holds many.
+    keyed = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "ring", "dist", "vec_id")
+    return keyed.mapInPandas(chunks, "pivot int, ring int, n int, lo double, hi double, ids binary, dists binary, rows binary")
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with each chunk that may hold a result."""
+
+def _gaps(away: np.ndarray, directory: pd.DataFrame) -> np.ndarray:
+    """How far each ring lies at least from each query, by the triangle inequality."""
+    d = away[:, directory["pivot"]]
+    return np.maximum(np.maximum(directory["lo"].to_numpy() - d, d - directory["hi"].to_numpy()), 0)
+
+
+def searched(vectors: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFrame, DataFrame] | None:
+    """For the rows of `vectors` (vec_id, v) where is_query holds: their best (query_id, vec_id, score), and the rows each met (query_id, met)."""
+    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")).first()
+    if facts["dim"] is None:
+        return None
+    dim = facts["dim"]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = np.zeros((len(b), dim))
+            for row, v in zip(out, b["v"], strict=True):
+                row[: len(v)] = v
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [r.astype("<f8").tobytes() for r in out]})
+
+    packed = vectors.mapInPandas(pack, "vec_id long, v binary")
+    space = Space(_matrix(packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"], dim), float(facts["sq"]))
+    chunks = checkpointed(indexed(packed, space, dim))
+    directory = chunks.groupBy("pivot", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("pivot", "ring").toPandas()
+    entry = {key: i for i, key in enumerate(zip(directory["pivot"], directory["ring"], strict=True))}
+    queries = checkpointed(packed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
+    best, met, first, last = None, None, 0, 1
+
+    def asks(begin: int, end: int):
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The queries of a batch that take a ring in this round, packed by ring."""
+            for whole in batches:
+                for at in range(0, len(whole), QUERIES):
+                    b = whole.iloc[at : at + QUERIES]
+                    x, bound = _matrix(b["q"], dim), b["bound"].fillna(-np.inf).to_numpy()
+                    away, radius = space.distances(x, np.zeros(len(b))), space.radius(x, bound)
+                    gaps = _gaps(away, directory)
+                    place = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1, kind="stable")
+                    wanted = (place >= begin) & (place < end) & (gaps <= radius[:, None])
+                    for i in np.flatnonzero(wanted.any(axis=0)):
+                        own = np.flatnonzero(wanted[:, i])
+                        pivot, ring = directory["pivot"].iloc[i], directory["ring"].iloc[i]
+                        yield pd.DataFrame({
+                            "pivot": [pivot], "ring": [ring], "query_ids": [b["query_id"].to_numpy()[own].astype("<i8").tobytes()], "queries": [x[own].astype("<f8").tobytes()],
+                            "bounds": [np.stack([bound[own], away[own, pivot], radius[own]]).astype("<f8").tobytes()],
+                        })
+
+        return ask
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best k of a chunk for each query of a block, read in its annulus; met counts the rows there."""
         for b in batches:
-            if not len(b):
-                continue
-            x, ids = _matrix(b["v"], dim), b["vec_id"].to_numpy()
-            scores = np.where(some_ids[None, :] == ids[:, None], -np.inf, x @ some.T)
-            bound = np.sort(scores, axis=1)[:, -k] if len(some) >= k else np.full(len(b), -np.inf)
-            radius = np.sqrt(np.maximum((x * x).sum(axis=1) + longest - 2 * bound, 0)) * (1 + 1e-9) + 1e-6
-            away = distances(x, np.zeros(len(b)))
-            for i in range(len(b)):
-                d = away[i][entries["pivot"]]
-                e = entries[(entries["lo"] <= d + radius[i]) & (entries["hi"] >= d - radius[i])]
-                e = e.loc[e.index.repeat(e["chunks"])]
-                part = e.groupby(["pivot", "ring"]).cumcount()
-                yield pd.DataFrame({"pivot": e["pivot"], "ring": e["ring"], "part": part.astype(np.int32), "block": np.int32(ids[i] // 7 % blocks), "query_id": ids[i], "q": [b["v"].iloc[i]] * len(e), "bound": bound[i], "radius": radius[i], "away": away[i][e["pivot"]]})
-
-    routed = asked.mapInPandas(route, "pivot int, ring int, part int, block int, query_id long, q binary, bound double, radius double, away double")
-    sizes = F.broadcast(vectors.sparkSession.createDataFrame(entries[["pivot", "ring", "chunks"]]))
-    dealt = keyed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int"))
-    dealt = dealt.select("pivot", "ring", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", "dist")
-
-    def meet(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The best k of a chunk for each query, read in its annulus."""
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        if not len(data) or not len(queries):
-            return none
-        data = data.sort_values(["dist", "vec_id"])
-        x, ids, dist = _matrix(data["v"], dim), data["vec_id"].to_numpy(), data["dist"].to_numpy()
-        q = _matrix(queries["q"], dim)
-        slack = 1e-6
-        lo = np.searchsorted(dist, queries["away"].to_numpy() - queries["radius"].to_numpy() - slack)
-        hi = np.searchsorted(dist, queries["away"].to_numpy() + queries["radius"].to_numpy() + slack)
-        scores = q @ x.T
-        out = []
-        for i, (own, bound) in enumerate(zip(queries["query_id"], queries["bound"], strict=True)):
-            s = scores[i, lo[i] : hi[i]]
-            at = np.flatnonzero(s >= bound)
-            at = at[ids[lo[i] + at] != own]
-            if at.size:
-                best = at[np.lexsort((ids[lo[i] + at], -s[at]))[:k]]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[lo[i] + best], "score": s[best].astype(np.int64)}))
-        return pd.concat(out) if out else none
-
-    keys = ["pivot", "ring", "part", "block"]
-    met = dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
+            for row in b.itertuples(index=False):
+                ids, dist, x = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.dists, "<f8"), np.frombuffer(row.rows, "<f8").reshape(-1, dim)
+                own, q = np.frombuffer(row.query_ids, "<i8"), np.frombuffer(row.queries, "<f8").reshape(-1, dim)
+                bound, away, radius = np.frombuffer(row.bounds, "<f8").reshape(3, -1)
+                lo, hi = np.searchsorted(dist, away - radius - 1e-6), np.searchsorted(dist, away + radius + 1e-6)
+                some = np.flatnonzero(hi > lo)
+                if not some.size:
+                    continue
+                a, z = lo[some].min(), hi[some].max()
+                scores = q[some] @ x[a:z].T
+                place = np.arange(a, z)
+                scores[(place < lo[some, None]) | (place >= hi[some, None]) | (ids[a:z] == own[some, None]) | (scores < bound[some, None])] = -np.inf
+                if z - a > k:  # the k best, with all ties of the last
+                    scores[scores < -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]] = -np.inf
+                i, j = np.nonzero(np.isfinite(scores))
+                found = pd.DataFrame({"query_id": own[some[i]], "vec_id": ids[a + j], "score": scores[i, j].astype(np.int64), "met": 0})
+                found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                yield pd.concat([found, pd.DataFrame({"query_id": own[some], "vec_id": -1, "score": 0, "met": (hi - lo)[some]})])
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    while first < len(entry):
+        bounds = None if best is None else best.groupBy("query_id").agg(F.min("score").cast("double").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "bound")
+        state = queries.withColumn("bound", F.lit(None).cast("double")) if bounds is None else queries.join(bounds, "query_id", "left")
+        asked = checkpointed(state.mapInPandas(asks(first, last), "pivot int, ring int, query_ids binary, queries binary, bounds binary"))
+        if not asked.isEmpty():
+            both = checkpointed(chunks.select("pivot", "ring", "ids", "dists", "rows").join(asked, ["pivot", "ring"]).mapInPandas(meet, "query_id long, vec_id long, score long, met long"))
+            found = both.where("met = 0").select("query_id", "vec_id", "score")
+            ranked = (found if best is None else best.unionByName(found)).withColumn("rank", F.row_number().over(order))
+            best = checkpointed(ranked.where(F.col("rank") <= k).drop("rank"))
+            here = both.where("met > 0").select("query_id", "met")
+            met = here if met is None else met.unionByName(here)
+        first, last = last, last * (1 + GROWTH)
+    return best, met.groupBy("query_id").agg(F.sum("met").alias("met"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+    """For the rows of `vectors` (vec_id, v) where is_query holds: query_id, rank, vec_id, score."""
+    found = searched(vectors, is_query, k)
+    if found is None or found[0] is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found[0].select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")

@@ -13,7 +13,8 @@ import corpus_pipeline
 from orrery.llm import langid, packing, quality, secrets
 from orrery.llm.html import extract, main_text
 from orrery.llm.queries import QUERIES, tokenizer_path
-from orrery.llm.topk import quantised, top_k
+from orrery.llm import topk
+from orrery.llm.topk import quantised, searched, top_k
 from tests.llm.common import DOCS, documents, prose, with_odd_columns
 
 DATA = "/root/testdata/sf0.01"
@@ -209,6 +210,27 @@ def test_topk_equals_brute_force(spark):
     assert top_k(quantised(df.where("vec_id < 0")), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_prunes_clustered_vectors(spark, monkeypatch):
+    """Small chunks and blocks; on vectors in clusters a query meets less than half of the rows, and results are exact."""
+    monkeypatch.setattr(topk, "CHUNK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 16))
+    x = centres[rng.integers(20, size=2000)] / np.linalg.norm(centres, axis=1).mean() + rng.normal(0, 0.02, (2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    best, met = searched(quantised(df), F.col("vec_id") % 100 == 0)
+    rows = met.toPandas()
+    assert len(rows) == 20 and rows["met"].mean() < 0.5 * 2000 and rows["met"].min() >= 10
+    q = np.floor(1024 * np.float32(x).astype(float)).astype(int)
+    got = best.toPandas()
+    for i in range(0, 2000, 100):
+        s = q @ q[i]
+        want = sorted((-int(v), j) for j, v in enumerate(s) if j != i)[:10]
+        own = got[got["query_id"] == i]
+        assert sorted((-v, j) for v, j in zip(own["score"], own["vec_id"], strict=True)) == want
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
