@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from orrery.llm.session import checkpointed, released
 
 END = 1
-CHUNKS = 100_000
+CHUNKS = 300_000
 #: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
 #: A closing mark after a letter is always a pre-token of its own.
 CLOSERS = (".", ",")
