@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.quantiles import quantile_columns
+
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
 def percentile_bounds(df: DataFrame, x: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One row: lo and hi, the percentiles of a reference batch, to be frozen and used on others."""
-    return df.agg(F.percentile(x, F.lit(low)).alias("lo"), F.percentile(x, F.lit(high)).alias("hi"))
+    """One row: lo and hi, the percentiles of a reference batch of any size, to be frozen and used on others."""
+    return quantile_columns(df, [], x, {"lo": low, "hi": high})
 
 
 def scale_by(df: DataFrame, x: str, bounds: DataFrame, name: str) -> DataFrame:
@@ -32,10 +34,13 @@ def minmax_unit(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(bounds)).withColumn(name, unit).drop("lo", "hi", "odd")
 
 
-def positive_scale(x: Column, mode: str) -> Column:
-    """An aggregate: median, p68 or p95 of the finite values from 0 on; their maximum, then 1, where that is 0."""
-    kept = F.when(finite(x) & (x >= 0), x)
-    if mode == "none":
-        return F.lit(1.0)
-    share = {"median": 0.5, "p68": 0.68, "p95": 0.95}[mode]
-    return F.coalesce(F.nullif(F.percentile(kept, F.lit(share)), F.lit(0.0)), F.nullif(F.max(kept), F.lit(0.0)), F.lit(1.0))
+def positive_scales(df: DataFrame, by: str, x: str, modes: dict[str, str]) -> DataFrame:
+    """For each group, by name, the mode's scale: none (1), or median, p68 or p95 of the finite values from 0 on; their maximum, then 1, where that is 0."""
+    share = {"median": 0.5, "p68": 0.68, "p95": 0.95}
+    kept = df.where(finite(F.col(x)) & (F.col(x) >= 0)).withColumnRenamed(by, "__by")
+    at = quantile_columns(kept, ["__by"], x, {f"__{m}": share[m] for m in {"median", *modes.values()} - {"none"}})
+    most = kept.groupBy(F.col("__by").alias("__of")).agg(F.max(x).alias("__most"))
+    groups = df.select(by).distinct()
+    out = groups.join(at, groups[by].eqNullSafe(at["__by"]), "left").join(most, groups[by].eqNullSafe(most["__of"]), "left")
+    pick = lambda m: F.lit(1.0) if m == "none" else F.coalesce(F.nullif(F.col(f"__{m}"), F.lit(0.0)), F.nullif("__most", F.lit(0.0)), F.lit(1.0))
+    return out.select(by, *(pick(m).alias(n) for n, m in modes.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.scale import finite
-from orrery.operators.quantiles import exact_quantiles
+from orrery.operators.quantiles import quantile_columns, running_total
 
 
 def metric_block(x: str) -> list[Column]:
@@ -14,18 +14,6 @@ def metric_block(x: str) -> list[Column]:
     return [F.avg(x).alias("mean"), q(0.5).alias("p50"), q(0.68).alias("p68"), q(0.95).alias("p95"), F.max(x).alias("max")]
 
 
-def signed_block(x: str) -> list[Column]:
-    q = lambda p: F.percentile(x, F.lit(p))
-    return [F.avg(x).alias("mean"), q(0.16).alias("p16"), q(0.5).alias("p50"), q(0.84).alias("p84"), q(0.95).alias("p95"), F.max(F.abs(F.col(x))).alias("max_abs")]
-
-
-def finite_block(x: str) -> list[Column]:
-    """Of the finite values alone: count, min, p50, p68, p90, p95, max, mean."""
-    kept = F.when(finite(F.col(x)), F.col(x))
-    q = lambda p: F.percentile(kept, F.lit(p))
-    return [F.count(kept).alias("n"), F.min(kept).alias("min"), q(0.5).alias("p50"), q(0.68).alias("p68"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.max(kept).alias("max"), F.avg(kept).alias("mean")]
-
-
 def by_band_and_all(facts: DataFrame, band: str, block: list[Column]) -> DataFrame:
     """One pass with a row for each band and one, `all`, over everything."""
     return facts.groupingSets([[F.col(band)], []], F.col(band)).agg(F.grouping_id().alias("__all"), *block).withColumn(band, F.when(F.col("__all") == 0, F.col(band)).otherwise("all")).drop("__all")
@@ -35,9 +23,22 @@ def block_by_band_and_all(facts: DataFrame, band: str, x: str, shares: dict[str,
     """Mean, percentiles and maximum for each band and over all, for bands of any size: no group is ever held in a buffer."""
     both = facts.select(F.explode(F.array(F.col(band), F.lit("all"))).alias(band), x)
     plain = both.groupBy(band).agg(F.avg(x).alias("mean"), F.max(x).alias("max"))
-    at = exact_quantiles(both, [band], x, list(shares.values()))
-    pick = [F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()]
-    return plain.join(at.groupBy(band).agg(*pick), band)
+    return plain.join(quantile_columns(both, [band], x, shares), band)
+
+
+def signed_by_band_and_all(facts: DataFrame, band: str, x: str) -> DataFrame:
+    """The signed block for bands of any size."""
+    both = facts.select(F.explode(F.array(F.col(band), F.lit("all"))).alias(band), x)
+    plain = both.groupBy(band).agg(F.avg(x).alias("mean"), F.max(F.abs(F.col(x))).alias("max_abs"))
+    return plain.join(quantile_columns(both, [band], x, {"p16": 0.16, "p50": 0.5, "p84": 0.84, "p95": 0.95}), band)
+
+
+def finite_by(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """Of the finite values of each group alone: count, min, p50, p68, p90, p95, max, mean; groups may be of any size."""
+    kept = F.when(finite(F.col(x)), F.col(x))
+    plain = rows.groupBy(by).agg(F.count(kept).alias("n"), F.min(kept).alias("min"), F.max(kept).alias("max"), F.avg(kept).alias("mean"))
+    at = quantile_columns(rows.where(finite(F.col(x))), [by], x, {"p50": 0.5, "p68": 0.68, "p90": 0.9, "p95": 0.95}).withColumnRenamed(by, "__by")
+    return plain.join(at, plain[by].eqNullSafe(at["__by"]), "left").drop("__by")
 
 
 def windowed_curve(facts: DataFrame, sample: str, k: str, x: str, share: float, dex: float = 0.025) -> DataFrame:
@@ -78,19 +79,18 @@ def estimate(states: DataFrame, designs: Column | None = None, usable: int = 10,
 
 def density_from(df: DataFrame, x: str, alpha: float, name: str, eps: float = 1e-12, share: float = 0.95) -> DataFrame:
     """Missing values become the median, large ones the given percentile; (max(x, 0) + eps)^alpha, with sum 1."""
-    facts = df.agg(F.percentile(x, F.lit(0.5)).alias("__mid"))
+    facts = quantile_columns(df.where(finite(F.col(x))), [], x, {"__mid": 0.5})
     filled = df.crossJoin(F.broadcast(facts)).withColumn("__x", F.coalesce(F.when(finite(F.col(x)), F.col(x)), F.col("__mid")))
-    cap = filled.agg(F.percentile("__x", F.lit(share)).alias("__cap"))
+    cap = quantile_columns(filled, [], "__x", {"__cap": share})
     mass = filled.crossJoin(F.broadcast(cap)).withColumn("__m", F.pow(F.greatest(F.least("__x", "__cap"), F.lit(0.0)) + eps, F.lit(alpha)))
     total = mass.agg(F.sum("__m").alias("__t"))
     return mass.crossJoin(F.broadcast(total)).withColumn(name, F.col("__m") / F.col("__t")).drop("__mid", "__x", "__cap", "__m", "__t")
 
 
 def average_ranks(df: DataFrame, x: str, name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs: from counts of distinct values, so ties never meet in one task."""
-    counts = df.groupBy(x).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(x))
-    ranks = counts.select(x, (upto - (F.col("__n") - 1) / 2.0).alias(name))
+    """Ranks from 1, equal values sharing the mean of theirs: from counts of distinct values, summed range by range."""
+    counts = running_total(df.groupBy(x).agg(F.count("*").alias("__n")), x, "__n", "__upto")
+    ranks = counts.select(x, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
     return df.join(ranks, x)
 
 

@@ -1,7 +1,8 @@
 """Joins by distance between points: nearest, k nearest, kernels, tolerances, brackets along an axis.
 
-The reference side (a design, knots, hot probes) is checked to be small and broadcast in blocks of at most
-BLOCK rows, each block as one array; so a query row meets a block in one expression and no pair becomes a row.
+The reference side (a design, knots, hot probes) travels in blocks of about BLOCK rows, each block as one array;
+so a query row meets a block in one expression and no pair becomes a row. Up to BROADCAST_BLOCKS blocks, as
+counted, are broadcast; more are met partition by partition, so that no task holds the whole reference.
 """
 
 from __future__ import annotations
@@ -12,21 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.box import distance, squared_distance
+from orrery.operators.quantiles import running_total
 
 BLOCK = 4096
+#: As many blocks are broadcast together; beyond, each task reads the blocks of its own pairs of partitions instead.
+BROADCAST_BLOCKS = 32
 
 
 def blocks(reference: DataFrame, fields: list[str], limit: int = BLOCK) -> DataFrame:
-    """One row with an array of structs for each block of at most about `limit` rows."""
+    """One row with an array of structs for each block of about `limit` rows, hinted for broadcast if there are few."""
     n = max(1, -(-reference.count() // limit))
     dealt = reference.select(F.struct(*fields).alias("r"), F.pmod(F.xxhash64(*(F.col(f) for f in fields)), F.lit(n)).alias("block"))
-    return dealt.groupBy("block").agg(F.collect_list("r").alias("refs"))
+    out = dealt.groupBy("block").agg(F.collect_list("r").alias("refs"))
+    return F.broadcast(out) if n <= BROADCAST_BLOCKS else out
 
 
 def nearest_distance(queries: DataFrame, reference: DataFrame, u: str, name: str, other_than_self: bool = False) -> DataFrame:
     """Each query's distance to its nearest reference row (id, u); infinite where there is none."""
     near = lambda r: F.when(r["id"] == F.col("id"), F.lit(float("inf"))).otherwise(distance(F.col(u), r["u"])) if other_than_self else distance(F.col(u), r["u"])
-    own = queries.crossJoin(F.broadcast(blocks(reference.select("id", F.col(u).alias("u")), ["id", "u"])))
+    own = queries.crossJoin(blocks(reference.select("id", F.col(u).alias("u")), ["id", "u"]))
     found = own.withColumn("__d", F.array_min(F.transform("refs", near))).groupBy("id").agg(F.min("__d").alias(name))
     return queries.join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(float("inf"))))
 
@@ -34,7 +39,7 @@ def nearest_distance(queries: DataFrame, reference: DataFrame, u: str, name: str
 def nearest_k(queries: DataFrame, reference: DataFrame, k: int, extra: list[str]) -> DataFrame:
     """The k nearest reference rows of each query: id, rn, distance d and the reference's id and extra columns as ref_*."""
     fields = ["id", "u", *extra]
-    own = queries.select("id", "u").crossJoin(F.broadcast(blocks(reference.select(*fields), fields)))
+    own = queries.select("id", "u").crossJoin(blocks(reference.select(*fields), fields))
     met = F.transform("refs", lambda r: F.struct(distance(F.col("u"), r["u"]).alias("d"), r["id"].alias("ref_id"), *(r[e].alias(f"ref_{e}") for e in extra)))
     best = own.select("id", F.explode(F.slice(F.array_sort(met), 1, k)).alias("m")).select("id", "m.*")
     rn = F.row_number().over(Window.partitionBy("id").orderBy("d", "ref_id"))
@@ -43,7 +48,7 @@ def nearest_k(queries: DataFrame, reference: DataFrame, k: int, extra: list[str]
 
 def kernel_mean(queries: DataFrame, reference: DataFrame, y: str, width: float, name: str) -> DataFrame:
     """Mean of y over the reference, weighted by exp(-d^2 / 2 width^2)."""
-    own = queries.crossJoin(F.broadcast(blocks(reference.select("id", "u", F.col(y).alias("y")), ["id", "u", "y"])))
+    own = queries.crossJoin(blocks(reference.select("id", "u", F.col(y).alias("y")), ["id", "u", "y"]))
     weight = lambda r: F.exp(-squared_distance(F.col("u"), r["u"]) / (2.0 * width * width))
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wy"))
     sums = F.aggregate(F.transform("refs", lambda r: F.struct(weight(r).alias("w"), (weight(r) * r["y"]).alias("wy"))), zero, lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), (a["wy"] + x["wy"]).alias("wy")))
@@ -80,7 +85,7 @@ def match_rows(left: DataFrame, right: DataFrame, digits: int = 12) -> DataFrame
 
 def within_tolerance(queries: DataFrame, reference: DataFrame, atol: float, rtol: float = 0.0) -> DataFrame:
     """The first reference row with every coordinate within atol + rtol |reference|, null where there is none."""
-    own = queries.select("id", "u").crossJoin(F.broadcast(blocks(reference.select("id", "u"), ["id", "u"])))
+    own = queries.select("id", "u").crossJoin(blocks(reference.select("id", "u"), ["id", "u"]))
     close = lambda r: F.forall(F.zip_with("u", r["u"], lambda a, b: F.abs(a - b) <= atol + rtol * F.abs(b)), lambda x: x)
     first = F.array_min(F.transform(F.filter("refs", close), lambda r: r["id"]))
     return own.withColumn("__m", first).groupBy("id").agg(F.min("__m").alias("match_id"))
@@ -90,7 +95,7 @@ def rank_quantile(values: DataFrame, support: DataFrame, x: str, name: str) -> D
     """Share of the support at or below each value: one sort of both together, no pairs."""
     both = support.select(F.col(x).alias("__x"), F.lit(1).alias("__s")).unionAll(values.select(F.col(x).alias("__x"), F.lit(0).alias("__s")))
     counts = both.groupBy("__x").agg(F.sum("__s").alias("__s"))
-    upto = counts.withColumn("__c", F.sum("__s").over(Window.orderBy("__x"))).drop("__s")
+    upto = running_total(counts, "__x", "__s", "__c").drop("__s")
     total = F.broadcast(support.agg(F.count("*").alias("__n")))
     return values.join(upto, values[x] == upto["__x"]).crossJoin(total).withColumn(name, F.col("__c") / F.col("__n")).drop("__x", "__c", "__n")
 
@@ -138,14 +143,14 @@ def hermite(x: Column, x0: Column, y0: Column, m0: Column, x1: Column, y1: Colum
 
 def pair_sum(points: DataFrame, term) -> DataFrame:
     """Sum over i < j of term(u_i, u_j): each point meets the whole set as blocks, one row out for each point and block."""
-    own = points.select("id", "u").crossJoin(F.broadcast(blocks(points.select("id", "u"), ["id", "u"])))
+    own = points.select("id", "u").crossJoin(blocks(points.select("id", "u"), ["id", "u"]))
     inner = F.aggregate(F.filter("refs", lambda r: r["id"] > F.col("id")), F.lit(0.0), lambda s, r: s + term(F.col("u"), r["u"]))
     return own.agg(F.sum(inner).alias("value"))
 
 
 def repulsion(points: DataFrame, eta: float, length: float, soft: float) -> DataFrame:
     """One evaluation of the pair force on each point: eta sum exp(-d^2 / 2 l^2) / (d^2 + soft^2) (u_i - u_j)."""
-    own = points.select("id", "u").crossJoin(F.broadcast(blocks(points.select("id", "u"), ["id", "u"])))
+    own = points.select("id", "u").crossJoin(blocks(points.select("id", "u"), ["id", "u"]))
     dims = F.posexplode("u").alias("dim", "x")
     push = lambda r: F.exp(-squared_distance(F.col("u"), r["u"]) / (2 * length * length)) / (squared_distance(F.col("u"), r["u"]) + soft * soft)
     weighted = F.transform(F.filter("refs", lambda r: r["id"] != F.col("id")), lambda r: F.struct(push(r).alias("w"), r["u"].alias("v")))

@@ -44,12 +44,12 @@ def metric_block_grouping_sets(spark, d):
 @query(f"WITH {FACTS_SQL}, s AS (SELECT *, (pred / greatest(truth, 1e-30) - 1.0) * 100.0 AS e FROM facts) SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, round(avg(e), 6) AS mean, {_q('e', 0.16)} AS p16, {_q('e', 0.5)} AS p50, {_q('e', 0.84)} AS p84, {_q('e', 0.95)} AS p95, round(max(abs(e)), 6) AS max_abs FROM s GROUP BY GROUPING SETS ((band), ())")
 def signed_metrics_by_band(spark, d):
     f = facts(spark, d).withColumn("e", targets.signed_percent(F.col("pred"), F.col("truth")))
-    return rounded(m.by_band_and_all(f, "band", m.signed_block("e")))
+    return rounded(m.signed_by_band_and_all(f, "band", "e"))
 
 
 @query(f"SELECT event_type, count(v) AS n, round(min(v), 6) AS min, {_q('v', 0.5)} AS p50, {_q('v', 0.68)} AS p68, {_q('v', 0.9)} AS p90, {_q('v', 0.95)} AS p95, round(max(v), 6) AS max, round(avg(v), 6) AS mean FROM (SELECT event_type, CASE WHEN isfinite(value) THEN value END AS v FROM events) GROUP BY event_type")
 def finite_metric_block(spark, d):
-    return rounded(table(spark, d, "events").groupBy("event_type").agg(*m.finite_block("value")))
+    return rounded(m.finite_by(table(spark, d, "events"), "event_type", "value"))
 
 
 _LADDER = [0.0, 0.05, 0.16, 0.25, 0.5, 0.75, 0.84, 0.95, 1.0]

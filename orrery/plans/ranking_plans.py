@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import box, scale, targets
 from orrery.operators import ranking as rk
 from orrery.operators import sets
+from orrery.operators.quantiles import quantile_columns
 from orrery.plans.common import FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -30,8 +33,7 @@ def frozen_bounds_scale(spark, d):
 
 @query("SELECT event_type, " + ", ".join(f"round(coalesce(nullif(quantile_cont(value, {p}) FILTER (WHERE value >= 0), 0.0), nullif(max(value) FILTER (WHERE value >= 0), 0.0), 1.0), 6) AS {n}" for n, p in (("med", 0.5), ("p68", 0.68), ("p95", 0.95))) + " FROM events GROUP BY event_type")
 def positive_score_scale(spark, d):
-    x = F.col("value")
-    return rounded(table(spark, d, "events").groupBy("event_type").agg(scale.positive_scale(x, "median").alias("med"), scale.positive_scale(x, "p68").alias("p68"), scale.positive_scale(x, "p95").alias("p95")))
+    return rounded(scale.positive_scales(table(spark, d, "events"), "event_type", "value", {"med": "median", "p68": "p68", "p95": "p95"}))
 
 
 @query("WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, round(least(greatest((p_retailprice - lo) / greatest(hi - lo, 1e-12), 0.0), 1.0), 6) AS unit, round((p_retailprice * 1.5 - lo) / greatest(hi - lo, 1e-12), 6) AS unclipped FROM part, b")
@@ -46,7 +48,8 @@ def unit_box_normalize(spark, d):
 def acquisition_score(spark, d):
     """A weighted sum of robustly scaled terms, the boundary term taken off."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount")
-    bounds = li.agg(*(F.percentile(c, F.lit(p)).alias(f"{c}_{n}") for c in ("l_extendedprice", "l_quantity", "l_discount") for n, p in (("lo", 0.05), ("hi", 0.95))))
+    terms = ("l_extendedprice", "l_quantity", "l_discount")
+    bounds = reduce(DataFrame.crossJoin, (quantile_columns(li, [], c, {f"{c}_lo": 0.05, f"{c}_hi": 0.95}) for c in terms))
     unit = lambda c: box.clip_unit((F.col(c) - F.col(f"{c}_lo")) / (F.col(f"{c}_hi") - F.col(f"{c}_lo")))
     both = li.crossJoin(F.broadcast(bounds))
     score = 0.5 * unit("l_extendedprice") + 0.3 * unit("l_quantity") - 0.2 * unit("l_discount")
@@ -126,7 +129,7 @@ def risk_functionals(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cand"), (F.col("l_extendedprice") / 1000).alias("before"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("after"))
     q = li.groupBy("cand").agg(F.percentile("before", F.lit(0.68)).alias("q"))
     place = (F.row_number().over(Window.partitionBy("cand").orderBy("before", "after")) - 0.5) / F.count("*").over(Window.partitionBy("cand"))
-    x = li.join(F.broadcast(q), "cand").withColumn("gain", F.col("before") - F.col("after")).withColumn("place", place)
+    x = li.join(q, "cand").withColumn("gain", F.col("before") - F.col("after")).withColumn("place", place)
     x = x.withColumn("shell", rk.shell_weight(F.col("before"), F.col("q"))).withColumn("body", rk.rank_window_weight(F.col("place")))
     over = lambda c: F.avg(F.greatest(F.col(c) - F.col("q"), F.lit(0.0)))
     near = F.abs(F.col("before") - F.col("q")) <= 0.15 * F.col("q")

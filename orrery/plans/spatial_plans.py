@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import box
 from orrery.operators import spatial as s
 from orrery.operators.metrics import spearman as spearman_of
+from orrery.operators.quantiles import quantile_columns
 from orrery.plans.common import POINTS_SQL, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -102,10 +103,10 @@ def spearman(spark, d):
 @query("WITH b AS (SELECT least(CAST(floor(l_discount / 0.02) AS INTEGER), 4) AS bin, l_quantity AS a, l_extendedprice AS e FROM lineitem), t AS (SELECT quantile_cont(l_extendedprice, 0.75) AS top FROM lineitem) SELECT bin, count(*) AS n, round(avg(a), 6) AS mean_a, round(quantile_cont(e, 0.25), 6) AS q25, round(median(e), 6) AS med, round(quantile_cont(e, 0.75), 6) AS q75, round(avg(CASE WHEN e >= top THEN 1.0 ELSE 0.0 END), 6) AS top_share, round(avg(CASE WHEN e >= top THEN 1.0 ELSE 0.0 END) / 0.25, 6) AS lift FROM b, t GROUP BY bin")
 def enrichment_bins(spark, d):
     li = table(spark, d, "lineitem").select(F.least(F.floor(F.col("l_discount") / 0.02).cast("int"), F.lit(4)).alias("bin"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("e"))
-    top = F.broadcast(li.agg(F.percentile("e", F.lit(0.75)).alias("top")))
+    top = F.broadcast(quantile_columns(li, [], "e", {"top": 0.75}))
     share = F.avg(F.when(F.col("e") >= F.col("top"), 1.0).otherwise(0.0))
-    q = lambda p: F.percentile("e", F.lit(p))
-    return rounded(li.crossJoin(top).groupBy("bin").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), q(0.25).alias("q25"), q(0.5).alias("med"), q(0.75).alias("q75"), share.alias("top_share"), (share / 0.25).alias("lift")))
+    per = li.crossJoin(top).groupBy("bin").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), share.alias("top_share"), (share / 0.25).alias("lift"))
+    return rounded(per.join(quantile_columns(li, ["bin"], "e", {"q25": 0.25, "med": 0.5, "q75": 0.75}), "bin"))
 
 
 _KNOTS = "knots AS (SELECT floor(p_size / 5.0) * 5.0 AS x, avg(p_retailprice) AS y FROM part GROUP BY 1)"

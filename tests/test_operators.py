@@ -246,3 +246,24 @@ def test_shuffle_partitions_do_not_matter(spark):
         assert run(1) == run(7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_quantiles_and_running_totals_of_large_groups(spark):
+    """Groups beyond 2 * accuracy rows are bracketed by approximations; totals cross the ends of ranges."""
+    import numpy as np
+
+    from orrery.operators.quantiles import running_total
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=60_000), "b": np.round(rng.normal(size=25_000), 1), "c": np.full(21_000, 3.0)}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), (None, 1.0), (None, 2.0)], "g string, x double")
+    shares = [0.0, 0.001, 0.16, 0.5, 0.68, 0.95, 1.0]
+    for broadcast in (True, False):
+        got = {(r["g"], r["share"]): r["value"] for r in exact_quantiles(rows, ["g"], "x", shares, broadcast_groups=broadcast).collect()}
+        assert len(got) == 4 * len(shares) and got[None, 0.5] == 1.5
+        for g, vs in values.items():
+            assert np.allclose([got[g, s] for s in shares], np.quantile(vs, shares))
+    counts = rows.where("g = 'a' and x is not null").groupBy("x").count()
+    total = running_total(counts, "x", "count", "upto").toPandas().sort_values("x")
+    assert (total["upto"].to_numpy() == total["count"].cumsum().to_numpy()).all()
+    assert running_total(counts.where("x > 99"), "x", "count", "upto").count() == 0
