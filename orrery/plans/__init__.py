@@ -1,7 +1,7 @@
 """Named queries over the driver's tables and their SQL oracles."""
 
-from orrery.plans import metric_plans, model_plans, ranking_plans, spatial_plans, state_plans
+from orrery.plans import candidate_plans, metric_plans, model_plans, ranking_plans, spatial_plans, state_plans
 
 QUERIES, ORACLES = metric_plans.Q, metric_plans.SQL
 
-__all__ = ["ORACLES", "QUERIES", "metric_plans", "model_plans", "ranking_plans", "spatial_plans", "state_plans"]
+__all__ = ["ORACLES", "QUERIES", "candidate_plans", "metric_plans", "model_plans", "ranking_plans", "spatial_plans", "state_plans"]
