@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.axis import band_of, trapezoid_weights
 from orrery.operators import generators as g
-from orrery.operators import geometry, models, solvers
+from orrery.operators import emulator, geometry, models, solvers
 from orrery.plans.common import BANDS, EDGES, FACTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -143,3 +143,13 @@ def weight_ema_update(spark, d):
 def active_learning(spark, d):
     p = points(spark, d)
     return rounded(solvers.active_learning(p, p.where("label = 0").orderBy("id").limit(16), rounds=3, batch=8))
+
+
+@query()
+def emulator_predict(spark, d):
+    """Ratios along the axis for all suppliers, learned from the nations: a design of 25 points at most, however many suppliers."""
+    sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("nation"), ((F.col("s_acctbal") + 1000) / 11000).alias("bal"))
+    ratio = facts(spark, d).join(sup, "sample").groupBy("nation", "k").agg(F.avg(F.log(F.col("pred") / F.col("truth"))).alias("y"))
+    design = sup.groupBy("nation").agg(F.array(F.avg("bal"), F.first("nation") / 25.0).alias("u"))
+    queries = sup.select(F.col("sample").alias("id"), F.array("bal", F.col("nation") / 25.0).alias("u"))
+    return rounded(emulator.emulate(ratio, design, queries, "nation", "k", "y", 3))

@@ -267,3 +267,34 @@ def test_quantiles_and_running_totals_of_large_groups(spark):
     total = running_total(counts, "x", "count", "upto").toPandas().sort_values("x")
     assert (total["upto"].to_numpy() == total["count"].cumsum().to_numpy()).all()
     assert running_total(counts.where("x > 99"), "x", "count", "upto").count() == 0
+
+
+def test_emulator_fits_and_predicts(spark):
+    """The gradient against differences; smooth spectra at points that the design doesn't hold; the numpy way back."""
+    import numpy as np
+
+    from orrery.operators import emulator
+
+    rng = np.random.default_rng(6)
+    x, logs = rng.random((25, 2)), np.log([0.4, 0.8, 1.3, 1e-2])
+    y = np.sin(4 * x[:, 0]) + 0.3 * x[:, 1]
+    value, gradient = emulator.likelihood(x, y, logs)
+    for i in range(4):
+        step = np.zeros(4)
+        step[i] = 1e-5
+        assert abs((emulator.likelihood(x, y, logs + step)[0] - emulator.likelihood(x, y, logs - step)[0]) / 2e-5 - gradient[i]) < 1e-3 * max(1, abs(gradient[i]))
+    found = emulator.fit(x, (y - y.mean()) / y.std())
+    assert emulator.likelihood(x, (y - y.mean()) / y.std(), found)[0] > emulator.likelihood(x, (y - y.mean()) / y.std(), logs)[0]
+    assert np.exp(found[1]) > np.exp(found[0])  # the smoother dimension gets the longer scale
+
+    k = np.linspace(0, 1, 7)
+    u = rng.random((60, 2))
+    truth = np.sin(3 * u[:, [0]] + k) + u[:, [1]] * k**2
+    facts = spark.createDataFrame([(i, float(kk), float(v)) for i in range(60) for kk, v in zip(k, truth[i], strict=True)], "sample long, k double, y double")
+    points = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(u)], "sample long, u array<double>")
+    out = emulator.emulate(facts, points.where("sample < 40"), points.withColumnRenamed("sample", "id"), "sample", "k", "y", 4).toPandas()
+    assert len(out) == 60 * 7
+    error = np.abs(out["value"].to_numpy() / np.exp(truth[out["id"], np.round(out["axis"] * 6).astype(int)]) - 1)
+    assert np.quantile(error[out["id"] >= 40], 0.68) < 0.02 and np.quantile(error[out["id"] < 40], 0.95) < 0.02
+    with __import__("pytest").raises(ValueError):
+        emulator.fit_components(spark.range(emulator.MOST_FIT + 1).selectExpr("id as sample", "array(0.5D) as u"), facts, "sample")
