@@ -59,6 +59,25 @@ def spectra(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return require(df, (F.col("k") > 0) & (F.col("power") > 0), "k and power must be positive")
 
 
+def rising(df: DataFrame, by: str, order: str, x: str) -> DataFrame:
+    """The rows, if x rises strictly along `order` in each group; else the query ends."""
+    before = F.lag(x).over(Window.partitionBy(by).orderBy(order))
+    return require(df.withColumn("__before", before), F.col("__before").isNull() | (F.col(x) > F.col("__before")), f"{x} must rise strictly").drop("__before")
+
+
+def replay(spark: SparkSession, path: str, iteration: int, lo: list[float], hi: list[float]) -> DataFrame:
+    """The stored selection of one iteration, in its order, raw and unit coordinates; the one that is missing follows from the other.
+
+    `path` holds JSON rows iteration, position and theta_raw or theta_unit (arrays of numbers).
+    """
+    rows = spark.read.schema("iteration int, position int, theta_raw array<double>, theta_unit array<double>").json(path).where(F.col("iteration") == iteration)
+    low, high = (F.array(*(F.lit(float(x)) for x in b)) for b in (lo, hi))
+    span = lambda i: F.get(high, i) - F.get(low, i)
+    raw = F.coalesce("theta_raw", F.transform("theta_unit", lambda u, i: F.get(low, i) + u * span(i)))
+    unit = F.coalesce("theta_unit", F.transform("theta_raw", lambda x, i: (x - F.get(low, i)) / span(i)))
+    return require(rows.select("iteration", "position", raw.alias("theta_raw"), unit.alias("theta_unit")), F.size("theta_raw") == len(lo), f"a point must have {len(lo)} coordinates").orderBy("position")
+
+
 def sample(df: DataFrame, by: str, count: int, seed: int) -> DataFrame:
     """`count` rows without replacement, the same ones at every run and partitioning."""
     return df.orderBy(F.xxhash64(F.col(by), F.lit(seed)), by).limit(count).orderBy(by)
@@ -99,10 +118,12 @@ def points(spark: SparkSession, path: str, keys: list[str] | None = None) -> Dat
 
 
 def simulation_tables(spark: SparkSession, root: str, factor: float = 1.0) -> DataFrame:
-    """Text tables <root>/<id>/*.txt of k and power as simulation, k, power * factor; k must rise in each file."""
-    lines = spark.read.text(f"{root}/*/*.txt").select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")).where(~F.col("line").rlike("^(#|$)"))
+    """Text tables <root>/<id>/*.txt of k and power as simulation, k, power * factor; k must rise in each file, else the query ends."""
+    lines = spark.read.option("wholetext", True).text(f"{root}/*/*.txt").select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"\r$", ""))).where(~F.col("line").rlike("^(#|$)"))
     parts = F.split("line", r"\s+")
-    return lines.select(F.regexp_extract("file", "/([^/]+)/[^/]+$", 1).alias("simulation"), parts[0].cast("double").alias("k"), (parts[1].cast("double") * factor).alias("power"))
+    lines = rising(lines.withColumn("k", parts[0].cast("double")), "file", "at", "k")
+    return lines.select(F.regexp_extract("file", "/([^/]+)/[^/]+$", 1).alias("simulation"), "k", (parts[1].cast("double") * factor).alias("power"))
 
 
 def registry(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:

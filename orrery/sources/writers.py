@@ -67,3 +67,32 @@ def cached(spark: SparkSession, root: str, keys: dict, make) -> tuple[DataFrame,
     except AnalysisException:
         make(spark).write.mode("ignore").parquet(path)
         return spark.read.parquet(path), "missing"
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """A run's report: each table in a folder of its own, and a manifest of their rows, columns and an order-free digest."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = spark.read.parquet(f"{path}/{name}")
+        facts = kept.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*kept.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
+        rows.append((name, facts["rows"], kept.schema.simpleString(), facts["digest"]))
+    manifest = spark.createDataFrame(rows, "name string, rows long, columns string, digest string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return manifest
+
+
+def write_bias_field(field: DataFrame, path: str, usable: int = 10, confident: int = 20) -> DataFrame:
+    """The bias field (id, mean, std, se, n), its density (mean's share, 0 where unsupported) and its support, as one report."""
+    total = field.where(F.col("n") >= usable).agg(F.sum(F.greatest("mean", F.lit(0.0))).alias("__t"))
+    density = field.crossJoin(F.broadcast(total)).select("id", F.coalesce(F.when(F.col("n") >= usable, F.greatest("mean", F.lit(0.0)) / F.col("__t")), F.lit(0.0)).alias("density"))
+    support = field.agg(F.count("*").alias("points"), F.count_if(F.col("n") >= usable).alias("usable"), F.count_if(F.col("n") >= confident).alias("high_confidence"), F.count("mean").alias("finite"))
+    return write_report({"field": field, "density": density, "support": support}, path)
+
+
+def write_evaluation(facts: DataFrame, path: str, k: str, truth: str, predicted: str) -> DataFrame:
+    """An evaluation's payload: the facts with signed relative bias, and its mean and spread at each k, as one report."""
+    rows = facts.withColumn("signed_relative_bias", F.col(predicted) / F.col(truth) - 1)
+    curve = rows.groupBy(k).agg(F.count("*").alias("n"), F.avg("signed_relative_bias").alias("mean"), F.stddev_pop("signed_relative_bias").alias("std"))
+    return write_report({"facts": rows, "curve": curve}, path)

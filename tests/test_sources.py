@@ -84,3 +84,31 @@ def test_catalog_and_box(spark):
     assert [r["id"] for r in steps.apply(spark.range(2)).collect()] == [0, 2]
     unit = spark.createDataFrame([([0.5, 1.0],)], "u array<double>")
     assert readers.in_box(unit, "u", [0, 10], [2, 20], True).first()["u"] == [1, 20]
+
+
+def test_reports_and_replay(spark, tmp_path):
+    field = spark.createDataFrame([(1, 0.5, 0.1, 0.02, 25), (2, 1.5, 0.1, 0.03, 12), (3, None, None, None, 0)], "id long, mean double, std double, se double, n long")
+    manifest = {r["name"]: r for r in writers.write_bias_field(field, f"{tmp_path}/bias").collect()}
+    assert {n: r["rows"] for n, r in manifest.items()} == {"field": 3, "density": 3, "support": 1}
+    assert [r["density"] for r in spark.read.parquet(f"{tmp_path}/bias/density").orderBy("id").collect()] == [0.25, 0.75, 0.0]
+    assert spark.read.parquet(f"{tmp_path}/bias/support").first().asDict() == {"points": 3, "usable": 2, "high_confidence": 1, "finite": 2}
+    again = {r["name"]: r for r in writers.write_bias_field(field.repartition(3), f"{tmp_path}/bias2").collect()}
+    assert again["field"]["digest"] == manifest["field"]["digest"] and spark.read.json(f"{tmp_path}/bias/manifest").count() == 3
+
+    facts = spark.createDataFrame([(0.1, 2.0, 2.2), (0.1, 4.0, 4.0), (0.2, 1.0, 0.5)], "k double, truth double, pred double")
+    writers.write_evaluation(facts, f"{tmp_path}/eval", "k", "truth", "pred")
+    curve = {r["k"]: r for r in spark.read.parquet(f"{tmp_path}/eval/curve").collect()}
+    assert abs(curve[0.1]["mean"] - 0.05) < 1e-9 and curve[0.2]["mean"] == -0.5
+
+    (tmp_path / "sel.json").write_text('{"iteration": 1, "position": 1, "theta_unit": [0.5, 0.25]}\n{"iteration": 1, "position": 0, "theta_raw": [2.0, 4.0]}\n{"iteration": 2, "position": 0, "theta_raw": [1.0, 1.0]}\n')
+    got = readers.replay(spark, f"{tmp_path}/sel.json", 1, [0.0, 2.0], [4.0, 10.0]).collect()
+    assert [(list(r["theta_raw"]), list(r["theta_unit"])) for r in got] == [([2.0, 4.0], [0.5, 0.25]), ([2.0, 4.0], [0.5, 0.25])]
+
+
+def test_rising_axes(spark, tmp_path):
+    for name, ks in (("good", (1, 2, 3)), ("bad", (1, 3, 2))):
+        (tmp_path / name / "7").mkdir(parents=True)
+        (tmp_path / name / "7" / "p.txt").write_text("# k p\n" + "".join(f"{k} {k * 2}\n" for k in ks))
+    assert [(r["simulation"], r["k"], r["power"]) for r in readers.simulation_tables(spark, f"{tmp_path}/good").orderBy("k").collect()] == [("7", 1.0, 2.0), ("7", 2.0, 4.0), ("7", 3.0, 6.0)]
+    with pytest.raises(Exception, match="rise"):
+        readers.simulation_tables(spark, f"{tmp_path}/bad").collect()
