@@ -403,6 +403,27 @@ def test_pipeline_stages(spark):
     assert pieces.select("doc_id").distinct().count() == count
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables in every stage."""
+    folder = "/root/testdata/sf0.001"
+    rows = [*ODD, *((100 + i, " ".join(prose(80, i))) for i in range(6)), (200, None, None, None), (201, "a line\n" * 500)]
+    docs = with_odd_columns(documents(spark, rows))
+    ids = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} <= ids, name
+        assert stage(spark, docs.where("doc_id = -9"), folder).count() == 0, name
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["near_dedup"](spark, docs, folder).collect()
+    assert sum(r["doc_id"] == 5 for r in one) == 1 and sum(r["text"] is None or r["text"] == "" for r in one) == 1
+    assert stages["decontaminate"](spark, docs, folder).count() == len(rows)
+    lines = {r["doc_id"]: r["text"] for r in stages["line_dedup"](spark, docs, folder).collect()}
+    assert lines[1] is None and lines[201] == "a line\n" * 500
+    pieces = stages["packing"](spark, docs, folder)
+    assert pieces.select("doc_id").distinct().count() == len(ids) and pieces.where("length < 1").count() == 0
+    assert stages["packing"](spark, docs.where("doc_id = -9"), folder).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_runs(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
