@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages: each takes all documents its predecessor kept, as Parquet reread."""
+"""A corpus pipeline of five stages: each takes all documents its predecessor kept, as Parquet reread.
+
+Defined results, for every stage: a null text counts as an empty one and stays null; rows without an id are
+documents like others; other columns stay as they are, whatever their names; an empty table stays empty. Rows
+repeated whole are scored, cleaned and decontaminated alike, and near_dedup keeps one of them. With no labelled
+documents the classifier rejects none; packing gives every document, an empty one too, its end id.
+"""
 
 from __future__ import annotations
 
