@@ -1,7 +1,8 @@
 """Rankings: quota top-k, re-ranking of a prefix, guards, merges. Ties always go to the smaller id.
 
-A ranking is a table with an explicit position rn from 1. Whole-table positions are only given to tables
-already cut to a top-k; a cut itself is an orderBy with a limit, which each partition does before any shuffle.
+A ranking is a table with an explicit position rn from 1. One window over a table is only used where the table
+is already cut to a top-k; a cut itself is an orderBy with a limit, which each partition does before any shuffle.
+`whole_positions` numbers a table of any size, and `keep_tail` puts a re-ranked prefix back into such a ranking.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.quantiles import ACCURACY, RANGES, running_total
+
 
 def top(df: DataFrame, score: str, n: int, by: str = "id") -> DataFrame:
     return df.orderBy(F.desc(score), by).limit(n)
@@ -19,6 +22,30 @@ def positions(df: DataFrame, *order: Column | str, name: str = "rn") -> DataFram
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def whole_positions(df: DataFrame, score: str, by: str = "id", name: str = "rn", ranges: int = RANGES) -> DataFrame:
+    """Positions by falling score, then by rising numeric `by`, in a table of any size; null and NaN scores come last.
+
+    Rows are counted by score and range of `by`. Running totals of the counts say where such a cell begins, and only
+    its own rows are numbered in one window, so many rows of one score are spread over the ranges.
+    """
+    ends = sorted(set(df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], ACCURACY).alias("e")).first()["e"] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(by))) if ends else F.lit(0)
+    last = F.col(score).isNull() | F.isnan(score)
+    dealt = df.withColumn("__key", F.when(last, F.lit(float("inf"))).otherwise(-F.col(score).cast("double")) + 0.0).withColumn("__part", part)
+    cells = dealt.groupBy("__key", "__part").agg(F.count("*").alias("__n"))
+    upto = running_total(cells.groupBy("__key").agg(F.sum("__n").alias("__all")), "__key", "__all", "__upto")
+    earlier = F.sum("__n").over(Window.partitionBy("__key").orderBy("__part")) - F.col("__n")
+    begins = cells.withColumn("__earlier", earlier).join(upto, "__key").select("__key", "__part", (F.col("__upto") - F.col("__all") + F.col("__earlier")).alias("__begin"))
+    nth = F.row_number().over(Window.partitionBy("__key", "__part").orderBy(by))
+    return dealt.join(begins, ["__key", "__part"]).withColumn(name, F.col("__begin") + nth).drop("__key", "__part", "__begin")
+
+
+def keep_tail(df: DataFrame, score: str, prefix: DataFrame) -> DataFrame:
+    """The whole ranking by score, its first rows in the order of `prefix` (id, rn), a re-ranked top-k, which is broadcast."""
+    again = F.broadcast(prefix.select("id", F.col("rn").alias("__new")))
+    return whole_positions(df, score).join(again, "id", "left").withColumn("rn", F.coalesce("__new", "rn")).drop("__new")
+
+
 def quota_top(df: DataFrame, score: str, flag: Column, n: int, cap: float) -> DataFrame:
     """Top n of which at most floor(cap n) are flagged; if there are not enough others, flagged ones fill up."""
     quota = int(cap * n)
@@ -54,6 +81,19 @@ def rerank_prefix(ranking: DataFrame, k: int, exact: str) -> DataFrame:
     return positions(ranking, F.desc(head), F.when(head, -F.col(exact)), "rn", name="__new").drop("rn").withColumnRenamed("__new", "rn")
 
 
+def set_aware(ranking: DataFrame, score: str, terms: dict[str, float], ratio: float) -> DataFrame:
+    """Rows within a ratio of the top score come first, by the weighted sum of their terms, each scaled to 0..1 among them."""
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = ranking.withColumn("__near", F.col(score) >= ratio * F.max(score).over(everything))
+    own = lambda c: F.when(F.col("__near"), F.col(c))
+    bounds = {f"__{i}": (F.min(own(c)).over(everything), F.max(own(c)).over(everything)) for i, c in enumerate(terms)}
+    near = near.withColumns({f"{n}{end}": x for n, (lo, hi) in bounds.items() for end, x in (("lo", lo), ("hi", hi))})
+    unit = lambda n, c: F.when(F.col(f"{n}hi") - F.col(f"{n}lo") > 1e-30, (F.col(c) - F.col(f"{n}lo")) / (F.col(f"{n}hi") - F.col(f"{n}lo"))).otherwise(0.0)
+    total = F.round(sum((w * unit(f"__{i}", c) for i, (c, w) in enumerate(terms.items())), F.lit(0.0)), 9)
+    placed = positions(near, F.desc("__near"), F.when(F.col("__near"), -total), "rn", name="__new")
+    return placed.select(*(c for c in ranking.columns if c != "rn"), F.col("__new").alias("rn"))
+
+
 def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
     """Distinct ids of two rankings, in the order in which they first appear."""
     both = first.select("id", F.lit(0).alias("part"), "rn").unionAll(second.select("id", F.lit(1).alias("part"), "rn"))

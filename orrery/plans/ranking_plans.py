@@ -12,7 +12,7 @@ from orrery.operators import ranking as rk
 from orrery.operators import sets
 from orrery.operators.quantiles import quantile_columns
 from orrery.plans.common import FACTS_SQL, POINTS_SQL, facts, points, rounded, table
-from orrery.plans.metric_plans import query
+from orrery.plans.metric_plans import SQL, query
 
 
 @query("WITH b AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events) SELECT event_id, round(CASE WHEN hi > lo THEN least(greatest((value - lo) / (hi - lo), 0.0), 1.0) ELSE 0.0 END, 6) AS unit FROM events, b")
@@ -117,6 +117,49 @@ def spacefill_blend(spark, d):
     return rounded(rk.positions(blend, F.desc(F.round("blend", 9)), "id").select("id", "blend", "rn"))
 
 
+_SET_TERMS = {"score": 0.4, "risk": 0.3, "edge": 0.3}
+
+
+@query(f"WITH {_SCORED}, t AS (SELECT s.id, s.score, s.edge, p.u[4] AS risk, row_number() OVER (ORDER BY s.score DESC, s.id) AS rn FROM s JOIN points p ON s.id = p.id ORDER BY s.score DESC, s.id LIMIT 50), n AS (SELECT *, score >= 0.8 * max(score) OVER () AS near FROM t), b AS (SELECT *, " + ", ".join(f"min({c}) FILTER (WHERE near) OVER () AS {c}_lo, max({c}) FILTER (WHERE near) OVER () AS {c}_hi" for c in _SET_TERMS) + " FROM n), c AS (SELECT *, round(" + " + ".join(f"{w} * CASE WHEN {c}_hi - {c}_lo > 1e-30 THEN ({c} - {c}_lo) / ({c}_hi - {c}_lo) ELSE 0.0 END" for c, w in _SET_TERMS.items()) + ", 9) AS total FROM b) SELECT id, CAST(row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN -total END, rn) AS INTEGER) AS rn FROM c")
+def set_aware_rerank(spark, d):
+    best = rk.positions(rk.top(_scored(spark, d).withColumn("risk", F.get("u", F.lit(3))), "score", 50), F.desc("score"), "id")
+    return rk.set_aware(best, "score", _SET_TERMS, 0.8).select("id", "rn")
+
+
+def _whole_sql(name: str) -> str:
+    return f"WITH {_SCORED}, w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s), p AS ({SQL[name]}) SELECT w.id, CAST(coalesce(p.rn, w.rn) AS BIGINT) AS rn FROM w LEFT JOIN p ON w.id = p.id"
+
+
+def _whole(spark, d, prefix):
+    """The whole ranking, its prefix in the order of a re-ranking query."""
+    return rk.keep_tail(_scored(spark, d).select("id", "score"), "score", prefix(spark, d)).select("id", "rn")
+
+
+@query(_whole_sql("rerank_prefix_exact"))
+def rerank_prefix_exact_whole(spark, d):
+    return _whole(spark, d, rerank_prefix_exact)
+
+
+@query(_whole_sql("spacefill_tiebreak"))
+def spacefill_tiebreak_whole(spark, d):
+    return _whole(spark, d, spacefill_tiebreak)
+
+
+@query(_whole_sql("guard_partition"))
+def guard_partition_whole(spark, d):
+    return _whole(spark, d, guard_partition)
+
+
+@query(_whole_sql("spacefill_blend"))
+def spacefill_blend_whole(spark, d):
+    return _whole(spark, d, spacefill_blend)
+
+
+@query(_whole_sql("set_aware_rerank"))
+def set_aware_rerank_whole(spark, d):
+    return _whole(spark, d, set_aware_rerank)
+
+
 @query(f"WITH {_SCORED}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 30), b AS (SELECT id, row_number() OVER (ORDER BY edge DESC, id) AS rn FROM s ORDER BY edge DESC, id LIMIT 30), f AS (SELECT id, min({{'p': part, 'r': rn}}) AS pos FROM (SELECT id, 0 AS part, rn FROM a UNION ALL SELECT id, 1, rn FROM b) GROUP BY id) SELECT id, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS rn FROM f")
 def ordered_union(spark, d):
     p = _scored(spark, d)

@@ -1,5 +1,7 @@
 """Invariants of operators on literal fixtures, against numpy where SQL has no word for them."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,26 @@ def test_quota_and_backfill(spark):
     assert len(few) == 16 and sum(not r["edge"] for r in few) == 2
 
 
+def test_whole_positions_with_ties_and_a_kept_tail(spark):
+    scores = [None if i % 17 == 0 else float("nan") if i % 19 == 0 else 5.0 if i % 3 == 0 else float(i % 7) - 3.0 for i in range(600)]
+    df = spark.createDataFrame([(i * 7 % 600, s) for i, s in enumerate(scores)], "id long, score double")
+    key = lambda r: (math.inf if r["score"] is None or math.isnan(r["score"]) else -r["score"], r["id"])
+    want = [r["id"] for r in sorted(df.collect(), key=key)]
+    got = ranking.whole_positions(df, "score", ranges=8).orderBy("rn").collect()
+    assert [r["id"] for r in got] == want and [r["rn"] for r in got] == list(range(1, 601))
+    assert ranking.whole_positions(df.where("id < 0"), "score").count() == 0
+    prefix = spark.createDataFrame([(want[2], 1), (want[0], 2), (want[1], 3)], "id long, rn int")
+    kept = [r["id"] for r in ranking.keep_tail(df, "score", prefix).orderBy("rn").collect()]
+    assert kept == [want[2], want[0], want[1], *want[3:]]
+
+
+def test_set_aware_orders_near_rows_by_their_terms(spark):
+    rows = [(1, 10.0, 0.0, 7.0, 1), (2, 9.5, 1.0, 7.0, 2), (3, 9.0, 0.5, 7.0, 3), (4, 2.0, 9.0, 7.0, 4)]
+    df = spark.createDataFrame(rows, "id long, score double, risk double, flat double, rn int")
+    got = ranking.set_aware(df, "score", {"score": 0.1, "risk": 1.0, "flat": 5.0}, 0.8).orderBy("rn").collect()
+    assert [r["id"] for r in got] == [2, 3, 1, 4] and ranking.set_aware(df.where("id < 0"), "score", {"risk": 1.0}, 0.8).count() == 0
+
+
 def test_allocation_adds_up(spark):
     df = spark.createDataFrame([(1, 0.31, 1), (2, 0.31, 1), (3, 0.38, 0)], "id int, share double, least long")
     got = [r["count"] for r in ranking.largest_remainder(df, 10, "share", "least").orderBy("id").collect()]
