@@ -14,7 +14,6 @@ each; a text longer than a sequence is cut; an empty table gives no pieces; othe
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +29,10 @@ from orrery.llm.session import checkpointed, released
 
 END = 1
 CHUNKS = 300_000
-#: Separators in every sense of the tokenizer; any other white space stays inside its chunk.
 #: A closing mark after a letter is always a pre-token of its own.
 CLOSERS = (".", ",")
-BLANKS = re.compile(r"[ \n\t\r]+")
+#: With the space, separators in every sense of the tokenizer; any other white space stays inside its chunk.
+BLANKS = ("\n", "\t", "\r")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
 
@@ -96,13 +95,19 @@ class ChunkIds:
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        parts = [BLANKS.split(t) for t in texts]
+        # Empty chunks, between neighbouring separators, have no ids.
+        for blank in BLANKS:
+            texts = [t.replace(blank, " ") for t in texts]
+        parts = [t.split(" ") for t in texts]
         known = self.chunks
-        new = self._learn({c for p in parts for c in p if c not in known})
+        new = self._learn(set().union(*parts).difference(known))
+        # Chunks beyond those kept stay for these texts only.
         spare = {c: ids for c, ids in new.items() if c not in known}
+        known.update(spare)
         for p in parts:
-            ids = [known[c] if c in known else spare[c] for c in p] if spare else map(known.__getitem__, p)
-            yield np.frombuffer(b"".join(ids), "<u4")
+            yield np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4")
+        for c in spare:
+            del known[c]
 
 
 @lru_cache(maxsize=1)
