@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.alignment import aligned
 from orrery.llm.bytepair import encoded
 from orrery.llm.decontaminate import contamination
 from orrery.llm.html import extract
@@ -82,9 +83,15 @@ def op11_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return aligned(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_minhash_neardup, op3_html_text, op4_quality, op5_packing, op6_sharding, op7_line_dedup, op8_topk, op9_secrets, op10_language, op11_bytepair)
+    for f in (op1_decontaminate, op2_minhash_neardup, op3_html_text, op4_quality, op5_packing, op6_sharding, op7_line_dedup, op8_topk, op9_secrets, op10_language, op11_bytepair, op12_alignment)
 }
 
 ORACLES = {

@@ -67,3 +67,85 @@ def test_op11_equals_the_library(spark, pairs):
         ids = pairs.encoding.encode_ordinary(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def tokens_of(text, a, b):
+    """Ids and byte ends on both sides; nothing if the bytes differ."""
+    whole = (" " + (text or "")).encode()
+    x, y = a.encode_ordinary(" " + (text or "")), b.encode(text or "")
+    as_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in y for p in [b.id_to_piece(i)]]
+    if not text or a.decode_bytes(x) != whole or b"".join(as_bytes) != whole:
+        return [], [], [], []
+    ends = lambda parts: [sum(map(len, parts[: i + 1])) for i in range(len(parts))]
+    return x, ends([a.decode_single_token_bytes(i) for i in x]), y, ends(as_bytes)
+
+
+def brute_alignment(texts):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+    a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    links, groups, sizes, counts = [], [], [], {}
+    for text in texts:
+        x, xe, y, ye = tokens_of(text, a, b)
+        found, j = [], 0
+        for i, e in enumerate(xe):
+            begin = xe[i - 1] if i else 0
+            while j and ye[j - 1] > begin:
+                j -= 1
+            while j < len(ye) and ye[j] <= begin:
+                j += 1
+            while j < len(ye) and (ye[j - 1] if j else 0) < e:
+                found.append((x[i], y[j]))
+                j += 1
+        links.append(found)
+        sizes.append((len(x), len(y)))
+        for pair in set(found):
+            counts[pair] = counts.get(pair, 0) + 1
+        cut, text_groups = 0, []
+        for e in sorted(set(xe) & set(ye)):
+            side = lambda ids, ends: ",".join(str(i) for i, at in zip(ids, ends, strict=True) if cut < at <= e)  # noqa: B023, E731
+            text_groups.append(side(x, xe) + "|" + side(y, ye))
+            cut = e
+        groups.append(text_groups)
+    most = {}
+    for (i, _), n in counts.items():
+        most[i] = max(n, most.get(i, 0))
+    out = []
+    for found, text_groups, size in zip(links, groups, sizes, strict=True):
+        digest = hashlib.sha256(";".join(text_groups).encode()).hexdigest() if text_groups else ""
+        out.append((*size, len(text_groups), len(found), sum(counts[p] == most[p[0]] for p in found), sum(counts[p] for p in found), digest))
+    return out
+
+
+def test_alignment_equals_brute_force(spark):
+    from orrery.llm.alignment import aligned
+
+    rng = random.Random(5)
+    some = ["the ", "tokens", " ", "  ", "\n", " \n", "é", "漢字 ", "naïve ", "x1y2 ", ".", "!!! ", "aaaa", "ing ", "▁", "\t", "<s>", "can't ", " ", "\x00"]
+    rows = [*ODD, *((10 + i, "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))) for i in range(60))]
+    rows += [(100 + i, "common words are here in all of them " * 3) for i in range(40)] + [(200, "word " * 3_000 + "end"), (201, "w" * 2_000), (None, "naïve tokens"), (202, "a ▁ b ")]
+    docs = with_odd_columns(documents(spark, rows)).withColumns({c: F.lit(1) for c in ("block", "doc", "n_a", "pair", "part")}).repartition(3)
+    expected = sorted((d if d is not None else -1, *x) for (d, *_), x in zip(rows, brute_alignment([t for _, t, *_ in rows]), strict=True))
+    from orrery.llm import alignment
+
+    for hot, block in ((1 << 22, 4 << 20), (20, 300)):
+        alignment.BLOCK_CHARS = block
+        try:
+            got = aligned(docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN, hot).collect()
+        finally:
+            alignment.BLOCK_CHARS = 4 << 20
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *r[1:]) for r in got) == expected
+    assert aligned(spark.createDataFrame([], DOCS), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_op12_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    expected = {r["doc_id"]: x for r, x in zip(rows, brute_alignment([r["text"] for r in rows]), strict=True)}
+    assert {r["doc_id"]: tuple(r[1:]) for r in QUERIES["op12_alignment"](spark, folder).collect()} == expected
