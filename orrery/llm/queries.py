@@ -15,6 +15,7 @@ from orrery.llm.langid import languages
 from orrery.llm.lines import spread_lines
 from orrery.llm.neardup import classes
 from orrery.llm.packing import pack
+from orrery.llm.phrases import collocations
 from orrery.llm.quality import quality_scores
 from orrery.llm.secrets import findings
 from orrery.llm.session import read_table
@@ -89,9 +90,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_minhash_neardup, op3_html_text, op4_quality, op5_packing, op6_sharding, op7_line_dedup, op8_topk, op9_secrets, op10_language, op11_bytepair, op12_alignment)
+    for f in (op1_decontaminate, op2_minhash_neardup, op3_html_text, op4_quality, op5_packing, op6_sharding, op7_line_dedup, op8_topk, op9_secrets, op10_language, op11_bytepair, op12_alignment, op13_collocations)
 }
 
 ORACLES = {
@@ -148,4 +153,22 @@ ORACLES = {
             FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, m, unnest(list_transform(generate_series(1, len(w) - m + 1), lambda i: w[i:i + m - 1])) AS p FROM words, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+        cand AS (SELECT lang, m, p, f AS a FROM f WHERE m > 1 AND f >= 10),
+        cut AS (
+            SELECT c.lang, c.m, c.p, c.a, k, x.f AS l, y.f AS r, (1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM cand) c
+            JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:c.m]),
+        scored AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        inside AS (SELECT lang, p[1:2] AS p, a AS o FROM cand WHERE m = 3 UNION ALL SELECT lang, p[2:3], a FROM cand WHERE m = 3),
+        kept AS (SELECT s.* FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.p = s.p AND 100 * i.o >= 50 * s.a)),
+        ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -149,3 +149,54 @@ def test_op12_equals_brute_force(spark):
     rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     expected = {r["doc_id"]: x for r, x in zip(rows, brute_alignment([r["text"] for r in rows]), strict=True)}
     assert {r["doc_id"]: tuple(r[1:]) for r in QUERIES["op12_alignment"](spark, folder).collect()} == expected
+
+
+def brute_phrases(rows, least, longest, covered, top):
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f, n = {}, {}
+    for lang, text in rows:
+        lang = lang if lang is not None else "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] = n.get(lang, 0) + len(w)
+            for m in range(1, longest + 1):
+                for i in range(len(w) - m + 1):
+                    f[lang, tuple(w[i : i + m])] = f.get((lang, tuple(w[i : i + m])), 0) + 1
+    some = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    over = {}
+    for (lang, p), a in some.items():
+        for m in range(2, len(p)):
+            for i in range(len(p) - m + 1):
+                over[lang, p[i : i + m]] = max(a, over.get((lang, p[i : i + m]), 0))
+    out = {}
+    for (lang, p), a in some.items():
+        if 100 * over.get((lang, p), 0) < covered * a:
+            score, _, left, right = min((1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, found in out.items() for i, (s, a, p, x, y) in enumerate(sorted(found)[:top]))
+
+
+def test_collocations_equal_brute_force(spark):
+    from orrery.llm.phrases import collocations
+
+    rng = random.Random(7)
+    vocabulary = ["New", "york", "city", "the", "of", "É", "漢", "x-y", "a\x00b", "\u00a0"]
+    make = lambda: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", "  ", ". ", "\n", ", "]) for _ in range(rng.randint(0, 60)))
+    rows = [(d, t, None if d == 3 else "en") for d, t, *_ in ODD] + [(20 + i, make(), ["en", "de", None, "und"][i % 4]) for i in range(60)] + [(90, "new york " * 500, "en"), (91, "new york " * 500, "fr")]
+    docs = with_odd_columns(documents(spark, rows)).withColumns({c: F.lit(1) for c in ("prefix", "part", "words", "n", "rank")})
+    pairs_of = [(lang, t) for _, t, lang in rows]
+    for least, longest, covered, top, hot in ((10, 3, 50, 2000, 1 << 21), (3, 4, 30, 2000, 5), (2, 2, 50, 7, 40)):
+        got = sorted(tuple(r) for r in collocations(docs, least, longest, covered, top, hot).collect())
+        assert got == brute_phrases(pairs_of, least, longest, covered, top)
+    assert collocations(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_growth_is_exact_at_large_counts(spark):
+    """Products beyond 64 bits: the score's arithmetic on its own."""
+    from orrery.llm.phrases import SCORE
+
+    rows = [(3_000_000_000, 5_000_000_000, 7_000_000_001), (10**13, 10**13 + 7, 10**13 + 9)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a long, l long, r long").select(F.expr(SCORE)).collect()]
+    assert got == [1000000 * a * a // (x * y) for a, x, y in rows]
