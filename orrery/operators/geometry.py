@@ -1,82 +1,59 @@
-"""Simplices of designs: triangulation in the plane, barycentric coordinates in any dimension, accepted geometry.
+"""Where reference points lie in the simplices of designs, and which of these places are accepted.
 
-Each design is triangulated in a task of its own (tens of points); reference points meet its simplices there.
-Triangulation is by Bowyer and Watson and for two dimensions; in more, simplices are given as a table.
+Each design is triangulated in a task of its own (see `hulls`); its row of simplices then meets the reference points in
+blocks, and only pairs of a design and a point it holds become rows. Any dimension.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = "design long, ref_id long, inside boolean, deviation double, scale double, condition double, boundary double"
-
-
-def triangulate(points: np.ndarray) -> np.ndarray:
-    """Index triples of the Delaunay triangles of points in the plane."""
-    centre, span = points.mean(axis=0), max(np.ptp(points, axis=0).max(), 1e-9)
-    pts = np.vstack([points, centre + span * np.array([[-30, -20], [30, -20], [0, 40]])])
-    n = len(points)
-    triangles = {(n, n + 1, n + 2)}
-    for i in range(n):
-        bad = [t for t in triangles if _in_circle(pts[list(t)], pts[i])]
-        edges: dict[tuple, int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
-                edges[e] = edges.get(e, 0) + 1
-        triangles.difference_update(bad)
-        triangles.update(tuple(sorted((*e, i))) for e, times in edges.items() if times == 1)
-    return np.array(sorted(t for t in triangles if max(t) < n)).reshape(-1, 3)
-
+from orrery.operators import hulls
+from orrery.operators.quantiles import quantile_columns
+from orrery.operators.spatial import blocks
 
-def _in_circle(t: np.ndarray, p: np.ndarray) -> bool:
-    d = t - p
-    m = np.column_stack([d, (d * d).sum(axis=1)])
-    turn = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[1, 1] - t[0, 1]) * (t[2, 0] - t[0, 0])
-    return bool(np.linalg.det(m) * np.sign(turn) > 1e-15)
-
-
-def barycentric(vertices: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Coordinates of each point in each simplex: [simplex, point, vertex]; simplices [m, d + 1, d]."""
-    edges = np.swapaxes(vertices[:, 1:] - vertices[:, :1], 1, 2)
-    rest = np.linalg.solve(edges, np.swapaxes(points[None] - vertices[:, :1], 1, 2))
-    rest = np.swapaxes(rest, 1, 2)
-    return np.concatenate([1 - rest.sum(axis=2, keepdims=True), rest], axis=2)
+FIELDS = "design long, ref_id long, simplex long, deviation double, scale double, condition double, boundary double"
+#: Points that meet all simplices of a design together, in tables of points times simplices.
+POINTS = 256
 
 
 def geometry_batch(designs: DataFrame, references: DataFrame) -> DataFrame:
-    """For each design (design, id, u of two coordinates) and reference point: whether a simplex holds it, and that simplex's shape."""
-    refs = references.select("id", "u").orderBy("id").toPandas()
-    shared = designs.sparkSession.sparkContext.broadcast((refs["id"].to_numpy(), np.stack(refs["u"])))
-
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, ref = shared.value
-        pts = np.stack(rows.sort_values("id")["u"])
-        cells = pts[triangulate(pts)]
-        edges = cells[:, 1:] - cells[:, :1]
-        solid = np.abs(np.linalg.det(edges)) > 1e-12
-        cells, edges = cells[solid], edges[solid]
-        bary = barycentric(cells, ref)
-        holds = (bary >= -1e-9).all(axis=2)
-        at, inside = holds.argmax(axis=0), holds.any(axis=0)
-        own = bary[at, np.arange(len(ref))]
-        scale = np.sqrt(((cells - cells.mean(axis=1, keepdims=True)) ** 2).sum(axis=2).mean(axis=1))[at]
-        out = {"design": rows["design"].iloc[0], "ref_id": ids, "inside": inside, "deviation": np.abs(own - 1 / own.shape[1]).max(axis=1), "scale": scale, "condition": np.linalg.cond(edges)[at], "boundary": np.minimum(ref, 1 - ref).min(axis=1)}
-        return pd.DataFrame(out)
-
-    return designs.select("design", "id", "u").groupBy("design").applyInPandas(measure, FIELDS)
+    """For each design (design, id, u) and each reference point (id, u) it holds: the simplex, how far from its centre, and its shape."""
+    cells = hulls.triangulated(designs).groupBy("design").agg(F.array_sort(F.collect_list(F.struct("simplex", "vertices"))).alias("cells"))
+    met = cells.crossJoin(blocks(references.select("id", "u"), ["id", "u"]).drop("block"))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                vertices = np.array([np.stack(c["vertices"]) for c in r.cells])
+                edges = vertices[:, 1:] - vertices[:, :1]
+                spread = np.sqrt(((vertices - vertices.mean(axis=1, keepdims=True)) ** 2).sum(axis=2).mean(axis=1))
+                condition = np.linalg.cond(edges)
+                ids, u = np.array([x["id"] for x in r.refs]), np.stack([x["u"] for x in r.refs])
+                for lo in range(0, len(u), POINTS):
+                    part = u[lo : lo + POINTS]
+                    bary = hulls.barycentric(vertices, part)
+                    inside = (bary >= -1e-9).all(axis=2)
+                    at, own = inside.argmax(axis=0), np.flatnonzero(inside.any(axis=0))
+                    at = at[own]
+                    off = np.abs(bary[at, own] - 1 / bary.shape[2]).max(axis=1)
+                    yield pd.DataFrame({"design": r.design, "ref_id": ids[lo : lo + POINTS][own], "simplex": at, "deviation": off, "scale": spread[at], "condition": condition[at], "boundary": np.minimum(part, 1 - part).min(axis=1)[own]})
+
+    return met.select("design", "cells", "refs").mapInPandas(measure, FIELDS)
 
 
 def thresholds(geometry: DataFrame) -> DataFrame:
-    """One row: the tenth and ninetieth percentile of the scale and the ninetieth of the condition, inside points only."""
-    q = lambda c, p, n: F.percentile(c, F.lit(p)).alias(n)
-    return geometry.where("inside").agg(q("scale", 0.1, "h_min"), q("scale", 0.9, "h_max"), q("condition", 0.9, "kappa_max"))
+    """One row: the tenth and ninetieth percentile of the scale and the ninetieth of the condition, exact whatever the number of rows."""
+    return quantile_columns(geometry, [], "scale", {"h_min": 0.1, "h_max": 0.9}).crossJoin(quantile_columns(geometry, [], "condition", {"kappa_max": 0.9}))
 
 
 def accepted(geometry: DataFrame, limits: DataFrame, deviation: float, boundary: float = 0.02) -> DataFrame:
-    """Inside, near its simplex's centre, of usual size and shape, and off the faces of the cube."""
+    """Near its simplex's centre, of usual size and shape, and off the faces of the cube."""
     rows = geometry.crossJoin(F.broadcast(limits))
-    ok = F.col("inside") & (F.col("deviation") <= deviation) & F.col("scale").between(F.col("h_min"), F.col("h_max")) & (F.col("condition") <= F.col("kappa_max")) & (F.col("boundary") >= boundary)
+    ok = (F.col("deviation") <= deviation) & F.col("scale").between(F.col("h_min"), F.col("h_max")) & (F.col("condition") <= F.col("kappa_max")) & (F.col("boundary") >= boundary)
     return rows.where(ok).drop(*limits.columns)

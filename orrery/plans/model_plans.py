@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions.axis import band_of, trapezoid_weights
 from orrery.operators import generators as g
-from orrery.operators import emulator, geometry, models, solvers
-from orrery.plans.common import BANDS, EDGES, FACTS_SQL, facts, points, rounded, table
+from orrery.operators import ascent, emulator, geometry, hulls, models, solvers
+from orrery.plans.common import BANDS, EDGES, FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
 LENGTHS = [0.5] * 5
@@ -104,10 +104,50 @@ def _plane(spark, d):
 
 @query()
 def accepted_geometry(spark, d):
-    """Reference points that enough designs hold well: how many designs hold and accept each."""
-    found = geometry.geometry_batch(_designs(_plane(spark, d)), g.sobol(spark, 256, 2))
+    """Reference points and how many designs hold and accept each, in three dimensions."""
+    solid = points(spark, d).select("id", F.slice("u", 1, 3).alias("u"))
+    references = g.sobol(spark, 256, 3)
+    found = geometry.geometry_batch(_designs(solid), references)
     kept = geometry.accepted(found, geometry.thresholds(found), 0.3).groupBy("ref_id").agg(F.count("*").alias("accepted"))
-    return found.groupBy("ref_id").agg(F.count_if("inside").alias("inside")).join(kept, "ref_id", "left").select("ref_id", "inside", F.coalesce("accepted", F.lit(0)).alias("accepted"))
+    held = found.groupBy("ref_id").agg(F.count("*").alias("inside"))
+    both = references.select(F.col("id").alias("ref_id")).join(held, "ref_id", "left").join(kept, "ref_id", "left")
+    return both.select("ref_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "accepted")))
+
+
+@query()
+def delaunay_simplices(spark, d):
+    """For each design of consecutive ids in four dimensions: simplices, their volume together, and facets of the hull."""
+    designs = points(spark, d).select(F.floor(F.col("id") / SMALL_DESIGN).cast("long").alias("design"), "id", F.slice("u", 1, 4).alias("u"))
+    cells = hulls.triangulated(designs).withColumn("volume", hulls.volume_of(F.col("vertices"))).groupBy("design").agg(F.count("*").alias("simplices"), F.sum("volume").alias("volume"))
+    return rounded(cells.join(hulls.hull_facets(designs).groupBy("design").agg(F.count("*").alias("facets")), "design"), 9)
+
+
+@query()
+def hull_fans(spark, d):
+    """Simplices that join the faces of the cube with each design's hull, in three dimensions."""
+    designs = points(spark, d).select(F.floor(F.col("id") / SMALL_DESIGN).cast("long").alias("design"), "id", F.slice("u", 1, 3).alias("u"))
+    return hulls.fans(designs, hulls.structured_support(3)).groupBy("design").agg(F.count_distinct("support").alias("supports"), F.count("*").alias("fans"))
+
+
+_SIDE = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+@query(f"WITH {POINTS_SQL}, s AS (SELECT id // 3 AS simplex, list(u[1:2] ORDER BY id) AS v FROM points GROUP BY 1 HAVING count(*) = 3), e AS (SELECT simplex, {_SIDE.format('v[2]', 'v[3]')} AS a, {_SIDE.format('v[1]', 'v[3]')} AS b, {_SIDE.format('v[1]', 'v[2]')} AS c FROM s), w AS (SELECT simplex, a * (b + c - a) AS x, b * (a + c - b) AS y, c * (a + b - c) AS z FROM e) SELECT simplex, CASE WHEN least(x, y, z) >= 0 THEN round(x / (x + y + z), 6) END AS w0, CASE WHEN least(x, y, z) >= 0 THEN round(y / (x + y + z), 6) END AS w1 FROM w")
+def circumcentres(spark, d):
+    """Where the circumcentre of three consecutive points in the plane lies, if in their triangle."""
+    v = _plane(spark, d).groupBy(F.floor(F.col("id") / 3).cast("long").alias("simplex")).agg(F.array_sort(F.collect_list(F.struct("id", "u"))).alias("v")).where(F.size("v") == 3)
+    found = hulls.circumcentres(v.select("simplex", F.transform("v", lambda x: x["u"]).alias("vertices")))
+    return rounded(found.select("simplex", F.get("weights", F.lit(0)).alias("w0"), F.get("weights", F.lit(1)).alias("w1")))
+
+
+@query()
+def simplex_ascent(spark, d):
+    """In each Delaunay simplex of all designs, and of the fans about them, the point of which the first design says least."""
+    p = points(spark, d).select(F.floor(F.col("id") / SMALL_DESIGN).cast("long").alias("design"), "id", F.slice("u", 1, 3).alias("u"))
+    cells = hulls.triangulated(p).select((F.col("design") * 100_000 + F.col("simplex")).alias("simplex"), "vertices")
+    fan = hulls.fans(p, hulls.structured_support(3)).select((-1 - F.col("design") * 100_000 - F.col("support") * 100 - F.col("fan")).alias("simplex"), "vertices")
+    best = ascent.best_points(cells.unionAll(fan), p.where(F.col("design") == 0), LENGTHS[:3])
+    return rounded(best.select("simplex", "start", "value"))
 
 
 @query()

@@ -203,14 +203,6 @@ def test_components_equal_svd(spark):
     assert abs(got[got["pc"] == 0]["loading"].to_numpy() @ vectors_[:, -1]) == pytest.approx(1)
 
 
-def test_triangles_cover_the_hull_once():
-    rng = np.random.default_rng(3)
-    x = rng.random((24, 2))
-    cells = x[geometry.triangulate(x)]
-    inside = (geometry.barycentric(cells, rng.random((400, 2)) * 0.4 + 0.3) >= 0).all(axis=2).sum(axis=0)
-    assert set(inside) <= {0, 1} and inside.mean() > 0.9
-
-
 def test_greedy_choices_equal_numpy(spark):
     x = np.random.default_rng(4).random((40, 3))
     near, chosen = np.full(40, np.inf), [0]
