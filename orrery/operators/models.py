@@ -13,43 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators import components
+
 #: A design larger than this is refused, never cut: half its kernel matrix (270 MB here) is held by each task.
 MOST_POINTS = 8192
 #: Rows of the matrix, and points against it, that are worked on together.
 BLOCK = 512
 
 
-def covariance(facts: DataFrame, sample: str, axis: str, value: str) -> DataFrame:
-    """Covariances of all pairs of axis points over samples; the axis is small, the samples need not be."""
-    mean = facts.groupBy(axis).agg(F.avg(value).alias("m"))
-    centred = facts.join(F.broadcast(mean), axis).select(sample, F.col(axis).alias("i"), (F.col(value) - F.col("m")).alias("x"))
-    packed = centred.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    pairs = packed.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b"))
-    n = F.count("*")
-    return pairs.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg((F.sum(F.col("a.x") * F.col("b.x")) / (n - 1)).alias("cov"))
-
-
 def principal_components(facts: DataFrame, sample: str, axis: str, value: str, k: int, band: str | None = None) -> DataFrame:
-    """Loadings (band, pc, axis, loading, explained): one eigenproblem for each band, or one for all."""
-    wide = facts.withColumn("__band", F.col(band) if band else F.lit("all"))
-    bands = [r[0] for r in wide.select("__band").distinct().collect()]
-    parts = None
-    for name in sorted(bands):
-        cov = covariance(wide.where(F.col("__band") == name), sample, axis, value).withColumn("band", F.lit(name))
-        parts = cov if parts is None else parts.unionAll(cov)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = rows.pivot(index="i", columns="j", values="cov")
-        values, vectors = np.linalg.eigh(matrix.to_numpy())
-        order = np.argsort(values)[::-1][:k]
-        out = []
-        for pc, j in enumerate(order):
-            v = vectors[:, j]
-            v = v * (1.0 if v[np.argmax(np.abs(v))] > 0 else -1.0)
-            out.append(pd.DataFrame({"band": rows["band"].iloc[0], "pc": pc, "axis": matrix.index.astype(float), "loading": v, "explained": values[j]}))
-        return pd.concat(out)
-
-    return parts.groupBy("band").applyInPandas(solve, "band string, pc int, axis double, loading double, explained double")
+    """Loadings (band, pc, axis, loading, explained): one eigenproblem for each band, or one for all, of one covariance state."""
+    state = components.state_of(facts, sample, axis, value)
+    if band is None:
+        return components.layout(state, None, k, 0)
+    return components.layout(state, facts.select(F.col(axis).cast("double").alias("axis"), F.col(band).alias("band")).distinct(), 0, k)
 
 
 def scores(facts: DataFrame, loadings: DataFrame, sample: str, axis: str, value: str) -> DataFrame:

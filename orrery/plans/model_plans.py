@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.axis import band_of, trapezoid_weights
 from orrery.operators import generators as g
-from orrery.operators import ascent, emulator, geometry, hulls, models, solvers
+from orrery.operators import ascent, components, emulator, geometry, hulls, models, solvers
 from orrery.plans.common import BANDS, EDGES, FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -38,6 +38,30 @@ def ridge_calibrator(spark, d):
     return rounded(models.predict_ridge(part, models.fit_ridge(part, ["p_size"], "p_retailprice"), "predicted").select("p_partkey", "predicted"))
 
 
+@query()
+def component_layouts(spark, d):
+    """Global components with components of each band on what these leave: rms error of each sample's rebuilt curve."""
+    c = _curves(spark, d)
+    bands = c.select(F.col("k").cast("double").alias("axis"), band_of(F.col("k"), EDGES, BANDS).alias("band")).distinct()
+    state, samples = components.state_of(c, "sample", "k", "y"), components.curves(c, "sample", "k", "y")
+    loadings = components.layout(state, bands, 2, 2)
+    out = components.rebuilt(components.coordinates(samples, state, loadings), state, loadings)
+    truth = samples.select("sample", F.explode(F.arrays_zip("axis", "v")).alias("z")).select("sample", "z.axis", F.col("z.v").alias("y"))
+    return rounded(out.join(truth, ["sample", "axis"]).groupBy("sample").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("y"), F.lit(2.0)))).alias("rms")))
+
+
+@query(f"WITH {FACTS_SQL}, y AS (SELECT sample, k, avg(ln(pred / truth)) AS y FROM facts GROUP BY ALL), w AS (SELECT sample FROM y GROUP BY sample HAVING count(*) = (SELECT count(DISTINCT k) FROM y)), o AS (SELECT sample, k, y FROM y JOIN w USING (sample)) SELECT a.k AS i, b.k AS j, round(covar_samp(a.y, b.y), 6) AS cov FROM o a JOIN o b ON a.sample = b.sample AND a.k <= b.k GROUP BY a.k, b.k")
+def appended_covariance(spark, d):
+    """The covariance of all samples' curves, from the state of the even ones to which the odd ones are appended."""
+    c = _curves(spark, d)
+    points_ = c.select(F.col("k").cast("double").alias("axis")).distinct()
+    even = components.merged(components.states(components.curves(c.where("sample % 2 = 0"), "sample", "k", "y", points_)))
+    state = components.appended(even, c.where("sample % 2 = 1"), "sample", "k", "y")
+    cells = state.select("n", "axis", F.posexplode("scatter").alias("at", "x"))
+    i, j = (F.get("axis", x.cast("int")).cast("int") for x in (F.floor(F.col("at") / F.size("axis")), F.col("at") % F.size("axis")))
+    return rounded(cells.select(i.alias("i"), j.alias("j"), (F.col("x") / (F.col("n") - 1)).alias("cov")).where("i <= j"))
+
+
 #: Consecutive ids that make up one small design, where many are compared.
 SMALL_DESIGN = 40
 
