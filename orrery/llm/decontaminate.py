@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.session import checkpointed
+from orrery.llm.session import checkpointed, packed, unpacked
 from orrery.llm.textkit import words
 
 SHINGLE = 3
@@ -113,6 +113,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without those that hold a benchmark window; all their columns stay."""
-    bad = contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    keyed = documents.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__bad_id"]) & (keyed["__text_key"] == bad["__bad_key"]), "left_anti").drop("__text_key")
+    bad = contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    rows = packed(documents, F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return unpacked(rows.join(bad, rows["id"].eqNullSafe(bad["bad_id"]) & (rows["key"] == bad["bad_key"]), "left_anti"), documents.columns)

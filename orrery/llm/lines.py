@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.session import broadcast_if_small, checkpointed
+from orrery.llm.session import broadcast_if_small, checkpointed, packed
 
 MIN_SITES = 5
 LOG2_REGISTERS = 12
@@ -36,27 +36,29 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def spread_lines(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """All columns of `documents` with __text (the lines that stay), __lines and __removed (how many there were and went)."""
+    """`row`, the columns of `documents`, with text (the lines that stay), lines and removed (how many there were and went)."""
     # Lines stand in for the text from here on: joined by line ends they are the text again.
-    rows = documents.withColumns({"__split": F.split("text", "\n"), "__doc": F.col("doc_id"), "__key": F.md5("text")}).drop("text")
-    pieces = rows.select(F.col("__doc").alias("doc_id"), F.col("__key").alias("key"), F.col(site).cast("string").alias("site"), F.posexplode("__split").alias("at", "line"))
+    text = F.col("text").cast("string")
+    rows = packed(documents, F.split(text, "\n").alias("split"), F.col("doc_id").alias("doc"), F.md5(text).alias("key"), F.col(site).cast("string").alias("site"), without=("text",))
+    pieces = rows.select(F.col("doc").alias("doc_id"), "key", "site", F.posexplode("split").alias("at", "line"))
     lines = pieces.withColumn("line", F.trim("line")).where("line != ''").withColumn("line", F.unhex(F.md5("line")))
     common = broadcast_if_small(boilerplate(lines.select("line", "site", "doc_id", "at"), min_sites), BROADCAST_LINES)
     again = lines.select("doc_id", "key", "at", "line").join(common, "line").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.at") == F.col("at"))))
-    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("__gone")).withColumnsRenamed({"doc_id": "__gone_doc", "key": "__gone_key"})
-    joined = rows.join(gone, rows["__doc"].eqNullSafe(gone["__gone_doc"]) & (rows["__key"] == gone["__gone_key"]), "left")
-    n = F.coalesce(F.size("__split"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), "__gone")
-    whole = F.when(F.col("__split").isNotNull(), F.concat_ws("\n", "__split"))
-    left = F.when(F.col("__gone").isNull(), whole).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get("__split", i))))
-    columns = [whole.alias("text") if c == "text" else rows[c] for c in documents.columns]
-    return joined.select(*columns, left.alias("__text"), n.alias("__lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias("__removed"))
+    gone = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone")).withColumnsRenamed({"doc_id": "gone_doc", "key": "gone_key"})
+    joined = rows.join(gone, rows["doc"].eqNullSafe(gone["gone_doc"]) & (rows["key"] == gone["gone_key"]), "left")
+    n = F.coalesce(F.size("split"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
+    whole = F.when(F.col("split").isNotNull(), F.concat_ws("\n", "split"))
+    left = F.when(F.col("gone").isNull(), whole).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get("split", i))))
+    row = F.struct(*(whole.cast(documents.schema["text"].dataType).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))
+    return joined.select(row.alias("row"), left.alias("text"), n.alias("lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("removed"))
 
 
 def without_spread_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The documents with repeated boilerplate lines taken out of their texts; n_chars follows."""
     out = spread_lines(documents, min_sites)
-    changed = {"text": F.col("__text")}
-    if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
-    return out.withColumns(changed).select(*documents.columns)
+    own = {c: F.col("row").getField(c) for c in documents.columns}
+    own["text"] = F.col("text").cast(documents.schema["text"].dataType)
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("removed") > 0, F.length("text")).otherwise(own["n_chars"]).cast(documents.schema["n_chars"].dataType)
+    return out.select(*(own[c].alias(c) for c in documents.columns))

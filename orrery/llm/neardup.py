@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.session import checkpointed, released
+from orrery.llm.session import checkpointed, join_hot, packed, released, unpacked
 from orrery.llm.textkit import WORDS, mix, ngrams, seeded, slices, token_hashes
 
 SHINGLE = 5
@@ -171,19 +171,18 @@ def components(edges: DataFrame) -> DataFrame:
     sides = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = checkpointed(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")))
     while True:
-        near = sides.join(label.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near, label["key"] == near["a"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = join_hot(sides, label.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = checkpointed(label.join(near, label["key"] == near["a"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         over = step.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        step = checkpointed(step.join(over, "label").select("key", "old", F.least("label", "far").alias("label")))
+        step = checkpointed(join_hot(step, over, "label").select("key", "old", F.least("label", "far").alias("label")))
         label = step.select("key", "label")
         if step.where("old != label").isEmpty():
             return label
 
 
-def classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set") -> DataFrame:
-    """All columns of `documents` with __class_id, __class_docs (rows in the class) and __kept (true for one document of each class)."""
-    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    texts = documents.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def class_map(documents: DataFrame, similarity: float = 0.8, weights: str = "set") -> DataFrame:
+    """For each text (key) in a class of several documents: class_id, least_key (the text of the document kept) and class_docs."""
+    texts = documents.select(_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     nodes = sketches(texts, weights).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes)
     member = nodes.select("key", "n", F.explode("bands").alias("bucket"))
@@ -210,30 +209,50 @@ def classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set")
             # Classes that no link between texts made before are a text alone, named by its key.
             single = more.select(F.explode(F.array("label_a", "label_b")).alias("key")).distinct().join(label, "key", "left_anti")
             label = label.unionByName(single.withColumn("label", F.col("key")))
-            label = checkpointed(label.join(over, label["label"] == over["old"], "left").select("key", F.coalesce("new", "label").alias("label")))
+            over = checkpointed(over.withColumnRenamed("old", "label"))
+            label = checkpointed(join_hot(label, over, "label").select("key", F.coalesce("new", "label").alias("label")))
 
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    named = nodes.join(label, "key", "left").select("key", "doc_id", "docs", F.coalesce("label", "key").alias("label"))
-    per = named.groupBy("label").agg(F.min(least).alias("least"), F.sum("docs").alias("docs"))
-    mapped = named.join(per, "label").where((per["docs"] > 1)).select("key", F.col("least.doc_id").alias("__class_id"), F.col("least.key").alias("__least_key"), per["docs"].alias("__class_docs"))
-    mapped = mapped.withColumnRenamed("key", "__key")
-    out = documents.withColumn("__key", key).join(mapped, "__key", "left")
-    alone = F.col("__class_docs").isNull()
-    doc = F.col("doc_id").cast("long")
+    named = nodes.select("key", "doc_id", "docs").join(label, "key", "left").select("key", "doc_id", "docs", F.coalesce("label", "key").alias("label"))
+    per = checkpointed(named.groupBy("label").agg(F.min(least).alias("least"), F.sum("docs").alias("class_docs")).where("class_docs > 1"))
+    mapped = join_hot(named.select("key", "label"), per, "label").where("class_docs is not null")
+    return checkpointed(mapped.select("key", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("least_key"), "class_docs"))
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def labelled(rows: DataFrame, mapped: DataFrame) -> DataFrame:
+    """`rows` (key, doc and others) with class_id, class_docs and kept."""
+    out = join_hot(rows, mapped, "key")
+    alone = F.col("class_docs").isNull()
     return out.withColumns(
         {
-            "__class_id": F.when(alone, doc).otherwise(F.col("__class_id")),
-            "__kept": alone | ((F.col("__key") == F.col("__least_key")) & doc.eqNullSafe(F.col("__class_id"))),
-            "__class_docs": F.coalesce("__class_docs", F.lit(1)),
+            "kept": alone | ((F.col("key") == F.col("least_key")) & F.col("doc").eqNullSafe(F.col("class_id"))),
+            "class_id": F.when(alone, F.col("doc")).otherwise(F.col("class_id")),
+            "class_docs": F.coalesce("class_docs", F.lit(1)),
         }
-    ).drop("__least_key")
+    ).drop("least_key")
+
+
+def classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set") -> DataFrame:
+    """`row`, the columns of `documents`, with class_id, class_docs (rows in the class) and kept (true for one document of each class)."""
+    rows = packed(documents, _key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"))
+    return labelled(rows, class_map(documents, similarity, weights)).select("row", "class_id", "class_docs", "kept")
+
+
+def document_classes(documents: DataFrame, similarity: float = 0.8, weights: str = "set") -> DataFrame:
+    """Per document: doc_id, class_id, class_docs, kept; no text is carried along."""
+    rows = documents.select(F.col("doc_id").alias("doc_id"), _key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"))
+    return labelled(rows, class_map(documents, similarity, weights)).select("doc_id", "class_id", "class_docs", "kept")
 
 
 def one_of_each(documents: DataFrame, similarity: float = 0.8, weights: str = "set") -> DataFrame:
     """The documents with one of each class; all their columns stay."""
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    repeated = documents.groupBy("doc_id", key).count().where("count > 1")
-    kept = classes(documents, similarity, weights).where("__kept")
+    rows = packed(documents, _key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"))
+    repeated = rows.groupBy("doc", "key").count().where("count > 1")
+    kept = labelled(rows, class_map(documents, similarity, weights)).where("kept")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.select(*documents.columns)
+        kept = kept.dropDuplicates(["doc", "key"])
+    return unpacked(kept, documents.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from orrery.llm.session import released
+from orrery.llm.session import packed, released, unpacked
 from orrery.llm.textkit import TOKENS, ngrams, runs, seeded, slices, token_hashes
 
 SAMPLE = 8_000
@@ -111,7 +111,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
 
 
 def scores(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of `documents` and, under a name of its own, the score of each row; the texts alone go to Python."""
+    """`row`, the columns of `documents`, and `score`; the texts alone go to Python."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf(DoubleType())
@@ -126,16 +126,16 @@ def scores(documents: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
         released()
 
-    return documents.withColumn("__score", score(F.col("text").cast("string")))
+    return packed(documents).withColumn("score", score(F.col("row.text").cast("string")))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     scored = scores(rows, train(rows, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    return scores(documents, train(documents, labels)).where(F.col("__score") >= THRESHOLD).drop("__score")
+    return unpacked(scores(documents, train(documents, labels)).where(F.col("score") >= THRESHOLD), documents.columns)

@@ -13,7 +13,7 @@ from orrery.llm.decontaminate import contamination
 from orrery.llm.html import extract
 from orrery.llm.langid import languages
 from orrery.llm.lines import spread_lines
-from orrery.llm.neardup import classes
+from orrery.llm.neardup import document_classes
 from orrery.llm.packing import pack
 from orrery.llm.phrases import collocations
 from orrery.llm.quality import quality_scores
@@ -41,8 +41,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__class_id").alias("class_id"), F.col("__class_docs").alias("class_docs"), F.col("__kept").alias("kept"))
+    return document_classes(read_table(spark, sf_dir, "documents"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spread_lines(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.md5("__text").alias("text_md5"))
+    return found.select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

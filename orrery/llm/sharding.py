@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.session import checkpointed
+from orrery.llm.session import checkpointed, packed
 
 LIMIT_BYTES = 1 << 20
 BITS = 16
@@ -39,44 +39,44 @@ def directory(sizes: DataFrame, limit: int, taken: int) -> DataFrame:
 
 
 def placed(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """All columns of `documents` with __bytes, __shard (the bits that lead to it) and __page (0 but for repeated rows)."""
+    """`row`, the columns of `documents`, with bytes, shard (the bits that lead to it) and page (0 but for repeated rows)."""
     text = F.col("text").cast("string")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rest = documents.withColumns({"__bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "__bits": _bits(digest), "__text": F.md5(F.coalesce(text, F.lit("")))})
-    out = [*(F.col(c) for c in documents.columns), F.col("__bytes"), F.col("__shard")]
+    rest = packed(documents, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), _bits(digest).alias("bits"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"))
     done = None
     for taken in range(0, ROUNDS * BITS, BITS):
-        keyed = rest.withColumn("__prefix", F.substring("__bits", 1, taken + BITS))
+        keyed = rest.withColumn("prefix", F.substring("bits", 1, taken + BITS))
         # At most 2^BITS entries, so small enough to send to every task; deeper rounds hold only what is oversized.
-        sizes = keyed.groupBy(F.col("__prefix").alias("prefix")).agg(F.sum("__bytes").alias("bytes"))
-        entries = checkpointed(directory(sizes, limit, taken).withColumnsRenamed({"prefix": "__prefix", "shard": "__shard"}))
-        found = keyed.join(F.broadcast(entries) if not taken else entries, "__prefix")
-        settled = found.where("__shard is not null").select(*out, F.lit(0).cast("long").alias("__page"))
+        entries = checkpointed(directory(keyed.groupBy("prefix").agg(F.sum("bytes").alias("bytes")), limit, taken))
+        found = keyed.join(F.broadcast(entries) if not taken else entries, "prefix")
+        settled = found.where("shard is not null").select("row", "bytes", "shard", F.lit(0).cast("long").alias("page"))
         done = settled if done is None else done.unionAll(settled)
-        full = entries.where("__shard is null").count()
+        full = entries.where("shard is null").count()
         if not full:
             return done
-        rest = checkpointed(found.where("__shard is null").drop("__prefix", "__shard"))
-        if rest.select("__bits").distinct().count() == full and rest.select("__bits", "__text").distinct().count() == full:
+        rest = checkpointed(found.where("shard is null").drop("prefix", "shard"))
+        if rest.select("bits").distinct().count() == full and rest.select("bits", "text_key").distinct().count() == full:
             break  # no bit tells these apart
-    return done.unionAll(_pages(rest, limit).select(*out, "__page"))
+    return done.unionAll(_pages(rest, limit).select("row", "bytes", "shard", "page"))
 
 
 def _pages(rest: DataFrame, limit: int) -> DataFrame:
     """Documents that no bit of their id's hash tells apart, by their text's hash and then by running size, dealt over 64 tasks."""
-    dealt = rest.withColumn("__shard", F.concat("__bits", F.lit("-"), F.substring("__text", 1, 8))).withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    part = Window.partitionBy("__shard", "__deal")
-    before = F.sum("__bytes").over(part.orderBy("__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__bytes")
-    page = F.floor(before / F.greatest(F.lit(limit) - F.max("__bytes").over(part), F.lit(1))) * 64 + F.col("__deal")
-    return dealt.withColumn("__page", page.cast("long"))
+    dealt = rest.withColumn("shard", F.concat("bits", F.lit("-"), F.substring("text_key", 1, 8))).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    part = Window.partitionBy("shard", "deal")
+    before = F.sum("bytes").over(part.orderBy("text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    page = F.floor(before / F.greatest(F.lit(limit) - F.max("bytes").over(part), F.lit(1))) * 64 + F.col("deal")
+    return dealt.withColumn("page", page.cast("long"))
 
 
 def shards(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """Per document: doc_id, bytes, shard, page."""
-    return placed(documents.select("doc_id", "text"), limit).select("doc_id", F.col("__bytes").alias("bytes"), F.col("__shard").alias("shard"), F.col("__page").alias("page"))
+    return placed(documents.select("doc_id", "text"), limit).select("row.doc_id", "bytes", "shard", "page")
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write the documents by shard and page, each to a folder of its own."""
-    out = placed(documents, limit).drop("__bytes").withColumnsRenamed({"__shard": "shard_bits", "__page": "shard_page"})
+    """Write the documents by shard and page, each to a folder of its own; the folders' names, shard_bits and shard_page, are refused as columns."""
+    if clash := {"shard_bits", "shard_page"} & {c.lower() for c in documents.columns}:
+        raise ValueError(f"the documents have columns named {sorted(clash)}")
+    out = placed(documents, limit).select(*(F.col("row").getField(c).alias(c) for c in documents.columns), F.col("shard").alias("shard_bits"), F.col("page").alias("shard_page"))
     out.repartition("shard_bits", "shard_page").write.partitionBy("shard_bits", "shard_page").parquet(path)

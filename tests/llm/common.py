@@ -21,7 +21,8 @@ def with_odd_columns(df):
     """The table with more columns, of names that an operator might use itself."""
     from pyspark.sql import functions as F
 
-    names = ["key", "label", "bands", "bucket", "w", "at", "size", "gone", "line", "score", "a", "b", "shard", "first"]
+    names = ["key", "label", "bands", "bucket", "w", "at", "size", "gone", "line", "score", "a", "b", "shard", "first", "row", "doc", "id", "split", "bits", "prefix", "bytes", "page", "kept", "class_id", "class_docs", "least_key", "lines", "removed", "bad_id", "bad_key", "gone_doc", "gone_key", "site", "text_key", "deal"]
+    names += ["__class_id", "__class_docs", "__gone", "__text", "__removed", "__shard", "__text_key", "__score", "__key", "__doc", "__split", "__bits", "__bytes", "__prefix", "__hot", "__deal", "__far_class_id", "a.b", "a`b"]
     return df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

@@ -152,7 +152,7 @@ def test_quality_model_equals_a_plain_loop(spark):
 
     texts = ["Some words, twice: some words", None, "", "ÉCOLE 12 12", "w " * 40_000]
     weights = np.random.default_rng(2).normal(size=quality.BUCKETS)
-    scored = {r["doc_id"]: r["__score"] for r in quality.scores(documents(spark, list(enumerate(texts))), weights).collect()}
+    scored = {r["row"]["doc_id"]: r["score"] for r in quality.scores(documents(spark, list(enumerate(texts))), weights).collect()}
     for i, t in enumerate(texts):
         data = np.frombuffer((t or "").encode(), np.uint8)
         bucket, _ = quality.features(data, np.array([0, len(data)]))

@@ -114,7 +114,7 @@ def test_classes_equal_brute_force(spark):
     rows = [(d, t) for d, t, *_ in rows]
     docs = with_odd_columns(documents(spark, rows))
     got = neardup.classes(docs)
-    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], 1 << 60 if r["__class_id"] is None else r["__class_id"]) for r in got.collect())
+    found = sorted((-1 if r["row"]["doc_id"] is None else r["row"]["doc_id"], 1 << 60 if r["class_id"] is None else r["class_id"]) for r in got.collect())
     assert found == brute_classes(rows)
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -159,7 +159,7 @@ def test_links_between_classes_are_found(spark):
     left += [change(left[0], 60, s) for s in range(10, 18)]
     right += [change(right[0], 100, s) for s in range(20, 28)]
     rows = [(i, " ".join(t)) for i, t in enumerate([w, *left, *right])] + [(90, "a few words"), (91, None), (92, "x " * 50_000), (93, "x " * 50_001)]
-    assert sorted((r["doc_id"], r["__class_id"]) for r in neardup.classes(documents(spark, rows)).collect()) == brute_classes(rows)
+    assert sorted((r["row"]["doc_id"], r["class_id"]) for r in neardup.classes(documents(spark, rows)).collect()) == brute_classes(rows)
     assert neardup.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -185,14 +185,14 @@ def test_lines_keep_one_occurrence(spark):
     rows = [(i, f"own {i}\n shared line \n\nown {i}", "en", f"s{i % 6}") for i in range(12)]
     rows += [(20, "shared line\nshared line\nrest", "en", None), (21, None), (22, "rare\nrare", "en", "s1"), (30, "shared line", "en", "s2"), (30, "shared line", "en", "s2"), (None, "shared line\nx", "en", "s3")]
     docs = with_odd_columns(documents(spark, rows))
-    out = {(r["doc_id"], r["text"]): r["__text"] for r in spread_lines(docs, 5).collect()}
+    out = {(r["row"]["doc_id"], r["row"]["text"]): r["text"] for r in spread_lines(docs, 5).collect()}
     assert out[0, rows[0][1]] == rows[0][1]
     assert out[3, rows[3][1]] == "own 3\n\nown 3"
     assert (out[20, rows[12][1]], out[21, None], out[22, "rare\nrare"], out[30, "shared line"], out[None, "shared line\nx"]) == ("rest", None, "rare\nrare", "", "x")
     cleaned = without_spread_lines(docs, 5)
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
     assert cleaned.where("doc_id = 3").first()["n_chars"] == len("own 3\n\nown 3")
-    assert spread_lines(docs, 7).agg(F.sum("__removed")).first()[0] == 0
+    assert spread_lines(docs, 7).agg(F.sum("removed")).first()[0] == 0
     assert spread_lines(docs.where("doc_id = -5"), 5).count() == 0
 
 
@@ -215,3 +215,31 @@ def test_shards_fit_and_hold_all(spark, tmp_path):
 def test_items_digest_of_no_items(spark):
     row = QUERIES["op1_decontaminate"](spark, DATA).where("not contaminated").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_callers_columns_stay_whatever_their_names(spark):
+    from orrery.llm.lines import spread_lines
+    from orrery.llm.quality import good_documents
+    from orrery.llm.sharding import placed
+
+    docs = with_odd_columns(documents(spark, [*ODD, *((50 + i, f"shared line\nown {i} " + " ".join(prose(30, i)), "en", f"s{i}") for i in range(8))]))
+    bench = spark.createDataFrame([(1, " ".join(prose(30, 3)))], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50, 58)], "doc_id long, quality int")
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    whole = sorted(map(repr, docs.select(*(f"`{c.replace('`', '``')}`" for c in rest)).collect()))
+    some = lambda df: sorted(map(repr, df.select(*(F.col("row").getField(c).alias(c) if "row" in df.columns and len(df.columns) < 9 else F.col(f"`{c.replace('`', '``')}`") for c in rest)).collect()))
+    for out in (neardup.classes(docs), spread_lines(docs), placed(docs, 100), without_spread_lines(docs)):
+        assert some(out) == whole
+    for out in (neardup.one_of_each(docs), decontaminated(docs, bench), good_documents(docs, labels)):
+        assert out.columns == docs.columns
+        assert set(some(out)) <= set(whole)
+
+
+def test_hot_keys_join_like_others(spark):
+    from orrery.llm.session import join_hot
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(300)] + [(None, -1)], "k int, v int")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(0, 6)], "k int, t string")
+    want = sorted(map(repr, rows.join(table, "k", "left").select("k", "v", "t").collect()))
+    for most, shares in ((100, 8), (0, 8), (0, 2048)):
+        assert sorted(map(repr, join_hot(rows, table, "k", most, shares).select("k", "v", "t").collect())) == want
