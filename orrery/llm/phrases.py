@@ -29,7 +29,8 @@ from orrery.llm.session import broadcast_if_small, released, written
 from orrery.llm.textkit import mix, runs, token_hashes
 
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
-SLICE_BYTES = 12 << 20
+#: Texts are hashed in small slices, and what they hold is summed over large ones.
+SMALL_BYTES, SLICE_BYTES = 1 << 19, 4 << 20
 #: Bits of the bitmap of frequent words.
 SLOTS = 1 << 26
 HOT, HOT_PREFIXES = 1 << 21, 1 << 16
@@ -75,6 +76,17 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.maximum(hashes, np.uint64(1)), text, follows, first[is_word], length[is_word], data
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of slices of a batch (lang, text): the languages, each word's language among them, its hash, and whether the next word follows."""
+    for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
+        names, lang = _coded(batch.column(0).slice(lo, hi - lo))
+        texts, found = batch.column(1).slice(lo, hi - lo), []
+        for a, b in column_slices(texts, SMALL_BYTES):
+            word, text, follows, *_ = _words(texts.slice(a, b - a))
+            found.append((lang[a:b][text], word, follows))
+        yield names, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _with_langs(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -89,10 +101,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
-                names, lang = _coded(batch.column(0).slice(lo, hi - lo))
-                word, text, *_ = _words(batch.column(1).slice(lo, hi - lo))
-                of = lang[text]
+            for names, of, word, _ in _slices(batch):
                 for i in range(len(names)):
                     each, n = np.unique(word[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([names[i].as_py()] * len(each), pa.string()), pa.array(each.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
@@ -144,9 +153,7 @@ def pointers(texts: DataFrame, bits, hot: dict, longest: int) -> DataFrame:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, parts_of = bits.value, hot.value
         for batch in batches:
-            for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
-                names, lang = _coded(batch.column(0).slice(lo, hi - lo))
-                word, text, follows, *_ = _words(batch.column(1).slice(lo, hi - lo))
+            for names, lang, word, follows in _slices(batch):
                 good = _in(frequent, word)
                 # 0 is no word, and comes first.
                 values, code = np.unique(np.append(np.where(good, word, np.uint64(0)), np.uint64(0)), return_inverse=True)
@@ -162,7 +169,7 @@ def pointers(texts: DataFrame, bits, hot: dict, longest: int) -> DataFrame:
                 begins = np.flatnonzero(after[0])
                 if not len(begins):
                     continue
-                of, codes, times = _summed(lang[text[begins]], [code[begins], *(a[begins] for a in after)], len(values))
+                of, codes, times = _summed(lang[begins], [code[begins], *(a[begins] for a in after)], len(values))
                 prefix, *nexts = (values[c] for c in codes)
                 part = np.zeros(len(times), np.int64)
                 for (name, w), n in parts_of.items():
@@ -257,7 +264,7 @@ def spellings(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
+            for lo, hi in column_slices(batch.column(1), SMALL_BYTES):
                 word, _, _, first, length, data = _words(batch.column(1).slice(lo, hi - lo))
                 at = np.flatnonzero(_in(bits.value, word))
                 each, one = np.unique(word[at], return_index=True)
