@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.quantiles import ACCURACY, RANGES, running_total
+from orrery.operators.quantiles import ACCURACY, RANGES, quantile_columns, running_total
 
 
 def top(df: DataFrame, score: str, n: int, by: str = "id") -> DataFrame:
@@ -46,6 +46,58 @@ def keep_tail(df: DataFrame, score: str, prefix: DataFrame) -> DataFrame:
     return whole_positions(df, score).join(again, "id", "left").withColumn("rn", F.coalesce("__new", "rn")).drop("__new")
 
 
+def parted(df: DataFrame, first: Column, within: str, score: str, by: str = "id") -> DataFrame:
+    """Positions rn in a table of any size: rows of `first` before the others, by falling `within`; the others by falling score."""
+    marked = df.withColumn("__first", F.coalesce(first, F.lit(False)))
+    many = F.broadcast(marked.agg(F.count_if("__first").alias("__many")))
+    head = whole_positions(marked.where("__first"), within, by)
+    tail = whole_positions(marked.where(~F.col("__first")), score, by).crossJoin(many).withColumn("rn", F.col("rn") + F.col("__many")).drop("__many")
+    return head.unionByName(tail).drop("__first")
+
+
+def near_top(df: DataFrame, score: str, ratio: float) -> DataFrame:
+    """`df` with near: whether a row's score is within a ratio of the whole table's best; no place in a ranking decides it."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(score).alias("__best")))).withColumn("near", F.col(score) >= ratio * F.col("__best")).drop("__best")
+
+
+def whole_tiebreak(df: DataFrame, score: str, gain: str, ratio: float) -> DataFrame:
+    """All rows near the best by gain, then all others by score."""
+    return parted(near_top(df, score, ratio), F.col("near"), gain, score)
+
+
+def whole_guard(df: DataFrame, score: str, gain: str, share: float) -> DataFrame:
+    """Rows whose gain reaches the table's own quantile first, then the others, both by score."""
+    level = F.broadcast(quantile_columns(df, [], gain, {"__level": share}))
+    return parted(df.crossJoin(level).withColumn("near", F.col(gain) >= F.col("__level")).drop("__level"), F.col("near"), score, score)
+
+
+def whole_blend(df: DataFrame, terms: dict[str, float], name: str = "blend") -> DataFrame:
+    """All rows by the weighted sum of their terms, each scaled to 0..1 over the table (0 where it doesn't vary)."""
+    return whole_positions(_blended(df, terms, name), name)
+
+
+def _blended(df: DataFrame, terms: dict[str, float], name: str, among: Column | None = None) -> DataFrame:
+    """`df` with the sum of weights times terms, scaled to 0..1 among the rows of `among`, or all."""
+    own = lambda c: F.when(among, F.col(c)) if among is not None else F.col(c)
+    ends = df.agg(*(f(own(c)).alias(f"__{end}{i}") for i, c in enumerate(terms) for end, f in (("lo", F.min), ("hi", F.max))))
+    out = df.crossJoin(F.broadcast(ends))
+    unit = lambda i, c: F.when(F.col(f"__hi{i}") - F.col(f"__lo{i}") > 1e-30, (F.col(c) - F.col(f"__lo{i}")) / (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).otherwise(0.0)
+    return out.withColumn(name, F.round(sum((w * unit(i, c) for i, (c, w) in enumerate(terms.items())), F.lit(0.0)), 9)).drop(*ends.columns)
+
+
+def whole_set_aware(df: DataFrame, score: str, terms: dict[str, float], ratio: float) -> DataFrame:
+    """All rows near the best by the weighted sum of their terms, scaled among them, then all others by score."""
+    near = near_top(df, score, ratio)
+    return parted(_blended(near, terms, "__total", F.col("near")), F.col("near"), "__total", score).drop("__total")
+
+
+def whole_rescored(df: DataFrame, score: str, exact: str, share: float) -> DataFrame:
+    """The best share of the whole ranking by an exact score, the tail as it was."""
+    size = F.broadcast(df.agg(F.ceil(share * F.count("*")).alias("__size")))
+    placed = whole_positions(df, score, name="__place").crossJoin(size).withColumn("near", F.col("__place") <= F.col("__size"))
+    return parted(placed.drop("__place", "__size"), F.col("near"), exact, score)
+
+
 def quota_top(df: DataFrame, score: str, flag: Column, n: int, cap: float) -> DataFrame:
     """Top n of which at most floor(cap n) are flagged; if there are not enough others, flagged ones fill up."""
     quota = int(cap * n)

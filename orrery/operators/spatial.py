@@ -2,7 +2,8 @@
 
 The reference side (a design, knots, hot probes) travels in blocks of about BLOCK rows, each block as one array;
 so a query row meets a block in one expression and no pair becomes a row. Up to BROADCAST_BLOCKS blocks, as
-counted, are broadcast; more are met partition by partition, so that no task holds the whole reference.
+counted, are broadcast. Beyond, joins that only need what is near (nearest, tolerance, novelty) go through cells, see `cells`;
+sums over all pairs meet more blocks partition by partition, so that no task holds the whole reference.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.box import distance, squared_distance
+from orrery.operators import cells
 from orrery.operators.quantiles import running_total
 
 BLOCK = 4096
@@ -28,14 +30,27 @@ def blocks(reference: DataFrame, fields: list[str], limit: int = BLOCK) -> DataF
     return F.broadcast(out) if n <= BROADCAST_BLOCKS else out
 
 
-def nearest_distance(queries: DataFrame, reference: DataFrame, u: str, name: str, other_than_self: bool = False) -> DataFrame:
-    """Each query's distance to its nearest reference row (id, u); infinite where there is none."""
-    near = lambda r: F.when(r["id"] == F.col("id"), F.lit(float("inf"))).otherwise(distance(F.col(u), r["u"])) if other_than_self else distance(F.col(u), r["u"])
-    own = queries.crossJoin(blocks(reference.select("id", F.col(u).alias("u")), ["id", "u"]))
-    found = own.withColumn("__d", F.array_min(F.transform("refs", near))).groupBy("id").agg(F.min("__d").alias(name))
+def nearest_distance(queries: DataFrame, reference: DataFrame, u: str, name: str, other_than_self: bool = False, most: int = BLOCK * BROADCAST_BLOCKS) -> DataFrame:
+    """Each query's distance to its nearest reference row (id, u); infinite where there is none. More than `most` reference rows are met through cells."""
+    held = reference.select("id", F.col(u).alias("u"))
+    n = held.count()
+    if n > most:
+        found = cells.nearest(queries.select("id", F.col(u).alias("u")), held, name, other_than_self, max(n, 1) ** (-1 / cells.DIMS))
+    else:
+        near = lambda r: F.when(r["id"] == F.col("id"), F.lit(float("inf"))).otherwise(distance(F.col(u), r["u"])) if other_than_self else distance(F.col(u), r["u"])
+        own = queries.crossJoin(blocks(held, ["id", "u"]))
+        found = own.withColumn("__d", F.array_min(F.transform("refs", near))).groupBy("id").agg(F.min("__d").alias(name))
     return queries.join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(float("inf"))))
 
 
+def farther_than(queries: DataFrame, reference: DataFrame, radius: float, most: int = BLOCK * BROADCAST_BLOCKS) -> DataFrame:
+    """The queries (id, u and others) with no reference row within the radius: an anti join on distance."""
+    if reference.count() <= most:
+        return nearest_distance(queries, reference, "u", "__near", most=most).where(F.col("__near") > radius).drop("__near")
+    hit = cells.within(queries.select("id", "u"), reference, radius, lambda r: distance(F.col("u"), r["u"]) <= radius).where("match_id is not null")
+    return queries.join(hit.select("id"), "id", "left_anti")
+
+
 def nearest_k(queries: DataFrame, reference: DataFrame, k: int, extra: list[str]) -> DataFrame:
     """The k nearest reference rows of each query: id, rn, distance d and the reference's id and extra columns as ref_*."""
     fields = ["id", "u", *extra]
@@ -83,10 +98,13 @@ def match_rows(left: DataFrame, right: DataFrame, digits: int = 12) -> DataFrame
     return a.join(b.drop("u"), ["__key", "__n"]).select("left_id", "right_id")
 
 
-def within_tolerance(queries: DataFrame, reference: DataFrame, atol: float, rtol: float = 0.0) -> DataFrame:
-    """The first reference row with every coordinate within atol + rtol |reference|, null where there is none."""
-    own = queries.select("id", "u").crossJoin(blocks(reference.select("id", "u"), ["id", "u"]))
+def within_tolerance(queries: DataFrame, reference: DataFrame, atol: float, rtol: float = 0.0, most: int = BLOCK * BROADCAST_BLOCKS) -> DataFrame:
+    """The first reference row with every coordinate within atol + rtol |reference|, null where there is none. More than `most` reference rows are met through cells."""
     close = lambda r: F.forall(F.zip_with("u", r["u"], lambda a, b: F.abs(a - b) <= atol + rtol * F.abs(b)), lambda x: x)
+    if reference.count() > most:
+        far = reference.agg(F.max(F.array_max(F.transform("u", lambda x: F.abs(x)))).alias("m")).first()["m"] if rtol else 0.0
+        return cells.within(queries, reference, max(atol + rtol * far, 1e-12), close)
+    own = queries.select("id", "u").crossJoin(blocks(reference.select("id", "u"), ["id", "u"]))
     first = F.array_min(F.transform(F.filter("refs", close), lambda r: r["id"]))
     return own.withColumn("__m", first).groupBy("id").agg(F.min("__m").alias("match_id"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import box, scale, targets
+from orrery.operators import discrepancy, sets
 from orrery.operators import ranking as rk
-from orrery.operators import sets
 from orrery.operators.quantiles import quantile_columns
 from orrery.plans.common import FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import SQL, query
@@ -59,7 +59,8 @@ def acquisition_score(spark, d):
 @query(f"WITH {FACTS_SQL}, s AS (SELECT sample, var_samp(pred) AS v, avg(pred - truth) AS b FROM facts GROUP BY sample), q AS (SELECT quantile_cont(v, 0.68) AS sv, quantile_cont(abs(b), 0.68) AS sb FROM s) SELECT sample, round(sqrt(pow(v / sv, 2) + pow(0.7 * b / sb, 2)), 6) AS both, round(abs(0.7 * b / sb), 6) AS bias_only FROM s, q")
 def variance_bias_score(spark, d):
     per = facts(spark, d).groupBy("sample").agg(F.var_samp("pred").alias("v"), F.avg(F.col("pred") - F.col("truth")).alias("b"))
-    scales = F.broadcast(per.agg(F.percentile("v", F.lit(0.68)).alias("sv"), F.percentile(F.abs("b"), F.lit(0.68)).alias("sb")))
+    off = per.withColumn("off", F.abs("b"))
+    scales = F.broadcast(quantile_columns(off, [], "v", {"sv": 0.68}).crossJoin(quantile_columns(off, [], "off", {"sb": 0.68})))
     score = lambda mode: targets.variance_bias_score(F.col("v"), F.col("b"), F.col("sv"), F.col("sb"), 0.7, mode)
     return rounded(per.crossJoin(scales).select("sample", score("variance_bias").alias("both"), score("bias_only").alias("bias_only")))
 
@@ -90,74 +91,109 @@ def best_per_simplex(spark, d):
     return rk.best_per_group(_scored(spark, d).select("id", "score", "label"), "label", "score").select("label", "id", "score")
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 50), q AS (SELECT quantile_cont(edge, 0.5) AS m FROM t) SELECT id, CAST(row_number() OVER (ORDER BY edge >= m DESC, rn) AS INTEGER) AS rn FROM t, q")
-def guard_partition(spark, d):
-    best = rk.positions(rk.top(_scored(spark, d), "score", 50), F.desc("score"), "id")
-    level = F.broadcast(best.agg(F.percentile("edge", F.lit(0.5)).alias("m")))
-    return rk.guard_first(best.crossJoin(level), F.col("edge") >= F.col("m")).select("id", "rn")
+def _own_sql(u: str) -> str:
+    return f"list_product(list_transform({u}, lambda x: 1 + 0.5 * abs(x - 0.5) - 0.5 * abs(x - 0.5) * abs(x - 0.5)))"
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 50), n AS (SELECT *, score >= 0.9 * max(score) OVER () AS near FROM t) SELECT id, CAST(row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN -edge END, rn) AS INTEGER) AS rn FROM n")
-def spacefill_tiebreak(spark, d):
-    best = rk.positions(rk.top(_scored(spark, d), "score", 50), F.desc("score"), "id")
-    return rk.tiebreak(best, "score", "edge", 0.9).select("id", "rn")
+def _pair_sql(u: str, v: str) -> str:
+    return f"list_product(list_transform(list_zip({u}, {v}), lambda z: 1 + 0.5 * abs(z[1] - 0.5) + 0.5 * abs(z[2] - 0.5) - 0.5 * abs(z[1] - z[2])))"
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 60) SELECT id, CAST(row_number() OVER (ORDER BY rn <= 25 DESC, CASE WHEN rn <= 25 THEN -edge END, rn) AS INTEGER) AS rn FROM t")
-def rerank_prefix_exact(spark, d):
-    best = rk.positions(rk.top(_scored(spark, d), "score", 60), F.desc("score"), "id")
-    return rk.rerank_prefix(best, 25, "edge").select("id", "rn")
+#: Every point with its score, its risk and what it would take off the discrepancy of the design (label 0).
+_GAINS = f"""{_SCORED}, d AS (SELECT id, u FROM points WHERE label = 0), n AS (SELECT count(*) AS n, sum({_own_sql("u")}) AS s1 FROM d),
+two AS (SELECT sum({_pair_sql("a.u", "b.u")}) AS s2 FROM d a, d b), k AS (SELECT a.id, sum({_pair_sql("a.u", "b.u")}) AS k FROM points a, d b GROUP BY a.id),
+r AS (SELECT p.id, s.score, p.u[4] AS risk, round(s2 / (n * n) - 2.0 / n * s1 + 2.0 / (n + 1) * (s1 + {_own_sql("p.u")}) - (s2 + 2 * k + {_pair_sql("p.u", "p.u")}) / ((n + 1) * (n + 1)), 12) + 0.0 AS gain
+    FROM points p JOIN s USING (id) JOIN k USING (id), n, two)"""
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 50), b AS (SELECT *, 0.7 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) + 0.3 * (edge - min(edge) OVER ()) / (max(edge) OVER () - min(edge) OVER ()) AS blend FROM t) SELECT id, round(blend, 6) AS blend, CAST(row_number() OVER (ORDER BY round(blend, 9) DESC, id) AS INTEGER) AS rn FROM b")
-def spacefill_blend(spark, d):
-    best = rk.top(_scored(spark, d), "score", 50).select("id", "score", "edge")
-    scaled = scale.minmax_unit(scale.minmax_unit(best, "score", "us"), "edge", "ue")
-    blend = scaled.withColumn("blend", 0.7 * F.col("us") + 0.3 * F.col("ue"))
-    return rounded(rk.positions(blend, F.desc(F.round("blend", 9)), "id").select("id", "blend", "rn"))
+def _gains(spark, d):
+    p = _scored(spark, d).withColumn("risk", F.get("u", F.lit(3)))
+    found = discrepancy.gains(p, p.where("label = 0"))
+    return found.select("id", "score", "risk", (F.round("gain", 12) + 0.0).alias("gain"))
 
 
-_SET_TERMS = {"score": 0.4, "risk": 0.3, "edge": 0.3}
+@query(f"WITH {_GAINS} SELECT id, round(gain * 1e6, 3) + 0.0 AS gain FROM r")
+def discrepancy_gain(spark, d):
+    """In millionths: what each point would take off the squared discrepancy of the design."""
+    return _gains(spark, d).select("id", (F.round(F.col("gain") * 1e6, 3) + 0.0).alias("gain"))
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT s.id, s.score, s.edge, p.u[4] AS risk, row_number() OVER (ORDER BY s.score DESC, s.id) AS rn FROM s JOIN points p ON s.id = p.id ORDER BY s.score DESC, s.id LIMIT 50), n AS (SELECT *, score >= 0.8 * max(score) OVER () AS near FROM t), b AS (SELECT *, " + ", ".join(f"min({c}) FILTER (WHERE near) OVER () AS {c}_lo, max({c}) FILTER (WHERE near) OVER () AS {c}_hi" for c in _SET_TERMS) + " FROM n), c AS (SELECT *, round(" + " + ".join(f"{w} * CASE WHEN {c}_hi - {c}_lo > 1e-30 THEN ({c} - {c}_lo) / ({c}_hi - {c}_lo) ELSE 0.0 END" for c, w in _SET_TERMS.items()) + ", 9) AS total FROM b) SELECT id, CAST(row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN -total END, rn) AS INTEGER) AS rn FROM c")
-def set_aware_rerank(spark, d):
-    best = rk.positions(rk.top(_scored(spark, d).withColumn("risk", F.get("u", F.lit(3))), "score", 50), F.desc("score"), "id")
-    return rk.set_aware(best, "score", _SET_TERMS, 0.8).select("id", "rn")
+def _parted_sql(near: str, within: str, more: str = "") -> str:
+    return f"WITH {_GAINS}{more}, m AS (SELECT *, {near} AS near FROM r) SELECT id, CAST(row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN -{within} ELSE -score END, id) AS BIGINT) AS rn FROM m"
+
 
+def _report(name: str) -> str:
+    """The first 50 rows of a whole ranking."""
+    return f"SELECT * FROM ({SQL[name]}) WHERE rn <= 50"
 
-def _whole_sql(name: str) -> str:
-    return f"WITH {_SCORED}, w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s), p AS ({SQL[name]}) SELECT w.id, CAST(coalesce(p.rn, w.rn) AS BIGINT) AS rn FROM w LEFT JOIN p ON w.id = p.id"
+
+@query(_parted_sql("gain >= (SELECT quantile_cont(gain, 0.5) FROM r)", "score"))
+def guard_partition_whole(spark, d):
+    return rk.whole_guard(_gains(spark, d), "score", "gain", 0.5).select("id", "rn")
 
 
-def _whole(spark, d, prefix):
-    """The whole ranking, its prefix in the order of a re-ranking query."""
-    return rk.keep_tail(_scored(spark, d).select("id", "score"), "score", prefix(spark, d)).select("id", "rn")
+@query(_parted_sql("score >= 0.9 * (SELECT max(score) FROM r)", "gain"))
+def spacefill_tiebreak_whole(spark, d):
+    return rk.whole_tiebreak(_gains(spark, d), "score", "gain", 0.9).select("id", "rn")
 
 
-@query(_whole_sql("rerank_prefix_exact"))
+@query(f"WITH {_GAINS}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, ceil(0.1 * count(*) OVER ()) AS size FROM r) SELECT id, CAST(row_number() OVER (ORDER BY place <= size DESC, CASE WHEN place <= size THEN -gain ELSE -score END, id) AS BIGINT) AS rn FROM o")
 def rerank_prefix_exact_whole(spark, d):
-    return _whole(spark, d, rerank_prefix_exact)
+    """The best tenth of the table, however many rows, in the order of another score."""
+    return rk.whole_rescored(_gains(spark, d), "score", "gain", 0.1).select("id", "rn")
 
 
-@query(_whole_sql("spacefill_tiebreak"))
-def spacefill_tiebreak_whole(spark, d):
-    return _whole(spark, d, spacefill_tiebreak)
+_TERMS = {"score": 0.7, "gain": 0.3}
 
 
-@query(_whole_sql("guard_partition"))
-def guard_partition_whole(spark, d):
-    return _whole(spark, d, guard_partition)
+def _unit_sql(c: str) -> str:
+    return f"CASE WHEN {c}_hi - {c}_lo > 1e-30 THEN ({c} - {c}_lo) / ({c}_hi - {c}_lo) ELSE 0.0 END"
+
 
+def _ends_sql(terms, among: str = "") -> str:
+    return ", ".join(f"min({c}) {among} OVER () AS {c}_lo, max({c}) {among} OVER () AS {c}_hi" for c in terms)
 
-@query(_whole_sql("spacefill_blend"))
+
+def _total_sql(terms) -> str:
+    return f"round({' + '.join(f'{w} * {_unit_sql(c)}' for c, w in terms.items())}, 9)"
+
+
+@query(f"WITH {_GAINS}, e AS (SELECT *, {_ends_sql(_TERMS)} FROM r), b AS (SELECT *, {_total_sql(_TERMS)} AS blend FROM e) SELECT id, round(blend, 6) AS blend, CAST(row_number() OVER (ORDER BY blend DESC, id) AS BIGINT) AS rn FROM b")
 def spacefill_blend_whole(spark, d):
-    return _whole(spark, d, spacefill_blend)
+    return rounded(rk.whole_blend(_gains(spark, d), _TERMS).select("id", "blend", "rn"))
+
 
+_SET_TERMS = {"score": 0.4, "risk": 0.3, "gain": 0.3}
 
-@query(_whole_sql("set_aware_rerank"))
+
+@query(f"WITH {_GAINS}, m AS (SELECT *, score >= 0.8 * (SELECT max(score) FROM r) AS near FROM r), e AS (SELECT *, {_ends_sql(_SET_TERMS, 'FILTER (WHERE near)')} FROM m), t AS (SELECT *, {_total_sql(_SET_TERMS)} AS total FROM e) SELECT id, CAST(row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN -total ELSE -score END, id) AS BIGINT) AS rn FROM t")
 def set_aware_rerank_whole(spark, d):
-    return _whole(spark, d, set_aware_rerank)
+    return rk.whole_set_aware(_gains(spark, d), "score", _SET_TERMS, 0.8).select("id", "rn")
+
+
+@query(_report("guard_partition_whole"))
+def guard_partition(spark, d):
+    return guard_partition_whole(spark, d).where("rn <= 50")
+
+
+@query(_report("spacefill_tiebreak_whole"))
+def spacefill_tiebreak(spark, d):
+    return spacefill_tiebreak_whole(spark, d).where("rn <= 50")
+
+
+@query(_report("rerank_prefix_exact_whole"))
+def rerank_prefix_exact(spark, d):
+    return rerank_prefix_exact_whole(spark, d).where("rn <= 50")
+
+
+@query(_report("spacefill_blend_whole"))
+def spacefill_blend(spark, d):
+    return spacefill_blend_whole(spark, d).where("rn <= 50")
+
+
+@query(_report("set_aware_rerank_whole"))
+def set_aware_rerank(spark, d):
+    return set_aware_rerank_whole(spark, d).where("rn <= 50")
 
 
 @query(f"WITH {_SCORED}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rn FROM s ORDER BY score DESC, id LIMIT 30), b AS (SELECT id, row_number() OVER (ORDER BY edge DESC, id) AS rn FROM s ORDER BY edge DESC, id LIMIT 30), f AS (SELECT id, min({{'p': part, 'r': rn}}) AS pos FROM (SELECT id, 0 AS part, rn FROM a UNION ALL SELECT id, 1, rn FROM b) GROUP BY id) SELECT id, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS rn FROM f")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import box
+from orrery.operators import cells, discrepancy
 from orrery.operators import spatial as s
 from orrery.operators.metrics import spearman as spearman_of
 from orrery.operators.quantiles import quantile_columns
@@ -44,7 +45,7 @@ def self_nn_stats(spark, d):
 @query(f"WITH {POINTS_SQL} SELECT a.id FROM points a WHERE a.label <> 0 AND NOT EXISTS (SELECT 1 FROM points b WHERE b.label = 0 AND {DIST} <= 0.15)")
 def novelty_antijoin(spark, d):
     c, design = _parts(spark, d)
-    return s.nearest_distance(c, design, "u", "dist").where("dist > 0.15").select("id")
+    return s.farther_than(c, design, 0.15).select("id")
 
 
 _NEAR = f"""r AS (SELECT id, u, list_sum(u) / 5 AS value, CAST(1 + id % 30 AS BIGINT) AS n FROM points WHERE label = 0),
@@ -62,7 +63,7 @@ def knn_reliability_smoother(spark, d):
 def rbf_hotspot_score(spark, d):
     c, design = _parts(spark, d)
     probes = design.withColumn("err", F.abs(F.get("u", F.lit(0)) - F.get("u", F.lit(1))))
-    level = F.broadcast(probes.agg(F.percentile("err", F.lit(0.68)).alias("level")))
+    level = F.broadcast(quantile_columns(probes, [], "err", {"level": 0.68}))
     hot = probes.crossJoin(level).where("err >= level")
     return rounded(s.kernel_mean(c, hot, "err", 0.2, "score").select("id", "score"))
 
@@ -172,14 +173,7 @@ one AS (SELECT sum(list_product(list_transform(c, lambda x: 1 + 0.5 * x - 0.5 *
 two AS (SELECT sum(list_product(list_transform(list_zip(a.c, b.c, a.u, b.u), lambda z: 1 + 0.5 * z[1] + 0.5 * z[2] - 0.5 * abs(z[3] - z[4])))) AS s FROM p a, p b)
 SELECT round(sqrt(pow(13.0 / 12, 5) - 2.0 / n * one.s + two.s / (n * n)), 6) AS discrepancy FROM one, two, n""")
 def centered_discrepancy(spark, d):
-    design = _parts(spark, d)[1].select("id", "u")
-    mul = lambda arr: F.aggregate(arr, F.lit(1.0), lambda a, x: a * x)
-    c = lambda x: F.abs(x - 0.5)
-    one = design.agg(F.sum(mul(F.transform("u", lambda x: 1 + 0.5 * c(x) - 0.5 * c(x) * c(x)))).alias("s1"), F.count("*").alias("n"))
-    both = design.crossJoin(F.broadcast(s.blocks(design, ["id", "u"])))
-    pair = F.aggregate("refs", F.lit(0.0), lambda a, r: a + mul(F.zip_with("u", r["u"], lambda x, y: 1 + 0.5 * c(x) + 0.5 * c(y) - 0.5 * F.abs(x - y))))
-    two = both.agg(F.sum(pair).alias("s2"))
-    return rounded(one.crossJoin(two).select(F.sqrt(F.pow(F.lit(13.0 / 12), F.lit(5)) - 2.0 / F.col("n") * F.col("s1") + F.col("s2") / (F.col("n") * F.col("n"))).alias("discrepancy")))
+    return rounded(discrepancy.discrepancy(_parts(spark, d)[1]))
 
 
 @query(f"WITH {POINTS_SQL} SELECT id, u[1] > 0.4 AND u[2] > 0.4 AND (1 - u[1]) + (1 - u[2]) > 0.8 AS inside, round(greatest(abs((u[1] - 0.4) / 0.4 - 1.0 / 3), abs((u[2] - 0.4) / 0.4 - 1.0 / 3), abs(1 - (u[1] - 0.4) / 0.4 - (u[2] - 0.4) / 0.4 - 1.0 / 3)), 6) AS deviation FROM points")
@@ -194,5 +188,30 @@ def barycentric_in_triangle(spark, d):
 
 @query("SELECT CAST(floor(l_quantity / 10) AS INTEGER) AS bx, CAST(floor(l_discount / 0.025) AS INTEGER) AS by, count(*) AS n, round(median(l_extendedprice), 6) AS med FROM lineitem GROUP BY 1, 2")
 def binned_median_plane(spark, d):
-    li = table(spark, d, "lineitem")
-    return rounded(li.groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("bx"), F.floor(F.col("l_discount") / 0.025).cast("int").alias("by")).agg(F.count("*").alias("n"), F.percentile("l_extendedprice", F.lit(0.5)).alias("med")))
+    li = table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 10).cast("int").alias("bx"), F.floor(F.col("l_discount") / 0.025).cast("int").alias("by"), F.col("l_extendedprice").alias("x"))
+    return rounded(li.groupBy("bx", "by").agg(F.count("*").alias("n")).join(quantile_columns(li, ["bx", "by"], "x", {"med": 0.5}), ["bx", "by"]))
+
+
+@query("""WITH a AS (SELECT l_extendedprice AS x, (sqrt(3.0) / 3 * (l_quantity / 10) - (l_discount * 40) / 3) / 0.5 AS q, 2.0 / 3 * (l_discount * 40) / 0.5 AS r FROM lineitem),
+b AS (SELECT x, q, r, -q - r AS s, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM a),
+c AS (SELECT *, abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) AS fq, abs(rr - r) > abs(rs - s) AS fr FROM b)
+SELECT CAST(CASE WHEN fq THEN -rr - rs ELSE rq END AS BIGINT) AS hq, CAST(CASE WHEN NOT fq AND fr THEN -rq - rs ELSE rr END AS BIGINT) AS hr, count(*) AS n, round(median(x), 6) AS med FROM c GROUP BY 1, 2""")
+def hexagon_median_plane(spark, d):
+    """Medians in hexagons of a plane, exact whatever the number of rows in one."""
+    li = table(spark, d, "lineitem").select(cells.hexagon(F.col("l_quantity") / 10, F.col("l_discount") * 40, 0.5).alias("h"), F.col("l_extendedprice").alias("x")).select(F.col("h.q").alias("hq"), F.col("h.r").alias("hr"), "x")
+    return rounded(li.groupBy("hq", "hr").agg(F.count("*").alias("n")).join(quantile_columns(li, ["hq", "hr"], "x", {"med": 0.5}), ["hq", "hr"]))
+
+
+@query(f"WITH {POINTS_SQL}, p AS (SELECT a.id AS left_id, b.id AS right_id, list_max(list_transform(list_zip(a.u, b.u), lambda z: abs(z[1] - z[2]))) AS d FROM points a, points b WHERE a.label % 2 = 0 AND b.label % 2 = 1), n AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY d, right_id) AS l, row_number() OVER (PARTITION BY right_id ORDER BY d, left_id) AS r FROM p WHERE d <= 0.05) SELECT left_id, right_id FROM n WHERE l = 1 AND r = 1")
+def mutual_nearest_rows(spark, d):
+    """The first round of one-to-one matching: rows of even and of odd labels that are each other's nearest within a tolerance."""
+    p = points(spark, d)
+    return cells.mutual(cells.tolerance_pairs(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 0.05))
+
+
+@query()
+def one_to_one_match(spark, d):
+    """Rows of even and of odd labels, each used once: equal after rounding, then nearest of those that are left within a tolerance."""
+    p = points(spark, d)
+    left, right = p.where("label % 2 = 0"), p.where("label % 2 = 1")
+    return cells.match_rows(left, right, s.match_rows(left, right, 2), 0.05)
