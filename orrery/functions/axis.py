@@ -45,3 +45,14 @@ def gradient(series: DataFrame, x: str, y: str, by: str, name: str) -> DataFrame
     hb, ha = F.col(x) - xb, xa - F.col(x)
     inner = (hb * hb * ya + (ha * ha - hb * hb) * F.col(y) - ha * ha * yb) / (hb * ha * (ha + hb))
     return series.withColumn(name, F.when(xb.isNull(), (ya - F.col(y)) / ha).when(xa.isNull(), (F.col(y) - yb) / hb).otherwise(inner))
+
+
+def curvature_basis(series: DataFrame, k: str, y: str, by: str, pivot: float, centre: float, width: float, least: float = 1e-30) -> DataFrame:
+    """Features of a curve along ln k: x, the log distance to the pivot; slope and curvature of ln y, both by uneven differences; and the slope in a Gaussian window of log10 k.
+
+    Values of k or y below `least` count as `least`."""
+    at_least = lambda c: F.greatest(F.col(c), F.lit(least))
+    logs = series.withColumns({"x": F.log(at_least(k) / pivot), "log_k": F.log(at_least(k)), "log_y": F.log(at_least(y))})
+    bent = gradient(gradient(logs, "log_k", "log_y", by, "slope"), "log_k", "slope", by, "curvature")
+    z = (F.log10(at_least(k)) - centre) / width
+    return bent.withColumn("windowed", F.exp(-0.5 * z * z) * F.col("slope")).drop("log_k", "log_y")

@@ -83,11 +83,11 @@ def bound_anchors(rows: DataFrame, known: DataFrame, keys: list[str], provided:
     return rows.join(match, keys, "left").withColumn(name, F.coalesce(F.col(provided), F.col("__known"), F.raise_error(F.lit("a row has no anchor and equals no known one")).cast("double"))).drop("__known")
 
 
-def same_prefix(source: DataFrame, reference: DataFrame, position: str, point: str, atol: float = 0.0) -> DataFrame:
-    """One row: n rows of the source, and whether each equals the reference's at its position."""
+def same_prefix(source: DataFrame, reference: DataFrame, position: str, point: str, atol: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group: n rows of the source, and whether each equals the reference's at its position."""
     both = source.join(reference.select(position, F.col(point).alias("__ref")), position, "left")
     close = F.forall(F.zip_with(point, "__ref", lambda a, b: F.coalesce(F.abs(a - b) <= atol, F.lit(False))), lambda x: x)
-    return both.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.coalesce(close, F.lit(False))), F.lit(True)).alias("same"))
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.coalesce(close, F.lit(False))), F.lit(True)).alias("same"))
 
 
 def basis_model(features: DataFrame, coefficients: DataFrame, anchor: DataFrame) -> DataFrame:
@@ -116,8 +116,8 @@ def pair_offsets(pairs: DataFrame, design: str) -> DataFrame:
     return running_total(counts, design, "n", "__upto").select(design, "n", (F.col("__upto") - F.col("n")).alias("offset"))
 
 
-def weighted_checks(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """`actual` (name, value) against `expected` (name, value, weight): one row with the checks, those passed and their share of the weight."""
-    both = expected.join(actual.select("name", F.col("value").alias("__got")), "name", "left")
+def weighted_checks(actual: DataFrame, expected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """`actual` (name, value) against `expected` (name, value, weight): the checks, those passed and their share of the weight, in one row or one for each group."""
+    both = expected.join(actual.select(*by, "name", F.col("value").alias("__got")), [*by, "name"], "left")
     passed = F.coalesce(F.col("value") == F.col("__got"), F.lit(False))
-    return both.agg(F.count("*").alias("checks"), F.count_if(passed).alias("passed"), (F.sum(F.when(passed, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("score"))
+    return both.groupBy(*by).agg(F.count("*").alias("checks"), F.count_if(passed).alias("passed"), (F.sum(F.when(passed, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("score"))

@@ -71,28 +71,45 @@ def fit_components(design: DataFrame, scores: DataFrame, sample: str) -> DataFra
 
 
 def predict_scores(fitted: DataFrame, queries: DataFrame) -> DataFrame:
-    """id, pc and score of each query (id, u): a product of its kernel row with the weights."""
+    """id, pc, score and its variance for each query (id, u): a product of its kernel row with the weights, and what the design leaves open."""
     rows = fitted.orderBy("pc").toPandas()  # a row for each component
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factors: dict = {}
         for b in batches:
             if not len(b):
                 continue
-            u = np.stack(b["u"].to_numpy())
             for m in rows.itertuples(index=False):
-                lengths = np.array(m.lengths)
-                got = models._kernel(u, np.array(m.x).reshape(-1, len(lengths)), lengths, m.variance) @ np.array(m.alpha)
-                yield pd.DataFrame({"id": b["id"], "pc": np.int32(m.pc), "score": m.mean + m.std * got})
+                if m.pc not in factors:
+                    factors[m.pc] = models._Factor(np.array(m.x).reshape(-1, len(m.lengths)), np.array(m.lengths), m.variance, m.noise)
+                factor = factors[m.pc]
+                for part, u in models._pieces(b["u"].to_numpy()):
+                    half = factor.at(u)
+                    left = np.maximum(m.variance - (half * half).sum(axis=0), 0)
+                    got = factor.kernel(u, factor.x) @ np.array(m.alpha)
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[part], "pc": np.int32(m.pc), "score": m.mean + m.std * got, "variance": m.std**2 * left})
 
-    return queries.select(F.col("id").cast("long"), "u").mapInPandas(score, "id long, pc int, score double")
+    return queries.select(F.col("id").cast("long"), "u").mapInPandas(score, "id long, pc int, score double, variance double")
 
 
-def emulate(facts: DataFrame, design: DataFrame, queries: DataFrame, sample: str, axis: str, value: str, k: int) -> DataFrame:
-    """id, axis and value: spectra at the queries, from log spectra of the design's samples in `facts`."""
+def emulate(facts: DataFrame, design: DataFrame, queries: DataFrame, sample: str, axis: str, value: str, k: int, deviations: bool = False) -> DataFrame:
+    """id, axis and value: spectra at the queries, from log spectra of the design's samples in `facts`.
+
+    `deviations` adds deviation, that of the log spectrum at each point (components are independent, so their variances add with squared
+    loadings), and component_deviation, the root mean square over the query's components."""
     own = facts.join(design.select(sample), sample, "left_semi")
     loadings = models.principal_components(own, sample, axis, value, k)
     fitted = fit_components(design, models.scores(own, loadings, sample, axis, value), sample)
     mean = own.groupBy(F.col(axis).cast("double").alias("axis")).agg(F.avg(value).alias("m"))
     parts = predict_scores(fitted, queries).join(F.broadcast(loadings.select("pc", "axis", "loading")), "pc")
-    total = parts.groupBy("id", "axis").agg(F.sum(F.col("score") * F.col("loading")).alias("s"))
-    return total.join(F.broadcast(mean), "axis").select("id", "axis", F.exp(F.col("m") + F.col("s")).alias("value"))
+    sums = [F.sum(F.col("score") * F.col("loading")).alias("s"), F.sum(F.col("variance") * F.col("loading") * F.col("loading")).alias("v"), F.avg("variance").alias("c")]
+    total = parts.groupBy("id", "axis").agg(*sums).join(F.broadcast(mean), "axis")
+    more = [F.sqrt("v").alias("deviation"), F.sqrt("c").alias("component_deviation")] if deviations else []
+    return total.select("id", "axis", F.exp(F.col("m") + F.col("s")).alias("value"), *more)
+
+
+def anchored(spectra: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
+    """Predicted ratios (value) times the anchor of the same `by` (axis, or id and axis); a row without an anchor is an error."""
+    both = spectra.join(anchors.select(*by, F.col("anchor").alias("__anchor")), by, "left")
+    held = F.coalesce(F.col("__anchor"), F.raise_error(F.lit("a predicted ratio has no anchor")).cast("double"))
+    return both.withColumn("value", F.col("value") * held).drop("__anchor")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: For each dimension the polynomial's degree and inner bits, and the initial direction numbers.
@@ -38,6 +38,29 @@ def sobol(spark: SparkSession, count: int, dim: int, seed: int | None = None, sk
     return spark.range(skip, skip + count).select("id", F.array(*coords).alias("u"))
 
 
+def sobol_for(sizes: DataFrame, by: str, count: str, dim: int) -> DataFrame:
+    """Sobol points for each row of `sizes`: `by`, id (from 0) and u, as many as its count; one expression, whatever the sizes (below 2^BITS)."""
+    rows = sizes.where(F.col(count) > 0).select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("id"))
+    gray = F.col("id").bitwiseXOR(F.shiftright("id", 1))
+    coords = []
+    for d in range(dim):
+        digit = F.lit(0).cast("long")
+        for b, v in enumerate(_directions(d)):
+            digit = digit.bitwiseXOR(F.shiftright(gray, b).bitwiseAND(F.lit(1)) * v)
+        coords.append(digit / float(1 << BITS))
+    return rows.select(by, "id", F.array(*coords).alias("u"))
+
+
+def latin_hypercube_for(sizes: DataFrame, by: str, count: str, dim: int, seed: int) -> DataFrame:
+    """A Latin hypercube for each row of `sizes`: `by`, its count, id and u. Slices are dealt by the rank of a hash, apart for each dimension and `by`."""
+    rows = sizes.where(F.col(count) > 0).select(by, F.col(count), F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("id"))
+    dims = rows.select("*", F.explode(F.array(*(F.lit(i) for i in range(dim)))).alias("dim"))
+    own = Window.partitionBy(by, "dim").orderBy(F.xxhash64(F.lit(seed), F.col(by), F.col("dim"), F.col("id")), "id")
+    x = (F.row_number().over(own) - 1 + hashed_uniform(F.lit(seed), F.col(by), F.col("dim"), F.col("id"))) / F.col(count)
+    placed = dims.withColumn("x", x).groupBy(by, count, "id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))
+    return placed.select(by, count, "id", F.transform("p", lambda p: p["x"]).alias("u"))
+
+
 def hashed_uniform(*keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone, so that a lost task draws it again."""
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)) / float(1 << 53)

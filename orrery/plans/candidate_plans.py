@@ -52,15 +52,12 @@ def bound_anchors(spark, d):
     return rounded(c.bound_anchors(part, known, ["p_brand", "p_type"], "own", "anchor").select("p_partkey", "anchor"))
 
 
-@query(f"WITH {POINTS_SQL} SELECT label, count(*) AS n, label <> 3 AS same FROM points WHERE label < 5 GROUP BY label")
+@query(f"WITH {POINTS_SQL}, m AS (SELECT id, label, CASE WHEN id % 37 = label THEN list_transform(u, lambda x: x + 0.5) ELSE u END AS u FROM points WHERE id % 2 = 0) SELECT m.label, count(*) AS n, coalesce(bool_and(list_max(list_transform(list_zip(m.u, p.u), lambda z: abs(z[1] - z[2]))) <= 1e-9), true) AS same FROM m LEFT JOIN points p USING (id) GROUP BY m.label")
 def same_prefix(spark, d):
-    p = points(spark, d).where("label < 5")
-    moved = p.withColumn("u", F.when(F.col("label") == 3, F.transform("u", lambda x: x + 0.5)).otherwise(F.col("u")))
-    parts = [c.same_prefix(moved.where(F.col("label") == i), p.where(F.col("label") == i), "id", "u").withColumn("label", F.lit(i)) for i in range(5)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.where("n > 0")
+    """For each label, whether a copy of every other point, some of them moved, still equals the points."""
+    p = points(spark, d)
+    moved = p.where("id % 2 = 0").withColumn("u", F.when(F.col("id") % 37 == F.col("label"), F.transform("u", lambda x: x + 0.5)).otherwise(F.col("u")))
+    return c.same_prefix(moved, p.drop("label"), "id", "u", 1e-9, by=("label",))
 
 
 @query(f"WITH {FACTS_SQL}, p AS (SELECT sample, band, avg(err) AS m FROM facts GROUP BY sample, band), o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY m DESC, band) AS rn FROM p) SELECT sample, max(band) FILTER (WHERE rn = 1) AS dominant, round(max(m), 6) AS mean, round(sum(m), 6) AS total FROM o GROUP BY sample")
@@ -115,9 +112,13 @@ def accepted_pair_offsets(spark, d):
     return c.pair_offsets(pairs, "design")
 
 
-@query("WITH a AS (SELECT 'types' AS name, CAST(count(DISTINCT event_type) AS VARCHAR) AS value FROM events UNION ALL SELECT 'missing', CAST(count(*) FILTER (WHERE value IS NULL) AS VARCHAR) FROM events UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM events), e AS (SELECT * FROM (VALUES ('types', '5', 3.0), ('missing', '0', 5.0), ('rows', '10000', 1.0), ('figures', '7', 1.0)) t(name, value, weight)) SELECT count(*) AS checks, count(*) FILTER (WHERE a.value = e.value) AS passed, CAST(sum(CASE WHEN a.value = e.value THEN weight ELSE 0 END) / sum(weight) AS DOUBLE) AS score FROM e LEFT JOIN a USING (name)")
+@query("WITH a AS (SELECT event_type, count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS missing, count(DISTINCT user_id) AS users FROM events GROUP BY 1), n AS (SELECT avg(users) AS u FROM a) SELECT event_type, CAST(4 AS BIGINT) AS checks, CAST(1 + CAST(missing = 0 AS INTEGER) + CAST(users = round(u) AS INTEGER) AS BIGINT) AS passed, (3.0 + 5.0 * CAST(missing = 0 AS INTEGER) + CAST(users = round(u) AS INTEGER)) / 10.0 AS score FROM a, n")
 def weighted_checks(spark, d):
-    row = table(spark, d, "events").agg(F.count_distinct("event_type").alias("types"), F.count_if(F.col("value").isNull()).alias("missing"), F.count("*").alias("rows"))
-    actual = row.unpivot([], ["types", "missing", "rows"], "name", "value").withColumn("value", F.col("value").cast("string"))
-    expected = spark.createDataFrame([("types", "5", 3.0), ("missing", "0", 5.0), ("rows", "10000", 1.0), ("figures", "7", 1.0)], "name string, value string, weight double")
-    return c.weighted_checks(actual, expected)
+    """Checks of each type of event: its rows against a count of its ids, no missing value, as many users as types have on average, a figure that is nowhere."""
+    e = table(spark, d, "events")
+    facts_ = e.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_distinct("user_id").alias("users"))
+    wanted = e.groupBy("event_type").agg(F.count_distinct("event_id").alias("rows")).crossJoin(facts_.agg(F.round(F.avg("users")).cast("long").alias("users")))
+    as_text = lambda df, names: df.unpivot(["event_type"], names, "name", "value").withColumn("value", F.col("value").cast("string"))
+    expected = as_text(wanted.withColumns({"missing": F.lit(0).cast("long"), "figures": F.lit(7).cast("long")}), ["rows", "missing", "users", "figures"])
+    weight = F.create_map(*(F.lit(x) for pair in {"rows": 3.0, "missing": 5.0, "users": 1.0, "figures": 1.0}.items() for x in pair))
+    return c.weighted_checks(as_text(facts_, ["rows", "missing", "users"]), expected.withColumn("weight", weight[F.col("name")]), by=("event_type",))

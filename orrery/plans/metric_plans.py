@@ -173,9 +173,22 @@ def logdiff_target(spark, d):
     return rounded(f.groupBy("k").agg(F.avg(targets.target(p, None, "")).alias("direct"), F.avg(targets.target(p, a, "logdiff")).alias("logdiff"), F.avg(targets.target(p, a, "ratio")).alias("ratio")))
 
 
-@query(f"WITH {FACTS_SQL} SELECT k, count(*) AS n, CAST(0 AS BIGINT) AS off FROM facts GROUP BY k")
+@query(f"WITH {FACTS_SQL} SELECT k, count(*) AS n, round(avg(pred), 6) AS by_ratio, round(avg(pred), 6) AS by_logdiff, round(avg(pred * 2), 6) AS moved FROM facts WHERE truth > 0 GROUP BY k")
 def ratio_target_roundtrip(spark, d):
-    f, p, a = facts(spark, d), F.col("pred"), F.col("truth")
-    back = [targets.power_of(targets.target(p, a, kind), a, kind) for kind in ("ratio", "logdiff")]
-    off = F.greatest(*(F.abs(b - p) / p for b in back)) > 1e-9
-    return f.groupBy("k").agg(F.count("*").alias("n"), F.count_if(off).alias("off"))
+    """Predictions made into targets and back, both ways; and back against an anchor of twice the size."""
+    f, p, a = facts(spark, d).where("truth > 0"), F.col("pred"), F.col("truth")
+    back = {f"by_{kind}": F.avg(targets.power_of(targets.target(p, a, kind), a, kind)).alias(f"by_{kind}") for kind in ("ratio", "logdiff")}
+    return rounded(f.groupBy("k").agg(F.count("*").alias("n"), *back.values(), F.avg(targets.power_of(targets.target(p, a, "logdiff"), a * 2, "logdiff")).alias("moved")))
+
+
+def _slope_sql(x: str, y: str) -> str:
+    """Differences on an uneven axis, in a window named o."""
+    xb, xa, yb, ya = (f"{f}({c}) OVER o" for c in (x, y) for f in ("lag", "lead"))
+    inner = f"(({x} - {xb}) * ({x} - {xb}) * {ya} + (({xa} - {x}) * ({xa} - {x}) - ({x} - {xb}) * ({x} - {xb})) * {y} - ({xa} - {x}) * ({xa} - {x}) * {yb}) / (({x} - {xb}) * ({xa} - {x}) * ({xa} - {xb}))"
+    return f"CASE WHEN {xb} IS NULL THEN ({ya} - {y}) / ({xa} - {x}) WHEN {xa} IS NULL THEN ({y} - {yb}) / ({x} - {xb}) ELSE {inner} END"
+
+
+@query(f"WITH {FACTS_SQL}, c AS (SELECT sample % 3 AS part, k, ln(k) AS x, ln(avg(truth)) AS y FROM facts GROUP BY 1, 2), s AS (SELECT *, {_slope_sql('x', 'y')} AS slope FROM c WINDOW o AS (PARTITION BY part ORDER BY x)), t AS (SELECT *, {_slope_sql('x', 'slope')} AS curvature FROM s WINDOW o AS (PARTITION BY part ORDER BY x)) SELECT CAST(part AS BIGINT) AS part, k, round(ln(k / 10.0), 6) AS x, round(slope, 6) AS slope, round(curvature, 6) AS curvature, round(exp(-0.5 * pow((log10(k) - 1) / 0.45, 2)) * slope, 6) AS windowed FROM t")
+def curvature_basis(spark, d):
+    c = facts(spark, d).groupBy((F.col("sample") % 3).cast("long").alias("part"), "k").agg(F.avg("truth").alias("y"))
+    return rounded(axis.curvature_basis(c, "k", "y", "part", 10.0, 1.0, 0.45).select("part", "k", "x", "slope", "curvature", "windowed"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.axis import band_of, trapezoid_weights
 from orrery.operators import generators as g
-from orrery.operators import ascent, components, emulator, geometry, hulls, models, solvers
+from orrery.operators import ascent, components, emulator, geometry, hulls, models, solvers, spatial
 from orrery.plans.common import BANDS, EDGES, FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import query
 
@@ -94,22 +94,31 @@ def alc_variance_reduction(spark, d):
     return rounded(models.variance_reduction(design, p.where("label > 1"), probes, LENGTHS))
 
 
-@query()
+@query("WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS halves FROM b")
 def sobol_points(spark, d):
-    return g.sobol(spark, 1024, 5)
+    """A design for each brand, of as many points as it has parts, from one sequence: neighbours in it lie in different halves of the first coordinate."""
+    sized = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    points_ = g.sobol_for(sized, "p_brand", "n", 5)
+    pair = F.floor(F.col("id") / 2)
+    halves = points_.groupBy("p_brand", pair.alias("pair")).agg(F.count_distinct(F.floor(F.get("u", F.lit(0)) * 2)).alias("h"))
+    return halves.groupBy("p_brand").agg(F.sum("h").alias("halves")).join(sized, "p_brand").select("p_brand", "n", "halves")
 
 
-@query("SELECT CAST(dim AS INTEGER) AS dim, CAST(slice AS BIGINT) AS slice, CAST(1 AS BIGINT) AS n FROM range(3) t(dim), range(500) s(slice)")
+@query("WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, CAST(dim AS INTEGER) AS dim, CAST(n AS BIGINT) AS slices, CAST(n AS BIGINT) AS held FROM b, range(3) t(dim)")
 def latin_hypercube_slices(spark, d):
-    """Every slice of every dimension holds one point."""
-    u = g.latin_hypercube(spark, 500, 3, seed=7).select(F.posexplode("u").alias("dim", "x"))
-    return u.groupBy("dim", F.floor(F.col("x") * 500).alias("slice")).agg(F.count("*").alias("n"))
+    """A design for each brand, of as many points as it has parts: in every dimension every slice holds one."""
+    sized = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    u = g.latin_hypercube_for(sized, "p_brand", "n", 3, seed=7).select("p_brand", "n", F.posexplode("u").alias("dim", "x"))
+    return u.groupBy("p_brand", "dim").agg(F.first("n").alias("slices"), F.count_distinct(F.floor(F.col("x") * F.col("n"))).alias("held"))
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, CAST(xor(id - 6, (id - 6) >> 1) AS BIGINT) AS code FROM range(6, 14) t(id)")
+@query(f"WITH {POINTS_SQL}, c AS (SELECT id, list_transform(u[1:3], lambda x: CASE WHEN x >= 0.5 THEN 1.0 ELSE 0.0 END) AS c, u[1:3] AS u FROM points) SELECT id, CAST(c[1] + 2 * c[2] + 4 * c[3] AS BIGINT) AS code, round(sqrt(list_sum(list_transform(list_zip(u, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS dist FROM c")
 def corner_support_points(spark, d):
+    """The corner of the cube nearest to each point, of the support points' corners."""
     corners = g.support_points(spark, 3, "axis_corner_hybrid").where("id >= 6")
-    return corners.select("id", F.aggregate(F.transform("u", lambda x, i: (x * F.pow(F.lit(2.0), i)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("code"))
+    p = points(spark, d).select("id", F.slice("u", 1, 3).alias("u"))
+    code = F.aggregate(F.transform("ref_corner", lambda x, i: (x * F.pow(F.lit(2.0), i)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rounded(spatial.nearest_k(p, corners.withColumn("corner", F.col("u")), 1, ["corner"]).select("id", code.alias("code"), F.col("d").alias("dist")))
 
 
 @query()
@@ -209,11 +218,22 @@ def active_learning(spark, d):
     return rounded(solvers.active_learning(p, p.where("label = 0").orderBy("id").limit(16), rounds=3, batch=8))
 
 
-@query()
-def emulator_predict(spark, d):
-    """Ratios along the axis for all suppliers, learned from the nations: a design of 25 points at most, however many suppliers."""
+def _nations(spark, d):
+    """A design of the nations (25 points at most, however many suppliers), its log ratios along the axis, and the suppliers as queries."""
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("nation"), ((F.col("s_acctbal") + 1000) / 11000).alias("bal"))
     ratio = facts(spark, d).join(sup, "sample").groupBy("nation", "k").agg(F.avg(F.log(F.col("pred") / F.col("truth"))).alias("y"))
     design = sup.groupBy("nation").agg(F.array(F.avg("bal"), F.first("nation") / 25.0).alias("u"))
-    queries = sup.select(F.col("sample").alias("id"), F.array("bal", F.col("nation") / 25.0).alias("u"))
-    return rounded(emulator.emulate(ratio, design, queries, "nation", "k", "y", 3))
+    return ratio, design, sup.select(F.col("sample").alias("id"), F.array("bal", F.col("nation") / 25.0).alias("u"))
+
+
+@query()
+def emulator_predict(spark, d):
+    """Ratios along the axis for all suppliers, learned from the nations."""
+    return rounded(emulator.emulate(*_nations(spark, d), "nation", "k", "y", 3))
+
+
+@query()
+def emulator_anchored(spark, d):
+    """Predicted spectra: ratios times the mean spectrum of the axis, with their deviations."""
+    anchor = facts(spark, d).groupBy(F.col("k").cast("double").alias("axis")).agg(F.avg("truth").alias("anchor"))
+    return rounded(emulator.anchored(emulator.emulate(*_nations(spark, d), "nation", "k", "y", 3, deviations=True), anchor, ["axis"]))

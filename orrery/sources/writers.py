@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -54,7 +55,6 @@ def latest_state(spark: SparkSession, root: str) -> DataFrame:
 def digest(keys: dict) -> str:
     """A short name for settings: equal settings, equal name."""
     import hashlib
-    import json
 
     return hashlib.sha256(json.dumps(keys, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
@@ -69,6 +69,40 @@ def cached(spark: SparkSession, root: str, keys: dict, make) -> tuple[DataFrame,
         return spark.read.parquet(path), "missing"
 
 
+def refreshed(spark: SparkSession, root: str, settings: dict, parts: DataFrame, build) -> tuple[DataFrame, str, list[str]]:
+    """A table kept in parts, of which only those whose inputs changed are made again.
+
+    `parts` (part, fingerprint) says what each part is made from; `build` gives the rows, with their part, of the parts it is handed.
+    The manifest has each part's fingerprint and the version that holds it, and the settings. Compared with it the table is a
+    `hit`, `stale` (some parts are new, changed or gone, or any setting differs, which makes all anew) or `missing`.
+    Rows are written first and the new manifest last, under one name in one step, so a reader or a lost job finds the old table or the new one.
+    Returns the table, its state, and which settings differ."""
+    try:
+        last = latest_state(spark, f"{root}/manifest").select("part", "fingerprint", "held", "settings", "version")
+        facts = last.agg(F.max("version").alias("version"), F.first("settings").alias("settings")).first()
+        version, before = facts["version"], json.loads(facts["settings"])
+    except AnalysisException:
+        last, version, before = None, -1, None
+    now = json.loads(json.dumps(settings, sort_keys=True, default=str))
+    changed = [] if before is None else sorted(k for k in {*now, *before} if now.get(k) != before.get(k) or (k in now) != (k in before))
+    known = spark.createDataFrame([], "part string, known string, held int") if last is None or changed else last.where("part is not null").select("part", F.col("fingerprint").alias("known"), "held")
+    both = parts.select(F.col("part").cast("string"), F.col("fingerprint").cast("string")).join(known, "part", "full")
+    fresh = F.coalesce(F.col("fingerprint") == F.col("known"), F.lit(False))
+    todo = both.where(F.col("fingerprint").isNotNull() & ~fresh)
+    if last is not None and not changed and both.where(~fresh).isEmpty():
+        state = "hit"
+    else:
+        state, version = "missing" if last is None else "stale", version + 1
+        build(todo.select("part")).withColumn("part", F.col("part").cast("string")).write.mode("overwrite").parquet(f"{root}/rows/held={version:d}")
+        mark = spark.createDataFrame([(None, None, version)], "part string, fingerprint string, held int")
+        whole = both.where("fingerprint is not null").select("part", "fingerprint", F.when(fresh, F.col("held")).otherwise(version).cast("int").alias("held")).unionAll(mark)
+        write_state(whole.withColumn("settings", F.lit(json.dumps(now, sort_keys=True))), f"{root}/manifest", version)
+        last = latest_state(spark, f"{root}/manifest")
+    kept = last.where("part is not null").select(F.col("part").alias("__part"), F.col("held").cast("int").alias("__held"))
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    return rows.join(kept, (F.col("part") == F.col("__part")) & (F.col("held").cast("int") == F.col("__held")), "left_semi").drop("held"), state, changed
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """A run's report: each table in a folder of its own, and a manifest of their rows, columns and an order-free digest."""
     spark = next(iter(tables.values())).sparkSession

@@ -112,3 +112,28 @@ def test_rising_axes(spark, tmp_path):
     assert [(r["simulation"], r["k"], r["power"]) for r in readers.simulation_tables(spark, f"{tmp_path}/good").orderBy("k").collect()] == [("7", 1.0, 2.0), ("7", 2.0, 4.0), ("7", 3.0, 6.0)]
     with pytest.raises(Exception, match="rise"):
         readers.simulation_tables(spark, f"{tmp_path}/bad").collect()
+
+
+def test_stale_parts_alone_are_made_again(spark, tmp_path):
+    from orrery.sources.writers import refreshed
+
+    made = []
+
+    def table(prints, settings=None, keep=None):
+        parts = spark.createDataFrame(list(prints.items()), "part string, fingerprint string")
+
+        def build(wanted):
+            names = sorted(r["part"] for r in wanted.collect())
+            made.append(names)
+            return spark.createDataFrame([(n, f"{n}{prints[n]}{i}") for n in names for i in range(2)], "part string, x string")
+
+        out, state, changed = refreshed(spark, f"{tmp_path}/t", settings or {"k": 1}, parts, build)
+        return sorted(r["x"] for r in out.collect()), state, changed
+
+    assert table({"a": "1", "b": "1"}) == (["a10", "a11", "b10", "b11"], "missing", [])
+    assert table({"a": "1", "b": "1"}) == (["a10", "a11", "b10", "b11"], "hit", [])
+    assert table({"a": "1", "b": "2", "c": "1"}) == (["a10", "a11", "b20", "b21", "c10", "c11"], "stale", [])
+    assert table({"b": "2", "c": "1"}) == (["b20", "b21", "c10", "c11"], "stale", [])
+    assert table({"b": "2", "c": "1"}, {"k": 2, "m": None}) == (["b20", "b21", "c10", "c11"], "stale", ["k", "m"])
+    assert table({"b": "2", "c": "1"}, {"k": 2, "m": None})[1] == "hit"
+    assert made == [["a", "b"], ["b", "c"], [], ["b", "c"]]
