@@ -63,27 +63,32 @@ ENDED_BY = {
 # Words in class, id or role that mark what is no article; a choice of this module.
 MARKS = frozenset(
     """ad ads adv advert alert alertdialog advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
-    complementary cookie cookies dialog disclaimer disqus footer footnav gdpr header hidden masthead menu menubar modal nav navbar navigation newsletter
+    complementary cookie cookies dialog disclaimer discussion disqus footer footnav gdpr header hidden masthead menu menubar modal nav navbar navigation newsletter
     notice notices notification pager pagination popup promo promoted promotion recommended related respond reply replies search share sharing
     sidebar sidenav signup skip social sponsor sponsored subscribe tagcloud toolbar topbar widget""".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
 # Words that may follow a mark without changing what the element is: sidebar-wrapper is a sidebar, related-work is none.
-HOLDERS = frozenset("area bar block box button buttons container content form group holder inner item items link links list message outer panel section slot text unit widget widgets wrap wrapper".split())
+HOLDERS = frozenset("area bar block body box button buttons container content form group holder inner item items link links list message outer panel section slot text thread unit widget widgets wrap wrapper".split())
 KEEPS = frozenset("article body html main".split())
 NEGATES = frozenset("has no with without".split())
+# Words before "header" that make it the header of the text, not of the page.
+TITLED = frozenset("article chapter content entry post story".split())
+# What a class of a narrow screen's "hidden" may become on a wider one: md:block.
+SHOWN = re.compile(r"(?:^|\s)[\w-]+:(?:block|contents|flex|grid|inline|inline-block|inline-flex|table|visible)(?:\s|$)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose id is a place to link to.
 ANCHORED = frozenset("a blockquote caption dd dt figure h1 h2 h3 h4 h5 h6 li p pre table td th tr".split())
 SCOPED = frozenset("ul ol menu dl table tr select li dt dd td th option".split())
 
 
 class Node:
-    """An element; `article` is the nearest article or main around it, `block` and `scope` the nearest p or block and list or table part, itself included."""
+    """An element; `anchor` is its id if nothing else marks it, `article` is the nearest article or main around it, `block` and `scope` the nearest p or block and list or table part, itself included."""
 
-    __slots__ = ("name", "parent", "parts", "drop", "comments", "article", "block", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "drop", "comments", "anchor", "article", "block", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool | None = False, comments: bool = False):
-        self.name, self.parent, self.parts, self.drop, self.comments = name, parent, [], drop, comments
+    def __init__(self, name: str, parent: Node | None, drop: bool | None = False, comments: bool = False, anchor: str | None = None):
+        self.name, self.parent, self.parts, self.drop, self.comments, self.anchor = name, parent, [], drop, comments, anchor
         self.article = None if parent is None else parent if parent.name in ("article", "main") else parent.article
         self.block = self if parent is None or name in BLOCK else parent.block
         self.scope = self if parent is None or name in SCOPED else parent.scope
@@ -96,33 +101,60 @@ def _marks(word: str) -> set[str]:
     parts = [p for p in re.split(r"[-_]+", word) if p]
     while len(parts) > 1 and (parts[-1] in HOLDERS and parts[-1] not in MARKS or parts[-1][0].isdigit()):
         parts.pop()
+    if parts[-1:] == ["header"] and not TITLED.isdisjoint(parts):
+        return set()
     # What an element has, or is without, does not say what it is.
     return MARKS.intersection(parts[-1:]) if not NEGATES.intersection(parts) else set()
 
 
-def _left_out(name: str, attributes: str, parent: Node) -> tuple[bool | None, bool]:
-    """True or False, or None where a mark or a form may also be a wrapper of the article: see _settle; and whether it is marked as comments."""
+def _left_out(name: str, attributes: str, parent: Node) -> tuple[bool | None, bool, str | None]:
+    """True or False, or None where a mark or a form may also be a wrapper of the article: see _settle; whether it is marked as comments; and its id if that alone marks it."""
     if name in LEFT_OUT and name != "form":
-        return True, False
+        return True, False, None
     # A header in an article is the article's, elsewhere the page's.
     inside = parent.name in ("article", "main") or parent.article is not None
     if name == "header":
-        return not inside, False
-    found = {"form"} if name == "form" else set()
+        titled = any(w.endswith("header") and not TITLED.isdisjoint(re.split(r"[-_]+", w)) for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class" for w in (m[2] or m[3] or m[4] or "").lower().split())
+        return not (inside or titled), False, None
+    found, by_id, own_id = {"form"} if name == "form" else set(), set(), None
     if not attributes.strip() or name in KEEPS:
-        return None if found else False, False
+        return None if found else False, False, None
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
-            return True, False
+            return True, False, None
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if key in ("class", "role") or key == "id" and name not in ANCHORED:
-            for word in value.split():
-                found |= _marks(word)
+            return True, False, None
+        if key in ("class", "role"):
+            marks = set().union(*map(_marks, value.split())) if value else set()
+            found |= marks - {"hidden"} if SHOWN.search(value) else marks
+        elif key == "id" and name not in ANCHORED:
+            own_id = value
+            by_id |= set().union(*map(_marks, value.split())) if value else set()
+    anchor = own_id if by_id and not found else None
+    found |= by_id
     if inside:
         found.discard("header")
-    return None if found else False, not COMMENTS.isdisjoint(found)
+    return None if found else False, not COMMENTS.isdisjoint(found), anchor
+
+
+def _first_heading(node: Node) -> list[str]:
+    """The words of the heading that an element begins with; none if it begins otherwise."""
+    while node is not None:
+        parts = [p for p in node.parts if not isinstance(p, str) or p.strip()]
+        if not parts or isinstance(parts[0], str):
+            return []
+        if parts[0].name in HEADINGS:
+            words, stack = [], [parts[0]]
+            while stack:
+                part = stack.pop()
+                if isinstance(part, str):
+                    words += re.findall(r"\w+", unescape(part).lower())
+                else:
+                    stack += reversed(part.parts)
+            return words
+        node = parts[0] if parts[0].name in ("div", "header", "hgroup") else None
+    return []
 
 
 def _settle(root: Node) -> None:
@@ -146,7 +178,9 @@ def _settle(root: Node) -> None:
             own = held[node]
             text = own[0] > 0.8 * chars or heads and own[2] == heads and own[0] > 0.5 * chars
             most = node.article is not None and not node.comments and own[0] > 0.5 * held[node.article][0]
-            node.drop = not (most or (own[1] == articles if articles else text))
+            # An id with the words of the heading that follows is a place to link to, and says nothing more; outside an article it may still be what it says.
+            place = node.anchor is not None and node.article is not None and _first_heading(node) == re.findall(r"[^\W_]+", node.anchor)
+            node.drop = not (place or most or (own[1] == articles if articles else text))
 
 
 def tree(html: str) -> Node:
@@ -251,6 +285,11 @@ def _upwards(node: Node) -> list[Node]:
     return path
 
 
+def _has_title(node: Node) -> bool:
+    """Whether an element that stays has an h1 that stays."""
+    return any(n.name == "h1" and n.chars for n in _in_order(node))
+
+
 def centre(root: Node) -> Node:
     nodes = measure(root)
     best = max(nodes, key=lambda n: (n.total, n.density))
@@ -266,7 +305,7 @@ def centre(root: Node) -> Node:
             return next(up for up in _upwards(own[0]) if all(id(up) in a for a in around))
         if own:
             first = own[text.index(max(text))]
-            if first in path or best in _upwards(first) or len(own) > 1:
+            if first in path or best in _upwards(first) or len(own) > 1 or _has_title(first):
                 return first
     threshold = min(n.density for n in path)
     for up in path[1:]:

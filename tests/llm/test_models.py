@@ -87,6 +87,38 @@ def test_html_long_pages_take_linear_time():
         assert time.process_time() - began < 6, page[:20]
 
 
+LONG = "The long and quiet words of a text that goes on about its own matters, as texts will do when left alone. "
+
+
+def test_html_places_and_titles_are_kept():
+    """Ids that document generators write for headings, titles in headers of the text, what only narrow screens hide."""
+    body = f"<h1>Guide</h1><p>{LONG * 4}</p>"
+    for name, title in (("pagination", "Pagination"), ("search", "Search"), ("related-comments", "Related comments"), ("discussion", "Discussion")):
+        page = f'<body><nav><a href="/">Home</a></nav><article>{body}<section id="{name}"><h2>{title}</h2><p>Own part. {LONG}</p></section></article><footer>f</footer></body>'
+        assert f"{title}\nOwn part." in main_text(page)
+    page = f'<body><article>{body}<section id="search"><h2>Find us</h2><p>Own part.</p></section><div class="comments" id="c"><h2>c</h2><p>Nice one</p></div></article></body>'
+    assert "Own part" not in main_text(page) and "Nice one" not in main_text(page)
+    page = f'<body><article>{body}<figure class="hidden md:block"><figcaption>A caption that stays here</figcaption></figure><p class="hidden">gone for good</p></article></body>'
+    assert "A caption that stays" in main_text(page) and "gone for good" not in main_text(page)
+    for header in ('<header class="entry-header"><h1>The title</h1></header>', '<div class="entry-header"><h1>The title</h1></div>'):
+        page = f'<body><div class="site-header"><a href="/">Site</a></div><div class="post">{header}<p>{LONG * 3}</p><p>{LONG * 3}</p></div><footer>f</footer></body>'
+        assert main_text(page).startswith("The title\n") and "Site" not in main_text(page)
+
+
+def test_html_readers_comments_never_win():
+    comments = "".join(f'<div class="post-message"><p>{LONG * 3}</p></div>' for _ in range(6))
+    page = f'<body><article><h1>A short one</h1><p>Its only words, not many.</p></article><div id="disqus_thread">{comments}</div></body>'
+    assert main_text(page) == "A short one\nIts only words, not many."
+    page = f'<body><article><h1>A short one</h1><p>Its only words, not many.</p></article><div class="voices">{comments}</div></body>'
+    assert main_text(page) == "A short one\nIts only words, not many."
+    page = f'<body><article><h1>T</h1><p>{LONG * 4}</p><div id="discussion"><div class="comment-body">I liked it</div></div></article></body>'
+    assert "I liked it" not in main_text(page)
+
+
+def test_html_empty_table(spark):
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a</p>"), (2, None, None), (1, "u", "<p>a</p>"), (None, "v", "")]
     out = extract(with_odd_columns(spark.createDataFrame(rows, "page_id long, url string, html string")))
