@@ -7,7 +7,7 @@ one-hot, a convolution, rectifier, maximum and mean over positions, a hidden lay
 
 It is trained, in one task, on labelled findings: values that a base pattern accepts, in their own contexts and in
 others; made-up keys of many alphabets, lengths and prefixes; and, as what is no secret, candidates that no
-pattern accepts, at less weight, and made-up ids, numbers, names, paths and digests. SAMPLE bounds what is drawn from the
+pattern accepts, at less weight, and made-up ids, numbers, names, paths, files, sequences, encoded prose and digests. SAMPLE bounds what is drawn from the
 documents, in one scan. A quarter of the values, and of the contexts, is held back: every example of a value
 is on one side. The held-back part calibrates the score (slope and offset of the logit) and sets the threshold:
 the highest that keeps RECALL of its secrets. A candidate at or above it is a finding of kind `cnn`, if no base
@@ -16,12 +16,13 @@ one covers it.
 Runs are found for whole batches of bytes at once; positions are code points of the whole text.
 
 Defined results: null text is empty and has no findings; a text holding nothing that could match is skipped
-after one scan; repeated rows are scanned alike; with fewer than 20 labelled findings no candidate is added;
-an empty table gives an empty result; other columns are ignored.
+after one scan; repeated rows are scanned alike; where no finding is labelled the made-up values alone train the
+network; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import re
@@ -46,9 +47,9 @@ WORDS = (b"passw", b"secret", b"token", b"api")
 SAMPLE = 4_000
 CANDIDATE = 16
 WIDTH, LEFT = 72, 24
-FILTERS, SPAN, HIDDEN, EPOCHS, RATE = 24, 5, 16, 14, 0.005
+FILTERS, SPAN, HIDDEN, EPOCHS, RATE = 24, 5, 16, 8, 0.006
 RECALL = 0.98
-MADE_UP = 3_500
+MADE_UP = 9_000
 #: What no pattern accepts may still be a secret, so it counts for less.
 UNLABELLED = 0.05
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"' \n"
@@ -267,36 +268,48 @@ def _key(rng: np.random.Generator) -> str:
 
 
 def _no_key(rng: np.random.Generator, words: list[str]) -> str:
-    """Something made up that looks like a candidate and is no secret."""
+    """Something made up that looks like a candidate and is no secret: ids, paths, names, numbers, sequences, files, encoded prose, patterns."""
     pick = lambda chars, n: "".join(chars[i] for i in rng.integers(len(chars), size=n))
     some = lambda n: [words[i] for i in rng.integers(len(words), size=n)]
-    how = rng.integers(11)
+    num, up = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    how = rng.integers(20)
     if how < 3:
         out = "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
         return out.upper() if rng.random() < 0.3 else out
     if how == 3:
-        return "/".join(some(rng.integers(3, 8))) + ("/" + pick("0123456789", rng.integers(1, 5)) if rng.random() < 0.6 else "")
+        return "/".join(some(rng.integers(3, 8))) + ("/" + pick(num, rng.integers(1, 5)) if rng.random() < 0.6 else "")
     if how == 4:
-        return "_-"[rng.integers(2)].join([*some(rng.integers(3, 7)), pick("0123456789", rng.integers(1, 4))])
+        return "_-"[rng.integers(2)].join([*some(rng.integers(3, 7)), pick(num, rng.integers(1, 4))])
     if how in (5, 8, 9):
-        return "".join(w.capitalize() for w in some(rng.integers(3, 7))) + pick("0123456789", rng.integers(0, 3))
+        return "".join(w.capitalize() for w in some(rng.integers(3, 7))) + pick(num, rng.integers(0, 3))
     if how == 6:
         return "".join(some(rng.integers(3, 7)))
     if how == 7:
-        return "-".join(pick("0123456789", n) for n in rng.integers(2, 9, size=rng.integers(2, 5))) if rng.random() < 0.5 else pick("0123456789", rng.integers(CANDIDATE, 40))
-    return pick("abcdefghijklmnopqrstuvwxyzABC0123456789-=_", rng.integers(1, 4)) * int(rng.integers(10, 30))
+        return "-".join(pick(num, n) for n in rng.integers(2, 9, size=rng.integers(2, 5)))
+    if how in (10, 11):
+        return pick(num, rng.integers(CANDIDATE, 40) if rng.random() < 0.5 else rng.integers(CANDIDATE, 20))
+    if how == 12:
+        return "_-"[rng.integers(2)].join([*some(rng.integers(2, 6)), *([pick(num, rng.integers(1, 5))] if rng.random() < 0.4 else [])]).upper()
+    if how in (13, 14):  # sequences over few letters, mostly of one case and without digits
+        few = "".join(rng.permutation(list(up))[: rng.integers(3, 21)])
+        return pick(few if rng.random() < 0.7 else few.lower(), rng.integers(CANDIDATE, 110))
+    if how == 15:
+        return "/".join([*some(rng.integers(1, 4)), pick(num, 4), pick(num, 2)]) + "/" + some(1)[0].upper()[:4] + "_" + pick(num, rng.integers(3, 9))
+    if how in (16, 17):
+        return base64.b64encode(" ".join(some(rng.integers(4, 14))).encode()).decode()
+    if how == 18:
+        return "".join(w + pick(num, 1) for w in some(rng.integers(3, 7)))
+    return pick("abcdefghijklmnopqrstuvwxyzABC0123456789-=_", rng.integers(1, 5)) * int(rng.integers(8, 30))
 
 
 DIGESTS = ("md5 ", "sha1: ", "sha256-", "checksum ", "digest: ", "ETag ", "commit ", "crc ")
 
 
 def learn(rows: pd.DataFrame) -> Network:
-    """A calibrated network from `rows` (before, body, after, label), or one that accepts nothing where there are too few labelled findings."""
+    """A calibrated network from `rows` (before, body, after, label) and from made-up values, which few labelled findings leave to it alone."""
     rows = rows.sort_values(["label", "body", "before", "after"], kind="stable")
     by = {k: list(g[["before", "body", "after"]].itertuples(index=False, name=None)) for k, g in rows.groupby("label")}
     secrets, others, contexts = (by.get(k, []) for k in (SECRET, OTHER, CONTEXT))
-    if len(secrets) < 20:
-        return Network()
     rng = np.random.default_rng(5)
     contexts = [(a, c) for a, _, c in contexts + others] or [(b" ", b" ")]
     words = [w for a, c in contexts for w in re.findall("[A-Za-z]{2,}", (a + b" " + c).decode("latin-1"))] or ["word"]

@@ -352,9 +352,26 @@ def test_secrets_network_on_keys_unlike_the_training_ones(spark):
             found.append((text[:at] + b" " + key + text[at:], at + 1, at + 1 + len(key)))
         return float((secrets.best_scores(network, found, n) >= network.threshold).mean())
 
-    recall, wrong = {k: flagged(f) for k, f in keys.items()}, {k: flagged(f) for k, f in others.items()}
+    words_of = lambda n: [rng.choice(word(rng.choice(prose_of)) or ["x"]) for _ in range(n)]
+    # Kinds that training makes nothing like.
+    unseen = {
+        "serial": lambda: "-".join("".join(rng.choices("0123456789ABCDEF", k=2)) for _ in range(8)), "method": lambda: "get" + "".join(w.capitalize() for w in words_of(4)), "time": others["time"],
+        "chess": lambda: "-".join(rng.choice("KQRBN") * rng.randrange(2) + rng.choice("abcdefgh") + rng.choice("12345678") for _ in range(8)), "phone": lambda: f"+49/30/{rng.randrange(10**6, 10**7)}-{rng.randrange(100)}",
+        "query": lambda: f"page={rng.randrange(99)}_sort={words_of(1)[0]}_lang={rng.choice(['en', 'de'])}_view={words_of(1)[0]}", "version": lambda: "release-v" + "-".join(str(rng.randrange(30)) for _ in range(3)) + f"-beta{rng.randrange(9)}/{words_of(1)[0]}",
+        "book": lambda: f"ISBN-978-3-{rng.randrange(10**4, 10**5)}-{rng.randrange(100, 999)}-{rng.randrange(9)}", "rule": lambda: "=" * rng.randrange(2, 6) + "-" * rng.randrange(10, 30) + "=" * rng.randrange(2, 6),
+        "marks": lambda: "".join(rng.choice("-_=") for _ in range(30)), "dated": lambda: "-".join(words_of(3)).lower() + f"-2023-1{rng.randrange(3)}-2{rng.randrange(9)}",
+    }
+    others |= {
+        "protein": lambda: "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=60)), "constant": lambda: "_".join(words_of(4)).upper(), "upload": lambda: f"uploads/2019/0{rng.randrange(1, 9)}/IMG_{rng.randrange(10**8)}",
+        "encoded": lambda: base64.b64encode(" ".join(words_of(9)).encode()).decode(), "card": lambda: str(rng.randrange(10**15, 10**16)),
+    }
+    recall, wrong, new = ({k: flagged(f) for k, f in kinds.items()} for kinds in (keys, others, unseen))
     assert min(recall.values()) >= 0.9, recall
     assert max(wrong.values()) <= 0.15 and sum(wrong.values()) / len(wrong) <= 0.05, wrong
+    assert max(new.values()) <= 0.1, new
+    labelled = secrets._examples(texts, secrets.SAMPLE).where(f"label = {secrets.SECRET}").toPandas()
+    own = [(a + b + c, len(a), len(a) + len(b)) for a, b, c in labelled[["before", "body", "after"]].itertuples(index=False)]
+    assert (secrets.best_scores(network, own, len(own)) >= network.threshold).mean() >= 0.9
 
 
 def test_secrets_every_row_of_training_is_bounded_and_made_once(spark):
