@@ -2,8 +2,9 @@
 
 Vectors of integers get one more component that gives all the same length M, so that the largest inner
 products of a query are its nearest vectors: |q - x|^2 = |q|^2 + M^2 - 2 q.x. Each vector is keyed by its nearest
-pivot and its distance to it, and cut into rings of equal width; a ring's rows are packed, sorted by distance,
-into chunks. The directory of rings has at most PIVOTS x RINGS entries, whatever the input.
+pivot and its distance to it, and cut into rings of about equally many rows; a ring's rows are packed, sorted by distance,
+into chunks. Pivots grow with the root of the rows and rings with the rows, so that one holds about RING_ROWS rows; the
+directory of rings has MOST_RINGS entries at most. A ring is one join key, so keys grow with the rows too.
 
 A search goes in rounds. Each query orders the rings by how far they lie from its own distance to their
 pivot, and each round takes the next of them: one, then ever more. After a round the k-th best score so far
@@ -33,6 +34,10 @@ from orrery.llm.session import checkpointed
 #: Pivots are chosen, far from one another, among SAMPLE vectors; CHUNK rows and QUERIES queries are multiplied at a time.
 PIVOTS, SAMPLE, RINGS = 32, 2048, 8
 CHUNK, QUERIES = 2048, 1024
+#: Least numbers are PIVOTS and RINGS; most are MOST_PIVOTS, and MOST_RINGS of all pivots together.
+MOST_PIVOTS, RING_ROWS, MOST_RINGS = 1024, 16_384, 1 << 18
+#: Entries of the directory times queries that a task looks at together.
+LOOKED_AT = 1 << 22
 #: Each round takes GROWTH times as many rings as all before.
 GROWTH = 8
 
@@ -48,25 +53,38 @@ def _matrix(packed, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(-1, dim)
 
 
+def index_size(rows: int) -> tuple[int, int]:
+    """Pivots, and rings of each, for so many rows."""
+    pivots = int(min(max(PIVOTS, math.isqrt(rows) // 8), MOST_PIVOTS))
+    return pivots, int(min(max(RINGS, -(-rows // (pivots * RING_ROWS))), MOST_RINGS // pivots))
+
+
 class Space:
-    """The pivots, and distances to them after the lift to length sqrt(longest)."""
+    """The pivots, distances to them after the lift to length sqrt(longest), and the edges of rings: quantiles of the sample's distances."""
 
-    def __init__(self, sample: np.ndarray, longest: float):
+    def __init__(self, sample: np.ndarray, longest: float, pivots: int = PIVOTS, rings: int = RINGS):
         self.longest = longest
         self.pivots = sample[:1]
         self.lifted = self.lift(self.pivots)
-        for _ in range(min(PIVOTS, len(sample)) - 1):
-            far = self.distances(sample, self.lift(sample)).min(axis=1)
+        far = None
+        for _ in range(min(pivots, len(sample)) - 1):
+            # Only the newest pivot can have come nearer.
+            near = self.distances(sample, self.lift(sample), -1)[:, 0]
+            far = near if far is None else np.minimum(far, near)
             if far.max() <= 0:
                 break
             self.pivots = np.concatenate([self.pivots, sample[[far.argmax()]]])
             self.lifted = self.lift(self.pivots)
+        near = self.distances(sample, self.lift(sample)).min(axis=1)
+        self.edges = np.unique(np.quantile(near, np.linspace(0, 1, rings + 1)[1:-1]))
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.longest - (x * x).sum(axis=1), 0))
 
-    def distances(self, x: np.ndarray, last: np.ndarray) -> np.ndarray:
-        sq = (x * x).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1) - 2 * (x @ self.pivots.T) + (last[:, None] - self.lifted) ** 2
+    def distances(self, x: np.ndarray, last: np.ndarray, first: int = 0) -> np.ndarray:
+        """To the pivots from `first` on."""
+        pivots = self.pivots[first:]
+        sq = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T) + (last[:, None] - self.lifted[first:]) ** 2
         return np.sqrt(np.maximum(sq, 0))
 
     def radius(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -76,8 +94,6 @@ class Space:
 
 def indexed(packed: DataFrame, space: Space, dim: int) -> DataFrame:
     """Chunks of the rows of `packed` (vec_id, v): pivot, ring and the rows' ids, distances (ascending) and vectors, packed."""
-    width = max(2 * math.sqrt(space.longest) / RINGS, 1.0)
-
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
@@ -85,7 +101,7 @@ def indexed(packed: DataFrame, space: Space, dim: int) -> DataFrame:
                 d = space.distances(x, space.lift(x))
                 near = d.argmin(axis=1)
                 dist = d[np.arange(len(b)), near]
-                yield b.assign(pivot=near.astype(np.int32), ring=np.minimum(dist // width, RINGS - 1).astype(np.int32), dist=dist)
+                yield b.assign(pivot=near.astype(np.int32), ring=np.searchsorted(space.edges, dist, side="right").astype(np.int32), dist=dist)
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by pivot, ring and distance; a chunk ends with its ring, its CHUNK rows or its batch."""
@@ -110,7 +126,7 @@ def _gaps(away: np.ndarray, directory: pd.DataFrame) -> np.ndarray:
 
 def searched(vectors: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFrame, DataFrame] | None:
     """For the rows of `vectors` (vec_id, v) where is_query holds: their best (query_id, vec_id, score), and the rows each met (query_id, met)."""
-    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")).first()
+    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq"), F.count("*").alias("rows")).first()
     if facts["dim"] is None:
         return None
     dim = facts["dim"]
@@ -123,7 +139,8 @@ def searched(vectors: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFra
             yield pd.DataFrame({"vec_id": b["vec_id"], "v": [r.astype("<f8").tobytes() for r in out]})
 
     packed = vectors.mapInPandas(pack, "vec_id long, v binary")
-    space = Space(_matrix(packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"], dim), float(facts["sq"]))
+    pivots, rings = index_size(facts["rows"])
+    space = Space(_matrix(packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"], dim), float(facts["sq"]), pivots, rings)
     chunks = checkpointed(indexed(packed, space, dim))
     directory = chunks.groupBy("pivot", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("pivot", "ring").toPandas()
     entry = {key: i for i, key in enumerate(zip(directory["pivot"], directory["ring"], strict=True))}
@@ -134,8 +151,9 @@ def searched(vectors: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFra
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """The queries of a batch that take a ring in this round, packed by ring."""
             for whole in batches:
-                for at in range(0, len(whole), QUERIES):
-                    b = whole.iloc[at : at + QUERIES]
+                size = max(1, min(QUERIES, LOOKED_AT // max(1, len(directory))))
+                for at in range(0, len(whole), size):
+                    b = whole.iloc[at : at + size]
                     x, bound = _matrix(b["q"], dim), b["bound"].fillna(-np.inf).to_numpy()
                     away, radius = space.distances(x, np.zeros(len(b))), space.radius(x, bound)
                     gaps = _gaps(away, directory)

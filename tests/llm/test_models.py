@@ -242,8 +242,18 @@ def test_topk_equals_brute_force(spark):
     assert top_k(quantised(df.where("vec_id < 0")), F.col("vec_id") == 0).count() == 0
 
 
-def test_topk_prunes_clustered_vectors(spark, monkeypatch):
-    """Small chunks and blocks; on vectors in clusters a query meets less than half of the rows, and results are exact."""
+def test_topk_index_grows_with_its_rows():
+    sizes = [topk.index_size(n) for n in (0, 2_000, 10**6, 10**9, 10**12)]
+    assert sizes[0] == sizes[1] == (topk.PIVOTS, topk.RINGS)
+    keys = [p * r for p, r in sizes]
+    assert keys[2] > keys[1] and keys[3] > 20 * keys[2] and keys[4] <= topk.MOST_RINGS
+    assert 10**9 / keys[3] <= 2 * topk.RING_ROWS
+
+
+@pytest.mark.parametrize("ring_rows", [16_384, 2])
+def test_topk_prunes_clustered_vectors(spark, monkeypatch, ring_rows):
+    """Small chunks and blocks, and many rings; on vectors in clusters a query meets less than half of the rows, and results are exact."""
+    monkeypatch.setattr(topk, "RING_ROWS", ring_rows)
     monkeypatch.setattr(topk, "CHUNK", 50)
     monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(8)
