@@ -5,8 +5,8 @@ room, the fullest is topped up with the piece's first ids and emitted. The windo
 in groups of `merge` partitions by the same rule, and what such a group leaves is emitted as it is. Only the
 ids of leftover windows, at most `open_windows` x `capacity` a partition, leave the task that made them.
 
-Words repeat, so each process keeps the ids of the white-space-delimited chunks and pre-tokens it has met (at
-most about CHUNKS of each); merges never cross pre-tokens, so these are the ids of the whole text.
+Words repeat, so each process keeps the ids of the space-delimited chunks it meets again (at most CHUNKS); merges
+never cross white space, so these are the ids of the whole text.
 
 Defined results: null text is empty; an empty text is its end id alone; repeated rows and ids are packed
 each; a text longer than a sequence is cut; an empty table gives no pieces; other columns are ignored.
@@ -14,10 +14,10 @@ each; a text longer than a sequence is cut; an empty table gives no pieces; othe
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -28,70 +28,92 @@ from pyspark.sql import functions as F
 from orrery.llm.session import checkpointed, released
 
 END = 1
-CHUNKS = 300_000
-#: A closing mark after a letter is always a pre-token of its own.
-CLOSERS = (".", ",")
+CHUNKS, SEEN = 500_000, (1 << 23) - 1
+#: Chunks encoded in one string, and what stands between them.
+GROUP, MARK = 64, "\x01"
+#: Marks that, after a letter or digit, begin a pre-token of their own.
+CLOSERS = ".,;:!?#&%$*+-_/()[]{}<>=~^|@\"`"
+#: The last letter of which that is certain, folded or not.
+LATIN = "\u024f"
+#: Texts whose chunks are looked up together.
+TEXTS = 1_000
 #: With the space, separators in every sense of the tokenizer; any other white space stays inside its chunk.
 BLANKS = ("\n", "\t", "\r")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
 
 class ChunkIds:
-    """Ids of texts, by the white-space-delimited chunks met so far in this process and, below them, their pre-tokens.
+    """Ids of texts, by the space-delimited chunks met twice or more in this process so far.
 
-    A chunk not met is folded and cut as the tokenizer does before its merges; its pre-tokens not met are encoded many at a time.
-    What the folding here might treat otherwise goes to the tokenizer as it is.
+    Chunks not met are encoded GROUP at a time, a mark after each that is one pre-token and one id of its own.
+    Chunks that hold the mark, or strings of special tokens, which the tokenizer takes out before anything else, are encoded alone.
     """
 
     def __init__(self, tokenizer_path: str):
-        import regex
+        # Tasks share the machine's cores already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        # Fixed value: the tokenizer's own pattern of pre-tokens.
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.seen = bytearray(SEEN + 1)
         self.chunks: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
-        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i : i + 1000]
-            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            of = np.array(whole.word_ids, dtype=np.int64)
-            if of.size and of[-1] + 1 == len(part):
-                bounds = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-                ids = np.array(whole.ids, "<u4").tobytes()
-                found |= {p: ids[a:b] for p, a, b in zip(part, bounds[:-1], bounds[1:], strict=True)}
-            else:
-                found |= {p: self._plain(p) for p in part}
-        return found
-
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        cut, odd = {}, {}
-        for chunk in chunks:
-            folded = (chunk if chunk.isascii() else normalize("NFC", chunk)).lower()
-            if folded in self.pieces:
-                odd[chunk] = self.pieces[folded]
-            elif folded[-1:] in CLOSERS and folded[-2:-1].isalpha() and folded[:-1] in self.pieces and folded[-1] in self.pieces:
-                odd[chunk] = self.pieces[folded[:-1]] + self.pieces[folded[-1]]
-            elif "<|" in chunk or "\u03c3" in folded or "\u03c2" in folded or "\u0307" in folded:
-                odd[chunk] = self._plain(chunk)
+        """Ids of chunks that are not kept: from their letters, folded, and closing marks where these are pre-tokens apart."""
+        known, found, whole = self.chunks, {}, []
+        odd = [c for c in chunks if "<|" in c or MARK in c]
+        found = {c: self._plain(c) for c in odd}
+        parts, todo = [], set()
+        for c in chunks.difference(odd):
+            stem = c.rstrip(CLOSERS)
+            if stem and stem[-1] <= LATIN and stem[-1].lower().isalnum() and (len(stem) < len(c) or c.isascii()):
+                closing = c[len(stem) :]
+                if c.isascii():
+                    stem = stem.lower()
+                parts.append((c, stem, closing))
+                if stem not in known:
+                    todo.add(stem)
+                if closing and closing not in known:
+                    todo.add(closing)
             else:
-                cut[chunk] = self.cut(folded)
-        wanted = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.pieces))
-        new = self._learn_pieces(wanted)
-        if len(self.pieces) < CHUNKS:
-            self.pieces.update((p, ids) for p, ids in new.items() if len(p) < 64)
-        known = self.pieces
-        for chunk, ps in cut.items():
-            odd[chunk] = b"".join([new[p] if p in new else known[p] for p in ps])
-        if len(self.chunks) < CHUNKS:
-            self.chunks.update((c, ids) for c, ids in odd.items() if len(c) < 64)
-        return odd
+                whole.append(c)
+        todo.update(whole)
+        new = self._encode(list(todo))
+        self._keep(new)
+        for c in whole:
+            found[c] = new[c]
+        made = {}
+        for c, stem, closing in parts:
+            ids = new[stem] if stem in new else known[stem]
+            made[c] = ids + (new[closing] if closing in new else known[closing]) if closing else ids
+        self._keep(made)
+        return found | made
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        """Most chunks are met once. One is kept when it is met again, as far as a small table of hashes tells."""
+        seen, kept = self.seen, self.chunks
+        for c, x in found.items():
+            at = hash(c) & SEEN
+            if seen[at] and len(kept) < CHUNKS and len(c) < 64:
+                kept[c] = x
+            seen[at] = 1
+
+    def _encode(self, todo: list[str]) -> dict[str, bytes]:
+        groups = [f" {MARK} ".join(todo[i : i + GROUP]) + f" {MARK}" for i in range(0, len(todo), GROUP)]
+        whole = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(w.ids, "<u4") for w in whole]) if whole else np.zeros(0, "<u4")
+        end = np.flatnonzero(ids == self.mark)
+        if len(end) != len(todo):
+            raise AssertionError("a mark of the tokenizer's was lost")
+        data, lo, found = ids.tobytes(), 0, {}
+        for c, hi in zip(todo, (4 * end).tolist(), strict=True):
+            found[c] = data[lo:hi]
+            lo = hi + 4
+        return found
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -182,8 +204,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, open_w
         done = 0
         for batch in batches:
             out = []
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of.of(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(END))
                     for full in windows.put(doc, 0, len(ids), ids):
