@@ -7,6 +7,7 @@ of them run side by side. What grows, the points to predict, is scored in Arrow
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import components
+from orrery.operators.lineage import checkpointed
 
 #: A design larger than this is refused, never cut: half its kernel matrix (270 MB here) is held by each task.
 MOST_POINTS = 8192
 #: Rows of the matrix, and points against it, that are worked on together.
 BLOCK = 512
+#: Probes that are in a task's memory together.
+PROBES = 1 << 16
 
 
 def principal_components(facts: DataFrame, sample: str, axis: str, value: str, k: int, band: str | None = None) -> DataFrame:
@@ -159,26 +163,37 @@ def loo_residuals(designs: DataFrame, lengths: list[float], variance: float = 1.
     return designs.select("design", "id", "u", "y").groupBy("design").applyInPandas(solve, "design long, id long, residual double")
 
 
-def variance_reduction(design: DataFrame, candidates: DataFrame, probes: DataFrame, lengths: list[float], noise: float = 1e-4) -> DataFrame:
+def variance_reduction(design: DataFrame, candidates: DataFrame, probes: DataFrame, lengths: list[float], noise: float = 1e-4, probes_at_once: int = PROBES) -> DataFrame:
     """For each candidate: weighted sum over all probes of cov^2 / (var + noise), the variance that labelling it would take away. `probes` has u and w.
 
-    Probes are summed over block by block; only their coordinates and weights are in memory together."""
-    p = probes.select("u", "w").toPandas()
+    Probes are summed over in parts of about `probes_at_once`, each of which the driver sends to the tasks; the parts' sums add up."""
     factor = _Factor(np.stack(_whole(design.select("id", "u"))["u"]), np.array(lengths), 1.0, noise)
-    model = candidates.sparkSession.sparkContext.broadcast((factor, np.stack(p["u"]), p["w"].to_numpy()))
-
-    def gain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factor, z, w = model.value
-        for b in batches:
-            for part, c in _pieces(b["u"].to_numpy()):
-                vc = factor.at(c)
-                var, by_design, total = np.maximum(1.0 - (vc * vc).sum(axis=0), 0), factor.solve_back(vc), np.zeros(len(c))
-                for lo in range(0, len(z), BLOCK):
-                    cov = factor.kernel(z[lo : lo + BLOCK], c) - factor.kernel(z[lo : lo + BLOCK], factor.x) @ by_design
-                    total += w[lo : lo + BLOCK] @ (cov * cov)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[part], "gain": total / (var + noise)})
-
-    return candidates.select("id", "u").mapInPandas(gain, "id long, gain double")
+    context = candidates.sparkSession.sparkContext
+    model, parts = context.broadcast(factor), max(1, -(-probes.count() // probes_at_once))
+    dealt = probes.select("u", "w", F.pmod(F.xxhash64("u", "w", F.monotonically_increasing_id()), F.lit(parts)).alias("part"))
+    dealt = checkpointed(dealt) if parts > 1 else dealt
+
+    def against(z, w):
+        shared = context.broadcast((z, w))
+
+        def gain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            factor, (z, w) = model.value, shared.value
+            for b in batches:
+                for part, c in _pieces(b["u"].to_numpy()):
+                    vc = factor.at(c)
+                    var, by_design, total = np.maximum(1.0 - (vc * vc).sum(axis=0), 0), factor.solve_back(vc), np.zeros(len(c))
+                    for lo in range(0, len(z), BLOCK):
+                        cov = factor.kernel(z[lo : lo + BLOCK], c) - factor.kernel(z[lo : lo + BLOCK], factor.x) @ by_design
+                        total += w[lo : lo + BLOCK] @ (cov * cov)
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[part], "gain": total / (var + noise)})
+
+        return candidates.select("id", "u").mapInPandas(gain, "id long, gain double")
+
+    out = []
+    for i in range(parts):
+        p = dealt.where(F.col("part") == i).select("u", "w").toPandas()
+        out.append(against(np.stack(p["u"]) if len(p) else np.zeros((0, len(lengths))), p["w"].to_numpy(float)))
+    return out[0] if parts == 1 else reduce(DataFrame.unionAll, out).groupBy("id").agg(F.sum("gain").alias("gain"))
 
 
 def upper_hits(lengths: DataFrame, value: str, bound: str, rtol: float = 1e-3) -> DataFrame:

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from orrery.functions.box import distance
 from orrery.functions.targets import synthetic_log_power
+from orrery.operators.lineage import checkpointed
 from orrery.operators.models import gp_predict
 
+#: Choices after which what is left is written.
+WRITTEN = 8
+
 
 def _point(u) -> Column:
     return F.array(*(F.lit(float(x)) for x in u))
@@ -27,6 +31,8 @@ def farthest_points(points: DataFrame, count: int) -> DataFrame:
     for _ in range(count - 1):
         d = distance(F.col("u"), _point(chosen[-1]["u"]))
         near = points.select("id", "u", d.alias("near")) if near is None else near.select("id", "u", F.least("near", d).alias("near"))
+        # Distances are written now and then: an expression that only grows would be planned and computed anew for each point.
+        near = checkpointed(near) if len(chosen) % WRITTEN == 0 else near
         best = near.agg(F.max_by(F.struct("id", "u"), F.struct(F.round("near", 12), -F.col("id"))).alias("b")).first()["b"]
         chosen.append(best)
     return points.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(chosen)], "rank int, id long")
@@ -36,9 +42,9 @@ def diverse_batch(points: DataFrame, count: int, weight: float, guard: float = 0
     """Greedy batch of points (id, u, score): largest (1 - weight) score + weight * distance to the chosen, few at the boundary."""
     quota = int(cap * count)
     near = points.select("id", "u", "score", (F.array_min(F.transform("u", lambda x: F.least(x, 1 - x))) < guard).alias("edge"), F.lit(1.0).alias("near"))
-    chosen, edges = [], 0
+    chosen, edges, written = [], 0, 0
     for _ in range(count):
-        left = near.where(~F.col("id").isin([r["id"] for r in chosen])) if chosen else near
+        left = near.where(~F.col("id").isin([r["id"] for r in chosen[written:]])) if chosen[written:] else near
         left = left.where("not edge") if edges >= quota else left
         key = F.struct(F.round((1 - weight) * F.col("score") + weight * F.col("near"), 12), -F.col("id"))
         best = left.agg(F.max_by(F.struct("id", "u", "edge"), key).alias("b")).first()["b"]
@@ -47,6 +53,8 @@ def diverse_batch(points: DataFrame, count: int, weight: float, guard: float = 0
         chosen.append(best)
         edges += best["edge"]
         near = near.withColumn("near", F.least("near", distance(F.col("u"), _point(best["u"]))))
+        if len(chosen) % WRITTEN == 0:
+            near, written = checkpointed(near.where(~F.col("id").isin([r["id"] for r in chosen[written:]]))), len(chosen)
     return points.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(chosen)], "rank int, id long")
 
 
@@ -60,6 +68,7 @@ def greedy_dedup(ranking: DataFrame, count: int, tolerance: float) -> DataFrame:
             raise ValueError(f"only {len(accepted)} of {count} points are apart by more than {tolerance}")
         accepted.append(best)
         left = left.where(distance(F.col("u"), _point(best["u"])) > tolerance)
+        left = checkpointed(left) if len(accepted) % WRITTEN == 0 else left
     return ranking.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(accepted)], "rank int, id long")
 
 

@@ -230,6 +230,26 @@ def test_greedy_dedup_goes_down_the_whole_table(spark, tmp_path):
     assert [r["id"] for r in got] == [0, *range(300, 307)]
 
 
+def test_long_greedy_choices_and_probes_in_parts(spark):
+    """More choices than are made between writes; probes summed in parts as in one."""
+    x = np.random.default_rng(12).random((60, 3))
+    near, chosen = np.full(60, np.inf), [0]
+    for _ in range(19):
+        near = np.minimum(near, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(axis=1)))
+        chosen.append(int(near.argmax()))
+    assert [r["id"] for r in solvers.farthest_points(vectors(spark, x), 20).orderBy("rank").collect()] == chosen
+    score, near, taken = x[:, 2], np.ones(60), []
+    for _ in range(20):
+        total = np.where(np.isin(np.arange(60), taken), -np.inf, np.round(0.6 * score + 0.4 * near, 12))
+        taken.append(int(total.argmax()))
+        near = np.minimum(near, np.linalg.norm(x - x[taken[-1]], axis=1))
+    got = solvers.diverse_batch(vectors(spark, x).withColumn("score", F.get("u", F.lit(2))), 20, 0.4, guard=-1.0)
+    assert [r["id"] for r in got.orderBy("rank").collect()] == taken
+    probes = vectors(spark, x[20:]).withColumn("w", F.col("id") + 1.0)
+    gains = [{r["id"]: r["gain"] for r in models.variance_reduction(vectors(spark, x[:9]), vectors(spark, x), probes, [0.5] * 3, probes_at_once=n).collect()} for n in (1 << 16, 7)]
+    assert len(gains[0]) == 60 and all(gains[1][i] == pytest.approx(g) for i, g in gains[0].items())
+
+
 def test_relaxation_spreads_points(spark):
     x = np.random.default_rng(5).random((16, 2)) * 0.2
     for boundary in ("periodic", "reflective"):
