@@ -1,25 +1,32 @@
 """Joins by distance between points: nearest, k nearest, kernels, tolerances, brackets along an axis.
 
-The reference side (a design, knots, hot probes) travels in blocks of about BLOCK rows, each block as one array;
-so a query row meets a block in one expression and no pair becomes a row. Up to BROADCAST_BLOCKS blocks, as
-counted, are broadcast. Beyond, joins that only need what is near (nearest, tolerance, novelty) go through cells, see `cells`;
-sums over all pairs meet more blocks partition by partition, so that no task holds the whole reference.
+The reference side (a design, knots, hot probes) travels in blocks of about BLOCK rows, each block as one array; parts of the
+queries meet blocks in `against`, one group for each part and block, where numpy works on a few rows of their pairs at a time.
+So no pair becomes a row and no task holds more than one part and one block. Joins that only need what is near (nearest,
+tolerance, novelty) go through cells where the reference is large, see `cells`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from orrery.functions.box import distance, squared_distance
+from orrery.functions.box import distance
 from orrery.operators import cells
 from orrery.operators.quantiles import running_total
 
 BLOCK = 4096
-#: As many blocks are broadcast together; beyond, each task reads the blocks of its own pairs of partitions instead.
+#: As many blocks are broadcast together where a row meets them in one expression.
 BROADCAST_BLOCKS = 32
+#: Query rows of one part, reference rows of one block where numpy meets them, and pairs that are in memory together.
+PART, WIDE, PAIRS = 8192, 1 << 16, 1 << 16
 
 
 def blocks(reference: DataFrame, fields: list[str], limit: int = BLOCK) -> DataFrame:
@@ -27,19 +34,79 @@ def blocks(reference: DataFrame, fields: list[str], limit: int = BLOCK) -> DataF
     n = max(1, -(-reference.count() // limit))
     dealt = reference.select(F.struct(*fields).alias("r"), F.pmod(F.xxhash64(*(F.col(f) for f in fields)), F.lit(n)).alias("block"))
     out = dealt.groupBy("block").agg(F.collect_list("r").alias("refs"))
-    return F.broadcast(out) if n <= BROADCAST_BLOCKS else out
+    return F.broadcast(out) if n * limit <= BLOCK * BROADCAST_BLOCKS else out
+
+
+def coordinates(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of points of one dimension as [row, dim]."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+
+
+def tiles(m: int, n: int, width: int = 2048) -> Iterator[tuple[slice, slice]]:
+    """Slices of m rows and n others, about PAIRS pairs each."""
+    for j in range(0, n, width):
+        rows = max(1, PAIRS // min(width, n - j))
+        for i in range(0, m, rows):
+            yield slice(i, i + rows), slice(j, j + width)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, summed in the order of the coordinates."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = np.subtract.outer(a[:, i], b[:, i])
+        d *= d
+        out += d
+    return out
+
+
+def against(queries: DataFrame, held: DataFrame, work: Callable[[pa.Table, pa.StructArray], pa.Table], schema: T.StructType) -> DataFrame:
+    """The rows that `work` makes of each part of `queries` (id, u) and each block of `held`, see `blocks`; points that are null are left out."""
+    asked = queries.select("id", "u").where("u is not null")
+    parts = max(1, -(-asked.count() // PART))
+    left = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).crossJoin(F.broadcast(held.select("block")))
+    right = held.select(F.col("block").alias("at"), F.filter("refs", lambda r: r["u"].isNotNull()).alias("refs")).crossJoin(queries.sparkSession.range(parts).withColumnRenamed("id", "of"))
+
+    def meet(rows: pa.Table, block: pa.Table) -> pa.Table:
+        refs = block["refs"].combine_chunks().flatten() if len(rows) and len(block) else []
+        return work(rows, refs) if len(refs) else to_arrow_schema(schema).empty_table()
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("of", "at")).applyInArrow(meet, schema)
+
+
+def sums_against(queries: DataFrame, held: DataFrame, terms: Callable[[pa.Table, pa.StructArray], np.ndarray], count: int) -> DataFrame:
+    """id and s0, s1, ...: for each query the sums over all blocks of what `terms` ([row, sum]) gives for one."""
+    names = [f"s{i}" for i in range(count)]
+
+    def work(rows: pa.Table, refs: pa.StructArray) -> pa.Table:
+        found = terms(rows, refs)
+        return pa.table({"id": rows["id"], **{n: found[:, i] for i, n in enumerate(names)}})
+
+    per = against(queries, held, work, T.StructType([queries.schema["id"], *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return per.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def nearest_distance(queries: DataFrame, reference: DataFrame, u: str, name: str, other_than_self: bool = False, most: int = BLOCK * BROADCAST_BLOCKS) -> DataFrame:
     """Each query's distance to its nearest reference row (id, u); infinite where there is none. More than `most` reference rows are met through cells."""
-    held = reference.select("id", F.col(u).alias("u"))
+    held, asked = reference.select("id", F.col(u).alias("u")), queries.select("id", F.col(u).alias("u"))
     n = held.count()
     if n > most:
-        found = cells.nearest(queries.select("id", F.col(u).alias("u")), held, name, other_than_self, max(n, 1) ** (-1 / cells.DIMS))
+        found = cells.nearest(asked, held, name, other_than_self, max(n, 1) ** (-1 / cells.DIMS))
     else:
-        near = lambda r: F.when(r["id"] == F.col("id"), F.lit(float("inf"))).otherwise(distance(F.col(u), r["u"])) if other_than_self else distance(F.col(u), r["u"])
-        own = queries.crossJoin(blocks(held, ["id", "u"]))
-        found = own.withColumn("__d", F.array_min(F.transform("refs", near))).groupBy("id").agg(F.min("__d").alias(name))
+
+        def work(rows: pa.Table, refs: pa.StructArray) -> pa.Table:
+            a, b, best = coordinates(rows["u"]), coordinates(refs.field("u")), np.full(len(rows), np.inf)
+            ids, others = rows["id"].to_numpy(), refs.field("id").to_numpy(zero_copy_only=False)
+            for i, j in tiles(len(a), len(b)):
+                d = squares(a[i], b[j])
+                if other_than_self:
+                    d[ids[i, None] == others[None, j]] = np.inf
+                best[i] = np.minimum(best[i], d.min(axis=1))
+            return pa.table({"id": rows["id"], "d": np.sqrt(best)})
+
+        schema = T.StructType([asked.schema["id"], T.StructField("d", T.DoubleType())])
+        found = against(asked, blocks(held, ["id", "u"], WIDE), work, schema).groupBy("id").agg(F.min("d").alias(name))
     return queries.join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(float("inf"))))
 
 
@@ -51,24 +118,54 @@ def farther_than(queries: DataFrame, reference: DataFrame, radius: float, most:
     return queries.join(hit.select("id"), "id", "left_anti")
 
 
+def _first_k(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k smallest distances, ties to smaller ids; in no order."""
+    if k >= distances.shape[1]:
+        return np.tile(np.arange(distances.shape[1]), (len(distances), 1))
+    found = np.argpartition(distances, k - 1, axis=1)[:, :k]
+    level = np.take_along_axis(distances, found, axis=1).max(axis=1)
+    for i in np.flatnonzero((distances <= level[:, None]).sum(axis=1) > k):
+        tied = np.flatnonzero(distances[i] <= level[i])
+        found[i] = tied[np.lexsort((ids[tied], distances[i, tied]))[:k]]
+    return found
+
+
 def nearest_k(queries: DataFrame, reference: DataFrame, k: int, extra: list[str]) -> DataFrame:
     """The k nearest reference rows of each query: id, rn, distance d and the reference's id and extra columns as ref_*."""
     fields = ["id", "u", *extra]
-    own = queries.select("id", "u").crossJoin(blocks(reference.select(*fields), fields))
-    met = F.transform("refs", lambda r: F.struct(distance(F.col("u"), r["u"]).alias("d"), r["id"].alias("ref_id"), *(r[e].alias(f"ref_{e}") for e in extra)))
-    best = own.select("id", F.explode(F.slice(F.array_sort(met), 1, k)).alias("m")).select("id", "m.*")
+    kept = ["id", *extra]
+
+    def work(rows: pa.Table, refs: pa.StructArray) -> pa.Table:
+        a, b, ids = coordinates(rows["u"]), coordinates(refs.field("u")), refs.field("id").to_numpy(zero_copy_only=False)
+        at, near = [], []
+        for lo in range(0, len(a), max(1, PAIRS // len(b))):
+            d = np.sqrt(squares(a[lo : lo + max(1, PAIRS // len(b))], b))
+            at.append(_first_k(d, ids, k))
+            near.append(np.take_along_axis(d, at[-1], axis=1))
+        at, near = np.concatenate(at), np.concatenate(near)
+        met = {"id": rows["id"].take(pa.array(np.repeat(np.arange(len(a)), at.shape[1]))), "d": near.ravel()}
+        return pa.table(met | {f"ref_{f}": refs.field(f).take(pa.array(at.ravel())) for f in kept})
+
+    schema = T.StructType([queries.schema["id"], T.StructField("d", T.DoubleType()), *(T.StructField(f"ref_{f}", reference.schema[f].dataType) for f in kept)])
+    best = against(queries, blocks(reference.select(*fields), fields, WIDE), work, schema)
     rn = F.row_number().over(Window.partitionBy("id").orderBy("d", "ref_id"))
     return best.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
 def kernel_mean(queries: DataFrame, reference: DataFrame, y: str, width: float, name: str) -> DataFrame:
     """Mean of y over the reference, weighted by exp(-d^2 / 2 width^2)."""
-    own = queries.crossJoin(blocks(reference.select("id", "u", F.col(y).alias("y")), ["id", "u", "y"]))
-    weight = lambda r: F.exp(-squared_distance(F.col("u"), r["u"]) / (2.0 * width * width))
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wy"))
-    sums = F.aggregate(F.transform("refs", lambda r: F.struct(weight(r).alias("w"), (weight(r) * r["y"]).alias("wy"))), zero, lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), (a["wy"] + x["wy"]).alias("wy")))
-    per = own.withColumn("__s", sums).groupBy("id").agg((F.sum("__s.wy") / F.sum("__s.w")).alias(name))
-    return queries.join(per, "id")
+
+    def terms(rows: pa.Table, refs: pa.StructArray) -> np.ndarray:
+        a, b, out = coordinates(rows["u"]), coordinates(refs.field("u")), np.zeros((len(rows), 2))
+        weighed = np.column_stack([np.ones(len(b)), np.asarray(refs.field("y"), dtype=float)])
+        for i, j in tiles(len(a), len(b)):
+            w = squares(a[i], b[j])
+            w *= -0.5 / (width * width)
+            out[i] += np.exp(w, out=w) @ weighed[j]
+        return out
+
+    sums = sums_against(queries, blocks(reference.select("id", "u", F.col(y).alias("y")), ["id", "u", "y"], WIDE), terms, 2)
+    return queries.join(sums.select("id", (F.col("s1") / F.col("s0")).alias(name)), "id")
 
 
 def reliability_smoother(queries: DataFrame, reference: DataFrame, k: int, full_count: int = 20) -> DataFrame:
@@ -159,22 +256,38 @@ def hermite(x: Column, x0: Column, y0: Column, m0: Column, x1: Column, y1: Colum
     return (1 + 2 * t) * (1 - t) * (1 - t) * y0 + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1
 
 
-def pair_sum(points: DataFrame, term) -> DataFrame:
-    """Sum over i < j of term(u_i, u_j): each point meets the whole set as blocks, one row out for each point and block."""
-    own = points.select("id", "u").crossJoin(blocks(points.select("id", "u"), ["id", "u"]))
-    inner = F.aggregate(F.filter("refs", lambda r: r["id"] > F.col("id")), F.lit(0.0), lambda s, r: s + term(F.col("u"), r["u"]))
-    return own.agg(F.sum(inner).alias("value"))
+def pair_sum(points: DataFrame, term: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sum over i < j of term(squared distances of pairs)."""
+
+    def terms(rows: pa.Table, refs: pa.StructArray) -> np.ndarray:
+        a, b, out = coordinates(rows["u"]), coordinates(refs.field("u")), np.zeros((len(rows), 1))
+        ids, others = rows["id"].to_numpy(), refs.field("id").to_numpy(zero_copy_only=False)
+        for i, j in tiles(len(a), len(b)):
+            out[i, 0] += np.where(others[None, j] > ids[i, None], term(squares(a[i], b[j])), 0).sum(axis=1)
+        return out
+
+    return sums_against(points, blocks(points.select("id", "u"), ["id", "u"], WIDE), terms, 1).agg(F.sum("s0").alias("value"))
 
 
 def repulsion(points: DataFrame, eta: float, length: float, soft: float) -> DataFrame:
     """One evaluation of the pair force on each point: eta sum exp(-d^2 / 2 l^2) / (d^2 + soft^2) (u_i - u_j)."""
-    own = points.select("id", "u").crossJoin(blocks(points.select("id", "u"), ["id", "u"]))
-    dims = F.posexplode("u").alias("dim", "x")
-    push = lambda r: F.exp(-squared_distance(F.col("u"), r["u"]) / (2 * length * length)) / (squared_distance(F.col("u"), r["u"]) + soft * soft)
-    weighted = F.transform(F.filter("refs", lambda r: r["id"] != F.col("id")), lambda r: F.struct(push(r).alias("w"), r["u"].alias("v")))
-    rows = own.select("id", weighted.alias("met"), "u").select("id", "met", dims)
-    total = F.aggregate("met", F.lit(0.0), lambda s, m: s + m["w"] * (F.col("x") - F.get(m["v"], F.col("dim"))))
-    return rows.select("id", "dim", total.alias("f")).groupBy("id", "dim").agg((eta * F.sum("f")).alias("force"))
+    first = points.where("u is not null").select(F.size("u").alias("n")).first()
+    dims = first["n"] if first else 0
+
+    def terms(rows: pa.Table, refs: pa.StructArray) -> np.ndarray:
+        a, b, out = coordinates(rows["u"]), coordinates(refs.field("u")), np.zeros((len(rows), dims))
+        ids, others = rows["id"].to_numpy(), refs.field("id").to_numpy(zero_copy_only=False)
+        for i, j in tiles(len(a), len(b)):
+            d = squares(a[i], b[j])
+            # A point is no neighbour of its own, whatever the softening.
+            d[ids[i, None] == others[None, j]] = np.inf
+            push = np.exp(d * (-0.5 / (length * length))) / (d + soft * soft)
+            out[i] += push.sum(axis=1)[:, None] * a[i] - push @ b[j]
+        return out
+
+    sums = sums_against(points, blocks(points.select("id", "u"), ["id", "u"], WIDE), terms, dims)
+    forces = F.posexplode(F.array(*(F.col(f"s{i}") for i in range(dims))) if dims else F.array().cast("array<double>")).alias("dim", "f")
+    return sums.select("id", forces).select("id", "dim", (eta * F.col("f")).alias("force"))
 
 
 def all_of(columns: list[Column]) -> Column:

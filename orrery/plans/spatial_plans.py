@@ -156,7 +156,7 @@ def accepted_support_semijoin(spark, d):
 @query(f"WITH {POINTS_SQL} SELECT round(sum(pow({DIST2} + 1e-4, -0.5)), 4) AS energy FROM points a, points b WHERE a.label = 0 AND b.label = 0 AND a.id < b.id")
 def riesz_energy(spark, d):
     design = _parts(spark, d)[1]
-    total = s.pair_sum(design, lambda a, b: F.pow(box.squared_distance(a, b) + 1e-4, F.lit(-0.5)))
+    total = s.pair_sum(design, lambda d2: (d2 + 1e-4) ** -0.5)
     return total.select(F.round("value", 4).alias("energy"))
 
 
