@@ -7,10 +7,12 @@ its term with itself, so one pass of the candidates over blocks of the design gi
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.spatial import blocks
+from orrery.operators.spatial import blocks, coordinates, sums_against, tiles
 
 
 def _off(x: Column) -> Column:
@@ -29,10 +31,25 @@ def pair_term(u: Column, v: Column) -> Column:
     return _product(F.zip_with(u, v, lambda x, y: 1 + 0.5 * _off(x) + 0.5 * _off(y) - 0.5 * F.abs(x - y)))
 
 
+def _pair_terms(rows: pa.Table, refs: pa.StructArray) -> np.ndarray:
+    """The sums of each row's terms with all points of a block."""
+    u, v, out = coordinates(rows["u"]), coordinates(refs.field("u")), np.zeros((len(rows), 1))
+    off_u, off_v = 1 + 0.5 * np.abs(u - 0.5), 0.5 * np.abs(v - 0.5)
+    u, v = 0.5 * u, 0.5 * v
+    for i, j in tiles(len(u), len(v)):
+        product = np.ones((len(u[i]), len(v[j])))
+        for d in range(u.shape[1]):
+            term = np.subtract.outer(u[i, d], v[j, d])
+            np.subtract(off_v[None, j, d], np.abs(term, out=term), out=term)
+            term += off_u[i, d, None]
+            product *= term
+        out[i, 0] += product.sum(axis=1)
+    return out
+
+
 def _pair_sums(rows: DataFrame, held: DataFrame) -> DataFrame:
     """id and k, the sum of its terms with all points of the design, from the design's blocks."""
-    inner = F.aggregate("refs", F.lit(0.0), lambda a, r: a + pair_term(F.col("u"), r["u"]))
-    return rows.select("id", "u").crossJoin(held).groupBy("id").agg(F.sum(inner).alias("k"))
+    return sums_against(rows, held, _pair_terms, 1).select("id", F.col("s0").alias("k"))
 
 
 def sums(design: DataFrame) -> DataFrame:

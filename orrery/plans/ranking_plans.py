@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions import box, scale, targets
 from orrery.operators import discrepancy, sets
 from orrery.operators import ranking as rk
+from orrery.operators.lineage import checkpointed
 from orrery.operators.quantiles import quantile_columns
 from orrery.plans.common import FACTS_SQL, POINTS_SQL, facts, points, rounded, table
 from orrery.plans.metric_plans import SQL, query
@@ -109,7 +110,8 @@ r AS (SELECT p.id, s.score, p.u[4] AS risk, round(s2 / (n * n) - 2.0 / n * s1 +
 def _gains(spark, d):
     p = _scored(spark, d).withColumn("risk", F.get("u", F.lit(3)))
     found = discrepancy.gains(p, p.where("label = 0"))
-    return found.select("id", "score", "risk", (F.round("gain", 12) + 0.0).alias("gain"))
+    # Written once: rankings read it several times.
+    return checkpointed(found.select("id", "score", "risk", (F.round("gain", 12) + 0.0).alias("gain")))
 
 
 @query(f"WITH {_GAINS} SELECT id, round(gain * 1e6, 3) + 0.0 AS gain FROM r")
