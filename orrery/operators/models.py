@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from orrery.operators import components
 from orrery.operators.lineage import checkpointed
 
-#: A design larger than this is refused, never cut: half its kernel matrix (270 MB here) is held by each task.
+#: A design larger than this is refused where it is factored whole, never cut: half its kernel matrix (270 MB here) is held by each task.
 MOST_POINTS = 8192
+#: Designs of more points than this are fitted through the points that span their kernel, see `_spanning`.
+FACTORED = 2048
+#: Share of the variance that the spanning points may leave unexplained at any point, rows looked at for more of them, rows of one task.
+TOLERANCE, ROUND, ROWS = 1e-10, 4096, 8192
 #: Rows of the matrix, and points against it, that are worked on together.
 BLOCK = 512
 #: Probes that are in a task's memory together.
@@ -135,8 +139,118 @@ def _pieces(u) -> Iterator[tuple[slice, np.ndarray]]:
         yield slice(lo, lo + BLOCK), np.stack(u[lo : lo + BLOCK])
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows in tasks of about ROWS: few bytes that need much work."""
+    return df.repartition(max(1, -(-df.count() // ROWS)))
+
+
+def _pivoted(x: np.ndarray, factor: _Factor | None, lengths: np.ndarray, variance: float) -> np.ndarray:
+    """Places of the rows of x, worst first, that together with the factor's own points explain all the others to the tolerance."""
+    known = factor.at(x).T if factor else np.zeros((len(x), 0))
+    left, chosen, columns = variance - (known * known).sum(axis=1), [], np.zeros((len(x), 0))
+    while len(chosen) < len(x) and left.max() > TOLERANCE * variance:
+        at = int(left.argmax())
+        if len(chosen) == columns.shape[1]:
+            columns = np.concatenate([columns, np.zeros((len(x), max(64, len(chosen))))], axis=1)
+        own = _kernel(x, x[at : at + 1], lengths, variance)[:, 0] - known @ known[at] - columns[:, : len(chosen)] @ columns[at, : len(chosen)]
+        columns[:, len(chosen)] = own / np.sqrt(left[at])
+        left -= columns[:, len(chosen)] ** 2
+        left[at] = 0
+        chosen.append(at)
+    return np.array(chosen, int)
+
+
+def _spanning(points: DataFrame, lengths: np.ndarray, variance: float) -> _Factor:
+    """The factor of points which explain every one of `points` (u) to TOLERANCE of the variance.
+
+    With l its `at`, k(a, b) is l(a) l(b) to that tolerance for any two, so that sums of products of l over a design of any
+    size stand for its kernel matrix. Each round looks at all points and adds from the worst explained, until there are none.
+    """
+    factor, context = None, points.sparkSession.sparkContext
+    points = checkpointed(_dealt(points.select("u")))
+    while True:
+        model = context.broadcast(factor)
+
+        def unexplained(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for part, u in _pieces(b["u"].to_numpy()):
+                    left = np.full(len(u), variance) if model.value is None else variance - (model.value.at(u) ** 2).sum(axis=0)
+                    over = left > TOLERANCE * variance
+                    yield pd.DataFrame({"u": b["u"].to_numpy()[part][over], "left": left[over]})
+
+        worst = points.mapInPandas(unexplained, "u array<double>, left double").orderBy(F.desc("left"), F.xxhash64("u")).limit(ROUND).toPandas()
+        if not len(worst):
+            return factor
+        x = np.stack(worst["u"])
+        x = x[_pivoted(x, factor, lengths, variance)]
+        held = x if factor is None else np.concatenate([factor.x, x])
+        if len(held) > MOST_POINTS:
+            raise ValueError(f"a kernel that {MOST_POINTS} points don't span")
+        factor = _Factor(held, lengths, variance, 0.0)
+
+
+def _moments(points: DataFrame, factor: _Factor, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Over all `points` (u, w, columns): the sums of w l l' and of l times each column, with l as in `_spanning`."""
+    model, size = points.sparkSession.sparkContext.broadcast(factor), len(factor.x)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size + len(columns)))
+        for b in batches:
+            for part, u in _pieces(b["u"].to_numpy()):
+                v, rest = model.value.at(u), b.iloc[part]
+                total += v @ np.column_stack([(v * rest["w"].to_numpy(float)).T, rest[columns].to_numpy(float)])
+        yield pd.DataFrame({"i": np.arange(size), "row": [r.tobytes() for r in total]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [np.sum([np.frombuffer(r) for r in rows["row"]], axis=0).tobytes()]})
+
+    rows = _dealt(points.select("u", "w", *columns)).mapInPandas(own, "i long, row binary").groupBy("i").applyInPandas(add, "i long, row binary").toPandas().sort_values("i")
+    total = np.stack([np.frombuffer(r) for r in rows["row"]])
+    return total[:, :size], total[:, size:]
+
+
+def _spanned_predict(design: DataFrame, queries: DataFrame, lengths: np.ndarray, variance: float, noise: float) -> DataFrame:
+    factor = _spanning(design.select("u").unionAll(queries.select("u")), lengths, variance)
+    level = design.agg(F.avg("y")).first()[0]
+    gram, sums = _moments(design.withColumn("w", F.lit(1.0)).withColumn("off", F.col("y") - F.lit(level)), factor, ["off"])
+    half = np.linalg.inv(np.linalg.cholesky(gram + noise * np.eye(len(gram))))
+    model = queries.sparkSession.sparkContext.broadcast((factor, half, half.T @ (half @ sums[:, 0])))
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factor, half, weights = model.value
+        for b in batches:
+            for part, u in _pieces(b["u"].to_numpy()):
+                v = factor.at(u)
+                var = variance - (v * v).sum(axis=0) + noise * ((half @ v) ** 2).sum(axis=0)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[part], "mean": weights @ v + level, "std": np.sqrt(np.maximum(var, 0))})
+
+    return _dealt(queries.select("id", "u")).mapInPandas(predict, "id long, mean double, std double")
+
+
+def _spanned_reduction(design: DataFrame, candidates: DataFrame, probes: DataFrame, lengths: np.ndarray, noise: float) -> DataFrame:
+    """A covariance after the design is noise l(z) A^-1 l(c), with A the design's moments and noise: one matrix of the probes' moments holds them all."""
+    factor = _spanning(design.select("u").unionAll(candidates.select("u")).unionAll(probes.select("u")), lengths, 1.0)
+    gram = _moments(design.withColumn("w", F.lit(1.0)), factor, [])[0]
+    asked = _moments(probes, factor, [])[0]
+    half = np.linalg.inv(np.linalg.cholesky(gram + noise * np.eye(len(gram))))
+    model = candidates.sparkSession.sparkContext.broadcast((factor, half, half @ asked @ half.T))
+
+    def gain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factor, half, asked = model.value
+        for b in batches:
+            for part, u in _pieces(b["u"].to_numpy()):
+                v = factor.at(u)
+                h = half @ v
+                var = np.maximum(1.0 - (v * v).sum(axis=0) + noise * (h * h).sum(axis=0), 0)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[part], "gain": noise**2 * (h * (asked @ h)).sum(axis=0) / (var + noise)})
+
+    return _dealt(candidates.select("id", "u")).mapInPandas(gain, "id long, gain double")
+
+
 def gp_predict(design: DataFrame, queries: DataFrame, lengths: list[float], variance: float = 1.0, noise: float = 1e-4) -> DataFrame:
-    """Posterior mean and deviation at `queries` (id, u) of a process through all of `design` (id, u, y), by triangular factors."""
+    """Posterior mean and deviation at `queries` (id, u) of a process through all of `design` (id, u, y), by triangular factors; a design of any size, if few points span its kernel."""
+    if design.count() > FACTORED:
+        return _spanned_predict(design, queries, np.array(lengths), variance, noise)
     rows = _whole(design.select("id", "u", "y"))
     y = rows["y"].to_numpy()
     factor = _Factor(np.stack(rows["u"]), np.array(lengths), variance, noise)
@@ -166,7 +280,10 @@ def loo_residuals(designs: DataFrame, lengths: list[float], variance: float = 1.
 def variance_reduction(design: DataFrame, candidates: DataFrame, probes: DataFrame, lengths: list[float], noise: float = 1e-4, probes_at_once: int = PROBES) -> DataFrame:
     """For each candidate: weighted sum over all probes of cov^2 / (var + noise), the variance that labelling it would take away. `probes` has u and w.
 
-    Probes are summed over in parts of about `probes_at_once`, each of which the driver sends to the tasks; the parts' sums add up."""
+    Probes are summed over in parts of about `probes_at_once`, each of which the driver sends to the tasks; the parts' sums add up. Larger designs
+    go through the points that span the kernel, where the probes are one matrix of sums."""
+    if design.count() > FACTORED:
+        return _spanned_reduction(design, candidates, probes, np.array(lengths), noise)
     factor = _Factor(np.stack(_whole(design.select("id", "u"))["u"]), np.array(lengths), 1.0, noise)
     context = candidates.sparkSession.sparkContext
     model, parts = context.broadcast(factor), max(1, -(-probes.count() // probes_at_once))
