@@ -19,6 +19,14 @@ def by_band_and_all(facts: DataFrame, band: str, block: list[Column]) -> DataFra
     return facts.groupingSets([[F.col(band)], []], F.col(band)).agg(F.grouping_id().alias("__all"), *block).withColumn(band, F.when(F.col("__all") == 0, F.col(band)).otherwise("all")).drop("__all")
 
 
+def block_by_grouping_sets(facts: DataFrame, band: str, x: str, shares: dict[str, float]) -> DataFrame:
+    """Mean and maximum of each band and of all in one pass of grouping sets, the percentiles without a buffer of a group's values."""
+    plain = by_band_and_all(facts, band, [F.avg(x).alias("mean"), F.max(x).alias("max")])
+    every = quantile_columns(facts, [], x, shares).select(F.lit("all").alias(band), *shares)
+    at = quantile_columns(facts, [band], x, shares).unionByName(every).withColumnRenamed(band, "__band")
+    return plain.join(at, plain[band].eqNullSafe(at["__band"])).drop("__band")
+
+
 def block_by_band_and_all(facts: DataFrame, band: str, x: str, shares: dict[str, float]) -> DataFrame:
     """Mean, percentiles and maximum for each band and over all, for bands of any size: no group is ever held in a buffer."""
     both = facts.select(F.explode(F.array(F.col(band), F.lit("all"))).alias(band), x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import axis, targets
 from orrery.operators import metrics as m
-from orrery.operators.quantiles import exact_quantiles
+from orrery.operators.quantiles import exact_quantiles, quantile_columns
 from orrery.plans.common import BANDS, EDGES, FACTS_SQL, facts, rounded, table
 
 Q, SQL = {}, {}
@@ -37,8 +37,8 @@ def metric_block_by_band(spark, d):
 
 @query(f"WITH {FACTS_SQL} SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, {_BLOCK} FROM facts GROUP BY GROUPING SETS ((band), ())")
 def metric_block_grouping_sets(spark, d):
-    """The same in one pass, for groups whose values fit a buffer."""
-    return rounded(m.by_band_and_all(facts(spark, d), "band", m.metric_block("err")))
+    """The same with means and maxima in one pass of grouping sets."""
+    return rounded(m.block_by_grouping_sets(facts(spark, d), "band", "err", {"p50": 0.5, "p68": 0.68, "p95": 0.95}))
 
 
 @query(f"WITH {FACTS_SQL}, s AS (SELECT *, (pred / greatest(truth, 1e-30) - 1.0) * 100.0 AS e FROM facts) SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, round(avg(e), 6) AS mean, {_q('e', 0.16)} AS p16, {_q('e', 0.5)} AS p50, {_q('e', 0.84)} AS p84, {_q('e', 0.95)} AS p95, round(max(abs(e)), 6) AS max_abs FROM s GROUP BY GROUPING SETS ((band), ())")
@@ -137,7 +137,8 @@ def focus_band_metrics(spark, d):
     focus = spark.createDataFrame([("0p07_3", 2.0, 30.0), ("0p1_5", 5.0, 30.0), ("k_le_1", 0.0, 10.0)], "focus string, lo double, hi double")
     f = facts(spark, d)
     met = f.join(F.broadcast(focus), (f["k"] >= F.col("lo")) & (f["k"] <= F.col("hi")))
-    return rounded(met.groupBy("focus").agg(F.count("*").alias("n"), F.percentile("err", F.lit(0.68)).alias("p68"), F.avg("err").alias("mean")))
+    plain = met.groupBy("focus").agg(F.count("*").alias("n"), F.avg("err").alias("mean"))
+    return rounded(plain.join(quantile_columns(met, ["focus"], "err", {"p68": 0.68}), "focus", "left"))
 
 
 @query(f"WITH {FACTS_SQL}, p AS (SELECT k, (pred / greatest(truth, 1e-30) - 1.0) * 100.0 AS v FROM facts), q AS (SELECT k, median(v) AS med, quantile_cont(abs(v), 0.68) AS mag FROM p GROUP BY k) SELECT p.k, round(any_value(med), 6) AS median, round(arg_min(v, {{'d': round(abs(abs(v) - mag), 9), 'v': v}}), 6) AS centre FROM p JOIN q USING (k) GROUP BY p.k")
