@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: For each dimension the polynomial's degree and inner bits, and the initial direction numbers.
 SOBOL = [(0, 0, [1]), (1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17])]
 BITS = 30
+#: Ids of one row before they become rows.
+CHUNK = 4096
 
 
 def _directions(dim: int) -> list[int]:
@@ -53,12 +55,12 @@ def sobol_for(sizes: DataFrame, by: str, count: str, dim: int) -> DataFrame:
 
 def latin_hypercube_for(sizes: DataFrame, by: str, count: str, dim: int, seed: int) -> DataFrame:
     """A Latin hypercube for each row of `sizes`: `by`, its count, id and u. Slices are dealt by the rank of a hash, apart for each dimension and `by`."""
-    rows = sizes.where(F.col(count) > 0).select(by, F.col(count), F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("id"))
-    dims = rows.select("*", F.explode(F.array(*(F.lit(i) for i in range(dim)))).alias("dim"))
-    own = Window.partitionBy(by, "dim").orderBy(F.xxhash64(F.lit(seed), F.col(by), F.col("dim"), F.col("id")), "id")
-    x = (F.row_number().over(own) - 1 + hashed_uniform(F.lit(seed), F.col(by), F.col("dim"), F.col("id"))) / F.col(count)
-    placed = dims.withColumn("x", x).groupBy(by, count, "id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))
-    return placed.select(by, count, "id", F.transform("p", lambda p: p["x"]).alias("u"))
+    chunks = sizes.where(F.col(count) > 0).select(by, F.col(count), F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
+    rows = chunks.select(by, count, F.explode(F.sequence("first", F.least(F.col("first") + CHUNK, F.col(count).cast("long")) - 1)).alias("id"))
+    for i in range(dim):
+        own = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(by), F.lit(i), F.col("id")), "id")
+        rows = rows.withColumn(f"__{i}", (F.row_number().over(own) - 1 + hashed_uniform(F.lit(seed), F.col(by), F.lit(i), F.col("id"))) / F.col(count))
+    return rows.select(by, count, "id", F.array(*(F.col(f"__{i}") for i in range(dim))).alias("u"))
 
 
 def hashed_uniform(*keys: Column) -> Column:
