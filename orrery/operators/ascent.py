@@ -22,6 +22,10 @@ from orrery.operators import models
 #: Steps remembered, steps at most, halvings of a step at most, share of the promised gain a step must bring.
 MEMORY, STEPS, HALVINGS, SHARE = 6, 60, 24, 1e-4
 RESTS = 1e-9
+#: A step that promises less than this share of the variance is not tried: halving it only promises less.
+LEAST = 1e-12
+#: Simplices of one task: few bytes, and thousands of starts each.
+ROWS = 256
 
 
 def onto_simplex(w: np.ndarray) -> np.ndarray:
@@ -37,16 +41,17 @@ class PosteriorVariance:
 
     def __init__(self, design: np.ndarray, lengths: np.ndarray, noise: float = 1e-4, variance: float = 1.0):
         self.factor = models._Factor(design, lengths, variance, noise)
+        # Of a small design the inverse itself: one product in place of two solves.
+        self.inverse = self.factor.solve_back(self.factor.solve(np.eye(len(design)))) if len(design) <= models.BLOCK else None
 
     def __call__(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f, value, slope = self.factor, np.empty(len(points)), np.empty(points.shape)
         for lo in range(0, len(points), models.BLOCK):
             u = points[lo : lo + models.BLOCK]
             kernel = f.kernel(f.x, u)
-            half = f.solve(kernel)
-            value[lo : lo + models.BLOCK] = f.variance - (half * half).sum(axis=0)
             # d k(x_i, u) / du = k (x_i - u) / length^2, and the variance falls by twice K^-1 k times that.
-            pull = f.solve_back(half) * kernel
+            pull = (f.solve_back(f.solve(kernel)) if self.inverse is None else self.inverse @ kernel) * kernel
+            value[lo : lo + models.BLOCK] = f.variance - pull.sum(axis=0)
             slope[lo : lo + models.BLOCK] = -2 * (pull.T @ f.x - pull.sum(axis=0)[:, None] * u) / f.lengths**2
         return value, slope
 
@@ -90,10 +95,14 @@ def climb(vertices: np.ndarray, weights: np.ndarray, function: Callable[[np.ndar
         size, open_, gained = np.ones(len(live)), np.arange(len(live)), np.zeros(len(live), bool)
         new_w, new_value, new_slope = weights[live].copy(), value[live].copy(), slope[live].copy()
         for _ in range(HALVINGS):
+            tried = onto_simplex(weights[live[open_]] + size[open_, None] * own[open_])
+            promise = np.einsum("sw,sw->s", slope[live[open_]], tried - weights[live[open_]])
+            worth = promise > LEAST * np.abs(value[live[open_]])
+            open_, tried, promise = open_[worth], tried[worth], promise[worth]
+            if not len(open_):
+                break
             rows = live[open_]
-            tried = onto_simplex(weights[rows] + size[open_, None] * own[open_])
             got, got_slope = look(rows, tried)
-            promise = np.einsum("sw,sw->s", slope[rows], tried - weights[rows])
             good = (got > value[rows]) & (got >= value[rows] + SHARE * promise)
             at = open_[good]
             new_w[at], new_value[at], new_slope[at], gained[at] = tried[good], got[good], got_slope[good], True
@@ -132,6 +141,7 @@ def best_points(simplices: DataFrame, design: DataFrame, lengths: list[float], n
 
     simplex, u, weights, start (the best value at a start) and value (its posterior variance), which is never less. The design is broadcast: at most models.MOST_POINTS points.
     """
+    simplices = simplices.repartition(max(1, -(-simplices.count() // ROWS)))
     factor = PosteriorVariance(np.stack(models._whole(design.select("id", "u"))["u"]), np.array(lengths), noise)
     shared = simplices.sparkSession.sparkContext.broadcast(factor)
 
