@@ -195,7 +195,7 @@ def match_rows(left: DataFrame, right: DataFrame, digits: int = 12) -> DataFrame
     return a.join(b.drop("u"), ["__key", "__n"]).select("left_id", "right_id")
 
 
-def within_tolerance(queries: DataFrame, reference: DataFrame, atol: float, rtol: float = 0.0, most: int = BLOCK * BROADCAST_BLOCKS) -> DataFrame:
+def within_tolerance(queries: DataFrame, reference: DataFrame, atol: float, rtol: float = 0.0, most: int = BLOCK) -> DataFrame:
     """The first reference row with every coordinate within atol + rtol |reference|, null where there is none. More than `most` reference rows are met through cells."""
     close = lambda r: F.forall(F.zip_with("u", r["u"], lambda a, b: F.abs(a - b) <= atol + rtol * F.abs(b)), lambda x: x)
     if reference.count() > most:
