@@ -137,12 +137,14 @@ def nearest_k(queries: DataFrame, reference: DataFrame, k: int, extra: list[str]
 
     def work(rows: pa.Table, refs: pa.StructArray) -> pa.Table:
         a, b, ids = coordinates(rows["u"]), coordinates(refs.field("u")), refs.field("id").to_numpy(zero_copy_only=False)
-        at, near = [], []
+        # Written where they stay: a view of what was ranked would keep all of the block's distances or places with each row.
+        at = np.empty((len(a), min(k, len(b))), dtype=np.int64)
+        near = np.empty(at.shape)
         for lo in range(0, len(a), max(1, PAIRS // len(b))):
-            d = np.sqrt(squares(a[lo : lo + max(1, PAIRS // len(b))], b))
-            at.append(_first_k(d, ids, k))
-            near.append(np.take_along_axis(d, at[-1], axis=1))
-        at, near = np.concatenate(at), np.concatenate(near)
+            own = slice(lo, lo + max(1, PAIRS // len(b)))
+            d = np.sqrt(squares(a[own], b))
+            at[own] = _first_k(d, ids, k)
+            near[own] = np.take_along_axis(d, at[own], axis=1)
         met = {"id": rows["id"].take(pa.array(np.repeat(np.arange(len(a)), at.shape[1]))), "d": near.ravel()}
         return pa.table(met | {f"ref_{f}": refs.field(f).take(pa.array(at.ravel())) for f in kept})
 

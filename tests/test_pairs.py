@@ -1,8 +1,10 @@
 """Sums and neighbours over all pairs of larger tables: against numpy, and in a time that expressions row by row did not keep."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,21 @@ def test_neighbours_among_copies_go_to_smaller_ids(spark):
     points = spark.createDataFrame(rows, "id long, u array<double>")
     got = spatial.nearest_k(points, points, 3, []).where("id < 40").groupBy("id").agg(F.array_sort(F.collect_list("ref_id")).alias("k")).collect()
     assert len(got) == 40 and {tuple(x["k"]) for x in got} == {(0, 1, 2)}
+
+
+def test_neighbours_hold_no_more_than_they_return(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(spatial, "against", lambda queries, held, work, schema: met.append(work) or spark.createDataFrame([], schema))
+    points = spark.createDataFrame([(i, [0.1 * i, 0.5]) for i in range(3)], "id long, u array<double>")
+    spatial.nearest_k(points, points, 4, [])
+    rng = np.random.default_rng(1)
+    column = lambda u: pa.array(u.tolist(), pa.list_(pa.float64()))
+    q, r = rng.random((1500, 2)), rng.random((spatial.PAIRS // 4, 2))
+    rows, refs = pa.table({"id": np.arange(len(q)), "u": column(q)}), pa.StructArray.from_arrays([pa.array(np.arange(len(r))), column(r)], ["id", "u"])
+    tracemalloc.start()
+    found = met[0](rows, refs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 4 * len(q) and most < 20e6  # 200 MB with every row's places of all references
+    d = np.sqrt(((q[7] - r) ** 2).sum(axis=1))
+    assert sorted(found["ref_id"].to_pylist()[28:32]) == sorted(np.argsort(d)[:4].tolist())
