@@ -1,9 +1,10 @@
 """Ascent inside simplices: thousands of starts climb a function of the parameters together, a batch of them in each step.
 
-A state is a start's barycentric weights. Its direction is the limited-memory quasi-Newton one of its last steps, its next
-weights are the projection of a step back into the simplex, and a step counts only if it gains: it is halved until it
-does (by a share of the slope's promise), and a state that gains no more rests. So no start ends below where it began. Rows are
-independent, so Spark deals them out; what every task needs, the fitted design, is bounded and broadcast.
+A state is a start's barycentric weights. Its direction is the limited-memory quasi-Newton one of its last steps within the
+face it is on, its next weights are the projection of a step back into the simplex, and a step counts only if it gains: it is
+shortened until it does (by a share of the slope's promise), and a state that gains no more rests. So no start ends below where it
+began. First steps have a fixed length and all bounds are relative, so a function of small values is climbed as fast as a large one.
+Rows are independent, so Spark deals them out; what every task needs, the fitted design, is bounded and broadcast.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 
 from orrery.operators import models
 
-#: Steps remembered, steps at most, halvings of a step at most, share of the promised gain a step must bring.
+#: Steps remembered, steps at most, times a step is shortened at most, share of the promised gain a step must bring.
 MEMORY, STEPS, HALVINGS, SHARE = 6, 60, 24, 1e-4
 RESTS = 1e-9
+#: How far a step without a memory moves the weight it moves most: about as far as starts are apart, so that it doesn't pass over a top between them.
+FIRST = 0.25
+#: Least cosine of a step and the fall of the slope along it that is remembered.
+BENDS = 1e-8
 #: A step that promises less than this share of the variance is not tried: halving it only promises less.
 LEAST = 1e-12
-#: Simplices of one task: few bytes, and thousands of starts each.
-ROWS = 256
+#: Simplices of one task: few bytes, and some sixty starts each.
+ROWS = 2048
 
 
 def onto_simplex(w: np.ndarray) -> np.ndarray:
@@ -71,6 +76,23 @@ def _direction(slope: np.ndarray, moved: np.ndarray, turned: np.ndarray, held: n
     return out
 
 
+def _within_face(slope: np.ndarray, shut: np.ndarray) -> np.ndarray:
+    """The part of each slope along which shut weights stay as they are and the sum does."""
+    mean = np.where(shut, 0, slope).sum(axis=1) / (~shut).sum(axis=1)
+    return np.where(shut, 0, slope - mean[:, None])
+
+
+def _face(weights: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slope within the face each state is on, and which weights are shut: those of 0 that the slope would make less."""
+    shut = np.zeros(weights.shape, bool)
+    while True:
+        up = _within_face(slope, shut)
+        more = (weights <= 0) & ~shut & (up < 0)
+        if not more.any():
+            return up, shut
+        shut |= more
+
+
 def climb(vertices: np.ndarray, weights: np.ndarray, function: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """The weights each state reaches, and their values: vertices [state, weight, dim], weights [state, weight]."""
     weights = onto_simplex(weights)
@@ -83,15 +105,22 @@ def climb(vertices: np.ndarray, weights: np.ndarray, function: Callable[[np.ndar
     live = np.arange(len(weights))
     value, slope = look(live, weights)
     shape = (len(weights), MEMORY, weights.shape[1])
-    moved, turned, held = np.zeros(shape), np.zeros(shape), np.zeros(shape[:2], bool)
+    moved, turned, held, walls = np.zeros(shape), np.zeros(shape), np.zeros(shape[:2], bool), np.zeros(weights.shape, bool)
     for _ in range(steps):
+        up, shut = _face(weights[live], slope[live])
+        steepest = np.abs(up).max(axis=1, initial=0)
+        on = steepest > LEAST * np.abs(value[live])
+        live, up, shut, steepest = live[on], up[on], shut[on], steepest[on]
         if not len(live):
             break
-        own = _direction(slope[live], moved[live], turned[live], held[live])
+        # On another face what is remembered is forgotten.
+        held[live[(shut != walls[live]).any(axis=1)]] = False
+        walls[live] = shut
+        own = _direction(up, moved[live], turned[live], held[live])
         # Where the memory points down, it is forgotten.
-        down = np.einsum("sw,sw->s", own, slope[live]) <= 0
-        own[down] = slope[live[down]]
-        held[live[down]] = False
+        held[live[np.einsum("sw,sw->s", own, up) <= 0]] = False
+        plain = ~held[live].any(axis=1)
+        own[plain] = FIRST * up[plain] / steepest[plain, None]
         size, open_, gained = np.ones(len(live)), np.arange(len(live)), np.zeros(len(live), bool)
         new_w, new_value, new_slope = weights[live].copy(), value[live].copy(), slope[live].copy()
         for _ in range(HALVINGS):
@@ -103,16 +132,18 @@ def climb(vertices: np.ndarray, weights: np.ndarray, function: Callable[[np.ndar
                 break
             rows = live[open_]
             got, got_slope = look(rows, tried)
-            good = (got > value[rows]) & (got >= value[rows] + SHARE * promise)
+            gain = got - value[rows]
+            good = (gain > 0) & (gain >= SHARE * promise)
             at = open_[good]
             new_w[at], new_value[at], new_slope[at], gained[at] = tried[good], got[good], got_slope[good], True
-            # A quasi-Newton step of no gain at all falls back to the slope itself.
-            open_ = open_[~good]
-            size[open_] /= 2
+            # The next try is where the parabola through value, slope and try is highest: a tenth to half of the step.
+            open_, lack = open_[~good], (promise - gain)[~good]
+            size[open_] *= np.clip(promise[~good] / (2 * lack), 0.1, 0.5)
             if not len(open_):
                 break
-        step, fall = new_w - weights[live], slope[live] - new_slope
-        keep = gained & (np.einsum("sw,sw->s", step, fall) > 1e-14)
+        step, fall = new_w - weights[live], _within_face(slope[live] - new_slope, shut)
+        lengths = np.sqrt(np.einsum("sw,sw->s", step, step) * np.einsum("sw,sw->s", fall, fall))
+        keep = gained & (np.einsum("sw,sw->s", step, fall) > BENDS * lengths)
         rows = live[keep]
         moved[rows, :-1], turned[rows, :-1], held[rows, :-1] = moved[rows, 1:], turned[rows, 1:], held[rows, 1:]
         moved[rows, -1], turned[rows, -1], held[rows, -1] = step[keep], fall[keep], True
@@ -136,12 +167,13 @@ def starts(corners: int, most: int = 64) -> np.ndarray:
     return np.concatenate([np.full((1, corners), 1 / corners), near, (np.diff(ends, axis=1) - 1) / parts])
 
 
-def best_points(simplices: DataFrame, design: DataFrame, lengths: list[float], noise: float = 1e-4) -> DataFrame:
+def best_points(simplices: DataFrame, design: DataFrame, lengths: list[float], noise: float = 1e-4, expected: int | None = None) -> DataFrame:
     """`simplices` (simplex, vertices): the point of each where a process fitted to all of `design` (id, u) is least sure, over several climbs.
 
     simplex, u, weights, start (the best value at a start) and value (its posterior variance), which is never less. The design is broadcast: at most models.MOST_POINTS points.
+    `expected` is about how many simplices there are, for where counting would make all of them once more; it only deals them into tasks.
     """
-    simplices = simplices.repartition(max(1, -(-simplices.count() // ROWS)))
+    simplices = simplices.repartition(max(1, -(-(simplices.count() if expected is None else expected) // ROWS)))
     factor = PosteriorVariance(np.stack(models._whole(design.select("id", "u"))["u"]), np.array(lengths), noise)
     shared = simplices.sparkSession.sparkContext.broadcast(factor)
 

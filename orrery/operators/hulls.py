@@ -24,6 +24,8 @@ JOGGLE, TRIES = 1e-10, 6
 VOLUME_TOLERANCE = 1e-6
 #: Simplices of no more volume are flat but for the random move, and left out.
 FLAT = 1e-15
+#: Points of the designs of one task, about: few bytes, and some milliseconds each.
+ROWS = 4096
 
 
 def volumes(cells: np.ndarray) -> np.ndarray:
@@ -121,6 +123,12 @@ def _cells(values: list) -> pd.Series:
     return pd.Series(values, dtype=object)
 
 
+def _dealt(designs: DataFrame) -> DataFrame:
+    """Designs, dealt by their number of points: by bytes they would all be a few tasks."""
+    own = designs.select("design", "id", "u")
+    return own.repartition(max(1, -(-own.count() // ROWS)), "design")
+
+
 SIMPLEX = "design long, simplex long, ids array<long>, vertices array<array<double>>"
 
 
@@ -135,7 +143,7 @@ def triangulated(designs: DataFrame) -> DataFrame:
         cells = cells[np.lexsort(cells.T[::-1])]
         return pd.DataFrame({"design": rows["design"].iloc[0], "simplex": np.arange(len(cells)), "ids": _cells([ids[c].tolist() for c in cells]), "vertices": _cells([points[c].tolist() for c in cells])})
 
-    return designs.select("design", "id", "u").groupBy("design").applyInPandas(cut, SIMPLEX)
+    return _dealt(designs).groupBy("design").applyInPandas(cut, SIMPLEX)
 
 
 def volume_of(vertices: Column) -> Column:
@@ -157,7 +165,7 @@ def hull_facets(designs: DataFrame) -> DataFrame:
         found = delaunay(np.stack(rows["u"]))[1]
         return pd.DataFrame({"design": rows["design"].iloc[0], "ids": _cells([sorted(ids[f].tolist()) for f in found])})
 
-    return designs.select("design", "id", "u").groupBy("design").applyInPandas(cut, "design long, ids array<long>")
+    return _dealt(designs).groupBy("design").applyInPandas(cut, "design long, ids array<long>")
 
 
 def structured_support(dim: int) -> np.ndarray:
@@ -205,15 +213,17 @@ def fans(designs: DataFrame, support: np.ndarray, fanout: int = 4, near: int = 1
             few, seen = order[: max(near, d * fanout)], set()
             for source in (few, order):
                 for shift in range(max(len(source), 4 * fanout)):
+                    if len(seen) >= fanout:
+                        break
                     turned = np.roll(source, -(shift % len(source)))
-                    chosen = independent(points[turned] - support[s]) if len(seen) < fanout else None
+                    chosen = independent(points[turned] - support[s])
                     key = None if chosen is None else tuple(sorted(turned[chosen].tolist()))
                     if key is not None and key not in seen:
                         seen.add(key)
                         out.append((int(rows["design"].iloc[0]), int(s), len(seen) - 1, ids[turned[chosen]].tolist(), [support[s].tolist(), *points[turned[chosen]].tolist()]))
         return pd.DataFrame(out, columns=["design", "support", "fan", "ids", "vertices"]).astype({"ids": object, "vertices": object})
 
-    return designs.select("design", "id", "u").groupBy("design").applyInPandas(open_out, "design long, support long, fan int, ids array<long>, vertices array<array<double>>")
+    return _dealt(designs).groupBy("design").applyInPandas(open_out, "design long, support long, fan int, ids array<long>, vertices array<array<double>>")
 
 
 def barycentric(vertices: np.ndarray, points: np.ndarray) -> np.ndarray:

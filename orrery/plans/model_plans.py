@@ -66,6 +66,10 @@ def appended_covariance(spark, d):
 SMALL_DESIGN = 40
 
 
+#: Simplices and fans for each point of a small design in three dimensions, about.
+SIMPLICES = 7
+
+
 def _designs(p):
     return p.select(F.floor(F.col("id") / SMALL_DESIGN).cast("long").alias("design"), "id", "u")
 
@@ -179,7 +183,7 @@ def simplex_ascent(spark, d):
     p = points(spark, d).select(F.floor(F.col("id") / SMALL_DESIGN).cast("long").alias("design"), "id", F.slice("u", 1, 3).alias("u"))
     cells = hulls.triangulated(p).select((F.col("design") * 100_000 + F.col("simplex")).alias("simplex"), "vertices")
     fan = hulls.fans(p, hulls.structured_support(3)).select((-1 - F.col("design") * 100_000 - F.col("support") * 100 - F.col("fan")).alias("simplex"), "vertices")
-    best = ascent.best_points(cells.unionAll(fan), p.where(F.col("design") == 0), LENGTHS[:3])
+    best = ascent.best_points(cells.unionAll(fan), p.where(F.col("design") == 0), LENGTHS[:3], expected=SIMPLICES * p.count())
     return rounded(best.select("simplex", "start", "value"))
 
 

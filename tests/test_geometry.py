@@ -130,3 +130,33 @@ def test_projection_onto_the_simplex():
     assert (p >= 0).all() and np.allclose(p.sum(axis=1), 1)
     for other in np.random.default_rng(9).dirichlet(np.ones(4), 200):
         assert (np.linalg.norm(w - p, axis=1) <= np.linalg.norm(w - other, axis=1) + 1e-9).all()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6])
+def test_small_functions_are_climbed_as_fast_as_large_ones(scale):
+    rng = np.random.default_rng(10)
+    v, seen = rng.random((40, 4, 3)), []
+    inner = np.einsum("sw,swd->sd", rng.dirichlet(np.ones(4), 40), v)
+    bend = np.array([1.0, 3.0, 0.5])
+    begin = ascent.starts(4)
+    tops = np.repeat(inner, len(begin), axis=0)
+    for lo in range(0, len(tops), len(begin)):  # one function for each simplex
+
+        def hill(p, top=tops[lo]):
+            seen.append(len(p))
+            return scale * (1 - ((p - top) ** 2 * bend).sum(axis=1)), -2 * scale * bend * (p - top)
+
+        w, value = ascent.climb(np.repeat(v[lo // len(begin)][None], len(begin), axis=0), begin, hill)
+        assert np.abs(w @ v[lo // len(begin)] - tops[lo]).max() < 1e-3 and value.min() > scale * (1 - 1e-6)
+    assert sum(seen) < 25 * len(tops)
+
+
+def test_a_top_between_starts_is_not_passed_over():
+    # Along the edge from 0 to 1: a narrow top at 0.15 above all else, and a slope up to the end.
+    def edge(p):
+        x, hump = p[:, 0], 2 * np.exp(-(((p[:, 0] - 0.15) / 0.05) ** 2))
+        return x + hump, (1 - hump * 2 * (x - 0.15) / 0.05**2)[:, None]
+
+    begin = ascent.starts(2)
+    w, value = ascent.climb(np.repeat(np.array([[[0.0], [1.0]]]), len(begin), axis=0), begin, edge)
+    assert value.max() == pytest.approx(2.15, abs=2e-2)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.operators import ascent, cells, generators, models
+from orrery.operators import ascent, cells, generators, hulls, models
 from orrery.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -36,6 +36,30 @@ def test_simplices_are_dealt_before_they_are_climbed(spark, monkeypatch):
     assert best.rdd.getNumPartitions() == 3 and best.count() == 12
 
 
+def test_expected_simplices_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(ascent, "ROWS", 4, raising=False)
+    rng, asked = np.random.default_rng(1), spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for rows in batches:
+            asked.add(len(rows))
+            yield rows
+
+    rows = [(i, rng.random((3, 2)).tolist()) for i in range(12)]
+    shape = "simplex long, vertices array<array<double>>"
+    design = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(rng.random((9, 2)))], "id long, u array<double>")
+    best = ascent.best_points(spark.createDataFrame(rows, shape).mapInPandas(made, shape), design, [0.5] * 2, expected=9)
+    assert len(best.collect()) == 12 and asked.value == 12 and best.rdd.getNumPartitions() == 3
+
+
+def test_small_designs_are_dealt_by_their_points(spark, monkeypatch):
+    monkeypatch.setattr(hulls, "ROWS", 30, raising=False)
+    x = np.random.default_rng(3).random((90, 2))
+    designs = spark.createDataFrame([(i // 9, i, u.tolist()) for i, u in enumerate(x)], "design long, id long, u array<double>").coalesce(1)
+    for found in (hulls.triangulated(designs), hulls.hull_facets(designs), hulls.fans(designs, hulls.structured_support(2))):
+        assert found.rdd.getNumPartitions() == 3 and found.select("design").distinct().count() == 10
+
+
 def test_crowded_cells_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(cells, "GROUP", 3, raising=False)
     rng = np.random.default_rng(2)
